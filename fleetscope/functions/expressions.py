@@ -12,7 +12,6 @@ from .constants import (CATEGORY_WEIGHTS, DEFAULT_SPEEDS, EARTH_RADIUS_M,
                         HOUR_MULTIPLIERS, ROAD_CATEGORIES, SESSION_MULTIPLIERS,
                         UNDEFINED_CATEGORY)
 
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def col_(c) -> Column:
@@ -30,7 +29,8 @@ def epoch_seconds(ts) -> Column:
     Works on wall-clock values, so it does not depend on the session time zone.
     """
     c = col_(ts)
-    return F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, c.cast("timestamp_ntz")) / F.lit(1e6)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz")) / F.lit(1e6)
 
 
 def time_band(hour) -> Column:

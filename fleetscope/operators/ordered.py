@@ -34,6 +34,34 @@ def add_time_chunk(df: DataFrame, ts_col: str = "timestamp", seconds: int = 3600
     return df.withColumn(name, F.floor(epoch_seconds(ts_col) / F.lit(float(seconds))).cast("long"))
 
 
+def stage_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: str = CHUNK,
+                 num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """Exchange the rows once on ``(keys, chunk)``, sort them in scan order and
+    cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    The checkpoint keeps the hash partitioning and the sort order, so every
+    later chunk window, chunk aggregate and carry join reads the rows in place:
+    the raw input is scanned and shuffled exactly once per job, and a lost
+    executor only costs re-reading checkpoint files, not the whole lineage.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    staged = df.repartition(n, *keys, chunk).sortWithinPartitions(*keys, chunk, *order)
+    if not checkpoint:
+        return staged
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    # The staging job itself runs without adaptive re-planning: an adaptive
+    # final stage does not report its hash partitioning, and the checkpoint
+    # must record it for the later stages to skip their exchanges.
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return staged.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
 def _chunk_window(keys, chunk, order):
     return Window.partitionBy(*keys, chunk).orderBy(*order)
 

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.constants import (FEATURE_GAP_MINUTES, MIN_SESSION_MINUTES, MIN_SESSION_POINTS,
                                    SCORING_GAP_SECONDS, SPEED_THRESHOLD)
 from ..functions.expressions import epoch_seconds, session_type, time_band
-from .ordered import CHUNK, add_time_chunk, attach_group_info, previous_value, running_sum
+from .ordered import CHUNK, add_time_chunk, attach_group_info, previous_value, running_sum, stage_chunks
 
 KEYS = ["ident"]
 ORDER = ["timestamp", "id"]   # the id tie-break makes equal timestamps deterministic
 
 
+def stage_readings(df: DataFrame, chunk_seconds: int = 3600, checkpoint: bool = True) -> DataFrame:
+    """Add the time chunk and stage the readings on (ident, chunk) in scan order."""
+    if CHUNK not in df.columns:
+        df = add_time_chunk(df, "timestamp", chunk_seconds)
+    return stage_chunks(df, KEYS, ORDER, checkpoint=checkpoint)
+
+
 def with_previous_reading(df: DataFrame, chunk_seconds: int = 3600,
                           columns: tuple[str, ...] = ("position_speed", "position_direction")) -> DataFrame:
     """W1 (+ W4/W5 inputs): seconds since the vehicle's previous reading.

@@ -35,7 +35,7 @@ def scoring_input(telemetry: DataFrame) -> DataFrame:
 
 def scoring_stages(telemetry: DataFrame, chunk_seconds: int = 3600,
                    direction_wrap: bool = False) -> ScoringStages:
-    gated = scoring_input(telemetry)
+    gated = sessions.stage_readings(scoring_input(telemetry), chunk_seconds)
     sess = sessions.sessionize_scoring(gated, chunk_seconds=chunk_seconds)
     summary = sessions.session_summary(sess)
     valid = sessions.valid_sessions(summary)
