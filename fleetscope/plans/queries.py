@@ -43,3 +43,21 @@ def q_valid_sessions(spark, sf_dir):
           doubles=STYLE_DOUBLES)
 def q_driving_style(spark, sf_dir):
     return _stages(spark, sf_dir).styles
+
+
+# ------------------------------------------------------------------ J3 features
+
+from ..functions.constants import SESSION_FEATURES  # noqa: E402
+from .session_features import session_features_from_raw  # noqa: E402
+
+FEATURE_SQL = (S.TELEMETRY, S.scoring_ctes(), S.feature_ctes())
+
+
+def _features(spark, sf_dir):
+    return session_features_from_raw(load_telemetry(spark, sf_dir))
+
+
+@register("session_features", sql=S.with_ctes(*FEATURE_SQL, select="SELECT * FROM session_features"),
+          doubles=list(SESSION_FEATURES))
+def q_session_features(spark, sf_dir):
+    return _features(spark, sf_dir)

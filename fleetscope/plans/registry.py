@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PLACES = 6
+# Values are compared after rounding half-even at PLACES decimals. Results such
+# as 16.5/64 sit exactly on a rounding tie and two engines may land one ulp to
+# either side of it; adding 1e-9 (away from zero) moves every tie off the
+# simple decimals the data produces. Used only for the comparison columns.
+NUDGE = 1e-9
 
 
 @dataclass
@@ -43,7 +48,8 @@ def round_doubles(df: DataFrame, places: dict[str, int] | None = None) -> DataFr
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             p = places.get(f.name, PLACES)
-            cols.append((F.round(F.col(f.name), p) + F.lit(0.0)).alias(f.name))
+            x = F.col(f.name)
+            cols.append((F.bround(x + F.signum(x) * F.lit(NUDGE), p) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -54,7 +60,8 @@ def rounded_sql(spec: QuerySpec) -> str | None:
         return None
     if not spec.doubles:
         return spec.sql
-    repl = ", ".join(f"(round({c}, {spec.places.get(c, PLACES)}) + 0.0) AS {c}" for c in spec.doubles)
+    repl = ", ".join(f"(round_even({c} + sign({c}) * {NUDGE}, {spec.places.get(c, PLACES)}) + 0.0) AS {c}"
+                     for c in spec.doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{spec.sql}\n) AS q"
 
 

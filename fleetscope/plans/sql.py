@@ -181,3 +181,88 @@ driving_style AS (
 
 def with_ctes(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n" + select
+
+
+FEATURE_COLS = SCORING_COLS + ", stile_guida"
+
+
+def feature_ctes() -> str:
+    """J3 over the J2 labels: labelled, fgated, f_lag, f_sess, f_vals, f_dv, f_rs, f_rl,
+    f_rows, f_mode, session_features. Needs ``scoring_ctes`` before it."""
+    ok_s, ok_r, ok_b, ok_t = "sp >= 0", "rpm >= 0 AND rpm <= 10000", "br >= 0", "th >= 0 AND th <= 100"
+
+    def share(cond, valid):
+        return (f"CASE WHEN count(*) FILTER (WHERE {valid}) = 0 THEN 0.0 ELSE "
+                f"(CAST(count(*) FILTER (WHERE {valid} AND {cond}) AS DOUBLE) / count(*) FILTER (WHERE {valid})) * 100 END")
+
+    def mean(x, valid):
+        return f"coalesce(avg({x}) FILTER (WHERE {valid}), 0.0)"
+
+    def std(x, valid):
+        return f"coalesce(stddev_samp({x}) FILTER (WHERE {valid}), 0.0)"
+
+    def mx(x, valid):
+        return f"coalesce(max({x}) FILTER (WHERE {valid}), 0.0)"
+
+    def sdiv(a, b):
+        return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / ({b}) END)"
+
+    return f"""
+tlabelled AS (SELECT t.*, d.stile_guida FROM telemetry t LEFT JOIN driving_style d ON t.ident = d.ident),
+fgated AS (SELECT {FEATURE_COLS} FROM tlabelled
+  WHERE stile_guida IS NOT NULL AND ident IS NOT NULL AND {gate_sql('vehicle_mileage')}),
+f_lag AS (
+  SELECT *, {epoch_s('timestamp')} AS t,
+    ({epoch_s('timestamp')} - lag({epoch_s('timestamp')}) OVER (PARTITION BY ident ORDER BY timestamp, id)) / 60.0 AS gap_min
+  FROM fgated),
+f_sess AS (
+  SELECT *, CAST(SUM(CASE WHEN gap_min IS NULL OR gap_min > 30 THEN 1 ELSE 0 END)
+      OVER (PARTITION BY ident ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_id
+  FROM f_lag),
+f_vals AS (
+  SELECT *, coalesce(TRY_CAST(position_speed AS DOUBLE), 0.0) AS sp, coalesce(TRY_CAST(can_engine_rpm AS DOUBLE), 0.0) AS rpm,
+    coalesce(TRY_CAST(can_pedal_brake_status AS DOUBLE), 0.0) AS br, coalesce(TRY_CAST(can_throttle_pedal_level AS DOUBLE), 0.0) AS th,
+    coalesce(TRY_CAST(limite_velocita AS DOUBLE), 0.0) AS lim
+  FROM f_sess),
+f_dv AS (
+  SELECT id, sp - lag(sp) OVER (PARTITION BY ident, session_id ORDER BY timestamp, id) AS dv,
+    row_number() OVER (PARTITION BY ident, session_id ORDER BY timestamp, id) AS rs,
+    count(*) OVER (PARTITION BY ident, session_id) AS ns
+  FROM f_vals WHERE sp >= 0),
+f_rl AS (
+  SELECT id, row_number() OVER (PARTITION BY ident, session_id ORDER BY timestamp, id) AS rl,
+    count(*) OVER (PARTITION BY ident, session_id) AS nl
+  FROM f_vals WHERE lim > 0),
+f_rows AS (
+  SELECT v.*, d.dv,
+    CASE WHEN d.rs IS NOT NULL AND l.rl IS NOT NULL AND d.rs <= least(d.ns, l.nl) AND l.rl <= least(d.ns, l.nl)
+         THEN v.sp / v.lim END AS ratio,
+    count(*) OVER (PARTITION BY v.ident, v.session_id, v.stile_guida) AS lab_n
+  FROM f_vals v LEFT JOIN f_dv d ON v.id = d.id LEFT JOIN f_rl l ON v.id = l.id),
+f_mode AS (SELECT *, max(lab_n) OVER (PARTITION BY ident, session_id) AS lab_max FROM f_rows),
+f_agg AS (
+  SELECT ident, session_id,
+    CAST(min(stile_guida) FILTER (WHERE lab_n = lab_max) AS INT) AS stile_guida,
+    count(*) AS n, (max(t) - min(t)) / 60.0 AS session_duration, max(position_speed) AS raw_max_speed,
+    count(*) FILTER (WHERE {ok_s}) AS n_s, count(*) FILTER (WHERE {ok_r}) AS n_r,
+    {mean('sp', ok_s)} AS avg_speed, {mx('sp', ok_s)} AS max_speed, {std('sp', ok_s)} AS speed_std,
+    coalesce(quantile_cont(sp, 0.95) FILTER (WHERE {ok_s}), 0.0) AS speed_95_percentile,
+    {share('sp > 50', ok_s)} AS time_above_50,
+    {mean('rpm', ok_r)} AS avg_rpm, {mx('rpm', ok_r)} AS max_rpm, {std('rpm', ok_r)} AS rpm_std,
+    {share('rpm > 3000', ok_r)} AS high_rpm_ratio,
+    {mean('dv', 'dv > 0')} AS avg_acceleration, abs({mean('dv', 'dv < 0')}) AS avg_deceleration,
+    CAST(count(*) FILTER (WHERE dv > 5) AS DOUBLE) AS harsh_acceleration_count,
+    CAST(count(*) FILTER (WHERE dv < -5) AS DOUBLE) AS harsh_braking_count,
+    {share('br > 0', ok_b)} AS brake_usage_ratio, {mean('br', ok_b)} AS avg_brake_intensity,
+    {mean('th', ok_t)} AS avg_throttle, {mx('th', ok_t)} AS max_throttle, {share('th > 80', ok_t)} AS aggressive_throttle_ratio,
+    {mean('ratio', 'ratio IS NOT NULL')} AS avg_speed_vs_limit, {share('ratio > 1.1', 'ratio IS NOT NULL')} AS speeding_ratio
+  FROM f_mode GROUP BY ident, session_id),
+session_features AS (
+  SELECT ident, session_id, stile_guida, session_duration, CAST(n AS DOUBLE) AS total_points,
+    avg_speed, max_speed, speed_std, speed_95_percentile, time_above_50, avg_rpm, max_rpm, rpm_std,
+    high_rpm_ratio, avg_acceleration, avg_deceleration, harsh_acceleration_count, harsh_braking_count,
+    brake_usage_ratio, avg_brake_intensity, avg_throttle, max_throttle, aggressive_throttle_ratio,
+    CASE WHEN n_s > 0 AND n_r > 0 THEN {sdiv('avg_speed', 'avg_rpm / 1000')} ELSE 0.0 END AS fuel_efficiency_score,
+    avg_speed_vs_limit, speeding_ratio,
+    {sdiv('speed_std', 'avg_speed')} AS speed_variability, {sdiv('rpm_std', 'avg_rpm')} AS rpm_variability
+  FROM f_agg WHERE n >= 10 AND session_duration >= 5 AND raw_max_speed >= 0)"""
