@@ -61,3 +61,119 @@ def _features(spark, sf_dir):
           doubles=list(SESSION_FEATURES))
 def q_session_features(spark, sf_dir):
     return _features(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ J5 fuel
+
+from ..operators import fuel as FU  # noqa: E402
+
+FUEL_SQL = (S.TELEMETRY, S.fuel_ctes())
+DASH_LIMIT = 10000          # rows per vehicle of the dashboard (its default page size)
+DASH_SQL = (S.TELEMETRY, S.fuel_ctes(dashboard=True, limit=DASH_LIMIT))
+FLEET_VEHICLE = "V7"        # the single-vehicle scan (S2) of the fuel script
+
+
+def _fuel(spark, sf_dir, dashboard=False, **kw):
+    return FU.fuel_pipeline(load_telemetry(spark, sf_dir), dashboard=dashboard, **kw)
+
+
+@register("fuel_delta", sql=S.with_ctes(*FUEL_SQL, select=
+          "SELECT ident, id, timestamp, can_fuel_consumed, fuel_delta FROM fuel_pos"),
+          doubles=["can_fuel_consumed", "fuel_delta"])
+def q_fuel_delta(spark, sf_dir):
+    from ..operators.sessions import stage_readings
+    staged = stage_readings(FU.fuel_input(load_telemetry(spark, sf_dir)))
+    return FU.fuel_delta(staged).select("ident", "id", "timestamp", "can_fuel_consumed", "fuel_delta")
+
+
+@register("fuel_ewm", sql=S.with_ctes(*FUEL_SQL, select=
+          "SELECT ident, id, timestamp, fuel_delta, fuel_delta_smooth FROM fuel_s"),
+          doubles=["fuel_delta", "fuel_delta_smooth"])
+def q_fuel_ewm(spark, sf_dir):
+    return FU.fuel_series(_fuel(spark, sf_dir))
+
+
+@register("fuel_scan_vehicle", sql=S.with_ctes(S.TELEMETRY, S.fuel_ctes(), select=
+          f"SELECT ident, id, timestamp, fuel_delta, fuel_delta_smooth FROM fuel_s WHERE ident = '{FLEET_VEHICLE}'"),
+          doubles=["fuel_delta", "fuel_delta_smooth"])
+def q_fuel_scan_vehicle(spark, sf_dir):
+    return FU.fuel_series(_fuel(spark, sf_dir, vehicle=FLEET_VEHICLE))
+
+
+@register("fuel_series", sql=S.with_ctes(*DASH_SQL, select=
+          "SELECT ident, id, timestamp, fuel_delta, fuel_delta_smooth FROM fuel_s"),
+          doubles=["fuel_delta", "fuel_delta_smooth"])
+def q_fuel_series(spark, sf_dir):
+    return FU.fuel_series(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_limit", sql=S.with_ctes(*DASH_SQL, select="SELECT ident, id, timestamp FROM fuel_lim"))
+def q_fuel_limit(spark, sf_dir):
+    from ..operators.sessions import stage_readings
+    staged = stage_readings(FU.fuel_input(load_telemetry(spark, sf_dir), dashboard=True))
+    return FU.earliest_rows(staged, DASH_LIMIT).select("ident", "id", "timestamp")
+
+
+@register("fuel_overview", sql=S.with_ctes(*DASH_SQL, select="""
+SELECT ident, count(*) AS records, avg(fuel_delta) AS avg_fuel_delta, avg(position_speed) AS avg_speed,
+  avg(can_engine_rpm) AS avg_rpm, avg(battery_voltage) AS avg_voltage FROM fuel_s GROUP BY ident"""),
+          doubles=["avg_fuel_delta", "avg_speed", "avg_rpm", "avg_voltage"])
+def q_fuel_overview(spark, sf_dir):
+    return FU.fuel_overview(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_stats", sql=S.with_ctes(*DASH_SQL, select="""
+SELECT ident, avg(fuel_delta_smooth) AS mean, stddev_samp(fuel_delta_smooth) AS std,
+  quantile_cont(fuel_delta_smooth, 0.25) AS q25, quantile_cont(fuel_delta_smooth, 0.75) AS q75
+FROM fuel_s GROUP BY ident"""), doubles=["mean", "std", "q25", "q75"])
+def q_fuel_stats(spark, sf_dir):
+    return FU.fuel_stats(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_preview", sql=S.with_ctes(*DASH_SQL, select="""
+SELECT ident, id, timestamp, battery_voltage, can_engine_rpm, position_speed, fuel_delta, fuel_delta_smooth
+FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY timestamp, id) AS rk FROM fuel_s) WHERE rk <= 10"""),
+          doubles=["battery_voltage", "position_speed", "fuel_delta", "fuel_delta_smooth"])
+def q_fuel_preview(spark, sf_dir):
+    return FU.fuel_preview(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_scatter_sample", sql=S.with_ctes(*DASH_SQL, select="""
+SELECT ident, id, position_speed, fuel_delta_smooth, can_engine_rpm
+FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY md5(concat('42', '|', CAST(id AS VARCHAR))), id) AS rk
+      FROM fuel_s) WHERE rk <= 1000"""), doubles=["position_speed", "fuel_delta_smooth"])
+def q_fuel_scatter_sample(spark, sf_dir):
+    return FU.fuel_scatter_sample(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_histogram", sql=S.with_ctes(*DASH_SQL, """
+rng AS (SELECT ident, min(fuel_delta_smooth) AS lo, max(fuel_delta_smooth) AS hi FROM fuel_s GROUP BY ident),
+binned AS (
+  SELECT f.ident, r.lo, r.hi,
+    CAST(CASE WHEN r.hi > r.lo THEN least(floor((f.fuel_delta_smooth - r.lo) / (r.hi - r.lo) * 50), 49) ELSE 0 END AS INT) AS bin
+  FROM fuel_s f JOIN rng r ON f.ident = r.ident)""", select="""
+SELECT ident, bin, lo + bin * ((hi - lo) / 50) AS bin_start, lo + (bin + 1) * ((hi - lo) / 50) AS bin_end, count(*) AS count
+FROM binned GROUP BY ident, bin, lo, hi"""), doubles=["bin_start", "bin_end"])
+def q_fuel_histogram(spark, sf_dir):
+    return FU.fuel_histogram(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_training_set", sql=S.with_ctes(*DASH_SQL, select="""
+SELECT ident, id, battery_voltage, can_engine_rpm, can_throttle_pedal_level, position_speed,
+  vehicle_mileage / 10000 AS vehicle_mileage, fuel_delta_smooth
+FROM fuel_s WHERE battery_voltage IS NOT NULL AND can_engine_rpm IS NOT NULL AND can_throttle_pedal_level IS NOT NULL
+  AND position_speed IS NOT NULL AND vehicle_mileage IS NOT NULL AND fuel_delta_smooth IS NOT NULL"""),
+          doubles=["battery_voltage", "position_speed", "vehicle_mileage", "fuel_delta_smooth"])
+def q_fuel_training_set(spark, sf_dir):
+    return FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+
+
+@register("fuel_training_set_script", sql=S.with_ctes(*FUEL_SQL, select="""
+SELECT ident, id, battery_voltage, can_engine_rpm, can_pedal_brake_status, can_throttle_pedal_level,
+  position_altitude, position_direction, position_speed, vehicle_mileage, fuel_delta_smooth
+FROM fuel_s WHERE battery_voltage IS NOT NULL AND can_engine_rpm IS NOT NULL AND can_pedal_brake_status IS NOT NULL
+  AND can_throttle_pedal_level IS NOT NULL AND position_altitude IS NOT NULL AND position_direction IS NOT NULL
+  AND position_speed IS NOT NULL AND vehicle_mileage IS NOT NULL AND fuel_delta_smooth IS NOT NULL"""),
+          doubles=["battery_voltage", "position_speed", "vehicle_mileage", "fuel_delta_smooth"])
+def q_fuel_training_set_script(spark, sf_dir):
+    return FU.fuel_training_set(_fuel(spark, sf_dir), feature_set="script")

@@ -266,3 +266,22 @@ session_features AS (
     avg_speed_vs_limit, speeding_ratio,
     {sdiv('speed_std', 'avg_speed')} AS speed_variability, {sdiv('rpm_std', 'avg_rpm')} AS rpm_variability
   FROM f_agg WHERE n >= 10 AND session_duration >= 5 AND raw_max_speed >= 0)"""
+
+
+def fuel_ctes(dashboard: bool = False, limit: int | None = None, span: int = 20) -> str:
+    """J5 as CTEs: fuel_in, fuel_lim, fuel_d, fuel_pos, fuel_s (EWM by list fold)."""
+    alpha = 2.0 / (span + 1)
+    q = 1.0 - alpha
+    gate = gate_sql("can_vehicle_mileage", altitude=not dashboard, direction=not dashboard)
+    lim = (f"SELECT * EXCLUDE (rk) FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY timestamp, id) AS rk "
+           f"FROM fuel_in) WHERE rk <= {limit}") if limit is not None else "SELECT * FROM fuel_in"
+    return f"""
+fuel_in AS (SELECT * FROM telemetry WHERE can_fuel_consumed IS NOT NULL AND ident IS NOT NULL AND {gate}),
+fuel_lim AS ({lim}),
+fuel_d AS (SELECT *, can_fuel_consumed - lag(can_fuel_consumed) OVER (PARTITION BY ident ORDER BY timestamp, id) AS fuel_delta
+  FROM fuel_lim),
+fuel_pos AS (SELECT * FROM fuel_d WHERE fuel_delta > 0),
+fuel_s AS (
+  SELECT *, list_reduce(list(fuel_delta) OVER (PARTITION BY ident ORDER BY timestamp, id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, b: a * {q!r} + b * {alpha!r}) AS fuel_delta_smooth
+  FROM fuel_pos)"""
