@@ -177,3 +177,231 @@ FROM fuel_s WHERE battery_voltage IS NOT NULL AND can_engine_rpm IS NOT NULL AND
           doubles=["battery_voltage", "position_speed", "vehicle_mileage", "fuel_delta_smooth"])
 def q_fuel_training_set_script(spark, sf_dir):
     return FU.fuel_training_set(_fuel(spark, sf_dir), feature_set="script")
+
+
+# ------------------------------------------------------------------ J2 row-level operators and reports
+
+from ..functions.expressions import road_category as _road_category  # noqa: E402
+from ..operators import scoring as SC  # noqa: E402
+from ..sources import telemetry as TS  # noqa: E402
+from . import reports as R  # noqa: E402
+
+J2 = (S.TELEMETRY, S.scoring_ctes())
+FLAG_COLS = [f"f_{b}" for b in BEHAVIOURS]
+
+
+@register("scan_telemetry", sql=S.with_ctes(*J2, select="SELECT * EXCLUDE (t, time_diff, prev_speed, prev_dir, session_id) FROM sess"),
+          doubles=["battery_voltage", "position_latitude", "position_longitude", "position_speed", "vehicle_mileage"])
+def q_scan_telemetry(spark, sf_dir):
+    return TS.scan_telemetry(load_telemetry(spark, sf_dir), TS.SCORING_COLUMNS)
+
+
+@register("quality_gate", sql=S.with_ctes(S.TELEMETRY, select=f"""
+SELECT id, ident FROM telemetry WHERE {S.gate_sql('vehicle_mileage')}"""))
+def q_quality_gate(spark, sf_dir):
+    return TS.quality_gate(load_telemetry(spark, sf_dir), "vehicle_mileage").select("id", "ident")
+
+
+@register("quality_gate_fuel", sql=S.with_ctes(S.TELEMETRY, select=f"""
+SELECT id, ident FROM telemetry WHERE can_fuel_consumed IS NOT NULL AND {S.gate_sql(altitude=False, direction=False)}"""))
+def q_quality_gate_fuel(spark, sf_dir):
+    return FU.fuel_input(load_telemetry(spark, sf_dir), dashboard=True).select("id", "ident")
+
+
+@register("scan_custom_query", sql=S.with_ctes(S.TELEMETRY, select="""
+SELECT ident, count(*) AS readings, max(position_speed) AS max_speed FROM telemetry WHERE movement_status GROUP BY ident"""),
+          doubles=["max_speed"])
+def q_scan_custom_query(spark, sf_dir):
+    load_telemetry(spark, sf_dir).createOrReplaceTempView("telemetry")
+    return TS.scan_custom_query(spark, """
+        SELECT ident, count(*) AS readings, max(position_speed) AS max_speed
+        FROM telemetry WHERE movement_status GROUP BY ident""")
+
+
+@register("ensure_columns", sql=S.with_ctes(S.TELEMETRY, select="""
+SELECT id, limite_velocita, tipo_strada, CAST(NULL AS INT) AS stile_guida FROM telemetry"""))
+def q_ensure_columns(spark, sf_dir):
+    df = TS.ensure_columns(load_telemetry(spark, sf_dir),
+                           {"limite_velocita": "int", "tipo_strada": "string", "stile_guida": "int"})
+    return df.select("id", "limite_velocita", "tipo_strada", "stile_guida")
+
+
+@register("sessionize_scoring", sql=S.with_ctes(*J2, select="""
+SELECT id, ident, session_id, ident || '_' || CAST(session_id AS VARCHAR) AS session_unique_id,
+  coalesce(time_diff, 0.0) AS time_diff FROM sess"""), doubles=["time_diff"])
+def q_sessionize_scoring(spark, sf_dir):
+    return _stages(spark, sf_dir).rows.select(
+        "id", "ident", "session_id", "session_unique_id",
+        F.coalesce(F.col("time_diff"), F.lit(0.0)).alias("time_diff"))
+
+
+@register("time_band", sql=S.with_ctes(*J2, select="SELECT id, ora, fascia_oraria FROM rows"))
+def q_time_band(spark, sf_dir):
+    return _stages(spark, sf_dir).rows.select("id", "ora", "fascia_oraria")
+
+
+@register("row_session_type", sql=S.with_ctes(*J2, select="SELECT id, ident, session_id, tipo_sessione FROM rows"))
+def q_row_session_type(spark, sf_dir):
+    return _stages(spark, sf_dir).rows.select("id", "ident", "session_id", "tipo_sessione")
+
+
+@register("road_category", sql=S.with_ctes(S.TELEMETRY, select=f"""
+SELECT id, tipo_strada, {S.road_category_sql('tipo_strada')} AS categoria_strada FROM telemetry"""))
+def q_road_category(spark, sf_dir):
+    t = load_telemetry(spark, sf_dir)
+    return t.select("id", "tipo_strada", _road_category(F.col("tipo_strada")).alias("categoria_strada"))
+
+
+@register("behaviour_flags", sql=S.with_ctes(*J2, select=f"SELECT id, ident, categoria_strada, {', '.join(FLAG_COLS)} FROM flags"))
+def q_behaviour_flags(spark, sf_dir):
+    return _stages(spark, sf_dir).rows.select("id", "ident", "categoria_strada", *FLAG_COLS)
+
+
+@register("behaviour_counts", sql=S.with_ctes(*J2, select="SELECT * FROM counts"))
+def q_behaviour_counts(spark, sf_dir):
+    return _stages(spark, sf_dir).counts
+
+
+@register("weighted_scores", sql=S.with_ctes(*J2, select="SELECT * FROM partials"),
+          doubles=[f"s_{b}" for b in BEHAVIOURS])
+def q_weighted_scores(spark, sf_dir):
+    return SC.weighted_scores(_stages(spark, sf_dir).counts)
+
+
+@register("behaviour_scores", sql=S.with_ctes(*J2, select="SELECT * FROM scores"),
+          doubles=[f"punteggio_{b}" for b in BEHAVIOURS])
+def q_behaviour_scores(spark, sf_dir):
+    return SC.behaviour_scores(SC.weighted_scores(_stages(spark, sf_dir).counts))
+
+
+@register("style_cutpoints", sql=S.with_ctes(*J2, select="SELECT q1, q2 FROM cuts"), doubles=["q1", "q2"])
+def q_style_cutpoints(spark, sf_dir):
+    st = _stages(spark, sf_dir)
+    return SC.style_cutpoints(SC.normalise_scores(SC.behaviour_scores(SC.weighted_scores(st.counts))))
+
+
+@register("vehicle_session_stats", sql=S.with_ctes(*J2, select="SELECT * FROM stats"),
+          doubles=["durata_media", "durata_totale", "distanza_totale"])
+def q_vehicle_session_stats(spark, sf_dir):
+    from ..operators.sessions import vehicle_session_stats
+    return vehicle_session_stats(_stages(spark, sf_dir).valid)
+
+
+@register("update_driving_style", sql=S.with_ctes(*J2, select="""
+SELECT t.id, t.ident, d.stile_guida FROM telemetry t LEFT JOIN driving_style d ON t.ident = d.ident"""))
+def q_update_driving_style(spark, sf_dir):
+    from .driving_style import label_telemetry
+    t = load_telemetry(spark, sf_dir)
+    return label_telemetry(t, _stages(spark, sf_dir).styles).select("id", "ident", "stile_guida")
+
+
+@register("fleet_report", sql=S.with_ctes(*J2, select="""
+SELECT v.sessioni_valide, v.durata_media, v.distanza_media, v.sessioni_per_veicolo, p.punteggio_medio, c.q1, c.q2
+FROM (SELECT count(*) AS sessioni_valide, avg(durata_minuti) AS durata_media, avg(distanza_km) AS distanza_media,
+        count(*) / count(DISTINCT ident) AS sessioni_per_veicolo FROM valid) v,
+     (SELECT avg(punteggio_finale) AS punteggio_medio FROM driving_style) p, cuts c"""),
+          doubles=["durata_media", "distanza_media", "sessioni_per_veicolo", "punteggio_medio", "q1", "q2"])
+def q_fleet_report(spark, sf_dir):
+    st = _stages(spark, sf_dir)
+    scores = SC.normalise_scores(SC.behaviour_scores(SC.weighted_scores(st.counts)))
+    return R.fleet_report(st.valid, st.styles, SC.style_cutpoints(scores))
+
+
+@register("time_band_distribution", sql=S.with_ctes(*J2, select="""
+SELECT fascia_oraria, count(*) AS records, count(*) / sum(count(*)) OVER () * 100 AS percentuale
+FROM rows GROUP BY fascia_oraria"""), doubles=["percentuale"])
+def q_time_band_distribution(spark, sf_dir):
+    return R.share_distribution(_stages(spark, sf_dir).rows, "fascia_oraria")
+
+
+@register("session_type_distribution", sql=S.with_ctes(*J2, select="""
+SELECT tipo_sessione, count(*) AS records, count(*) / sum(count(*)) OVER () * 100 AS percentuale
+FROM rows GROUP BY tipo_sessione"""), doubles=["percentuale"])
+def q_session_type_distribution(spark, sf_dir):
+    return R.share_distribution(_stages(spark, sf_dir).rows, "tipo_sessione")
+
+
+@register("vehicle_style_distribution", sql=S.with_ctes(*J2, select="""
+SELECT s.stile_guida, count(d.ident) AS veicoli, count(d.ident) / (SELECT count(*) FROM driving_style) * 100 AS percentuale
+FROM (SELECT unnest([0, 1, 2]) AS stile_guida) s LEFT JOIN driving_style d ON d.stile_guida = s.stile_guida
+GROUP BY s.stile_guida"""), doubles=["percentuale"])
+def q_vehicle_style_distribution(spark, sf_dir):
+    return R.vehicle_style_distribution(_stages(spark, sf_dir).styles)
+
+
+@register("risk_event_totals", sql=S.with_ctes(*J2, select="""
+SELECT CAST(sum(f_superamenti_limite) AS BIGINT) AS superamenti_limite, CAST(sum(f_frenate_brusche) AS BIGINT) AS frenate_brusche,
+  CAST(sum(f_accelerazioni_brusche) AS BIGINT) AS accelerazioni_brusche FROM flags"""))
+def q_risk_event_totals(spark, sf_dir):
+    return R.risk_event_totals(_stages(spark, sf_dir).rows)
+
+
+@register("top_aggressive", sql=S.with_ctes(*J2, select="""
+SELECT ident, punteggio_finale, num_sessioni, durata_totale FROM driving_style
+ORDER BY punteggio_finale DESC, ident LIMIT 5"""), doubles=["punteggio_finale", "durata_totale"])
+def q_top_aggressive(spark, sf_dir):
+    return R.top_aggressive(_stages(spark, sf_dir).styles)
+
+
+# ------------------------------------------------------------------ J3 operators and reports
+
+from ..operators.features import sqrt_scaled  # noqa: E402
+from .session_features import feature_input  # noqa: E402
+from ..operators import sessions as SE  # noqa: E402
+
+
+@register("sessionize_features", sql=S.with_ctes(*FEATURE_SQL, select="""
+SELECT id, ident, session_id, gap_min AS time_gap_minutes FROM f_sess"""), doubles=["time_gap_minutes"])
+def q_sessionize_features(spark, sf_dir):
+    from .driving_style import label_telemetry
+    t = load_telemetry(spark, sf_dir)
+    staged = SE.stage_readings(feature_input(label_telemetry(t, _stages(spark, sf_dir).styles)))
+    rows = SE.sessionize_features(staged)
+    return rows.select("id", "ident", "session_id", (F.col("time_diff") / 60.0).alias("time_gap_minutes"))
+
+
+@register("session_statistics", sql=S.with_ctes(*FEATURE_SQL, select="""
+SELECT count(*) AS total_sessions, count(DISTINCT ident) AS unique_vehicles, count(DISTINCT stile_guida) AS unique_driving_styles,
+  round_even(avg(session_duration), 2) AS avg_session_duration, round_even(avg(avg_speed), 2) AS avg_speed_overall,
+  round_even(avg(total_points), 0) AS avg_points_per_session, round_even(max(session_duration), 2) AS longest_session_minutes,
+  round_even(min(session_duration), 2) AS shortest_session_minutes FROM session_features"""),
+          doubles=["avg_session_duration", "avg_speed_overall", "avg_points_per_session",
+                   "longest_session_minutes", "shortest_session_minutes"])
+def q_session_statistics(spark, sf_dir):
+    return R.session_statistics(_features(spark, sf_dir))
+
+
+@register("style_distribution", sql=S.with_ctes(*FEATURE_SQL, select="""
+SELECT stile_guida, count(*) AS count, round_even(count(*) / sum(count(*)) OVER () * 100, 2) AS percentage
+FROM session_features GROUP BY stile_guida"""), doubles=["percentage"])
+def q_style_distribution(spark, sf_dir):
+    return R.style_distribution(_features(spark, sf_dir))
+
+
+@register("speed_box_by_style", sql=S.with_ctes(*FEATURE_SQL, select="""
+SELECT stile_guida, min(avg_speed) AS min, quantile_cont(avg_speed, 0.25) AS q1, quantile_cont(avg_speed, 0.5) AS median,
+  quantile_cont(avg_speed, 0.75) AS q3, max(avg_speed) AS max FROM session_features GROUP BY stile_guida"""),
+          doubles=["min", "q1", "median", "q3", "max"])
+def q_speed_box_by_style(spark, sf_dir):
+    return R.speed_box_by_style(_features(spark, sf_dir))
+
+
+@register("session_preview", sql=S.with_ctes(*FEATURE_SQL, select="""
+SELECT ident, session_id, avg_speed, max_speed, avg_rpm, session_duration, total_points, stile_guida
+FROM session_features ORDER BY ident, session_id LIMIT 10"""),
+          doubles=["avg_speed", "max_speed", "avg_rpm", "session_duration", "total_points"])
+def q_session_preview(spark, sf_dir):
+    return R.session_preview(_features(spark, sf_dir))
+
+
+@register("session_label", sql=S.with_ctes(*FEATURE_SQL, select="SELECT ident, session_id, stile_guida FROM session_features"))
+def q_session_label(spark, sf_dir):
+    return R.session_label(_features(spark, sf_dir))
+
+
+@register("sqrt_scaled_features", sql=S.with_ctes(*FEATURE_SQL, select="""
+SELECT * REPLACE (sqrt(avg_rpm) * 0.5 AS avg_rpm, sqrt(avg_throttle) * 0.5 AS avg_throttle,
+  sqrt(max_throttle) * 0.5 AS max_throttle, sqrt(rpm_std) * 0.5 AS rpm_std) FROM session_features"""),
+          doubles=list(SESSION_FEATURES))
+def q_sqrt_scaled_features(spark, sf_dir):
+    return sqrt_scaled(_features(spark, sf_dir))
