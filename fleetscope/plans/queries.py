@@ -405,3 +405,68 @@ SELECT * REPLACE (sqrt(avg_rpm) * 0.5 AS avg_rpm, sqrt(avg_throttle) * 0.5 AS av
           doubles=list(SESSION_FEATURES))
 def q_sqrt_scaled_features(spark, sf_dir):
     return sqrt_scaled(_features(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ J1 roads
+
+from ..functions.expressions import web_mercator_x, web_mercator_y  # noqa: E402
+from ..operators import roads as RD  # noqa: E402
+from ..sources.telemetry import load_roads  # noqa: E402
+
+J1 = (S.TELEMETRY, S.ROADS, S.road_ctes())
+
+
+def _matches(spark, sf_dir):
+    t = load_telemetry(spark, sf_dir)
+    points = TS.scan_points(t)
+    roads = TS.scan_roads(load_roads(spark, sf_dir))
+    return RD.match_points(points, RD.nearest_roads(points, roads))
+
+
+@register("nearest_road", sql=S.with_ctes(*J1, select="SELECT * FROM matched"),
+          doubles=["distance_m"], places={"distance_m": 2})
+def q_nearest_road(spark, sf_dir):
+    return _matches(spark, sf_dir)
+
+
+@register("update_road_columns", sql=S.with_ctes(*J1, select="""
+SELECT t.id, CASE WHEN m.id IS NOT NULL THEN m.limite_velocita ELSE t.limite_velocita END AS limite_velocita,
+  CASE WHEN m.id IS NOT NULL THEN m.tipo_strada ELSE t.tipo_strada END AS tipo_strada
+FROM telemetry t LEFT JOIN matched m ON t.id = m.id"""))
+def q_update_road_columns(spark, sf_dir):
+    t = load_telemetry(spark, sf_dir)
+    m = _matches(spark, sf_dir).select("id", "limite_velocita", "tipo_strada")
+    return TS.update_by_key(t, m, "id", ["limite_velocita", "tipo_strada"]).select(
+        "id", "limite_velocita", "tipo_strada")
+
+
+@register("resolve_speed_limit", sql=S.with_ctes(S.ROADS, select=f"""
+SELECT osm_id, highway, maxspeed, {S.speed_limit_sql('maxspeed', 'highway')} AS limite_velocita FROM roads"""))
+def q_resolve_speed_limit(spark, sf_dir):
+    r = RD.road_speed_limits(load_roads(spark, sf_dir))
+    return r.select("osm_id", "highway", F.col("tags")["maxspeed"].alias("maxspeed"), "limite_velocita")
+
+
+@register("scan_roads", sql=S.with_ctes(S.ROADS, select="SELECT osm_id, highway, 3 AS vertices FROM roads WHERE highway IS NOT NULL"))
+def q_scan_roads(spark, sf_dir):
+    return TS.scan_roads(load_roads(spark, sf_dir)).select("osm_id", "highway", F.size("way").alias("vertices"))
+
+
+@register("scan_points", sql=S.with_ctes(S.TELEMETRY, select="""
+SELECT id, position_latitude, position_longitude FROM telemetry
+WHERE position_latitude IS NOT NULL AND position_longitude IS NOT NULL"""),
+          doubles=["position_latitude", "position_longitude"])
+def q_scan_points(spark, sf_dir):
+    return TS.scan_points(load_telemetry(spark, sf_dir))
+
+
+_MX, _MY = S.mercator_sql("position_latitude", "position_longitude")
+
+
+@register("web_mercator", sql=S.with_ctes(S.TELEMETRY, select=f"""
+SELECT id, {_MX} AS x, {_MY} AS y FROM telemetry WHERE position_latitude IS NOT NULL AND position_longitude IS NOT NULL"""),
+          doubles=["x", "y"], places={"x": 3, "y": 3})
+def q_web_mercator(spark, sf_dir):
+    p = TS.scan_points(load_telemetry(spark, sf_dir))
+    return p.select("id", web_mercator_x(F.col("position_longitude")).alias("x"),
+                    web_mercator_y(F.col("position_latitude")).alias("y"))

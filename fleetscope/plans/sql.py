@@ -285,3 +285,42 @@ fuel_s AS (
   SELECT *, list_reduce(list(fuel_delta) OVER (PARTITION BY ident ORDER BY timestamp, id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda a, b: a * {q!r} + b * {alpha!r}) AS fuel_delta_smooth
   FROM fuel_pos)"""
+
+
+def speed_limit_sql(maxspeed: str, highway: str) -> str:
+    digits = f"regexp_extract(coalesce({maxspeed}, ''), '(\\d+)', 1)"
+    return f"CAST(coalesce(TRY_CAST(nullif({digits}, '') AS INT), {default_speed_sql(highway)}, -1) AS INT)"
+
+
+def mercator_sql(lat: str, lon: str) -> tuple[str, str]:
+    return (f"(6378137.0::DOUBLE * radians({lon}))",
+            f"(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians({lat}) / 2)))")
+
+
+def road_ctes() -> str:
+    """J1 brute force: road_ok, segs, pts, cand, best (nearest segment per distinct point)."""
+    px, py = mercator_sql("lat", "lon")
+    dist = ("sqrt((px - (sx0 + t * (sx1 - sx0))) * (px - (sx0 + t * (sx1 - sx0))) "
+            "+ (py - (sy0 + t * (sy1 - sy0))) * (py - (sy0 + t * (sy1 - sy0))))")
+    return f"""
+road_ok AS (SELECT *, {speed_limit_sql('maxspeed', 'highway')} AS limite_velocita FROM roads WHERE highway IS NOT NULL),
+segs AS (
+  SELECT osm_id, highway, limite_velocita, x0 AS sx0, y0 AS sy0, x1 AS sx1, y1 AS sy1 FROM road_ok
+  UNION ALL SELECT osm_id, highway, limite_velocita, x1, y1, x2, y2 FROM road_ok),
+pts AS (
+  SELECT lat, lon, {px} AS px, {py} AS py FROM (
+    SELECT DISTINCT position_latitude AS lat, position_longitude AS lon FROM telemetry
+    WHERE position_latitude IS NOT NULL AND position_longitude IS NOT NULL)),
+cand AS (
+  SELECT p.lat, p.lon, s.osm_id, s.highway, s.limite_velocita, p.px, p.py, s.sx0, s.sy0, s.sx1, s.sy1,
+    CASE WHEN (s.sx1 - s.sx0) * (s.sx1 - s.sx0) + (s.sy1 - s.sy0) * (s.sy1 - s.sy0) = 0 THEN 0.0
+         ELSE least(1.0, greatest(0.0, ((p.px - s.sx0) * (s.sx1 - s.sx0) + (p.py - s.sy0) * (s.sy1 - s.sy0))
+              / ((s.sx1 - s.sx0) * (s.sx1 - s.sx0) + (s.sy1 - s.sy0) * (s.sy1 - s.sy0)))) END AS t
+  FROM pts p CROSS JOIN segs s),
+dists AS (SELECT lat, lon, osm_id, highway, limite_velocita, {dist} AS distance_m FROM cand),
+best AS (SELECT * FROM dists QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY distance_m, osm_id) = 1),
+matched AS (
+  SELECT t.id, CAST(coalesce(b.limite_velocita, -1) AS INT) AS limite_velocita, coalesce(b.highway, 'unknown') AS tipo_strada,
+    b.osm_id, b.distance_m
+  FROM telemetry t LEFT JOIN best b ON t.position_latitude = b.lat AND t.position_longitude = b.lon
+  WHERE t.position_latitude IS NOT NULL AND t.position_longitude IS NOT NULL)"""

@@ -123,7 +123,7 @@ def roads_from_part(part: DataFrame) -> DataFrame:
     base = part.select(pk.alias("osm_id"), highway.alias("highway"), maxspeed.alias("maxspeed"),
                        px.alias("x0"), py.alias("y0"))
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    x0, y0 = F.col("x0"), F.col("y0")
+    x0, y0, pk = F.col("x0"), F.col("y0"), F.col("osm_id")
     return base.select(
         "osm_id", "highway",
         F.when(F.col("maxspeed").isNotNull(), F.create_map(F.lit("maxspeed"), F.col("maxspeed")))
