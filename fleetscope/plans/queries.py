@@ -470,3 +470,178 @@ def q_web_mercator(spark, sf_dir):
     p = TS.scan_points(load_telemetry(spark, sf_dir))
     return p.select("id", web_mercator_x(F.col("position_longitude")).alias("x"),
                     web_mercator_y(F.col("position_latitude")).alias("y"))
+
+
+# ------------------------------------------------------------------ model tables (SQL-checkable)
+
+from ..functions.constants import FUEL_FEATURES_DASHBOARD  # noqa: E402
+from ..operators import modeling as MO  # noqa: E402
+
+
+def _sessions_keyed(spark, sf_dir):
+    return _features(spark, sf_dir).withColumn("session_key", F.concat_ws("_", "ident", F.col("session_id").cast("string")))
+
+
+def _session_split(spark, sf_dir):
+    from ..session import materialize
+    return materialize(MO.fold_column(MO.hash_split(_sessions_keyed(spark, sf_dir), "session_key", "stile_guida")))
+
+
+SESSION_SPLIT_SQL = (*FEATURE_SQL, S.split_ctes("session_features", "ident || '_' || CAST(session_id AS VARCHAR)",
+                                                "stile_guida", "ssplit"))
+
+
+@register("stratified_split", sql=S.with_ctes(*SESSION_SPLIT_SQL, select=
+          "SELECT split_key AS session_key, stile_guida, is_test FROM ssplit"))
+def q_stratified_split(spark, sf_dir):
+    return _session_split(spark, sf_dir).select("session_key", "stile_guida", "is_test")
+
+
+@register("cv_folds", sql=S.with_ctes(*SESSION_SPLIT_SQL, select="SELECT split_key AS session_key, is_test, fold FROM ssplit"))
+def q_cv_folds(spark, sf_dir):
+    return _session_split(spark, sf_dir).select("session_key", "is_test", "fold")
+
+
+FUEL_SET_CTE = """
+fuel_set AS (
+  SELECT ident, id, battery_voltage, can_engine_rpm, can_throttle_pedal_level, position_speed,
+    vehicle_mileage / 10000 AS vehicle_mileage, fuel_delta_smooth
+  FROM fuel_s WHERE battery_voltage IS NOT NULL AND can_engine_rpm IS NOT NULL AND can_throttle_pedal_level IS NOT NULL
+    AND position_speed IS NOT NULL AND vehicle_mileage IS NOT NULL AND fuel_delta_smooth IS NOT NULL)"""
+FUEL_SPLIT_SQL = (*DASH_SQL, FUEL_SET_CTE, S.split_ctes("fuel_set", "id", None, "fsplit"))
+
+
+def _fuel_split(spark, sf_dir):
+    from ..session import materialize
+    ts = FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return materialize(MO.hash_split(materialize(ts), "id", stratify=False))
+
+
+@register("random_split", sql=S.with_ctes(*FUEL_SPLIT_SQL, select="SELECT id, is_test FROM fsplit"))
+def q_random_split(spark, sf_dir):
+    return _fuel_split(spark, sf_dir).select("id", "is_test")
+
+
+@register("anova_f", sql=S.with_ctes(*FEATURE_SQL, """
+long AS (UNPIVOT session_features ON {feats} INTO NAME feature VALUE x),
+pc AS (SELECT feature, stile_guida AS label, count(x) AS n, avg(x) AS m, var_pop(x) * count(x) AS ssw FROM long GROUP BY feature, stile_guida),
+pc2 AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, count(*) OVER (PARTITION BY feature) AS k,
+   sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS gm FROM pc),
+g AS (SELECT feature, sum(n * (m - gm) * (m - gm)) AS ssb, sum(ssw) AS ssw, first(nn) AS n, first(k) AS k FROM pc2 GROUP BY feature)
+""".replace("{feats}", ", ".join(SESSION_FEATURES)), select="""
+SELECT feature, CASE WHEN ssw > 0 AND k > 1 AND n > k THEN (ssb / (k - 1)) / (ssw / (n - k)) END AS f_score FROM g"""),
+          doubles=["f_score"])
+def q_anova_f(spark, sf_dir):
+    return MO.anova_f(_features(spark, sf_dir), list(SESSION_FEATURES), "stile_guida")
+
+
+@register("mutual_info", sql=S.with_ctes(*FEATURE_SQL, """
+long AS (SELECT stile_guida AS label, feature, x FROM (UNPIVOT session_features ON {feats} INTO NAME feature VALUE x) WHERE x IS NOT NULL),
+rng AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM long GROUP BY feature),
+cells AS (
+  SELECT l.feature, CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 10), 9) ELSE 0 END AS INT) AS bin, label,
+    count(*) AS nby
+  FROM long l JOIN rng r ON l.feature = r.feature GROUP BY 1, 2, 3),
+c2 AS (SELECT *, sum(nby) OVER (PARTITION BY feature) AS n, sum(nby) OVER (PARTITION BY feature, bin) AS nb,
+   sum(nby) OVER (PARTITION BY feature, label) AS ny FROM cells)
+""".replace("{feats}", ", ".join(SESSION_FEATURES)), select="""
+SELECT feature, sum((CAST(nby AS DOUBLE) / n) * ln((CAST(nby AS DOUBLE) * n) / (CAST(nb AS DOUBLE) * ny))) AS mutual_info
+FROM c2 GROUP BY feature"""), doubles=["mutual_info"])
+def q_mutual_info(spark, sf_dir):
+    return MO.mutual_info(_features(spark, sf_dir), list(SESSION_FEATURES), "stile_guida")
+
+
+_CM_SELECT, _CM_PAIRS = S.classification_metrics_sql("cm_pred")
+
+
+@register("classification_metrics", sql=S.with_ctes(*SESSION_SPLIT_SQL, """
+maj AS (SELECT stile_guida AS maj FROM ssplit WHERE NOT is_test GROUP BY stile_guida ORDER BY count(*) DESC, stile_guida LIMIT 1),
+cm_pred AS (SELECT stile_guida AS y, (SELECT maj FROM maj) AS prediction FROM ssplit WHERE is_test)""", _CM_PAIRS,
+          select=_CM_SELECT), doubles=["accuracy", "precision", "recall", "f1_score"])
+def q_classification_metrics(spark, sf_dir):
+    """M15 on the majority-class baseline (the floor any classifier must beat)."""
+    split = _session_split(spark, sf_dir)
+    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+    maj = (train.groupBy("stile_guida").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.desc("n"), F.asc("stile_guida")).limit(1).select(F.col("stile_guida").alias("prediction")))
+    pred = MO._one_row_join(test.select(F.col("stile_guida").alias("y")), maj)
+    return MO.classification_metrics(pred)
+
+
+def _baseline_predictions(split):
+    """Mean predictor and one-feature least squares per dashboard feature, fitted on train."""
+    y = "fuel_delta_smooth"
+    train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
+    coef = train.agg(F.avg(y).alias("mean"), *[
+        e for f in FUEL_FEATURES_DASHBOARD
+        for e in (F.regr_slope(F.col(y), F.col(f).cast("double")).alias(f"b_{f}"),
+                  F.regr_intercept(F.col(y), F.col(f).cast("double")).alias(f"a_{f}"))])
+    t = MO._one_row_join(test, coef)
+    models = [("Mean", F.col("mean"))] + [
+        (f"OLS {f}", F.col(f"a_{f}") + F.col(f"b_{f}") * F.col(f).cast("double")) for f in FUEL_FEATURES_DASHBOARD]
+    preds = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), e.alias("prediction"))
+                                for i, (n, e) in enumerate(models)]))
+    return t.select(F.col(y).alias("y"), preds.alias("m")).select("y", "m.*")
+
+
+def _model_metrics(spark, sf_dir):
+    preds = _baseline_predictions(_fuel_split(spark, sf_dir))
+    ym = preds.filter(F.col("position") == 0).agg(F.avg("y").alias("_ym"))
+    d = MO._one_row_join(preds, ym)
+    e, c = F.col("y") - F.col("prediction"), F.col("y") - F.col("_ym")
+    return d.groupBy("position", "name").agg(F.avg(e * e).alias("mse"),
+                                              (F.lit(1.0) - F.sum(e * e) / F.sum(c * c)).alias("r2"))
+
+
+def _ols_sql():
+    y = "fuel_delta_smooth"
+    coefs = ", ".join(f"regr_slope({y}, CAST({f} AS DOUBLE)) AS b_{f}, regr_intercept({y}, CAST({f} AS DOUBLE)) AS a_{f}"
+                      for f in FUEL_FEATURES_DASHBOARD)
+    arms = [f"SELECT 0 AS position, 'Mean' AS name, {y} AS y, mean AS prediction FROM fsplit, coef WHERE is_test"] + [
+        f"SELECT {i + 1}, 'OLS {f}', {y}, a_{f} + b_{f} * CAST({f} AS DOUBLE) FROM fsplit, coef WHERE is_test"
+        for i, f in enumerate(FUEL_FEATURES_DASHBOARD)]
+    return f"""
+coef AS (SELECT avg({y}) AS mean, {coefs} FROM fsplit WHERE NOT is_test),
+preds AS ({' UNION ALL '.join(arms)}),
+ym AS (SELECT avg(y) AS ym FROM preds WHERE position = 0),
+model_metrics AS (
+  SELECT CAST(position AS INT) AS position, name, avg((y - prediction) * (y - prediction)) AS mse,
+    1.0 - sum((y - prediction) * (y - prediction)) / sum((y - ym) * (y - ym)) AS r2
+  FROM preds, ym GROUP BY position, name)"""
+
+
+MODEL_SQL = (*FUEL_SPLIT_SQL, _ols_sql())
+
+
+@register("model_metrics", sql=S.with_ctes(*MODEL_SQL, select="SELECT * FROM model_metrics"), doubles=["mse", "r2"])
+def q_model_metrics(spark, sf_dir):
+    return _model_metrics(spark, sf_dir)
+
+
+@register("regression_metrics", sql=S.with_ctes(*MODEL_SQL, select=
+          "SELECT mse, r2 FROM model_metrics WHERE name = 'OLS position_speed'"), doubles=["mse", "r2"])
+def q_regression_metrics(spark, sf_dir):
+    preds = _baseline_predictions(_fuel_split(spark, sf_dir)).filter(F.col("name") == "OLS position_speed")
+    return MO.regression_metrics(preds)
+
+
+@register("best_model_balanced", sql=S.with_ctes(*MODEL_SQL, select="""
+SELECT name, mse, r2, score FROM (
+  SELECT *, (CASE WHEN max(r2) OVER () > min(r2) OVER () THEN (r2 - min(r2) OVER ()) / (max(r2) OVER () - min(r2) OVER ()) ELSE 0.0 END)
+          - (CASE WHEN max(mse) OVER () > min(mse) OVER () THEN (mse - min(mse) OVER ()) / (max(mse) OVER () - min(mse) OVER ()) ELSE 0.0 END) AS score
+  FROM model_metrics) ORDER BY score DESC, position LIMIT 1"""), doubles=["mse", "r2", "score"])
+def q_best_model_balanced(spark, sf_dir):
+    return MO.best_model_balanced(_model_metrics(spark, sf_dir))
+
+
+@register("best_model_r2", sql=S.with_ctes(*MODEL_SQL, select=
+          "SELECT name, mse, r2 FROM model_metrics ORDER BY r2 DESC, position LIMIT 1"), doubles=["mse", "r2"])
+def q_best_model_r2(spark, sf_dir):
+    return MO.best_model_r2(_model_metrics(spark, sf_dir))
+
+
+@register("model_comparison", sql=S.with_ctes(*MODEL_SQL, select="""
+SELECT max(round_even(r2, 4)) AS best_r2, min(round_even(mse, 4)) AS best_mse, avg(round_even(r2, 4)) AS avg_r2,
+  avg(round_even(mse, 4)) AS avg_mse FROM model_metrics"""), doubles=["best_r2", "best_mse", "avg_r2", "avg_mse"])
+def q_model_comparison(spark, sf_dir):
+    return MO.model_comparison(_model_metrics(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features, sessions
+from ..session import materialize
 from ..sources.telemetry import FEATURE_COLUMNS, quality_gate
 from .driving_style import driving_style, label_telemetry
 
@@ -27,6 +28,14 @@ def session_features(labelled: DataFrame, gap_minutes: float = 30, min_points: i
     return features.session_feature_table(rows, min_points, min_minutes, speed_threshold)
 
 
-def session_features_from_raw(telemetry: DataFrame, **kw) -> DataFrame:
-    """J2 labels written back (S9), then J3 — the dashboard's data path end to end."""
-    return session_features(label_telemetry(telemetry, driving_style(telemetry)), **kw)
+def session_features_from_raw(telemetry: DataFrame, materialized: bool = True, **kw) -> DataFrame:
+    """J2 labels written back (S9), then J3 — the dashboard's data path end to end.
+
+    The per-vehicle labels and the per-session table are job outputs; they are
+    checkpointed so consumers (reports, splits, models) plan from stored rows.
+    """
+    styles = driving_style(telemetry)
+    if materialized:
+        styles = materialize(styles.select("ident", "stile_guida"))
+    out = session_features(label_telemetry(telemetry, styles), **kw)
+    return materialize(out) if materialized else out

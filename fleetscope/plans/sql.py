@@ -324,3 +324,39 @@ matched AS (
     b.osm_id, b.distance_m
   FROM telemetry t LEFT JOIN best b ON t.position_latitude = b.lat AND t.position_longitude = b.lon
   WHERE t.position_latitude IS NOT NULL AND t.position_longitude IS NOT NULL)"""
+
+
+def split_ctes(src: str, key_expr: str, label: str | None, name: str, test_size: float = 0.2,
+               seed: int = 42, k_folds: int = 5) -> str:
+    """Hash split of ``src``: <name>_k, <name> (with is_test, rk, fold)."""
+    if label is None:
+        stratum = "'*'"
+    else:
+        stratum = (f"CASE WHEN (SELECT min(c) FROM (SELECT count(*) AS c FROM {src} GROUP BY {label})) >= 2 "
+                   f"THEN CAST({label} AS VARCHAR) ELSE '*' END")
+    return f"""
+{name}_k AS (SELECT *, {key_expr} AS split_key, {stratum} AS stratum FROM {src}),
+{name}_r AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat('{seed}', '|', CAST(split_key AS VARCHAR))), split_key) AS rk,
+    count(*) OVER (PARTITION BY stratum) AS ns
+  FROM {name}_k),
+{name} AS (
+  SELECT *, rk <= floor({test_size!r} * ns + 0.5) AS is_test,
+    CASE WHEN NOT (rk <= floor({test_size!r} * ns + 0.5)) THEN CAST((rk - 1) % {k_folds} AS INT) END AS fold
+  FROM {name}_r)"""
+
+
+def classification_metrics_sql(pred: str) -> str:
+    return f"""
+SELECT CAST((SELECT sum(CASE WHEN y = p THEN c ELSE 0 END) FROM cm_pairs) AS DOUBLE) / (SELECT sum(c) FROM cm_pairs) AS accuracy,
+  sum(prec * support) / sum(support) AS precision, sum(rec * support) / sum(support) AS recall,
+  sum(f1 * support) / sum(support) AS f1_score
+FROM (
+  SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM (
+    SELECT *, CASE WHEN npred > 0 THEN CAST(tp AS DOUBLE) / npred ELSE 0.0 END AS prec,
+      CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS rec FROM (
+      SELECT coalesce(bt.cls, bp.cls) AS cls, coalesce(bt.support, 0) AS support, coalesce(bt.tp, 0) AS tp,
+        coalesce(bp.npred, 0) AS npred
+      FROM (SELECT y AS cls, sum(c) AS support, sum(CASE WHEN y = p THEN c ELSE 0 END) AS tp FROM cm_pairs GROUP BY y) bt
+      FULL OUTER JOIN (SELECT p AS cls, sum(c) AS npred FROM cm_pairs GROUP BY p) bp ON bt.cls = bp.cls)))""", \
+        f"cm_pairs AS (SELECT y, prediction AS p, count(*) AS c FROM {pred} GROUP BY y, prediction)"

@@ -51,3 +51,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of a job's result table with a reliable checkpoint.
+
+    Used at job boundaries (per-vehicle styles, per-session features, model
+    inputs) so downstream plans start from stored rows instead of re-embedding
+    the whole upstream plan in every branch.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
