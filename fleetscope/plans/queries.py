@@ -645,3 +645,69 @@ SELECT max(round_even(r2, 4)) AS best_r2, min(round_even(mse, 4)) AS best_mse, a
   avg(round_even(mse, 4)) AS avg_mse FROM model_metrics"""), doubles=["best_r2", "best_mse", "avg_r2", "avg_mse"])
 def q_model_comparison(spark, sf_dir):
     return MO.model_comparison(_model_metrics(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ fitted models (rows-only checks)
+
+from . import ml as ML  # noqa: E402
+
+STYLE_MODELS = ("Random Forest", "Logistic Regression")
+_FITTED: dict = {}      # one training run per (session, input, model set) serves several reports
+
+
+def _style_result(spark, sf_dir, models=STYLE_MODELS):
+    key = ("style", id(spark), sf_dir, models)
+    if key not in _FITTED:
+        _FITTED[key] = ML.train_style_models(_features(spark, sf_dir), models=models)
+    return _FITTED[key]
+
+
+@register("style_model_scores")
+def q_style_model_scores(spark, sf_dir):
+    """M10-M14 + R16: CV and test weighted F1 per classifier."""
+    return ML.style_model_scores(_style_result(spark, sf_dir))
+
+
+@register("style_evaluation")
+def q_style_evaluation(spark, sf_dir):
+    """M15 on the best classifier's test predictions."""
+    res = _style_result(spark, sf_dir)
+    return MO.classification_metrics(ML.style_predictions(res)).select(F.lit(res.best_name).alias("model"), "*")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """M16 + R17: top-10 importances of the best classifier (none for linear models)."""
+    res = _style_result(spark, sf_dir)
+    return ML.importance_frame(spark, ML.feature_importance(res.models[res.best_name], res.selected))
+
+
+def _fuel_models(spark, sf_dir):
+    key = ("fuel", id(spark), sf_dir)
+    if key not in _FITTED:
+        from ..session import materialize
+        ts = materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT)))
+        _FITTED[key] = ML.train_fuel_models(ts)
+    return _FITTED[key]
+
+
+@register("fuel_model_metrics")
+def q_fuel_model_metrics(spark, sf_dir):
+    """MSE and R^2 of the four regressors."""
+    return _fuel_models(spark, sf_dir)[0]
+
+
+@register("fuel_best_model")
+def q_fuel_best_model(spark, sf_dir):
+    """M22 on the fitted regressors."""
+    return MO.best_model_balanced(_fuel_models(spark, sf_dir)[0])
+
+
+@register("fuel_feature_importance")
+def q_fuel_feature_importance(spark, sf_dir):
+    """R17 for the fuel dashboard: importances of the best tree regressor by R^2."""
+    metrics, fitted = _fuel_models(spark, sf_dir)
+    trees = [r["name"] for r in metrics.orderBy(F.desc("r2"), "position").collect()   # 4 rows
+             if hasattr(fitted[r["name"]].stages[-1], "featureImportances")]
+    return ML.importance_frame(spark, ML.feature_importance(fitted[trees[0]].stages[-1],
+                                                            list(FUEL_FEATURES_DASHBOARD)))
