@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +17,21 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    return str(v)
+
+
 def literal_map(mapping: dict) -> Column:
-    """A constant MAP column; lookups stay inside the generated code."""
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
+    """A constant MAP column; lookups stay inside the generated code.
+
+    Built from one SQL expression (one round trip) rather than a literal per entry.
+    """
+    body = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in mapping.items())
+    return F.expr(f"map({body})")
 
 
 def epoch_seconds(ts) -> Column:

@@ -49,17 +49,8 @@ def stage_chunks(df: DataFrame, keys: list[str], order: list[str], chunk: str =
     staged = df.repartition(n, *keys, chunk).sortWithinPartitions(*keys, chunk, *order)
     if not checkpoint:
         return staged
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    # The staging job itself runs without adaptive re-planning: an adaptive
-    # final stage does not report its hash partitioning, and the checkpoint
-    # must record it for the later stages to skip their exchanges.
-    aqe = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return staged.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    from ..session import materialize
+    return materialize(staged, keep_partitioning=True)
 
 
 def _chunk_window(keys, chunk, order):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BEHAVIOURS
 from ..operators import behaviour, scoring, sessions
+from ..session import materialize
 from ..sources.telemetry import SCORING_COLUMNS, quality_gate, update_by_key
 
 
@@ -36,7 +37,9 @@ def scoring_input(telemetry: DataFrame) -> DataFrame:
 def scoring_stages(telemetry: DataFrame, chunk_seconds: int = 3600,
                    direction_wrap: bool = False) -> ScoringStages:
     gated = sessions.stage_readings(scoring_input(telemetry), chunk_seconds)
-    sess = sessions.sessionize_scoring(gated, chunk_seconds=chunk_seconds)
+    # sessionized readings feed three branches (summary, enrichment, counts):
+    # stored once, in place, instead of re-running the carry scans per branch
+    sess = materialize(sessions.sessionize_scoring(gated, chunk_seconds=chunk_seconds), keep_partitioning=True)
     summary = sessions.session_summary(sess)
     valid = sessions.valid_sessions(summary)
     rows = behaviour.behaviour_flags(sessions.enrich_rows(sess, summary), direction_wrap)

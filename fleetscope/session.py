@@ -53,12 +53,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df):
+def materialize(df, keep_partitioning: bool = False):
     """Cut the lineage of a job's result table with a reliable checkpoint.
 
     Used at job boundaries (per-vehicle styles, per-session features, model
     inputs) so downstream plans start from stored rows instead of re-embedding
-    the whole upstream plan in every branch.
+    the whole upstream plan in every branch. ``keep_partitioning`` runs the
+    checkpoint job without adaptive re-planning so the stored rows keep the
+    hash partitioning and sort order of ``df`` (an adaptive final stage does
+    not report them).
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
