@@ -30,8 +30,7 @@ def literal_map(mapping: dict) -> Column:
 
     Built from one SQL expression (one round trip) rather than a literal per entry.
     """
-    body = ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in mapping.items())
-    return F.expr(f"map({body})")
+    return F.expr(_map_sql(mapping))
 
 
 def epoch_seconds(ts) -> Column:
@@ -44,8 +43,17 @@ def epoch_seconds(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, c.cast("timestamp_ntz")) / F.lit(1e6)
 
 
+def _sql(c) -> str | None:
+    """SQL text of a plain column name, else None (then Column builders are used)."""
+    return f"`{c}`" if isinstance(c, str) else None
+
+
 def time_band(hour) -> Column:
     """[6,8) alba, [8,18) giorno, [18,22) sera, otherwise notte."""
+    h = _sql(hour)
+    if h:
+        return F.expr(f"CASE WHEN {h} >= 6 AND {h} < 8 THEN 'alba' WHEN {h} >= 8 AND {h} < 18 THEN 'giorno' "
+                      f"WHEN {h} >= 18 AND {h} < 22 THEN 'sera' ELSE 'notte' END")
     h = col_(hour)
     return (F.when((h >= 6) & (h < 8), "alba")
             .when((h >= 8) & (h < 18), "giorno")
@@ -55,12 +63,22 @@ def time_band(hour) -> Column:
 
 def session_type(duration_min) -> Column:
     """< 30 min breve, <= 120 min normale, otherwise lunga."""
+    d = _sql(duration_min)
+    if d:
+        return F.expr(f"CASE WHEN {d} < 30 THEN 'breve' WHEN {d} <= 120 THEN 'normale' ELSE 'lunga' END")
     d = col_(duration_min)
     return F.when(d < 30, "breve").when(d <= 120, "normale").otherwise("lunga")
 
 
+def _map_sql(mapping: dict) -> str:
+    return "map(" + ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in mapping.items()) + ")"
+
+
 def road_category(road_type) -> Column:
     """Road category; missing, 'unclassified' or unlisted types are 'undefined'."""
+    r = _sql(road_type)
+    if r:
+        return F.expr(f"coalesce(try_element_at({_map_sql(ROAD_CATEGORIES)}, {r}), '{UNDEFINED_CATEGORY}')")
     return F.coalesce(F.try_element_at(literal_map(ROAD_CATEGORIES), col_(road_type)),
                       F.lit(UNDEFINED_CATEGORY))
 

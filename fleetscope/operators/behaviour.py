@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BEHAVIOURS
 from ..functions.expressions import road_category
 
 
-def _flag(cond: Column) -> Column:
-    # comparisons with NULL are false, as in the original filters
-    return F.coalesce(cond, F.lit(False)).cast("int")
-
-
-def behaviour_conditions(direction_wrap: bool = False) -> dict[str, Column]:
-    c = F.col
-    speed_jump = F.abs(c("position_speed") - c("prev_position_speed"))
-    turn = F.abs(c("position_direction") - c("prev_position_direction"))
+def behaviour_conditions(direction_wrap: bool = False) -> dict[str, str]:
+    """B1-B7 as SQL predicates over a gated reading and its previous reading."""
+    turn = "abs(position_direction - prev_position_direction)"
     if direction_wrap:   # opt-in: 359 -> 1 counts as 2 degrees
-        turn = F.least(turn, 360 - turn)
+        turn = f"least({turn}, 360 - {turn})"
     return {
         # B1: a NULL road type still counts; only 'unclassified' is excluded
-        "superamenti_limite": (c("limite_velocita") > 0) & ~c("tipo_strada").eqNullSafe("unclassified")
-                              & (c("position_speed") > c("limite_velocita")),
-        "accelerazioni_brusche": c("can_throttle_pedal_level") > 80,
-        "frenate_brusche": (c("can_pedal_brake_status") == 1) & (c("position_speed") > 50),
-        "fluttuazioni_brusche": (speed_jump > 30) & (c("time_diff") <= 10),
-        "sterzate_forti": (turn > 45) & (c("time_diff") <= 5),
-        "uso_alto_rpm": c("can_engine_rpm") > 4000,
-        "motore_acceso_fermo": (c("can_engine_rpm") > 0) & (c("position_speed") == 0),
+        "superamenti_limite": "limite_velocita > 0 AND NOT (tipo_strada <=> 'unclassified') "
+                              "AND position_speed > limite_velocita",
+        "accelerazioni_brusche": "can_throttle_pedal_level > 80",
+        "frenate_brusche": "can_pedal_brake_status = 1 AND position_speed > 50",
+        "fluttuazioni_brusche": "abs(position_speed - prev_position_speed) > 30 AND time_diff <= 10",
+        "sterzate_forti": f"{turn} > 45 AND time_diff <= 5",
+        "uso_alto_rpm": "can_engine_rpm > 4000",
+        "motore_acceso_fermo": "can_engine_rpm > 0 AND position_speed = 0",
     }
 
 
@@ -37,8 +31,9 @@ def behaviour_flags(rows: DataFrame, direction_wrap: bool = False) -> DataFrame:
     """Adds ``categoria_strada`` and ``f_<behaviour>`` (0/1) for each of B1-B7.
 
     Expects ``time_diff``, ``prev_position_speed`` and ``prev_position_direction``
-    (per-vehicle previous reading across session borders, as W4/W5).
+    (per-vehicle previous reading across session borders, as W4/W5). A
+    comparison with NULL is false, as in the original filters.
     """
     conds = behaviour_conditions(direction_wrap)
-    out = rows.withColumn("categoria_strada", road_category(F.col("tipo_strada")))
-    return out.select("*", *[_flag(conds[b]).alias(f"f_{b}") for b in BEHAVIOURS])
+    return rows.select("*", road_category("tipo_strada").alias("categoria_strada"),
+                       *[F.expr(f"CAST(coalesce({conds[b]}, false) AS INT)").alias(f"f_{b}") for b in BEHAVIOURS])

@@ -55,6 +55,23 @@ def with_prefix_alignment(df: DataFrame) -> DataFrame:
         "_cs", "_cl", "_bs", "_bl", "_ns", "_nl")
 
 
+def with_gated_alignment(df: DataFrame) -> DataFrame:
+    """W6 + W9 for gated readings (``position_speed > 0`` holds, so every speed is
+    valid): the speed change is the difference to the previous reading of the
+    same session, the speed rank is the row's index in its session, and a row
+    enters speed/limit when its limit is positive and its index is within the
+    session's count of positive limits. Reuses the sessionization's carries
+    (``prev_position_speed``, ``_new``, ``_rc``) instead of new chunked scans.
+    """
+    df = df.withColumn("_dv", F.when(F.col("_new") == 0, F.col("_sp") - F.col("prev_position_speed")))
+    sess = df.groupBy(*KEYS, "session_id").agg(
+        F.min("_rc").alias("_rc0"), F.count_if(F.col("_vl")).alias("_nl"),
+        F.min("_chunk").alias("_min_chunk"), F.max("_chunk").alias("_max_chunk"))
+    df = attach_group_info(df, sess, KEYS, "session_id", ["_rc0", "_nl"])
+    keep = F.col("_vl") & (F.col("_rc") - F.col("_rc0") + 1 <= F.col("_nl"))
+    return df.withColumn("_ratio", F.when(keep, F.col("_sp") / F.col("_lim"))).drop("_rc0", "_nl")
+
+
 def _mean(x: Column, valid: Column) -> Column:
     return F.coalesce(F.avg(F.when(valid, x)), F.lit(0.0))
 

@@ -98,25 +98,31 @@ def _match_level(points: DataFrame, segments: DataFrame, cell: float, final: boo
 
 
 def nearest_roads(points: DataFrame, roads: DataFrame, cell: float = 1000.0, factor: int = 4,
-                  checkpoint: bool = True) -> DataFrame:
+                  checkpoint: bool = True, num_partitions: int | None = None) -> DataFrame:
     """N1 per distinct coordinate: ``lat, lon, osm_id, highway, limite_velocita, distance_m``.
 
     Levels run until no point is left (an emptiness check per level); each
     level's result is checkpointed so later levels never recompute earlier ones.
     """
-    from ..session import checkpoint_dir
-    pts = project_points(points)
+    from ..session import materialize
+    spark = points.sparkSession
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism)
+    # Distinct coordinates are few bytes each, but every one probes 9 cells and
+    # meets several segments: spread them over an explicit number of hash
+    # partitions (adaptive coalescing would fold a small input into one task
+    # and the 50x join expansion with it). The per-point minimum then needs no
+    # further exchange.
+    pts = project_points(points).repartition(n, "lat", "lon")
     segs = road_segments(roads)
     levels = max(1, math.ceil(math.log(WORLD_M / cell, factor)) + 1)
-    if checkpoint:
-        checkpoint_dir(points.sparkSession)
     resolved = []
     for level in range(levels):
         c = cell * factor ** level
         final = level == levels - 1
         m = _match_level(pts, segs, c, final)
         if checkpoint:
-            m = m.checkpoint(eager=True)
+            m = materialize(m, keep_partitioning=True)
         resolved.append(m.filter("_done"))
         pts = m.filter(~F.col("_done")).select("lat", "lon", "px", "py")
         if checkpoint and pts.isEmpty():

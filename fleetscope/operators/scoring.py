@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import BEHAVIOURS, STYLE_QUANTILES
-from ..functions.expressions import behaviour_weight, hour_multiplier, session_multiplier
+from ..functions.constants import (BEHAVIOURS, CATEGORY_WEIGHTS, HOUR_MULTIPLIERS, SESSION_MULTIPLIERS,
+                                   STYLE_QUANTILES)
+from ..functions.expressions import _map_sql
 
 GROUP = ["ident", "categoria_strada", "fascia_oraria", "tipo_sessione"]
 
@@ -17,31 +16,30 @@ def behaviour_counts(flagged: DataFrame) -> DataFrame:
     """Events per (vehicle, road category, time band, session type) + readings ``n``."""
     return flagged.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(f"f_{b}").cast("long").alias(f"n_{b}") for b in BEHAVIOURS])
+        *[F.expr(f"CAST(sum(f_{b}) AS BIGINT)").alias(f"n_{b}") for b in BEHAVIOURS])
 
 
 def weighted_scores(counts: DataFrame) -> DataFrame:
     """Count x weight[category][behaviour] x hour multiplier x session multiplier."""
-    mh, ms = hour_multiplier(F.col("fascia_oraria")), session_multiplier(F.col("tipo_sessione"))
-    return counts.select(*GROUP, "n", *[
-        (F.col(f"n_{b}") * behaviour_weight(F.col("categoria_strada"), b) * mh * ms).alias(f"s_{b}")
-        for b in BEHAVIOURS])
+    mh = f"try_element_at({_map_sql(HOUR_MULTIPLIERS)}, fascia_oraria)"
+    ms = f"try_element_at({_map_sql(SESSION_MULTIPLIERS)}, tipo_sessione)"
+    def weight(b):
+        return f"try_element_at({_map_sql({c: float(w[b]) for c, w in CATEGORY_WEIGHTS.items()})}, categoria_strada)"
+    return counts.selectExpr(*GROUP, "n", *[f"n_{b} * {weight(b)} * {mh} * {ms} AS s_{b}" for b in BEHAVIOURS])
 
 
 def behaviour_scores(partials: DataFrame) -> DataFrame:
     """P2 (+N6/N7): one row per gated vehicle; vehicles without an event score 0."""
     return partials.groupBy("ident").agg(
         *[F.sum(f"s_{b}").alias(f"punteggio_{b}") for b in BEHAVIOURS],
-        F.sum("n").cast("long").alias("tot_record"))
+        F.expr("CAST(sum(n) AS BIGINT)").alias("tot_record"))
 
 
 def normalise_scores(scores: DataFrame) -> DataFrame:
     """Every score / gated readings, final score = sum of the 7 normalised scores."""
-    out = scores
-    for b in BEHAVIOURS:
-        out = out.withColumn(f"punteggio_{b}_norm", F.col(f"punteggio_{b}") / F.col("tot_record"))
-    total = reduce(lambda a, b: a + b, [F.col(f"punteggio_{b}_norm") for b in BEHAVIOURS])
-    return out.withColumn("punteggio_finale", total)
+    norms = [f"punteggio_{b} / tot_record" for b in BEHAVIOURS]
+    return scores.selectExpr("*", *[f"{e} AS punteggio_{b}_norm" for e, b in zip(norms, BEHAVIOURS)],
+                             f"{' + '.join(norms)} AS punteggio_finale")
 
 
 def style_cutpoints(scored: DataFrame, quantiles=STYLE_QUANTILES) -> DataFrame:

@@ -59,7 +59,8 @@ def sessionize_features(gated: DataFrame, gap_minutes: float = FEATURE_GAP_MINUT
     df = with_previous_reading(gated, chunk_seconds)
     gap_min = F.col("time_diff") / 60.0
     df = df.withColumn("_new", (gap_min.isNull() | (gap_min > gap_minutes)).cast("int"))
-    df = running_sum(df, KEYS, ORDER, {"session_id": F.col("_new")})
+    # one chunked running sum gives the session number and the reading count (_rc)
+    df = running_sum(df, KEYS, ORDER, {"session_id": F.col("_new"), "_rc": F.lit(1)})
     return df.withColumn("session_id", F.col("session_id").cast("long"))
 
 
@@ -97,9 +98,11 @@ def vehicle_session_stats(valid: DataFrame) -> DataFrame:
 def enrich_rows(sessionized: DataFrame, summary: DataFrame) -> DataFrame:
     """E2-E4 + N5: hour, time band and the type of the row's session on every row."""
     rows = attach_group_info(sessionized, summary, KEYS, "session_id", ["durata_minuti"])
-    return (rows.withColumn("ora", F.hour("timestamp"))
-                .withColumn("fascia_oraria", time_band(F.col("ora")))
-                .withColumn("tipo_sessione", F.coalesce(session_type(F.col("durata_minuti")), F.lit("normale"))))
+    return rows.withColumns({"ora": F.hour("timestamp"),
+                             "fascia_oraria": time_band(F.hour("timestamp")),
+                             "tipo_sessione": F.expr("coalesce(CASE WHEN durata_minuti < 30 THEN 'breve' "
+                                                     "WHEN durata_minuti <= 120 THEN 'normale' ELSE 'lunga' END, "
+                                                     "'normale')")})
 
 
 def feature_session_valid(count_col, duration_col, max_speed_col,

@@ -23,8 +23,11 @@ def session_features(labelled: DataFrame, gap_minutes: float = 30, min_points: i
                      chunk_seconds: int = 3600) -> DataFrame:
     """G over a telemetry table that already carries ``stile_guida``."""
     staged = sessions.stage_readings(feature_input(labelled), chunk_seconds)
-    rows = sessions.sessionize_features(staged, gap_minutes, chunk_seconds)
-    rows = features.with_prefix_alignment(features.with_speed_change(features.signal_columns(rows)))
+    # sessionized readings feed the session table and the feature aggregate:
+    # stored once, in place (partitioning kept)
+    rows = materialize(sessions.sessionize_features(staged, gap_minutes, chunk_seconds), keep_partitioning=True)
+    # the gate keeps only position_speed > 0, so every speed passes the >= 0 filter
+    rows = features.with_gated_alignment(features.signal_columns(rows))
     return features.session_feature_table(rows, min_points, min_minutes, speed_threshold)
 
 

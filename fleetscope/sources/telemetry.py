@@ -61,50 +61,48 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def telemetry_from_events(events: DataFrame) -> DataFrame:
-    """Deterministic telemetry view over ``events`` (contract: TELEMETRY_SCHEMA)."""
-    e = events.select(
+    """Deterministic telemetry view over ``events`` (contract: TELEMETRY_SCHEMA).
+
+    Written as SQL expressions: one projection per step instead of hundreds of
+    column-builder calls.
+    """
+    from pyspark.sql import Window
+    e = events.selectExpr(
         "event_id", "user_id", "event_type", "value",
-        F.regexp_extract("props", "([0-9]+)", 1).try_cast("int").alias("k"),
-        F.when(F.col("event_id") * 53 % 61 == 0, 2700)
-         .when(F.col("event_id") * 53 % 23 == 0, 700)
-         .when(F.col("event_id") * 53 % 5 == 0, 4)
-         .otherwise(20 + F.col("event_id") * 7919 % 60).alias("gap_s"))
+        "try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        "CASE WHEN event_id * 53 % 61 = 0 THEN 2700 WHEN event_id * 53 % 23 = 0 THEN 700 "
+        "WHEN event_id * 53 % 5 = 0 THEN 4 ELSE 20 + event_id * 7919 % 60 END AS gap_s")
     # The per-user running sums are part of the fixture derivation, not of the
     # analytics: a real deployment reads the stored telemetry table instead.
-    from pyspark.sql import Window
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    g = (e.withColumn("t_s", F.sum("gap_s").over(w))
-          .withColumn("fuel_c", F.sum(F.when(F.col("event_type") == "error", F.lit(0))
-                                      .otherwise(F.round(F.col("value") * 100).cast("bigint"))).over(w)))
-    eid, uid = F.col("event_id"), F.col("user_id")
-    k9 = F.col("k") % 9
-    ts = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-          + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("t_s") + uid * 1777 % 86400).cast("decimal(18,6)")))
-    mileage = (F.lit(100000) + uid * 1000 + F.col("t_s") / F.lit(100.0)).cast("double")
-    return g.select(
-        eid.alias("id"),
-        ts.alias("timestamp"),
-        F.concat(F.lit("V"), uid.cast("string")).alias("ident"),
-        (F.lit(12) + F.col("k") / F.lit(50.0)).alias("battery_voltage"),
-        (600 + eid * 104729 % 4400).cast("int").alias("can_engine_rpm"),
-        F.when(eid * 31 % 10 < 2, 1).otherwise(0).cast("int").alias("can_pedal_brake_status"),
-        F.when(eid % 41 == 0, F.lit(None)).otherwise(eid * 6151 % 101).cast("int").alias("can_throttle_pedal_level"),
-        (eid * 31 % 67 != 0).alias("engine_ignition_status"),
-        (eid % 37 != 0).alias("movement_status"),
-        (eid * 17 % 900).cast("int").alias("position_altitude"),
-        (eid * 3571 % 361).cast("int").alias("position_direction"),
-        (F.lit(41) + (eid * 1009 % 10000) / F.lit(10000.0)).alias("position_latitude"),
-        (F.lit(12) + (eid * 2003 % 9973) / F.lit(10000.0)).alias("position_longitude"),
-        (4 + eid * 13 % 10).cast("int").alias("position_satellites"),
-        ((eid * 7919 % 1301) / F.lit(10.0)).alias("position_speed"),
-        mileage.alias("vehicle_mileage"),
-        mileage.alias("can_vehicle_mileage"),
-        (eid % 29 != 0).alias("din_1"),
-        (F.col("fuel_c") / F.lit(100.0)).alias("can_fuel_consumed"),
-        F.when(k9 == 0, -1).when(k9 == 1, F.lit(None)).when(k9 < 4, 50).when(k9 < 7, 90)
-         .otherwise(130).cast("int").alias("limite_velocita"),
-        F.when(k9 == 0, "unclassified").when(k9 == 1, F.lit(None)).when(k9 == 2, "residential")
-         .when(k9 == 3, "tertiary").when(k9 < 7, "primary").otherwise("motorway").alias("tipo_strada"),
+    g = e.select("*", F.sum("gap_s").over(w).alias("t_s"),
+                 F.sum(F.expr("CASE WHEN event_type = 'error' THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END"))
+                  .over(w).alias("fuel_c"))
+    mileage = "CAST(100000 + user_id * 1000 + t_s / 100.0D AS DOUBLE)"
+    return g.selectExpr(
+        "event_id AS id",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(t_s + user_id * 1777 % 86400 AS DECIMAL(18, 6))) AS timestamp",
+        "concat('V', CAST(user_id AS STRING)) AS ident",
+        "12 + k / 50.0D AS battery_voltage",
+        "CAST(600 + event_id * 104729 % 4400 AS INT) AS can_engine_rpm",
+        "CAST(CASE WHEN event_id * 31 % 10 < 2 THEN 1 ELSE 0 END AS INT) AS can_pedal_brake_status",
+        "CASE WHEN event_id % 41 = 0 THEN CAST(NULL AS INT) ELSE CAST(event_id * 6151 % 101 AS INT) END AS can_throttle_pedal_level",
+        "event_id * 31 % 67 <> 0 AS engine_ignition_status",
+        "event_id % 37 <> 0 AS movement_status",
+        "CAST(event_id * 17 % 900 AS INT) AS position_altitude",
+        "CAST(event_id * 3571 % 361 AS INT) AS position_direction",
+        "41 + (event_id * 1009 % 10000) / 10000.0D AS position_latitude",
+        "12 + (event_id * 2003 % 9973) / 10000.0D AS position_longitude",
+        "CAST(4 + event_id * 13 % 10 AS INT) AS position_satellites",
+        "(event_id * 7919 % 1301) / 10.0D AS position_speed",
+        f"{mileage} AS vehicle_mileage",
+        f"{mileage} AS can_vehicle_mileage",
+        "event_id % 29 <> 0 AS din_1",
+        "fuel_c / 100.0D AS can_fuel_consumed",
+        "CAST(CASE WHEN k % 9 = 0 THEN -1 WHEN k % 9 = 1 THEN NULL WHEN k % 9 < 4 THEN 50 WHEN k % 9 < 7 THEN 90 "
+        "ELSE 130 END AS INT) AS limite_velocita",
+        "CASE WHEN k % 9 = 0 THEN 'unclassified' WHEN k % 9 = 1 THEN NULL WHEN k % 9 = 2 THEN 'residential' "
+        "WHEN k % 9 = 3 THEN 'tertiary' WHEN k % 9 < 7 THEN 'primary' ELSE 'motorway' END AS tipo_strada",
     )
 
 
@@ -146,17 +144,15 @@ def load_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_condition(mileage_col: str = "can_vehicle_mileage", altitude: bool = True,
                    direction: bool = True) -> Column:
     """Quality gate; BETWEEN is inclusive and NULL fails every comparison."""
-    c = F.col
-    cond = ((c("din_1") == True) & (c("engine_ignition_status") == True)  # noqa: E712
-            & (c("position_speed") > 0) & (c("movement_status") == True)  # noqa: E712
-            & c("can_engine_rpm").between(1, 8000)
-            & c("position_latitude").between(-90, 90)
-            & c("position_longitude").between(-180, 180))
+    parts = ["din_1 = true", "engine_ignition_status = true", "position_speed > 0", "movement_status = true",
+             "can_engine_rpm BETWEEN 1 AND 8000", "position_latitude BETWEEN -90 AND 90",
+             "position_longitude BETWEEN -180 AND 180"]
     if altitude:
-        cond = cond & c("position_altitude").between(-500, 10000)
+        parts.append("position_altitude BETWEEN -500 AND 10000")
     if direction:
-        cond = cond & c("position_direction").between(1, 359)
-    return cond & (c("position_satellites") > 4) & (c(mileage_col) < 2000000)
+        parts.append("position_direction BETWEEN 1 AND 359")
+    parts += ["position_satellites > 4", f"`{mileage_col}` < 2000000"]
+    return F.expr(" AND ".join(parts))
 
 
 def quality_gate(df: DataFrame, mileage_col: str = "can_vehicle_mileage", altitude: bool = True,
