@@ -134,6 +134,20 @@ def attach_group_info(rows: DataFrame, groups: DataFrame, keys: list[str], group
     return j.drop("__groups", "__g")
 
 
+def attach_key_info(rows: DataFrame, table: DataFrame, keys: list[str], cols: list[str],
+                    chunk: str = CHUNK) -> DataFrame:
+    """Per-key columns (e.g. a vehicle's label) onto rows staged on ``(keys, chunk)``.
+
+    The rows' distinct ``(keys, chunk)`` pairs (an in-place aggregate) are joined
+    with the per-key table, and the result joins back on ``(keys, chunk)``: the
+    readings keep their partitioning whatever the size of the per-key table.
+    Rows whose key is not in the table get NULLs (a left join).
+    """
+    chunks = rows.select(*keys, chunk).distinct()
+    info = chunks.join(table.select(*keys, *cols), keys, "inner")
+    return rows.join(info, [*keys, chunk], "left")
+
+
 def ewm(df: DataFrame, keys: list[str], order: list[str], x: str, alpha: float, name: str,
         chunk: str = CHUNK, block: int = 256, horizon: int = 1100) -> DataFrame:
     """Exponentially weighted mean with ``adjust=False`` per key in scan order.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BEHAVIOURS
 from ..operators import behaviour, scoring, sessions
 from ..session import materialize
-from ..sources.telemetry import SCORING_COLUMNS, quality_gate, update_by_key
+from ..sources.telemetry import SCORING_COLUMNS, gate_condition, quality_gate, update_by_key
 
 
 @dataclass
@@ -34,9 +34,23 @@ def scoring_input(telemetry: DataFrame) -> DataFrame:
         F.col("ident").isNotNull())
 
 
-def scoring_stages(telemetry: DataFrame, chunk_seconds: int = 3600,
-                   direction_wrap: bool = False) -> ScoringStages:
-    gated = sessions.stage_readings(scoring_input(telemetry), chunk_seconds)
+def stage_fleet(telemetry: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+    """Readings that pass the J2 gate (``_g2``) or the J3 gate (``_g3``), staged once
+    on (ident, time chunk) for both jobs."""
+    g2 = gate_condition("can_vehicle_mileage")
+    g3 = gate_condition("vehicle_mileage")
+    df = (telemetry.filter(F.col("ident").isNotNull() & (g2 | g3))
+                   .select(*SCORING_COLUMNS, g2.alias("_g2"), g3.alias("_g3")))
+    return sessions.stage_readings(df, chunk_seconds)
+
+
+def scoring_stages(telemetry: DataFrame | None, chunk_seconds: int = 3600, direction_wrap: bool = False,
+                   staged: DataFrame | None = None) -> ScoringStages:
+    """J2 on raw telemetry, or on readings already staged by ``stage_fleet``."""
+    if staged is None:
+        gated = sessions.stage_readings(scoring_input(telemetry), chunk_seconds)
+    else:   # a filter and a projection keep the staged partitioning and order
+        gated = staged.filter(F.col("_g2")).select(*SCORING_COLUMNS, "_chunk")
     # sessionized readings feed three branches (summary, enrichment, counts):
     # stored once, in place, instead of re-running the carry scans per branch
     sess = materialize(sessions.sessionize_scoring(gated, chunk_seconds=chunk_seconds), keep_partitioning=True)
