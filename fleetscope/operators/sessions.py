@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import (FEATURE_GAP_MINUTES, MIN_SESSION_MINUTES, MIN_SESSION_POINTS,
@@ -39,29 +39,68 @@ def with_previous_reading(df: DataFrame, chunk_seconds: int = 3600,
     return out.drop("_prev")
 
 
+def _sessionize(df: DataFrame, is_new, first_is_new: bool, chunk_seconds: int,
+                columns: tuple[str, ...] = ("position_speed", "position_direction")) -> DataFrame:
+    """Time gap, previous reading, session number and reading count in ONE chunked pass.
+
+    Per (vehicle, chunk): a window gives the in-chunk previous reading, the
+    in-chunk session starts and their running count; one chunk summary (first
+    time, last reading, starts, rows) is scanned per vehicle to get the carry
+    into each chunk (previous reading, whether the chunk's first row starts a
+    session, sessions and rows before the chunk); one join on (vehicle, chunk)
+    brings it back. ``is_new(gap_seconds)`` is the split rule.
+    """
+    if CHUNK not in df.columns:
+        df = add_time_chunk(df, "timestamp", chunk_seconds)
+    w = Window.partitionBy(*KEYS, CHUNK).orderBy(*ORDER)
+    reading = F.struct(F.col("_t").alias("t"), *[F.col(c).alias(c) for c in columns])
+    d = (df.withColumn("_t", epoch_seconds("timestamp"))
+           .withColumn("_lp", F.lag(reading).over(w)))
+    d = (d.withColumn("_lnew", F.when(F.col("_lp").isNull(), F.lit(0))
+                                .otherwise(is_new(F.col("_t") - F.col("_lp.t")).cast("int")))
+          .withColumn("_lcs", F.sum("_lnew").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+          .withColumn("_lrc", F.row_number().over(w)))
+    chunks = d.groupBy(*KEYS, CHUNK).agg(
+        F.min("_t").alias("_ft"), F.max_by(reading, F.struct(*[F.col(o) for o in ORDER])).alias("_last"),
+        F.sum("_lnew").alias("_nn"), F.count(F.lit(1)).alias("_n"))
+    cw = Window.partitionBy(*KEYS).orderBy(CHUNK)
+    before = cw.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_carry", F.lag("_last").over(cw))
+    chunks = chunks.withColumn("_fnew", F.when(F.col("_carry").isNull(), F.lit(1 if first_is_new else 0))
+                               .otherwise(is_new(F.col("_ft") - F.col("_carry.t")).cast("int")))
+    chunks = chunks.select(
+        *KEYS, CHUNK, "_carry", "_fnew",
+        F.coalesce(F.sum(F.col("_fnew") + F.col("_nn")).over(before), F.lit(0)).alias("_soff"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_roff"))
+    out = d.join(chunks, [*KEYS, CHUNK], "left")
+    prev = F.coalesce(F.col("_lp"), F.col("_carry"))
+    out = out.withColumns({
+        "time_diff": F.col("_t") - prev["t"],
+        **{f"prev_{c}": prev[c] for c in columns},
+        "_new": F.when(F.col("_lrc") == 1, F.col("_fnew")).otherwise(F.col("_lnew")),
+        "session_id": (F.col("_soff") + F.col("_fnew") + F.col("_lcs")).cast("long"),
+        "_rc": F.col("_roff") + F.col("_lrc"),
+    })
+    return out.drop("_lp", "_lnew", "_lcs", "_lrc", "_carry", "_fnew", "_soff", "_roff")
+
+
 def sessionize_scoring(gated: DataFrame, gap_seconds: float = SCORING_GAP_SECONDS,
                        chunk_seconds: int = 3600) -> DataFrame:
-    """New session when the gap to the previous reading is > ``gap_seconds``.
+    """W1 + W2: new session when the gap to the previous reading is > ``gap_seconds``.
 
     The first reading of a vehicle has gap 0 and opens session 0; ids count up.
-    Adds ``session_id`` and ``session_unique_id`` (``ident_sessionid``).
+    Adds ``time_diff`` (NULL on a vehicle's first reading), ``prev_position_speed``,
+    ``prev_position_direction``, ``session_id`` and ``session_unique_id``.
     """
-    df = with_previous_reading(gated, chunk_seconds)
-    df = df.withColumn("_new", (F.coalesce(F.col("time_diff"), F.lit(0.0)) > gap_seconds).cast("int"))
-    df = running_sum(df, KEYS, ORDER, {"session_id": F.col("_new")})
-    return (df.withColumn("session_id", F.col("session_id").cast("long"))
-              .withColumn("session_unique_id", F.concat_ws("_", "ident", F.col("session_id").cast("string"))))
+    df = _sessionize(gated, lambda gap: gap > gap_seconds, False, chunk_seconds)
+    return df.withColumn("session_unique_id", F.concat_ws("_", "ident", F.col("session_id").cast("string")))
 
 
 def sessionize_features(gated: DataFrame, gap_minutes: float = FEATURE_GAP_MINUTES,
                         chunk_seconds: int = 3600) -> DataFrame:
-    """New session when the gap is > ``gap_minutes`` or on the first reading; ids start at 1."""
-    df = with_previous_reading(gated, chunk_seconds)
-    gap_min = F.col("time_diff") / 60.0
-    df = df.withColumn("_new", (gap_min.isNull() | (gap_min > gap_minutes)).cast("int"))
-    # one chunked running sum gives the session number and the reading count (_rc)
-    df = running_sum(df, KEYS, ORDER, {"session_id": F.col("_new"), "_rc": F.lit(1)})
-    return df.withColumn("session_id", F.col("session_id").cast("long"))
+    """W1 + W3: new session when the gap is > ``gap_minutes`` or on the first reading;
+    ids start at 1. Also ``_rc``: the reading's number within its vehicle."""
+    return _sessionize(gated, lambda gap: (gap / 60.0) > gap_minutes, True, chunk_seconds)
 
 
 def session_summary(sessionized: DataFrame) -> DataFrame:
