@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import EWM_SPAN, FUEL_FEATURES_DASHBOARD, FUEL_FEATURES_SCRIPT
 from ..functions.expressions import stable_hash_key
 from ..sources.telemetry import quality_gate
-from .ordered import CHUNK, ewm, previous_value, running_sum, stage_chunks
+from .ordered import CHUNK, ewm, previous_and_running, previous_value, running_sum, stage_chunks
 from .sessions import KEYS, ORDER, stage_readings
 
 
@@ -44,10 +44,21 @@ def fuel_smoothed(deltas: DataFrame, span: int = EWM_SPAN) -> DataFrame:
 
 def fuel_pipeline(telemetry: DataFrame, dashboard: bool = False, vehicle: str | None = None,
                   limit: int | None = None, span: int = EWM_SPAN, chunk_seconds: int = 3600) -> DataFrame:
+    """Gate -> (first ``limit`` readings per vehicle) -> positive deltas -> EWM.
+
+    The kept readings are a prefix of each vehicle's sequence, so a kept
+    reading's predecessor is also kept: the rank and the previous counter value
+    come from one chunked pass and the limit is applied after the delta.
+    """
     staged = stage_readings(fuel_input(telemetry, dashboard, vehicle), chunk_seconds)
-    if limit is not None:
-        staged = earliest_rows(staged, limit)
-    return fuel_smoothed(fuel_delta(staged), span)
+    value = F.struct(F.col("can_fuel_consumed").alias("v"))
+    if limit is None:
+        d = previous_value(staged, KEYS, ORDER, value, "_pf")
+    else:
+        d = previous_and_running(staged, KEYS, ORDER, value, "_pf", {"_rank": F.lit(1)})
+        d = d.filter(F.col("_rank") <= limit).drop("_rank")
+    d = d.withColumn("fuel_delta", F.col("can_fuel_consumed") - F.col("_pf.v")).drop("_pf")
+    return fuel_smoothed(d.filter(F.col("fuel_delta") > 0), span)
 
 
 # ---------------------------------------------------------------- reports

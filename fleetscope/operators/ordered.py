@@ -111,6 +111,27 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     return out
 
 
+def previous_and_running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
+                         sums: dict[str, Column], chunk: str = CHUNK) -> DataFrame:
+    """``previous_value`` (NULL-free ``value``) and inclusive ``running_sum``s in
+    ONE chunked pass: one chunk summary (last value, totals), one per-key scan
+    over the chunks, one join back."""
+    w = _chunk_window(keys, chunk, order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    df1 = df.withColumns({name: F.lag(value).over(w), **{n: F.sum(v).over(run) for n, v in sums.items()}})
+    order_key = F.struct(*[F.col(o) for o in order])
+    chunks = df1.groupBy(*keys, chunk).agg(F.max_by(value, order_key).alias("__tail"),
+                                           *[F.sum(v).alias(f"__{n}_tot") for n, v in sums.items()])
+    cw = _carry_window(keys, chunk)
+    before = cw.rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(*keys, chunk, F.lag("__tail").over(cw).alias("__carry"),
+                          *[F.coalesce(F.sum(f"__{n}_tot").over(before), F.lit(0)).alias(f"__{n}_off") for n in sums])
+    out = df1.join(carry, [*keys, chunk], "left")
+    out = out.withColumns({name: F.coalesce(F.col(name), F.col("__carry")),
+                           **{n: F.col(n) + F.coalesce(F.col(f"__{n}_off"), F.lit(0)) for n in sums}})
+    return out.drop("__carry", *[f"__{n}_off" for n in sums])
+
+
 def attach_group_info(rows: DataFrame, groups: DataFrame, keys: list[str], group_col: str,
                       info: list[str], chunk: str = CHUNK, min_chunk: str = "_min_chunk",
                       max_chunk: str = "_max_chunk") -> DataFrame:

@@ -127,3 +127,14 @@ def test_dashboard_limit_keeps_earliest(spark):
     rows = [dict(id=10 - i, ident="A", t=60 * i) for i in range(6)]
     staged = sessions.stage_readings(fuel_input(make_telemetry(spark, rows), dashboard=True))
     assert sorted(r["id"] for r in earliest_rows(staged, 3).collect()) == [8, 9, 10]
+
+
+def test_fuel_limit_inside_pipeline(spark):
+    from fleetscope.operators.fuel import fuel_pipeline
+    # readings out of id order in time; counter rises by 1.0 each minute
+    rows = [dict(id=100 - i, ident="A", t=60 * i, can_fuel_consumed=10.0 + i) for i in range(8)]
+    rows += [dict(id=200 + i, ident="B", t=60 * i, can_fuel_consumed=5.0 + 2 * i) for i in range(2)]
+    out = fuel_pipeline(make_telemetry(spark, rows), dashboard=True, limit=3).collect()
+    got = sorted((r["ident"], r["id"], r["fuel_delta"]) for r in out)
+    # A keeps its first 3 readings (ids 100, 99, 98) -> deltas on 99 and 98; B keeps both
+    assert got == [("A", 98, 1.0), ("A", 99, 1.0), ("B", 201, 2.0)]
