@@ -3,13 +3,14 @@ and the model input tables (F9, E9, M24), for every vehicle of the fleet at once
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import EWM_SPAN, FUEL_FEATURES_DASHBOARD, FUEL_FEATURES_SCRIPT
 from ..functions.expressions import stable_hash_key
 from ..sources.telemetry import quality_gate
-from .ordered import CHUNK, ewm, previous_and_running, previous_value, running_sum, stage_chunks
+from .ordered import (CHUNK, attach_key_info, ewm, previous_and_running, previous_value, running_sum,
+                      stage_chunks)
 from .sessions import KEYS, ORDER, stage_readings
 
 
@@ -112,7 +113,8 @@ def fuel_histogram(smoothed: DataFrame, bins: int = 50) -> DataFrame:
     (the maximum falls in the last bin)."""
     x = F.col("fuel_delta_smooth")
     rng = smoothed.groupBy("ident").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    j = smoothed.select("ident", x).join(rng, "ident")
+    # the range reaches the readings through their (vehicle, chunk) pairs: no re-shuffle of readings
+    j = attach_key_info(smoothed.select("ident", CHUNK, x), rng, ["ident"], ["_lo", "_hi"])
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") > F.col("_lo"),
                F.least(F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
