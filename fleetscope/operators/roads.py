@@ -97,7 +97,23 @@ def _match_level(points: DataFrame, segments: DataFrame, cell: float, final: boo
     return out.withColumn("_done", done)
 
 
-def nearest_roads(points: DataFrame, roads: DataFrame, cell: float = 1000.0, factor: int = 4,
+def density_cell(segments: DataFrame, floor_m: float = 50.0, default: float = 1000.0) -> float:
+    """Level-0 cell size = mean spacing of the segments, sqrt(bbox area / count).
+
+    One aggregate over the segments (a single row to the driver). Dense road
+    networks get small cells (few candidates per point), sparse ones large
+    cells (few points left for coarser levels). Results never depend on it.
+    """
+    r = segments.agg(F.count(F.lit(1)).alias("n"),
+                     F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
+                     F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")).first()
+    if not r or not r["n"]:
+        return default
+    area = max((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 1.0)
+    return max(floor_m, math.sqrt(area / r["n"]))
+
+
+def nearest_roads(points: DataFrame, roads: DataFrame, cell: float | None = None, factor: int = 4,
                   checkpoint: bool = True, num_partitions: int | None = None) -> DataFrame:
     """N1 per distinct coordinate: ``lat, lon, osm_id, highway, limite_velocita, distance_m``.
 
@@ -115,6 +131,7 @@ def nearest_roads(points: DataFrame, roads: DataFrame, cell: float = 1000.0, fac
     # further exchange.
     pts = project_points(points).repartition(n, "lat", "lon")
     segs = road_segments(roads)
+    cell = cell or density_cell(segs)
     levels = max(1, math.ceil(math.log(WORLD_M / cell, factor)) + 1)
     resolved = []
     for level in range(levels):
