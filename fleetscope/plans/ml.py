@@ -39,10 +39,12 @@ class StyleConfig:
     gb_subsample: float = 0.8
     lr_c: float = 1.0
     lr_iter: int = 1000
+    lr_tol: float = 1e-4            # the studied configuration sets none: the library default of the original
     svm_c: float = 1.0
     k_features: int = 15
     selection: str = "mutual_info"  # "mutual_info" | "anova" | "rfe"
     cv_folds: int = 5
+    cv_parallelism: int = 5
     test_size: float = 0.2
     seed: int = 42
 
@@ -104,7 +106,7 @@ def _classifier(name: str, cfg: StyleConfig, n_train: int):
         return OneVsRest(classifier=gbt, **common)
     if name == "Logistic Regression":
         return LogisticRegression(family="multinomial", regParam=1.0 / (cfg.lr_c * n_train), elasticNetParam=0.0,
-                                  maxIter=cfg.lr_iter, weightCol="weight", **common)
+                                  maxIter=cfg.lr_iter, tol=cfg.lr_tol, weightCol="weight", **common)
     if name == "SVM":                   # linear kernel only
         svc = LinearSVC(regParam=1.0 / (cfg.svm_c * n_train))
         return OneVsRest(classifier=svc, weightCol="weight", **common)
@@ -139,7 +141,8 @@ def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient B
     for name in models:
         est = _classifier(name, cfg, n_train)
         cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
-                            numFolds=cfg.cv_folds, foldCol="fold", seed=cfg.seed)
+                            numFolds=cfg.cv_folds, foldCol="fold", seed=cfg.seed,
+                            parallelism=cfg.cv_parallelism)   # folds are fitted concurrently
         m = cv.fit(train_p)
         cv_scores[name], fitted[name] = float(m.avgMetrics[0]), m.bestModel
     best = max(cv_scores, key=lambda n: (cv_scores[n], -list(models).index(n)))
