@@ -152,7 +152,7 @@ summary AS (
   FROM sess GROUP BY ident, session_id),
 valid AS (SELECT * FROM summary WHERE durata_minuti > 5 AND distanza_km > 0.1 AND num_record >= 2),
 rows AS (
-  SELECT s.*, m.durata_minuti, hour(s.timestamp) AS ora, {time_band_sql('hour(s.timestamp)')} AS fascia_oraria,
+  SELECT s.*, m.durata_minuti, CAST(hour(s.timestamp) AS INTEGER) AS ora, {time_band_sql('hour(s.timestamp)')} AS fascia_oraria,
     coalesce({session_type_sql('m.durata_minuti')}, 'normale') AS tipo_sessione,
     {road_category_sql('s.tipo_strada')} AS categoria_strada
   FROM sess s LEFT JOIN summary m ON s.ident = m.ident AND s.session_id = m.session_id),
