@@ -49,3 +49,15 @@ def test_staged_windows_read_in_place(spark):
     plan = sess._jdf.queryExecution().executedPlan().toString()
     big = [l for l in plan.splitlines() if "Exchange hashpartitioning(ident" in l and "_chunk" in l]
     assert not big, big      # windows over (ident, chunk) reuse the staged partitioning
+
+
+def test_composed_features_plan_moves_only_partial_aggregates(spark):
+    """After staging, every exchange of the J2 -> J3 plan carries partial aggregates, never readings."""
+    from fleetscope.plans.session_features import session_features_from_raw
+    from fleetscope.sources.telemetry import load_telemetry
+    df = session_features_from_raw(load_telemetry(spark, SF0001), materialized=False)
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    children = [lines[i + 1] for i, l in enumerate(lines) if "Exchange hashpartitioning" in l]
+    assert children
+    for c in children:
+        assert "Aggregate" in c and "partial_" in c, c
