@@ -79,3 +79,33 @@ def test_ewm_long_series_matches_sequential(spark):
         v = 1.0 + i % 3
         yb = v if i == 0 else (1 - alpha) * yb + alpha * v
         assert abs(got[n + i] - yb) < 1e-12
+
+
+def test_previous_and_running_in_one_pass(spark):
+    from fleetscope.operators.ordered import previous_and_running
+    df = stage_chunks(_data(spark, seed=5), ["k"], ["ts", "id"])
+    got = previous_and_running(df, ["k"], ["ts", "id"], F.struct(F.col("id").alias("id")), "p",
+                               {"c": F.col("x").cast("long")})
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    exp = (df.withColumn("e", F.lag("id").over(w))
+             .withColumn("ec", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    a = {r["id"]: (r["p"]["id"] if r["p"] else None, r["c"]) for r in got.collect()}
+    b = {r["id"]: (r["e"], r["ec"]) for r in exp.collect()}
+    assert a == b
+
+
+def test_attach_key_info_keeps_rows_and_partitioning(spark):
+    from fleetscope.operators.ordered import attach_key_info
+    df = stage_chunks(_data(spark, seed=6), ["k"], ["ts", "id"])
+    table = spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, label int")
+    got = attach_key_info(df, table, ["k"], ["label"])
+    rows = got.collect()
+    assert len(rows) == df.count()
+    assert all(r["label"] == {"hot": 1, "k3": 2}.get(r["k"]) for r in rows)
+    # the readings (the scan with id/ts columns) are never below an exchange: only the small
+    # (key, chunk, label) table moves
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange" in line:
+            below = lines[i + 1:i + 4]
+            assert not any("Scan ExistingRDD" in b and "id#" in b for b in below), lines
