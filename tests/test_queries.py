@@ -61,3 +61,27 @@ def test_composed_features_plan_moves_only_partial_aggregates(spark):
     assert children
     for c in children:
         assert "Aggregate" in c and "partial_" in c, c
+
+
+def test_properties_partitioning_and_event_totals(spark):
+    """Shuffling the input does not change the result; events counted per group equal the row flags."""
+    from pyspark.sql import functions as F
+    from fleetscope.functions.constants import BEHAVIOURS
+    from fleetscope.plans.driving_style import scoring_stages
+    from fleetscope.sources.telemetry import load_telemetry
+    t = load_telemetry(spark, SF0001)
+    a = scoring_stages(t)
+    b = scoring_stages(t.repartition(5, "id").sortWithinPartitions(F.rand(7)))
+    ra = sorted(tuple(r) for r in a.styles.collect())
+    rb = sorted(tuple(r) for r in b.styles.collect())
+    assert len(ra) == len(rb) and all(
+        x[0] == y[0] and all(abs(p - q) < 1e-9 if isinstance(p, float) else p == q for p, q in zip(x, y))
+        for x, y in zip(ra, rb))
+    flags = a.rows.agg(*[F.sum(f"f_{k}").alias(k) for k in BEHAVIOURS]).first()
+    counts = a.counts.agg(*[F.sum(f"n_{k}").alias(k) for k in BEHAVIOURS]).first()
+    assert [flags[k] for k in BEHAVIOURS] == [counts[k] for k in BEHAVIOURS]
+    # session ids never decrease in time within a vehicle
+    rows = a.rows.select("ident", "timestamp", "id", "session_id").orderBy("ident", "timestamp", "id").collect()
+    for prev, cur in zip(rows, rows[1:]):
+        if prev["ident"] == cur["ident"]:
+            assert cur["session_id"] >= prev["session_id"]
