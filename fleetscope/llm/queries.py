@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter, warc
+from . import pii, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,13 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op7_url_filter, op10_warc)}
+QUERIES = {f.__name__: f for f in (op7_url_filter, op8_pii, op10_warc)}
 ORACLE = {"op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
