@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, url_filter, warc
+from . import ngram_join, pii, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.near_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -23,5 +27,5 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op7_url_filter, op8_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op6_ngram_join, op7_url_filter, op8_pii, op10_warc)}
 ORACLE = {"op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
