@@ -55,28 +55,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Known(dict):
+    """Hash of a word, kept once computed."""
+
+    def __missing__(self, word):
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Grams:
-    """Sorted distinct gram hashes of a text; word hashes are kept between calls (a bounded number)."""
+    """Sorted distinct gram hashes of a text (UTF-8 bytes); word hashes are kept between calls (a bounded number)."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words, self.known = words, _Known()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        tokens = (text or b"").lower().split()          # bytes: A-Z only, and the six blanks above
         if not tokens:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        try:
-            codes = [known[t] for t in tokens]
-        except KeyError:
-            digest = xxhash.xxh3_64_intdigest
-            for t in tokens:
-                if t not in known:
-                    known[t] = digest(t)
-            codes = [known[t] for t in tokens]
-        h = np.array(codes, np.uint64)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         k = self.words
         if len(h) < k:
             out = _mix(h[:1] + np.uint64(len(h)))
@@ -90,6 +89,10 @@ class Grams:
         return np.unique(out)
 
 
+def _utf8(column) -> list:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def _set_id(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64)))
 
@@ -119,8 +122,8 @@ def _survey(words: int):
 
         for batch in batches:
             n, ids = [], []
-            for text in batch.column("text"):
-                g = grams(text.as_py())
+            for text in _utf8(batch.column("text")):
+                g = grams(text)
                 s = _set_id(g) if len(g) else None
                 n.append(len(g))
                 ids.append(s)
@@ -156,8 +159,8 @@ def _postings(words: int, threshold: int, hot):
         tokens, rank = hot.value
         for batch in batches:
             cols = [[], [], [], []]
-            for text in batch.column("text"):
-                g = grams(text.as_py())
+            for text in _utf8(batch.column("text")):
+                g = grams(text)
                 if not len(g):
                     continue
                 s = _set_id(g)
@@ -206,17 +209,35 @@ def _needed(n_x, n_y, threshold):
     return -(-threshold * (n_x + n_y) // (100 + threshold))
 
 
-def _cross_pairs(threshold: int):
-    """Of rows sorted by gram (with components): pairs of different components that the bounds allow."""
+def _cross_pairs(threshold: int, block: int):
+    """Of rows sorted by gram, size and position (with components): pairs of different components that the bounds allow."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
 
-    def pairs(ids, n, pos, comp):
-        order = np.lexsort((pos, n))
-        ids, n, pos, comp = (c[order].astype(np.int64) for c in (ids, n, pos, comp))
-        starts = range(0, len(ids), BLOCK)
-        lo_n, hi_n = n[::BLOCK], [int(n[min(s + BLOCK, len(n)) - 1]) for s in starts]
-        lo_p = [int(pos[s:s + BLOCK].min()) for s in starts]
-        one = [int(comp[s]) if (comp[s:s + BLOCK] == comp[s]).all() else None for s in starts]
+    def ordered(ids, n, u, v):
+        swap = ids[u] > ids[v]
+        u, v = np.where(swap, v, u), np.where(swap, u, v)
+        return np.stack([ids[u], ids[v], n[u], n[v]])
+
+    def short(gram, ids, n, pos, comp):
+        """All lists of at most block rows at once: each row against the one d rows further."""
+        n, pos, ids = n.astype(np.int64), pos.astype(np.int64), ids.astype(np.int64)
+        for d in range(1, len(ids)):
+            x, y = slice(0, len(ids) - d), slice(d, None)
+            same = gram[x] == gram[y]
+            if not same.any():
+                return
+            ok = (same & (n[x] * 100 >= threshold * n[y]) & (comp[x] != comp[y])
+                  & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _needed(n[x], n[y], threshold)))
+            u = np.flatnonzero(ok)
+            if len(u):
+                yield ordered(ids, n, u, u + d)
+
+    def blocks(ids, n, pos, comp):
+        ids, n, pos, comp = (c.astype(np.int64) for c in (ids, n, pos, comp))
+        starts = range(0, len(ids), block)
+        lo_n, hi_n = n[::block], [int(n[min(s + block, len(n)) - 1]) for s in starts]
+        lo_p = [int(pos[s:s + block].min()) for s in starts]
+        one = [int(comp[s]) if (comp[s:s + block] == comp[s]).all() else None for s in starts]
         for i, s in enumerate(starts):
             most = hi_n[i] * 100 // threshold                     # larger partners cannot link
             for j in range(i, bisect.bisect_right(lo_n, most)):
@@ -224,17 +245,14 @@ def _cross_pairs(threshold: int):
                     continue
                 if min(hi_n[i] - lo_p[i], hi_n[j] - lo_p[j]) < _needed(int(lo_n[i]), int(lo_n[j]), threshold):
                     continue
-                x, y = slice(s, s + BLOCK), slice(j * BLOCK, j * BLOCK + BLOCK)
+                x, y = slice(s, s + block), slice(j * block, j * block + block)
                 left = np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :])
                 ok = (left >= _needed(n[x][:, None], n[y][None, :], threshold)) & (comp[x][:, None] != comp[y][None, :])
                 if i == j:
                     ok = np.triu(ok, 1)
                 u, v = np.nonzero(ok)
                 if len(u):
-                    u, v = u + s, v + j * BLOCK
-                    swap = ids[u] > ids[v]
-                    u, v = np.where(swap, v, u), np.where(swap, u, v)
-                    yield np.stack([ids[u], ids[v], n[u], n[v]])
+                    yield ordered(ids, n, u + s, v + j * block)
 
     def run(batches):
         done, held = [], None
@@ -246,9 +264,11 @@ def _cross_pairs(threshold: int):
                                                pa.array(a[3].astype(np.int32))], schema=schema)
 
         def lists(a):
-            for s, e in zip(*(lambda f: (f, np.r_[f[1:], len(a[0])]))(np.flatnonzero(np.r_[True, a[0][1:] != a[0][:-1]]))):
-                if e - s > 1:
-                    yield from pairs(*(c[s:e] for c in a[1:]))
+            start = np.flatnonzero(np.r_[True, a[0][1:] != a[0][:-1]])
+            size = np.diff(np.r_[start, len(a[0])])
+            for s, k in zip(start[size > block], size[size > block]):
+                yield from blocks(*(c[s:s + k] for c in a[1:]))
+            yield from short(*(c[np.repeat(size <= block, size)] for c in a))
 
         for batch in batches:
             if not batch.num_rows:
@@ -278,10 +298,10 @@ def _overlaps(words: int):
         grams, last = Grams(words), (None, None)
         for batch in batches:
             out = []
-            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b")):
+            for a, ta, tb in zip(batch.column("a").to_pylist(), _utf8(batch.column("text_a")), _utf8(batch.column("text_b"))):
                 if last[0] != a:
-                    last = (a, grams(ta.as_py()))
-                out.append(len(np.intersect1d(last[1], grams(tb.as_py()), assume_unique=True)))
+                    last = (a, grams(ta))
+                out.append(len(np.intersect1d(last[1], grams(tb), assume_unique=True)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "n_b")] + [pa.array(out, pa.int64())],
                                              names=["a", "b", "n_a", "n_b", "overlap"])
     return run
@@ -339,7 +359,7 @@ def _derive(pairs: DataFrame, checked: DataFrame, threshold: int) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS,
-                 threshold: int = THRESHOLD) -> dict[str, DataFrame]:
+                 threshold: int = THRESHOLD, block: int = BLOCK) -> dict[str, DataFrame]:
     """``documents`` (doc_id, n, set_id) per row, ``sets`` (set_id, doc_id, n) and ``links`` (a, b, n_a, n_b, overlap) between sets.
 
     ``links`` spans the components: it holds every link between sets that were
@@ -358,15 +378,18 @@ def join_classes(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     wanted = stage(rep.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "ngram-wanted")
     w = small(wanted).alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
-    texts = stage(rows.alias("d").join(w, same).select("w.set_id", "d.text").dropDuplicates(["set_id"]), "ngram-texts")
+    texts = rows.alias("d").join(w, same).select("w.set_id", "d.text")
+    if not member.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["set_id"])                   # rows repeated with id and text
+    texts = stage(texts, "ngram-texts")
     checked = stage(verify(_leader_pairs(shared, threshold), texts, words), "ngram-leaders")
     links = checked.where(linked(threshold))
     comp = stage(components(links), "ngram-comp")
     rest = shared.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
         "comp", F.coalesce("component_id", "set_id")).drop("component_id")
     mixed = rest.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    cross = stage(rest.join(mixed, "gram").repartition(parts(spark), "gram").sortWithinPartitions("gram")
-                  .mapInArrow(_cross_pairs(threshold), "a long, b long, n_a int, n_b int").distinct(), "ngram-cross")
+    cross = stage(rest.join(mixed, "gram").repartition(parts(spark), "gram").sortWithinPartitions("gram", "n", "pos")
+                  .mapInArrow(_cross_pairs(threshold, block), "a long, b long, n_a int, n_b int").distinct(), "ngram-cross")
     both = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     bounds = stage(_derive(cross.join(both, ["a", "b"], "left_anti"), checked, threshold), "ngram-bounds")
     need = F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold))
@@ -378,9 +401,9 @@ def join_classes(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
 
 
 def near_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS,
-                    threshold: int = THRESHOLD) -> DataFrame:
+                    threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id): one row per row of ``docs``."""
-    j = join_classes(docs, id_col, text_col, words, threshold)
+    j = join_classes(docs, id_col, text_col, words, threshold, block)
     sets = j["sets"].select("set_id", F.col("doc_id").alias("first"))
     comp = stage(components(j["links"]), "ngram-components")       # by set id
     low = (comp.withColumnRenamed("id", "set_id").join(sets, "set_id").groupBy("component_id")

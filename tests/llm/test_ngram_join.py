@@ -33,10 +33,10 @@ def brute(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def check(spark, texts):
+def check(spark, texts, **options):
     df = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in texts.items()],
                                "doc_id long, text string, n long, set_id long, a long")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_components(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_components(df, **options).collect()}
     want = brute(texts)
     assert got == want, [(i, got[i], want[i]) for i in want if got.get(i) != want[i]][:5]
 
@@ -66,6 +66,7 @@ def test_families_chains_and_edges(spark):
     for t in (None, "", " \n\t", "a", "A", "a b", "a b c d", "a b c d e", "É b c d e", "é b c d e", "x " * 5000, "x " * 30):
         add(t)
     check(spark, texts)
+    check(spark, texts, block=2)                 # every list of more than two sets goes through the block index
 
 
 def test_whole_table(spark):
