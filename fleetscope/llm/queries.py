@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, pii, url_filter, warc
+from . import ngram_join, pii, repeated_passages, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op8_pii(spark, sf_dir):
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op9_repeated_passages(spark, sf_dir):
+    return repeated_passages.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_join, op7_url_filter, op8_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
 ORACLE = {"op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
