@@ -21,7 +21,8 @@ How the work is cut down without losing a link:
 * *Index-level skipping.* Lists that still hold several components are cut into
   blocks by size and position; a block is skipped when its size range or the
   position bound ``1 + min(n_x - p_x, n_y - p_y) - 1`` cannot reach the needed overlap.
-  Pairs inside a component are never produced.
+  Pairs inside a component are never produced. What is left is
+  bounded by bucket sketches of the sets before texts are compared.
 
 Overlaps are counted on 64-bit gram hashes of whole texts.
 
@@ -46,6 +47,7 @@ WORDS, THRESHOLD = 5, 80
 HOT_GRAMS = 200_000        # size of the table that orders the most frequent grams (the order never changes a result)
 LOCAL_GRAMS = 2_000_000    # counted grams that a task holds at most between merges
 BLOCK = 128
+SKETCH_BITS = 4096
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -307,6 +309,44 @@ def _overlaps(words: int):
     return run
 
 
+def _sketched(words: int):
+    """(set_id, text, sketch): which of SKETCH_BITS hash buckets hold a gram of the set."""
+    def run(batches):
+        grams = Grams(words)
+        for batch in batches:
+            out = []
+            for text in _utf8(batch.column("text")):
+                bits = np.zeros(SKETCH_BITS, bool)
+                bits[grams(text) % np.uint64(SKETCH_BITS)] = True
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("text"), pa.array(out, pa.binary())],
+                                             names=["set_id", "text", "sketch"])
+    return run
+
+
+def _possible(threshold: int):
+    """Pairs whose sketches allow a link: every bucket that only one set fills holds a gram the other lacks."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    for c in ("sketch_a", "sketch_b"))
+            n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
+            most = np.minimum(n_a - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
+                              n_b - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            keep = pa.array(most >= _needed(n_a, n_b, threshold))
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(keep)
+    return run
+
+
+def possible(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    sketch = texts.select("set_id", "sketch")
+    return (pairs.join(sketch.toDF("b", "sketch_b"), "b").join(sketch.toDF("a", "sketch_a"), "a")
+            .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+            .mapInArrow(_possible(threshold), "a long, b long, n_a int, n_b int"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(a, b, n_a, n_b, overlap) of set pairs; ``texts``: (set_id, text), one row per set."""
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
@@ -381,7 +421,7 @@ def join_classes(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     texts = rows.alias("d").join(w, same).select("w.set_id", "d.text")
     if not member.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["set_id"])                   # rows repeated with id and text
-    texts = stage(texts, "ngram-texts")
+    texts = stage(texts.mapInArrow(_sketched(words), "set_id long, text string, sketch binary"), "ngram-texts")
     checked = stage(verify(_leader_pairs(shared, threshold), texts, words), "ngram-leaders")
     links = checked.where(linked(threshold))
     comp = stage(components(links), "ngram-comp")
@@ -395,6 +435,7 @@ def join_classes(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     need = F.ceil(F.lit(threshold) * (F.col("n_a") + F.col("n_b")) / (100 + threshold))
     derived = bounds.where(F.col("low") >= need).select("a", "b", "n_a", "n_b", F.col("low").alias("overlap"))
     open_pairs = bounds.where((F.col("low") < need) & (F.col("high") >= need))
+    open_pairs = stage(possible(open_pairs.select("a", "b", "n_a", "n_b"), texts, threshold), "ngram-open")
     late = stage(verify(open_pairs, texts, words).where(linked(threshold)), "ngram-late")
     return {"documents": survey.where("kind = 0").select("doc_id", "n", "set_id", "text_hash"), "sets": rep,
             "links": links.unionByName(derived).unionByName(late)}
