@@ -13,7 +13,8 @@ before it; they form two ranges. All strings of a range share a core (the key) a
 2. Occurrences with equal contexts repeat all strings of their range.
 3. Different contexts with one key are compared string by string, column by column over all starts of the range; the
    strings of a group meet as hashes. Groups of more than ``max_group`` contexts are split first: the range is halved,
-   which lengthens the keys, until groups are small or the key is the whole string and its count decides.
+   which lengthens the keys and shortens the contexts (equal ones repeat all strings of their half and go on as one),
+   until groups are small or the key is the whole string.
 4. Covered byte intervals go back to the documents (keyed by id and text) and are cut out.
 
 Keys, contexts and strings are compared by 64-bit hashes of their bytes.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import parts, small, stage
 
-LENGTH, GRAM, MAX_GROUP = 400, 32, 4000
+LENGTH, GRAM, MAX_GROUP = 400, 32, 50_000
+FLUSH = 8000               # contexts compared at once at least (whole groups)
 ROWS = "key long, ctx long, dk long, pos int, side int"
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -144,68 +146,72 @@ def _contexts(length: int, gram: int):
 
 
 def _halves(length: int):
-    """Split the range of each context: (grp, ...) with longer keys; a range of one string has the string as key."""
+    """Split the range of each context: (grp, sub, ...) with a longer key and the context of the half (sub: its hash)."""
+    schema = pa.schema([("grp", pa.int64()), ("ctx", pa.int64()), ("sub", pa.int64()), ("a", pa.int32()), ("b", pa.int32()),
+                        ("left", pa.int32()), ("bytes", pa.binary())])
+
+    def hashed(data, *salt):
+        h = hashlib.blake2b(data, digest_size=8, key=b"".join((x & (2**64 - 1)).to_bytes(8, "little") for x in salt))
+        return int.from_bytes(h.digest(), "little", signed=True)
+
     def run(batches):
         for batch in batches:
             out = []
             for g, ctx, a, b, left, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "ctx", "a", "b", "left", "bytes"))):
                 m = (a + b) // 2
                 for lo, hi in ((a, m), (m + 1, b)):
-                    s, e = left - lo, left + length - hi
                     if lo > hi or max(lo, left + length - len(data)) > min(hi, left):
                         continue
-                    h = hashlib.blake2b(data[s:e], digest_size=8, salt=lo.to_bytes(4, "little") + hi.to_bytes(4, "little"),
-                                        key=(g & (2**64 - 1)).to_bytes(8, "little")).digest()
-                    out.append((int.from_bytes(h, "little", signed=True), ctx, lo, hi, left, data))
+                    s = max(left - hi, 0)
+                    part = data[s:left + length - lo]
+                    out.append((hashed(data[left - lo:left + length - hi], g, lo, hi), ctx, hashed(part, left - s), lo, hi, left - s, part))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), batch.schema)], schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
     return run
 
 
 def _compare(length: int):
     """Of contexts sorted by group: (ctx, start, end) of repeated strings, relative to the anchor, runs merged."""
     schema = pa.schema([("ctx", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    top = _powers(length)[0][length - 1]
 
     def solve(rows):
-        rows = sorted(rows, key=lambda r: (r[0], r[2]))
         group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1].astype(np.uint64)
-        size = max(len(r[5]) for r in rows)
-        data = np.zeros((len(rows), size), np.uint8)
-        for i, r in enumerate(rows):
-            data[i, :len(r[5])] = np.frombuffer(r[5], np.uint8)
         n, left = np.array([len(r[5]) for r in rows]), np.array([r[4] for r in rows])
+        data = np.zeros((len(rows), n.max()), np.uint8)
+        for i, r in enumerate(rows):
+            data[i, :n[i]] = np.frombuffer(r[5], np.uint8)
         lo = np.maximum(np.array([r[2] for r in rows]), left + length - n)
         hi = np.minimum(np.array([r[3] for r in rows]), left)
-        pw, inv = _powers(size)
-        p = np.zeros((len(rows), size + 1), np.uint64)
-        np.cumsum(_TABLE[data] * pw[:size], axis=1, out=p[:, 1:])
-        width = int((hi - lo).max()) + 1
-        o = lo[:, None] + np.arange(width)[None, :]                       # one column per start
-        ok = o <= hi[:, None]
-        s = np.where(ok, left[:, None] - o, 0)
-        r = np.arange(len(rows))[:, None]
-        h = (p[r, np.minimum(s + length, size)] - p[r, s]) * inv[s]
-        h = _mix(h ^ _mix(group[:, None] * np.uint64(1024) + o.astype(np.uint64)))
-        flat, where = h[ok], np.flatnonzero(ok.ravel())
-        order = np.argsort(flat)
-        same = flat[order][1:] == flat[order][:-1]
-        hit = np.zeros(len(flat), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        cover = np.zeros(ok.shape, np.int8).ravel()
-        cover[where[hit]] = 1
-        edge = np.diff(np.pad(cover.reshape(ok.shape), ((0, 0), (1, 1))), axis=1)
-        i, first = np.nonzero(edge == 1)
-        _, last = np.nonzero(edge == -1)
+        first, last = int(lo.min()), int(hi.max())
+        cover = np.zeros((len(rows), last - first + 1), np.int8)
+        h, pw = np.zeros(len(rows), np.uint64), _powers(length)[0][:length]
+        for o in range(first, last + 1):                  # one column of starts per round, each one byte further left
+            new = np.flatnonzero(lo == o)
+            for k in range(0, len(new), 2000):
+                r = new[k:k + 2000]
+                h[r] = (_TABLE[data[r[:, None], (left[r] - o)[:, None] + np.arange(length)]] * pw).sum(axis=1, dtype=np.uint64)
+            r = np.flatnonzero((lo < o) & (o <= hi))
+            s = left[r] - o
+            h[r] = _TABLE[data[r, s]] + _B * (h[r] - _TABLE[data[r, s + length]] * top)
+            r = np.flatnonzero((lo <= o) & (o <= hi))
+            key = _mix(h[r] ^ _mix(group[r]))
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            cover[r[order[1:][same]], o - first] = 1
+            cover[r[order[:-1][same]], o - first] = 1
+        edge = np.diff(np.pad(cover, ((0, 0), (1, 1))), axis=1)
+        i, start = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
         ids = np.array([r[1] for r in rows], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array((-(lo[i] + last - 1)).astype(np.int32)),
-                                           pa.array((length - (lo[i] + first)).astype(np.int32))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array((-(first + end - 1)).astype(np.int32)),
+                                           pa.array((length - (first + start)).astype(np.int32))], schema=schema)
 
     def run(batches):
         rows, group = [], None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "ctx", "a", "b", "left", "bytes"))):
-                if row[0] != group and len(rows) >= MAX_GROUP:
+                if row[0] != group and len(rows) >= FLUSH:
                     yield solve(rows)
                     rows = []
                 group = row[0]
@@ -249,32 +255,39 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group:
     spark = docs.sparkSession
     occ = docs.select("text", "dk").mapInArrow(_occurrences(length, gram), ROWS)
     keys = stage(occ.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "passage-keys")
-    hits = stage(occ.join(keys, "key"), "passage-hits")
+    hits = stage(occ.join(small(keys, 2_000_000), "key"), "passage-hits")
     contexts = hits.groupBy("key", "ctx", "side").agg(F.count(F.lit(1)).alias("mult"), F.min(F.struct("dk", "pos")).alias("at"))
     contexts = stage(contexts, "passage-contexts")
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    wanted = stage(contexts.join(several, "key").groupBy("at.dk").agg(
-        F.collect_list(F.struct("key", "ctx", "side", F.col("at.pos").alias("pos"))).alias("wanted")), "passage-wanted")
-    near = docs.join(small(wanted.select("dk")), "dk", "left_semi")
-    open_ = stage(near.join(wanted, "dk").select("text", "wanted").mapInArrow(
-        _contexts(length, gram), "grp long, ctx long, a int, b int, left int, bytes binary"), "passage-bytes")
-    found = []
-    while True:
-        sizes = open_.groupBy("grp").agg(F.count_distinct("ctx").alias("c"))
-        whole = open_.where("a = b").join(sizes.where("c > 1"), "grp").select(
-            "ctx", (-F.col("a")).alias("lo"), (F.lit(length) - F.col("a")).alias("hi"))
-        few = open_.where("a < b").join(sizes.where((F.col("c") > 1) & (F.col("c") <= max_group)).select("grp"), "grp", "left_semi")
-        solved = (few.dropDuplicates(["grp", "ctx"]).repartition(parts(spark), "grp").sortWithinPartitions("grp")
-                  .mapInArrow(_compare(length), "ctx long, lo int, hi int"))
-        found.append(stage(whole.unionByName(solved), "passage-found"))
-        many = open_.where("a < b").join(sizes.where(F.col("c") > max_group).select("grp"), "grp", "left_semi")
-        if many.isEmpty():
-            break
-        open_ = stage(many.dropDuplicates(["grp", "ctx"]).mapInArrow(
-            _halves(length), "grp long, ctx long, a int, b int, left int, bytes binary"), "passage-bytes")
-    part = found[0]
-    for f in found[1:]:
-        part = part.unionByName(f)
+    sizes = stage(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "passage-sizes")
+    bytes_type = "grp long, ctx long, a int, b int, left int, bytes binary"
+
+    def with_bytes(keys):
+        wanted = stage(contexts.join(keys, "key").groupBy("at.dk").agg(
+            F.collect_list(F.struct("key", "ctx", "side", F.col("at.pos").alias("pos"))).alias("wanted")), "passage-wanted")
+        near = docs.join(small(wanted.select("dk")), "dk", "left_semi")
+        return near.join(wanted, "dk").select("text", "wanted").mapInArrow(_contexts(length, gram), bytes_type)
+
+    def compared(rows):
+        rows = rows.select("grp", "ctx", "a", "b", "left", "bytes")
+        return stage(rows.repartition(parts(spark), "grp").sortWithinPartitions("grp")
+                     .mapInArrow(_compare(length), "ctx long, lo int, hi int"), "passage-found")
+
+    part = compared(with_bytes(sizes.where(F.col("c") <= max_group).select("key")))
+    large = sizes.where(F.col("c") > max_group).select("key")
+    if not large.isEmpty():
+        rows = with_bytes(large)
+        while True:
+            rows = stage(rows.mapInArrow(_halves(length), "grp long, ctx long, sub long, a int, b int, left int, bytes binary"),
+                         "passage-halves")
+            subs = rows.groupBy("grp", "sub").agg(F.count(F.lit(1)).alias("mult"), F.min("ctx").alias("one"))
+            groups = subs.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+            whole = rows.join(subs.where("mult > 1").select("grp", "sub"), ["grp", "sub"], "left_semi").select(
+                "ctx", (-F.col("b")).alias("lo"), (F.lit(length) - F.col("a")).alias("hi"))
+            ones = rows.join(subs.join(groups, "grp").select("grp", "sub", F.col("one").alias("ctx"), "c"), ["grp", "sub", "ctx"])
+            part = part.unionByName(stage(whole, "passage-found")).unionByName(compared(ones.where(F.col("c") <= max_group)))
+            rows = stage(ones.where(F.col("c") > max_group).select("grp", "ctx", "a", "b", "left", "bytes"), "passage-rows")
+            if rows.isEmpty():
+                break
     # contexts that occur again repeat all strings of their range
     ends = [F.struct(F.lit(-b).alias("lo"), F.lit(length - a).alias("hi")) for a, b in _ranges(length, gram)]
     full = hits.join(contexts.where("mult > 1").select("ctx"), "ctx", "left_semi").select(
