@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, pii, repeated_passages, url_filter, warc
+from . import ngram_join, piece_sampling, pii, repeated_passages, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_piece_sampling(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_sampling.encode(docs, check_col="lossless")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_ngram_join(spark, sf_dir):
     return ngram_join.near_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -31,5 +43,5 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_piece_sampling, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
 ORACLE = {"op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
