@@ -4,7 +4,7 @@ A text is cut into units (an optional space and the following run of non-blanks,
 the lattice of all vocabulary pieces; characters without a piece of their own become byte pieces. With piece weights
 ``1 / (rank + offset)`` to the power ``alpha`` (the vocabulary file holds merge ranks, not probabilities), the forward pass
 sums the weights of all segmentations up to every position; the backward pass draws, from the end of the unit, the last
-piece in proportion to the weight of the segmentations it ends. So each segmentation has exactly its lattice probability.
+piece in proportion to the weight of the segmentations it ends. So each segmentation has its lattice probability (to 2^-28 per draw).
 Draws are a hash of (seed, row key, unit number, step): equal keys and texts get equal segmentations however the
 rows are partitioned or retried. Forward tables are kept per worker for a bounded number of units; all units of a batch
 are sampled together, one step per round.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import default_tokenizer
 
 UNIT = re.compile(r" ?\S+|\s")
-MAX_UNITS = 300_000          # forward tables that a worker keeps
+MAX_UNITS = 200_000          # forward tables that a worker keeps
 MAX_DRAWS = 1_000_000        # units sampled at once
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -59,25 +59,25 @@ class Pieces:
                 text = piece.replace("▁", " ")
                 self.ids[text] = i
                 self.surface.append(text.encode())
-        self.longest = max(map(len, self.ids))
-
-    def edges(self, unit: str):
-        """Forward pass: per end position the (start, ids, probability that a segmentation up to here ends so)."""
-        n, total, out = len(unit), [0.0], []
-        for j in range(1, n + 1):
-            found = []
-            for i in range(max(0, j - self.longest), j):
-                k = self.ids.get(unit[i:j])
-                if k is not None:
-                    found.append((i, (k,), total[i] + self.log[k]))
-            if unit[j - 1] not in self.ids:
-                ids = tuple(self.byte[b] for b in unit[j - 1].encode("utf-8", "surrogatepass"))
-                found.append((j - 1, ids, total[j - 1] + sum(self.log[k] for k in ids)))
-            top = max(f[2] for f in found)
-            mass = sum(math.exp(f[2] - top) for f in found)
-            total.append(top + math.log(mass))
-            out.append([(i, ids, math.exp(w - total[j])) for i, ids, w in found])
-        return out
+        self.log = np.array(self.log)
+        states, links = {"": 0}, {}
+        for text in self.ids:                           # prefix tree of the pieces
+            for k in range(1, len(text) + 1):
+                if text[:k] not in states:
+                    states[text[:k]] = len(states)
+                    links[states[text[:k - 1]] << 21 | ord(text[k - 1])] = states[text[:k]]
+        self.link = np.array(sorted(links), np.int64)
+        self.next = np.array([links[k] for k in self.link.tolist()], np.int64)
+        self.piece = np.full(len(states), -1, np.int64)
+        for text, i in self.ids.items():
+            self.piece[states[text]] = i
+
+    def step(self, state, char):
+        """Child states, and which exist."""
+        key = state << 21 | char
+        at = np.minimum(np.searchsorted(self.link, key), len(self.link) - 1)
+        found = self.link[at] == key
+        return self.next[at[found]], found
 
 
 @functools.lru_cache(maxsize=4)
@@ -86,46 +86,91 @@ def pieces(model: str, alpha: float, offset: float) -> Pieces:
 
 
 class Sampler:
+    """Edges of all units, by end node: ``cum`` = node + probability that one of the edges so far ends there."""
+
     def __init__(self, vocabulary: Pieces, seed: int):
         self.v, self.seed = vocabulary, np.uint64(seed & (2**64 - 1))
+        self.bytes, self.byte_no = [], {}
         self.reset()
 
     def reset(self):
-        self.units, self.ends, self.bytes, self.byte_no = {}, [], [], {}
-        self.nodes, self.cum, self.prev, self.code, self.starts = 0, [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        self.units, self.nodes = {}, 0
+        self.starts, self.ends = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.cum, self.prev, self.code = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _byte_codes(self, chars):
+        """Code of the byte pieces of characters without a piece, and the weight of the sequence."""
+        different, back = np.unique(chars, return_inverse=True)
+        code, log = np.empty(len(different), np.int64), np.empty(len(different))
+        for k, c in enumerate(different.tolist()):
+            ids = tuple(self.v.byte[b] for b in chr(c).encode("utf-8", "surrogatepass"))
+            if ids not in self.byte_no:
+                self.byte_no[ids] = len(self.bytes)
+                self.bytes.append(ids)
+            code[k], log[k] = -1 - self.byte_no[ids], self.v.log[list(ids)].sum()
+        return code[back], log[back]
 
     def _add(self, units):
-        """Append the forward tables of new units; node numbers run through all units."""
-        cum, prev, code = [], [], []
-        for unit in units:
-            base = self.nodes
-            self.units[unit] = len(self.ends)
-            for j, edges in enumerate(self.v.edges(unit), 1):
-                at = 0.0
-                for k, (i, ids, p) in enumerate(edges):
-                    at = 1.0 if k == len(edges) - 1 else min(at + p, 1.0)
-                    cum.append(base + j + at)
-                    prev.append(base + i)
-                    if len(ids) == 1:
-                        code.append(ids[0])
-                    else:
-                        if ids not in self.byte_no:
-                            self.byte_no[ids] = len(self.bytes)
-                            self.bytes.append(ids)
-                        code.append(-1 - self.byte_no[ids])
-            self.nodes += len(unit) + 1
-            self.starts.append(base)
-            self.ends.append(self.nodes - 1)
-        for name, new, kind in (("cum", cum, float), ("prev", prev, np.int64), ("code", code, np.int64)):
-            setattr(self, name, [np.concatenate([getattr(self, name)[0], np.array(new, kind)])])
+        """Forward pass over new units, all at once: edges by walking the prefix tree, weights position by position."""
+        v, size = self.v, np.fromiter(map(len, units), np.int64, len(units))
+        char = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        unit = np.repeat(np.arange(len(units)), size)
+        left = np.cumsum(size)[unit] - np.arange(len(char))          # characters to the unit's end
+        at, state, k, single, edges = np.arange(len(char)), np.zeros(len(char), np.int64), 0, np.zeros(len(char), bool), []
+        while len(at):
+            state, found = v.step(state, char[at + k])
+            at, k = at[found], k + 1
+            ends = v.piece[state] >= 0
+            i, code = at[ends], v.piece[state[ends]]
+            edges.append((i + unit[i], i + unit[i] + k, code, v.log[code]))
+            if k == 1:
+                single[i] = True
+            more = left[at] > k
+            at, state = at[more], state[more]
+        i = np.flatnonzero(~single)
+        if len(i):
+            edges.append((i + unit[i], i + unit[i] + 1, *self._byte_codes(char[i])))
+        start, end, code, log = (np.concatenate(c) for c in zip(*edges))
+        base = np.concatenate([[0], np.cumsum(size + 1)])
+        which = np.searchsorted(base, end, side="right") - 1
+        level = end - base[which]
+        order = np.lexsort((start, end, level))
+        start, end, code, log, level = (c[order] for c in (start, end, code, log, level))
+        total, p = np.zeros(base[-1]), np.empty(len(start))
+        cut = np.searchsorted(level, np.arange(1, int(size.max()) + 2)) if len(level) else [0]
+        for s, e in zip(cut[:-1], cut[1:]):
+            w = total[start[s:e]] + log[s:e]
+            first = np.flatnonzero(np.concatenate([[True], end[s + 1:e] != end[s:e - 1]]))
+            many = np.diff(np.concatenate([first, [e - s]]))
+            top = np.maximum.reduceat(w, first)
+            x = np.exp(w - np.repeat(top, many))
+            mass = np.add.reduceat(x, first)
+            total[end[s:e][first]] = top + np.log(mass)
+            p[s:e] = x / np.repeat(mass, many)
+        order = np.lexsort((start, end))
+        start, end, code, p = (c[order] for c in (start, end, code, p))
+        first = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+        many = np.diff(np.concatenate([first, [len(end)]]))
+        for r in range(1, int(many.max())):                  # running sums within each node
+            i = first[many > r] + r
+            p[i] += p[i - 1]
+        p = np.minimum(np.round(p * 2.0**28) * 2.0**-28, 1.0)  # sums with node numbers stay exact
+        p[first + many - 1] = 1.0
+        self.units.update(zip(units, range(len(self.ends), len(self.ends) + len(units))))
+        self.cum = np.concatenate([self.cum, end + self.nodes + p])
+        self.prev = np.concatenate([self.prev, (start + self.nodes).astype(np.int32)])
+        self.code = np.concatenate([self.code, code.astype(np.int32)])
+        self.starts = np.concatenate([self.starts, base[:-1] + self.nodes])
+        self.ends = np.concatenate([self.ends, base[1:] - 1 + self.nodes])
+        self.nodes += int(base[-1])
 
     def _draw(self, unit_no, row_seed, index):
-        starts, ends = np.array(self.starts)[unit_no], np.array(self.ends)[unit_no]
-        cum, prev, code = self.cum[0], self.prev[0], self.code[0]
+        starts, ends = self.starts[unit_no], self.ends[unit_no]
+        cum, prev, code = self.cum, self.prev, self.code
         node, live, steps, length, step = ends.copy(), np.arange(len(ends)), [], np.zeros(len(ends), np.int64), 0
         base = _mix(row_seed + index * _G1)
         while len(live):
-            u = (_mix(base[live] + np.uint64(step * int(_G2) % 2**64)) >> np.uint64(11)).astype(float) * 2.0**-53
+            u = (_mix(base[live] + np.uint64(step * int(_G2) % 2**64)) >> np.uint64(36)).astype(float) * 2.0**-28
             e = np.searchsorted(cum, node[live] + u, side="right")
             steps.append((live, code[e]))
             length[live] += 1
@@ -167,7 +212,7 @@ class Sampler:
             self.reset()
         new = dict.fromkeys(u for _, units in chunk for u in units or () if u not in self.units)
         if new:
-            self._add(new)
+            self._add(list(new))
         lookup = self.units.__getitem__
         n = [len(units or ()) for _, units in chunk]
         no = np.fromiter((lookup(u) for _, units in chunk for u in units or ()), np.int64, sum(n))
