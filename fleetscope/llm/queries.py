@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, piece_sampling, pii, repeated_passages, toxicity, url_filter, warc
+from . import line_dedup, ngram_join, piece_sampling, pii, repeated_passages, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
 def op2_piece_sampling(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = piece_sampling.encode(docs, check_col="lossless")
@@ -43,5 +47,5 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_piece_sampling, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
-ORACLE = {"op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_piece_sampling, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
+ORACLE = {"op1_line_dedup": line_dedup.oracle_sql(), "op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
