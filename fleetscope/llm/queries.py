@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, piece_sampling, pii, repeated_passages, toxicity, url_filter, warc
+from . import decontamination, embedding_dedup, line_dedup, ngram_join, piece_sampling, pii, repeated_passages, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_piece_sampling(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_decontamination(spark, sf_dir):
+    found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"), "distance")
+
+
 def op5_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -47,5 +56,5 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_piece_sampling, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_piece_sampling, op3_embedding_dedup, op4_decontamination, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
 ORACLE = {"op1_line_dedup": line_dedup.oracle_sql(), "op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
