@@ -19,18 +19,21 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import default_tokenizer
 
 UNIT = re.compile(r" ?\S+|\s")
-MAX_UNITS = 200_000          # forward tables that a worker keeps
-MAX_DRAWS = 1_000_000        # units sampled at once
+TREE_BITS, DRAW_BITS = 20, 28
+MAX_UNITS = 150_000          # forward tables that a worker keeps
+ROWS = 256                   # rows segmented and sent back at once
+MAX_DRAWS = 250_000        # units sampled at once
 _G1, _G2, _G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -66,17 +69,32 @@ class Pieces:
                 if text[:k] not in states:
                     states[text[:k]] = len(states)
                     links[states[text[:k - 1]] << 21 | ord(text[k - 1])] = states[text[:k]]
-        self.link = np.array(sorted(links), np.int64)
-        self.next = np.array([links[k] for k in self.link.tolist()], np.int64)
+        self.link = np.full(1 << TREE_BITS, -1, np.int64)      # open addressing: (state, character) -> state
+        self.next = np.zeros(1 << TREE_BITS, np.int64)
+        for key, state in links.items():
+            at = int(self._slot(np.array([key]))[0])
+            while self.link[at] >= 0:
+                at = (at + 1) % len(self.link)
+            self.link[at], self.next[at] = key, state
         self.piece = np.full(len(states), -1, np.int64)
         for text, i in self.ids.items():
             self.piece[states[text]] = i
 
+    @staticmethod
+    def _slot(key):
+        return ((key.astype(np.uint64) * _G1) >> np.uint64(64 - TREE_BITS)).astype(np.int64)
+
     def step(self, state, char):
         """Child states, and which exist."""
         key = state << 21 | char
-        at = np.minimum(np.searchsorted(self.link, key), len(self.link) - 1)
-        found = self.link[at] == key
+        at = self._slot(key)
+        got = self.link[at]
+        retry = np.flatnonzero((got != key) & (got >= 0))
+        while len(retry):
+            at[retry] = (at[retry] + 1) % len(self.link)
+            got[retry] = self.link[at[retry]]
+            retry = retry[(got[retry] != key[retry]) & (got[retry] >= 0)]
+        found = got == key
         return self.next[at[found]], found
 
 
@@ -86,7 +104,7 @@ def pieces(model: str, alpha: float, offset: float) -> Pieces:
 
 
 class Sampler:
-    """Edges of all units, by end node: ``cum`` = node + probability that one of the edges so far ends there."""
+    """Edges of all units, by end node; ``cum``: running probability within the node, in units of 2^-DRAW_BITS."""
 
     def __init__(self, vocabulary: Pieces, seed: int):
         self.v, self.seed = vocabulary, np.uint64(seed & (2**64 - 1))
@@ -96,7 +114,7 @@ class Sampler:
     def reset(self):
         self.units, self.nodes = {}, 0
         self.starts, self.ends = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.cum, self.prev, self.code = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.cum, self.prev, self.code, self.first = (np.empty(0, np.int32) for _ in range(4))
 
     def _byte_codes(self, chars):
         """Code of the byte pieces of characters without a piece, and the weight of the sequence."""
@@ -154,10 +172,13 @@ class Sampler:
         for r in range(1, int(many.max())):                  # running sums within each node
             i = first[many > r] + r
             p[i] += p[i - 1]
-        p = np.minimum(np.round(p * 2.0**28) * 2.0**-28, 1.0)  # sums with node numbers stay exact
-        p[first + many - 1] = 1.0
+        cum = np.minimum(np.round(p * 2.0**DRAW_BITS), 2.0**DRAW_BITS).astype(np.int32)
+        cum[first + many - 1] = 1 << DRAW_BITS
+        at = np.zeros(base[-1], np.int32)
+        at[end[first]] = first + len(self.cum)
+        self.first = np.concatenate([self.first, at])
         self.units.update(zip(units, range(len(self.ends), len(self.ends) + len(units))))
-        self.cum = np.concatenate([self.cum, end + self.nodes + p])
+        self.cum = np.concatenate([self.cum, cum])
         self.prev = np.concatenate([self.prev, (start + self.nodes).astype(np.int32)])
         self.code = np.concatenate([self.code, code.astype(np.int32)])
         self.starts = np.concatenate([self.starts, base[:-1] + self.nodes])
@@ -170,8 +191,12 @@ class Sampler:
         node, live, steps, length, step = ends.copy(), np.arange(len(ends)), [], np.zeros(len(ends), np.int64), 0
         base = _mix(row_seed + index * _G1)
         while len(live):
-            u = (_mix(base[live] + np.uint64(step * int(_G2) % 2**64)) >> np.uint64(36)).astype(float) * 2.0**-28
-            e = np.searchsorted(cum, node[live] + u, side="right")
+            u = (_mix(base[live] + np.uint64(step * int(_G2) % 2**64)) >> np.uint64(64 - DRAW_BITS)).astype(np.int32)
+            e = self.first[node[live]]
+            over = np.flatnonzero(cum[e] <= u)
+            while len(over):
+                e[over] += 1
+                over = over[cum[e[over]] <= u[over]]
             steps.append((live, code[e]))
             length[live] += 1
             node[live] = prev[e]
@@ -232,25 +257,31 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", model: str | None
            offset: float = 1000.0, ids_col="ids", check_col: str | None = None) -> DataFrame:
     """``docs`` with the sampled piece ids; ``check_col``: whether they decode to the text."""
     model = model or default_tokenizer()
-    checked = check_col is not None
+    new = [c for c in (ids_col, check_col) if c]
+    kept = [c for c in docs.columns if c not in new]
+    at = kept.index(text_col)
 
-    def sample(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         v = pieces(model, alpha, offset)
         sampler = Sampler(v, seed)
-        for keys, texts in batches:
-            texts = [t if isinstance(t, str) else None for t in texts]
-            ids = sampler([int(k) for k in keys], texts)
-            same = [i is None or not checked or decode_ids(i.tolist(), v.surface) == t for i, t in zip(ids, texts)]
-            yield pd.DataFrame({"ids": ids, "same": same})
-
-    sample.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    drawn = F.pandas_udf(sample, "struct<ids:array<int>,same:boolean>")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
-    out = docs.withColumn("__s", drawn(key, F.col(text_col)))
-    out = out.withColumn(ids_col, F.when(F.col(text_col).isNotNull(), F.col("__s.ids")))
-    if checked:
-        out = out.withColumn(check_col, F.col("__s.same"))
-    return out.drop("__s")
+        for batch in batches:
+            for s in range(0, batch.num_rows, ROWS):         # small batches go back: ids outweigh the texts
+                part = batch.slice(s, ROWS)
+                texts = part.column(at).to_pylist()
+                ids = sampler(part.column(len(kept)).to_pylist(), texts)
+                missing = np.array([i is None for i in ids])
+                size = np.concatenate([[0], np.cumsum([0 if i is None else len(i) for i in ids])]).astype(np.int32)
+                flat = np.concatenate([i for i in ids if i is not None]) if not missing.all() else np.empty(0, np.int32)
+                out = [pa.ListArray.from_arrays(pa.array(size), pa.array(flat), mask=pa.array(missing))]
+                if check_col:
+                    out.append(pa.array([i is None or decode_ids(i.tolist(), v.surface) == t for i, t in zip(ids, texts)]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *out], names=[*kept, *new])
+
+    rows = docs.select(*kept, F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__key"))
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    if check_col:
+        schema = schema.add(check_col, T.BooleanType())
+    return rows.mapInArrow(run, schema).select(*docs.columns, *[c for c in new if c not in docs.columns])
 
 
 def decode(rows: DataFrame, ids_col="ids", text_col="text", model: str | None = None) -> DataFrame:
