@@ -47,7 +47,7 @@ WORDS, THRESHOLD = 5, 80
 HOT_GRAMS = 200_000        # size of the table that orders the most frequent grams (the order never changes a result)
 LOCAL_GRAMS = 2_000_000    # counted grams that a task holds at most between merges
 BLOCK = 128
-SKETCH_BITS = 4096
+SKETCH_BITS, FOLDED_BITS = 4096, 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -215,12 +215,14 @@ def _cross_pairs(threshold: int, block: int):
     """Of rows sorted by gram, size and position (with components): pairs of different components that the bounds allow."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
 
-    def ordered(ids, n, u, v):
+    def ordered(ids, n, sketch, u, v):
+        keep = _most(sketch[u], sketch[v], n[u], n[v]) >= _needed(n[u], n[v], threshold)
+        u, v = u[keep], v[keep]
         swap = ids[u] > ids[v]
         u, v = np.where(swap, v, u), np.where(swap, u, v)
         return np.stack([ids[u], ids[v], n[u], n[v]])
 
-    def short(gram, ids, n, pos, comp):
+    def short(gram, ids, n, pos, comp, sketch):
         """All lists of at most block rows at once: each row against the one d rows further."""
         n, pos, ids = n.astype(np.int64), pos.astype(np.int64), ids.astype(np.int64)
         for d in range(1, len(ids)):
@@ -232,9 +234,9 @@ def _cross_pairs(threshold: int, block: int):
                   & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= _needed(n[x], n[y], threshold)))
             u = np.flatnonzero(ok)
             if len(u):
-                yield ordered(ids, n, u, u + d)
+                yield ordered(ids, n, sketch, u, u + d)
 
-    def blocks(ids, n, pos, comp):
+    def blocks(ids, n, pos, comp, sketch):
         ids, n, pos, comp = (c.astype(np.int64) for c in (ids, n, pos, comp))
         starts = range(0, len(ids), block)
         lo_n, hi_n = n[::block], [int(n[min(s + block, len(n)) - 1]) for s in starts]
@@ -254,7 +256,7 @@ def _cross_pairs(threshold: int, block: int):
                     ok = np.triu(ok, 1)
                 u, v = np.nonzero(ok)
                 if len(u):
-                    yield ordered(ids, n, u + s, v + j * block)
+                    yield ordered(ids, n, sketch, u + s, v + j * block)
 
     def run(batches):
         done, held = [], None
@@ -276,6 +278,7 @@ def _cross_pairs(threshold: int, block: int):
             if not batch.num_rows:
                 continue
             a = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "set_id", "n", "pos", "comp")]
+            a.append(np.frombuffer(b"".join(batch.column("folded").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             if held is not None:
                 a = [np.concatenate([h, c]) for h, c in zip(held, a)]
             last = int(np.searchsorted(a[0], a[0][-1]))
@@ -310,7 +313,7 @@ def _overlaps(words: int):
 
 
 def _sketched(words: int):
-    """(set_id, text, sketch): which of SKETCH_BITS hash buckets hold a gram of the set."""
+    """(set_id, text, sketch, folded): which of SKETCH_BITS (FOLDED_BITS) hash buckets hold a gram of the set."""
     def run(batches):
         grams = Grams(words)
         for batch in batches:
@@ -318,12 +321,19 @@ def _sketched(words: int):
             for text in _utf8(batch.column("text")):
                 bits = np.zeros(SKETCH_BITS, bool)
                 bits[grams(text) % np.uint64(SKETCH_BITS)] = True
-                out.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("text"), pa.array(out, pa.binary())],
-                                             names=["set_id", "text", "sketch"])
+                out.append((np.packbits(bits).tobytes(), np.packbits(bits.reshape(-1, FOLDED_BITS).any(axis=0)).tobytes()))
+            full, folded = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("text"), pa.array(full, pa.binary()), pa.array(folded, pa.binary())],
+                                             names=["set_id", "text", "sketch", "folded"])
     return run
 
 
+def _most(a, b, n_a, n_b):
+    """Upper bound of the overlap of sets with these sketches (rows of uint8 or uint64) and sizes."""
+    return np.minimum(n_a - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
+                      n_b - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+
+
 def _possible(threshold: int):
     """Pairs whose sketches allow a link: every bucket that only one set fills holds a gram the other lacks."""
     def run(batches):
@@ -333,9 +343,7 @@ def _possible(threshold: int):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                     for c in ("sketch_a", "sketch_b"))
             n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_a", "n_b"))
-            most = np.minimum(n_a - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
-                              n_b - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-            keep = pa.array(most >= _needed(n_a, n_b, threshold))
+            keep = pa.array(_most(a, b, n_a, n_b) >= _needed(n_a, n_b, threshold))
             yield batch.select(["a", "b", "n_a", "n_b"]).filter(keep)
     return run
 
@@ -421,14 +429,15 @@ def join_classes(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
     texts = rows.alias("d").join(w, same).select("w.set_id", "d.text")
     if not member.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["set_id"])                   # rows repeated with id and text
-    texts = stage(texts.mapInArrow(_sketched(words), "set_id long, text string, sketch binary"), "ngram-texts")
+    texts = stage(texts.mapInArrow(_sketched(words), "set_id long, text string, sketch binary, folded binary"), "ngram-texts")
     checked = stage(verify(_leader_pairs(shared, threshold), texts, words), "ngram-leaders")
     links = checked.where(linked(threshold))
     comp = stage(components(links), "ngram-comp")
     rest = shared.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
         "comp", F.coalesce("component_id", "set_id")).drop("component_id")
     mixed = rest.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    cross = stage(rest.join(mixed, "gram").repartition(parts(spark), "gram").sortWithinPartitions("gram", "n", "pos")
+    rest = rest.join(mixed, "gram").join(texts.select("set_id", "folded"), "set_id").select("gram", "set_id", "n", "pos", "comp", "folded")
+    cross = stage(rest.repartition(parts(spark), "gram").sortWithinPartitions("gram", "n", "pos")
                   .mapInArrow(_cross_pairs(threshold, block), "a long, b long, n_a int, n_b int").distinct(), "ngram-cross")
     both = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     bounds = stage(_derive(cross.join(both, ["a", "b"], "left_anti"), checked, threshold), "ngram-bounds")
