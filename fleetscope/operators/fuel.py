@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import EWM_SPAN, FUEL_FEATURES_DASHBOARD, FUEL_FEATURES_SCRIPT
 from ..functions.expressions import stable_hash_key
 from ..sources.telemetry import quality_gate
+from ..session import materialize
+from .quantiles import exact_quantiles
 from .ordered import (CHUNK, attach_key_info, ewm, previous_and_running, previous_value, running_sum,
                       stage_chunks)
 from .sessions import KEYS, ORDER, stage_readings
@@ -75,9 +77,9 @@ def fuel_overview(smoothed: DataFrame) -> DataFrame:
 def fuel_stats(smoothed: DataFrame) -> DataFrame:
     """Mean, sample std, 25th and 75th percentile of the smoothed delta per vehicle."""
     x = F.col("fuel_delta_smooth")
-    return smoothed.groupBy("ident").agg(
-        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"))
+    smoothed = materialize(smoothed.select("ident", x))        # read by several aggregates
+    spread = smoothed.groupBy("ident").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    return spread.join(exact_quantiles(smoothed, ["ident"], "fuel_delta_smooth", {"q25": 0.25, "q75": 0.75}), "ident", "left")
 
 
 def fuel_series(smoothed: DataFrame) -> DataFrame:

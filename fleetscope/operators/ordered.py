@@ -20,6 +20,8 @@ All helpers keep the input columns and add their outputs; they never collect.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,18 +171,53 @@ def attach_key_info(rows: DataFrame, table: DataFrame, keys: list[str], cols: li
     return rows.join(info, [*keys, chunk], "left")
 
 
+def _affine_scan(maps: DataFrame, keys: list[str], idx: str, start: str, fan: int = 256) -> DataFrame:
+    """Scan of affine maps s -> a s + l (columns ``__a``, ``__l``) per key in the order of ``idx`` (0, 1, ...).
+
+    Adds ``__sprev``: the state before each map, beginning with ``start`` (the same on all rows of a key).
+    Maps are combined ``fan`` at a time; the combined maps are scanned the same way, so no list is longer than
+    ``fan`` and the result is exact for every ``a``, whatever the length of the series.
+    """
+    last = maps.agg(F.max(idx)).first()[0]
+    if last is None:
+        return maps.withColumn("__sprev", F.lit(None).cast("double"))
+    g = maps.withColumn("__g", F.floor(F.col(idx) / fan).cast("long"))
+    lists = g.groupBy(*keys, "__g").agg(
+        F.array_sort(F.collect_list(F.struct(idx, "__a", "__l"))).alias("__m"), F.first(start).alias(start))
+    # prefix[i]: the first i maps of the list as one map
+    prefix = F.aggregate(
+        "__m", F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("l"))),
+        lambda acc, m: F.concat(acc, F.array(F.struct((m["__a"] * F.element_at(acc, -1)["a"]).alias("a"),
+                                                      (m["__a"] * F.element_at(acc, -1)["l"] + m["__l"]).alias("l")))))
+    lists = lists.withColumn("__p", prefix)
+    if last >= fan:
+        whole = F.element_at("__p", -1)
+        upper = lists.select(*keys, F.col("__g").alias(idx), start, whole["a"].alias("__a"), whole["l"].alias("__l"))
+        states = _affine_scan(upper, keys, idx, start, fan).select(*keys, F.col(idx).alias("__g"), F.col("__sprev").alias("__s0"))
+        lists = lists.join(states, [*keys, "__g"])
+    else:
+        lists = lists.withColumn("__s0", F.col(start))
+    states = lists.select(*keys, "__s0", F.posexplode("__m").alias("__i", "__x"), "__p")
+    states = states.select(*keys, F.col(f"__x.{idx}").alias(idx),
+                           (F.col("__p")[F.col("__i")]["a"] * F.col("__s0") + F.col("__p")[F.col("__i")]["l"]).alias("__sprev"))
+    return maps.join(states, [*keys, idx])
+
+
 def ewm(df: DataFrame, keys: list[str], order: list[str], x: str, alpha: float, name: str,
-        chunk: str = CHUNK, block: int = 256, horizon: int = 1100) -> DataFrame:
+        chunk: str = CHUNK, block: int = 256) -> DataFrame:
     """Exponentially weighted mean with ``adjust=False`` per key in scan order.
 
     y_0 = x_0, y_t = (1 - alpha) y_{t-1} + alpha x_t. Equivalently the scan
     starts from the state x_0 and every row applies s -> q s + alpha x with
     q = 1 - alpha. Rows are cut into blocks of at most ``block`` rows inside a
-    chunk; a block is the affine map s -> q^m s + L. Block maps are combined
-    over the preceding ``horizon`` rows (older rows weigh less than q^horizon,
-    far below double precision), so nothing unbounded is gathered.
+    chunk (fewer where q^-block would leave double range); a block is the
+    affine map s -> q^m s + L. Block maps are combined in levels of 256, so
+    every ``alpha`` is exact and nothing unbounded is gathered.
     """
     q = 1.0 - alpha
+    if q <= 0.0:                                       # span 1: no memory
+        return df.withColumn(name, F.col(x).cast("double"))
+    block = max(1, min(block, int(100 / max(-math.log10(q), 1e-9))))
     w = _chunk_window(keys, chunk, order)
     d = (df.withColumn("__j", F.row_number().over(w) - 1)
            .withColumn("__sb", F.floor(F.col("__j") / block).cast("long"))
@@ -193,16 +230,12 @@ def ewm(df: DataFrame, keys: list[str], order: list[str], x: str, alpha: float,
         F.min_by(F.col(x), F.col("__jl")).alias("__xfirst"))
     bw = Window.partitionBy(*keys).orderBy(chunk, "__sb")
     blocks = (blocks
-              .withColumn("__L", F.col("__S") * F.pow(F.lit(q), F.col("__m") - 1))
-              .withColumn("__M", F.sum("__m").over(bw.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("__x0", F.first("__xfirst").over(bw.rowsBetween(Window.unboundedPreceding, 0))))
-    rw = Window.partitionBy(*keys).orderBy("__M").rangeBetween(-horizon, 0)
-    recent = F.collect_list(F.struct("__M", "__L")).over(rw)
-    s_end = (F.col("__x0") * F.pow(F.lit(q), F.col("__M"))
-             + F.aggregate(recent, F.lit(0.0),
-                           lambda acc, e: acc + e["__L"] * F.pow(F.lit(q), F.col("__M") - e["__M"])))
-    blocks = blocks.withColumn("__send", s_end)
-    blocks = blocks.withColumn("__sprev", F.coalesce(F.lag("__send").over(bw), F.col("__x0")))
+              .withColumn("__l", F.col("__S") * F.pow(F.lit(q), F.col("__m") - 1))
+              .withColumn("__a", F.pow(F.lit(q), F.col("__m")))
+              .withColumn("__idx", F.row_number().over(bw).cast("long") - 1)
+              .withColumn("__x0", F.first("__xfirst").over(bw.rowsBetween(Window.unboundedPreceding, 0)))
+              .select(*keys, chunk, "__sb", "__idx", "__a", "__l", "__x0"))
+    blocks = _affine_scan(blocks, keys, "__idx", "__x0")
     carry = (blocks.groupBy(*keys, chunk)
                    .agg(F.array_sort(F.collect_list(F.struct("__sb", "__sprev"))).alias("__carry")))
     lw = Window.partitionBy(*keys, chunk, "__sb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

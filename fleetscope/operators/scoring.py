@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from ..functions.constants import (BEHAVIOURS, CATEGORY_WEIGHTS, HOUR_MULTIPLIERS, SESSION_MULTIPLIERS,
                                    STYLE_QUANTILES)
 from ..functions.expressions import _map_sql
@@ -43,13 +44,9 @@ def normalise_scores(scores: DataFrame) -> DataFrame:
 
 
 def style_cutpoints(scored: DataFrame, quantiles=STYLE_QUANTILES) -> DataFrame:
-    """P5: exact fleet quantiles (linear interpolation) of the final score; one row.
-
-    ``percentile`` keeps a value->count map per task and merges partials, so it
-    holds at most one entry per vehicle, never the readings.
-    """
-    q = scored.agg(F.percentile("punteggio_finale", F.array(*[F.lit(x) for x in quantiles])).alias("_q"))
-    return q.select(F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"))
+    """P5: exact fleet quantiles (linear interpolation) of the final score; one row (nulls without scores)."""
+    q = exact_quantiles(scored, [], "punteggio_finale", {"q1": quantiles[0], "q2": quantiles[1]})
+    return q.agg(F.max("q1").alias("q1"), F.max("q2").alias("q2"))
 
 
 def assign_style(scored: DataFrame, cuts: DataFrame) -> DataFrame:

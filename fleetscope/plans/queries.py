@@ -68,8 +68,9 @@ def q_session_features(spark, sf_dir):
 from ..operators import fuel as FU  # noqa: E402
 
 FUEL_SQL = (S.TELEMETRY, S.fuel_ctes())
-DASH_LIMIT = 10000          # rows per vehicle of the dashboard (its default page size)
-DASH_SQL = (S.TELEMETRY, S.fuel_ctes(dashboard=True, limit=DASH_LIMIT))
+DASH_LIMIT = 10000          # the ordered limit of fuel_limit alone (default page size); reports read all rows
+DASH_SQL = (S.TELEMETRY, S.fuel_ctes(dashboard=True))
+LIMIT_SQL = (S.TELEMETRY, S.fuel_ctes(dashboard=True, limit=DASH_LIMIT))
 FLEET_VEHICLE = "V7"        # the single-vehicle scan (S2) of the fuel script
 
 
@@ -104,10 +105,10 @@ def q_fuel_scan_vehicle(spark, sf_dir):
           "SELECT ident, id, timestamp, fuel_delta, fuel_delta_smooth FROM fuel_s"),
           doubles=["fuel_delta", "fuel_delta_smooth"])
 def q_fuel_series(spark, sf_dir):
-    return FU.fuel_series(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_series(_fuel(spark, sf_dir, dashboard=True))
 
 
-@register("fuel_limit", sql=S.with_ctes(*DASH_SQL, select="SELECT ident, id, timestamp FROM fuel_lim"))
+@register("fuel_limit", sql=S.with_ctes(*LIMIT_SQL, select="SELECT ident, id, timestamp FROM fuel_lim"))
 def q_fuel_limit(spark, sf_dir):
     from ..operators.sessions import stage_readings
     staged = stage_readings(FU.fuel_input(load_telemetry(spark, sf_dir), dashboard=True))
@@ -119,7 +120,7 @@ SELECT ident, count(*) AS records, avg(fuel_delta) AS avg_fuel_delta, avg(positi
   avg(can_engine_rpm) AS avg_rpm, avg(battery_voltage) AS avg_voltage FROM fuel_s GROUP BY ident"""),
           doubles=["avg_fuel_delta", "avg_speed", "avg_rpm", "avg_voltage"])
 def q_fuel_overview(spark, sf_dir):
-    return FU.fuel_overview(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_overview(_fuel(spark, sf_dir, dashboard=True))
 
 
 @register("fuel_stats", sql=S.with_ctes(*DASH_SQL, select="""
@@ -127,7 +128,7 @@ SELECT ident, avg(fuel_delta_smooth) AS mean, stddev_samp(fuel_delta_smooth) AS
   quantile_cont(fuel_delta_smooth, 0.25) AS q25, quantile_cont(fuel_delta_smooth, 0.75) AS q75
 FROM fuel_s GROUP BY ident"""), doubles=["mean", "std", "q25", "q75"])
 def q_fuel_stats(spark, sf_dir):
-    return FU.fuel_stats(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_stats(_fuel(spark, sf_dir, dashboard=True))
 
 
 @register("fuel_preview", sql=S.with_ctes(*DASH_SQL, select="""
@@ -135,7 +136,7 @@ SELECT ident, id, timestamp, battery_voltage, can_engine_rpm, position_speed, fu
 FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY timestamp, id) AS rk FROM fuel_s) WHERE rk <= 10"""),
           doubles=["battery_voltage", "position_speed", "fuel_delta", "fuel_delta_smooth"])
 def q_fuel_preview(spark, sf_dir):
-    return FU.fuel_preview(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_preview(_fuel(spark, sf_dir, dashboard=True))
 
 
 @register("fuel_scatter_sample", sql=S.with_ctes(*DASH_SQL, select="""
@@ -143,7 +144,7 @@ SELECT ident, id, position_speed, fuel_delta_smooth, can_engine_rpm
 FROM (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY md5(concat('42', '|', CAST(id AS VARCHAR))), id) AS rk
       FROM fuel_s) WHERE rk <= 1000"""), doubles=["position_speed", "fuel_delta_smooth"])
 def q_fuel_scatter_sample(spark, sf_dir):
-    return FU.fuel_scatter_sample(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_scatter_sample(_fuel(spark, sf_dir, dashboard=True))
 
 
 @register("fuel_histogram", sql=S.with_ctes(*DASH_SQL, """
@@ -155,7 +156,7 @@ binned AS (
 SELECT ident, bin, lo + bin * ((hi - lo) / 50) AS bin_start, lo + (bin + 1) * ((hi - lo) / 50) AS bin_end, count(*) AS count
 FROM binned GROUP BY ident, bin, lo, hi"""), doubles=["bin_start", "bin_end"])
 def q_fuel_histogram(spark, sf_dir):
-    return FU.fuel_histogram(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_histogram(_fuel(spark, sf_dir, dashboard=True))
 
 
 @register("fuel_training_set", sql=S.with_ctes(*DASH_SQL, select="""
@@ -165,7 +166,7 @@ FROM fuel_s WHERE battery_voltage IS NOT NULL AND can_engine_rpm IS NOT NULL AND
   AND position_speed IS NOT NULL AND vehicle_mileage IS NOT NULL AND fuel_delta_smooth IS NOT NULL"""),
           doubles=["battery_voltage", "position_speed", "vehicle_mileage", "fuel_delta_smooth"])
 def q_fuel_training_set(spark, sf_dir):
-    return FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    return FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True))
 
 
 @register("fuel_training_set_script", sql=S.with_ctes(*FUEL_SQL, select="""
@@ -513,7 +514,7 @@ FUEL_SPLIT_SQL = (*DASH_SQL, FUEL_SET_CTE, S.split_ctes("fuel_set", "id", None,
 
 def _fuel_split(spark, sf_dir):
     from ..session import materialize
-    ts = FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT))
+    ts = FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True))
     return materialize(MO.hash_split(materialize(ts), "id", stratify=False))
 
 
@@ -686,7 +687,7 @@ def _fuel_models(spark, sf_dir):
     key = ("fuel", id(spark), sf_dir)
     if key not in _FITTED:
         from ..session import materialize
-        ts = materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True, limit=DASH_LIMIT)))
+        ts = materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True)))
         _FITTED[key] = ML.train_fuel_models(ts)
     return _FITTED[key]
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import SESSION_FEATURES
+from ..operators.quantiles import exact_quantiles
 
 
 def fleet_report(valid: DataFrame, styles: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -78,10 +79,9 @@ def style_distribution(sessions: DataFrame) -> DataFrame:
 def speed_box_by_style(sessions: DataFrame) -> DataFrame:
     """Box-plot numbers of ``avg_speed`` per label."""
     x = F.col("avg_speed")
-    return sessions.groupBy("stile_guida").agg(
-        F.min(x).alias("min"), F.percentile(x, F.lit(0.25)).alias("q1"),
-        F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("q3"),
-        F.max(x).alias("max"))
+    ends = sessions.groupBy("stile_guida").agg(F.min(x).alias("min"), F.max(x).alias("max"))
+    q = exact_quantiles(sessions, ["stile_guida"], "avg_speed", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return ends.join(q, "stile_guida", "left").select("stile_guida", "min", "q1", "median", "q3", "max")
 
 
 def session_preview(sessions: DataFrame, n: int = 10) -> DataFrame:

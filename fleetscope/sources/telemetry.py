@@ -142,14 +142,23 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     ``num_partitions`` range queries run by the executors, each streaming with
     the same fetch size. Credentials come from ``options`` (never from code).
     """
-    r = spark.read.format("jdbc").option("url", url).option("fetchsize", str(fetch_size))
-    r = r.option("dbtable", table) if table else r.option("query", query)
+    made = jdbc_options(url, table, query, partition_column, lower_bound, upper_bound, num_partitions, fetch_size)
+    return spark.read.format("jdbc").options(**made, **(options or {})).load()
+
+
+def jdbc_options(url: str, table: str | None = None, query: str | None = None, partition_column: str | None = None,
+                 lower_bound: int | None = None, upper_bound: int | None = None, num_partitions: int | None = None,
+                 fetch_size: int = 10000) -> dict[str, str]:
+    """Reader options of ``read_jdbc``. A query is passed as a subquery table, which Spark can partition."""
+    if (table is None) == (query is None):
+        raise ValueError("give either table or query")
+    out = {"url": url, "fetchsize": str(fetch_size), "dbtable": table if table else f"({query}) AS q"}
     if partition_column:
-        r = (r.option("partitionColumn", partition_column).option("lowerBound", str(lower_bound))
-              .option("upperBound", str(upper_bound)).option("numPartitions", str(num_partitions)))
-    for k, v in (options or {}).items():
-        r = r.option(k, v)
-    return r.load()
+        bounds = {"lowerBound": lower_bound, "upperBound": upper_bound, "numPartitions": num_partitions}
+        if None in bounds.values():
+            raise ValueError("partition_column needs lower_bound, upper_bound and num_partitions")
+        out |= {"partitionColumn": partition_column, **{k: str(v) for k, v in bounds.items()}}
+    return out
 
 
 def with_parsed_timestamp(df: DataFrame, col: str = "timestamp") -> DataFrame:
@@ -237,11 +246,14 @@ def update_by_key(target: DataFrame, updates: DataFrame, key: str | list[str],
     A left join on the key, then ``matched ? new : old``. The updates side is a
     per-key table; AQE turns the join into a broadcast when its runtime size is
     under the threshold and keeps a (skew-split) sort-merge join otherwise.
+    Repeated keys in ``updates`` never multiply target rows: the row with the
+    largest new values (compared column by column) is applied.
     """
     keys = [key] if isinstance(key, str) else list(key)
     target = ensure_columns(target, {c: updates.schema[c].dataType.simpleString() for c in columns})
-    upd = updates.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns],
-                         F.lit(True).alias("__matched"))
+    one = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("__new"))
+    upd = one.select(*keys, *[F.col(f"__new.{c}").alias(f"__new_{c}") for c in columns],
+                     F.lit(True).alias("__matched"))
     joined = target.join(upd, keys, "left")
     out = joined
     for c in columns:

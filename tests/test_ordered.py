@@ -109,3 +109,41 @@ def test_attach_key_info_keeps_rows_and_partitioning(spark):
         if "Exchange" in line:
             below = lines[i + 1:i + 4]
             assert not any("Scan ExistingRDD" in b and "id#" in b for b in below), lines
+
+
+def _sequential(xs, alpha):
+    out, y = [], None
+    for v in xs:
+        y = v if y is None else (1 - alpha) * y + alpha * v
+        out.append(y)
+    return out
+
+
+def test_ewm_any_span_and_sparse_chunks(spark):
+    rnd = np.random.default_rng(9)
+    n = 10_500
+    xs = np.where(np.arange(n) < n // 2, 1.0, 100.0) + rnd.random(n)       # a level step
+    rows = [("a", i, float(i), float(xs[i])) for i in range(n)] + [("s", n + i, i * 4000.0, 2.0 + i % 5) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, id long, ts double, x double")
+    df = stage_chunks(df.withColumn("_chunk", F.floor(F.col("ts") / 3600).cast("long")), ["k"], ["ts", "id"])
+    for span in (1, 2, 20, 200, 1000):
+        alpha = 2 / (span + 1)
+        got = {r["id"]: r["y"] for r in ewm(df, ["k"], ["ts", "id"], "x", alpha, "y").select("id", "y").collect()}
+        want = _sequential(xs, alpha) + _sequential([2.0 + i % 5 for i in range(700)], alpha)
+        worst = max(abs(got[i] - w) / max(1.0, abs(w)) for i, w in enumerate(want))
+        assert worst <= 1e-12, (span, worst)
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from fleetscope.operators.quantiles import exact_quantiles
+    rnd = np.random.default_rng(11)
+    rows = ([("big", float(v)) for v in rnd.lognormal(size=5000)] + [("ties", float(i % 3)) for i in range(700)]
+            + [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)])
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.33, "d": 0.66, "e": 1.0}
+    for keys in (["k"], []):
+        want = {tuple(r[k] for k in keys): [r[c] for c in probs] for r in df.where("x is not null").groupBy(*keys).agg(
+            *[F.percentile("x", F.lit(p)).alias(c) for c, p in probs.items()]).collect()}
+        got = {tuple(r[k] for k in keys): [r[c] for c in probs] for r in exact_quantiles(df, keys, "x", probs).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(a - b) <= 1e-12 * max(1, abs(b)) for k in want for a, b in zip(got[k], want[k]))
