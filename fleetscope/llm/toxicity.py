@@ -119,11 +119,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories, id_col, text_c
             .dropDuplicates(["__id"])
             .select("__id", *[f"__y{i}" for i in range(len(categories))],
                     F.pandas_udf(hashed, "array<int>")("__text").alias("f"), F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).alias("fold"))
-            .toPandas().sort_values("__id"))
-    f = [np.asarray(x, np.int32) for x in rows["f"]]
-    start = np.concatenate([[0], np.cumsum([len(x) for x in f])]).astype(np.int64)
-    idx = np.concatenate(f) if f else np.empty(0, np.int32)
-    return idx, start, rows[[f"__y{i}" for i in range(len(categories))]].to_numpy(float), rows["fold"].to_numpy(int)
+            .toArrow())                                         # flat buffers, at most max_fit_rows rows
+    order = np.argsort(rows.column("__id").to_numpy(), kind="stable")
+    f = rows.column("f").combine_chunks()
+    offsets, values = f.offsets.to_numpy(), f.values.to_numpy(zero_copy_only=False)
+    size = np.diff(offsets)[order]
+    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    idx = np.empty(int(start[-1]), np.int32)
+    for i, k in enumerate(order):
+        idx[start[i]:start[i + 1]] = values[offsets[k]:offsets[k + 1]]
+    y = np.column_stack([rows.column(f"__y{i}").to_numpy()[order] for i in range(len(categories))])
+    return idx, start, y, rows.column("fold").to_numpy()[order].astype(int)
 
 
 def _fit_tasks(spark, data, extra, y):
@@ -141,6 +147,7 @@ def _fit_tasks(spark, data, extra, y):
                 w, v, b = fit(np.concatenate(part) if part else idx[:0], at, extra[use], y[use])
                 yield pd.DataFrame({"k": [k], "w": [w.tobytes()], "v": [v.tobytes()], "b": [b]})
     got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(run, "k long, w binary, v binary, b double").collect()
+    sent.destroy()
     return {r.k: (np.frombuffer(r.w, np.float32), np.frombuffer(r.v, float), r.b) for r in got}
 
 
