@@ -57,28 +57,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Known(dict):
-    """Hash of a word, kept once computed."""
-
-    def __missing__(self, word):
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_CODES = _mix(np.arange(1, 257, dtype=np.uint64))    # of a byte; A-Z as a-z, the six blanks 0
+_CODES[65:91] = _CODES[97:123]
+_CODES[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """Hash of every word: the sum over its bytes of the byte's code times an odd number for the place, mixed."""
+    codes = _CODES[np.frombuffer(text, np.uint8)]
+    inside = codes != 0
+    starts = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+    if len(codes) and inside[0]:
+        starts = np.r_[0, starts]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    codes, starts = codes[starts[0]:], starts - starts[0]
+    length = np.diff(starts, append=len(codes))
+    place = np.arange(len(codes)) - np.repeat(starts, length)
+    odd = _mix(np.arange(1, length.max() + 1, dtype=np.uint64)) | np.uint64(1)
+    return _mix(np.add.reduceat(codes * odd[place], starts))
 
 
 class Grams:
-    """Sorted distinct gram hashes of a text (UTF-8 bytes); word hashes are kept between calls (a bounded number)."""
+    """Sorted distinct gram hashes of a text (UTF-8 bytes)."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, _Known()
+        self.words = words
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        tokens = (text or b"").lower().split()          # bytes: A-Z only, and the six blanks above
-        if not tokens:
-            return np.empty(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known.clear()
-        h = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
-        k = self.words
+        h, k = _word_hashes(text or b""), self.words
+        if not len(h):
+            return h
         if len(h) < k:
             out = _mix(h[:1] + np.uint64(len(h)))
             for x in h[1:]:
@@ -88,7 +97,8 @@ class Grams:
         out = _mix(h[:n])
         for i in range(1, k):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
-        return np.unique(out)
+        out.sort()
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def _utf8(column) -> list:
@@ -148,11 +158,14 @@ def _survey(words: int):
     return run
 
 
-def _rank(g: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _first(g: np.ndarray, p: int, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """First ``p`` of the sorted grams ``g`` in the global order: by hash, but those in ``hot`` last, by rank."""
     if not len(hot):
-        return np.arange(len(g))
+        return g[:p]
     at = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
-    return np.argsort(np.where(hot[at] == g, rank[at], -1), kind="stable")       # g is sorted by hash already
+    late = hot[at] == g
+    cold = g[~late][:p]
+    return cold if len(cold) == p else np.r_[cold, g[late][np.argsort(rank[at[late]])[:p - len(cold)]]]
 
 
 def _postings(words: int, threshold: int, hot):
@@ -171,7 +184,7 @@ def _postings(words: int, threshold: int, hot):
                 seen.add(s)
                 n = len(g)
                 p = n - -(-threshold * n // 100) + 1
-                cols[0].append(g[_rank(g, tokens, rank)[:p]].view(np.int64))
+                cols[0].append(_first(g, p, tokens, rank).view(np.int64))
                 cols[1].append(np.full(p, s, np.int64))
                 cols[2].append(np.full(p, n, np.int32))
                 cols[3].append(np.arange(p, dtype=np.int32))
@@ -320,7 +333,7 @@ def _sketched(words: int):
             out = []
             for text in _utf8(batch.column("text")):
                 bits = np.zeros(SKETCH_BITS, bool)
-                bits[grams(text) % np.uint64(SKETCH_BITS)] = True
+                bits[grams(text) & np.uint64(SKETCH_BITS - 1)] = True
                 out.append((np.packbits(bits).tobytes(), np.packbits(bits.reshape(-1, FOLDED_BITS).any(axis=0)).tobytes()))
             full, folded = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("set_id"), batch.column("text"), pa.array(full, pa.binary()), pa.array(folded, pa.binary())],
