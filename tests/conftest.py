@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,8 +15,6 @@ SF001 = "/root/testdata/sf0.01"
 def spark():
     from fleetscope.session import get_spark
     s = get_spark("local[*]", 8, app_name="fleetscope-tests", extra={"spark.driver.memory": "4g"})
-    if not s.conf.get("spark.checkpoint.dir", None):      # tests only: the cluster names its own
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetscope-test-ckpt-"))
     yield s
 
 
