@@ -17,6 +17,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (Imputer, IndexToString, RobustScaler, StringIndexer, UnivariateFeatureSelector,
                                 VectorAssembler, VectorSlicer)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -157,6 +158,30 @@ def style_predictions(res: StyleResult, name: str | None = None) -> DataFrame:
                                       F.col("_pred_label").cast("int").alias("prediction"))
 
 
+def style_probabilities(res: StyleResult, name: str | None = None) -> DataFrame:
+    """One row per test session and class (``session_key, y, prediction, cls, probability``); a session's rows sum to 1.
+
+    Forests and logistic regression give their own probabilities. One-vs-rest
+    models give one margin per class: its logistic value (of twice the margin
+    for boosting, whose loss is defined on it) divided by the sum over the classes.
+    """
+    name = name or res.best_name
+    model = res.models[name]
+    pred = model.transform(res.test)
+    if "probability" in pred.columns:
+        p = vector_to_array("probability")
+    else:
+        scale = 2.0 if name == "Gradient Boosting" else 1.0
+        one = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-scale * m)))
+        total = F.aggregate(one, F.lit(0.0), lambda a, x: a + x)
+        p = F.transform(one, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(one)))
+    label = F.array(*[F.lit(int(x)) for x in res.labels])
+    return (pred.select("session_key", F.col("stile_guida").cast("int").alias("y"),
+                        F.element_at(label, F.col("prediction").cast("int") + 1).alias("prediction"),
+                        F.posexplode(p).alias("_at", "probability"))
+            .select("session_key", "y", "prediction", F.element_at(label, F.col("_at") + 1).alias("cls"), "probability"))
+
+
 def style_model_scores(res: StyleResult) -> DataFrame:
     """R16 + M14: CV weighted F1 and test weighted F1 of every trained model."""
     rows = []
@@ -176,6 +201,13 @@ def feature_importance(model, names: list) -> list:
     return []
 
 
+def style_importances(res: StyleResult, top: int = 10) -> DataFrame:
+    """M16 + R17: the ``top`` features of every fitted tree model (``model, best, feature, importance``); linear models have none."""
+    rows = [(name, name == res.best_name, f, v) for name, model in res.models.items()
+            for f, v in sorted(feature_importance(model, res.selected), key=lambda x: (-x[1], x[0]))[:top]]
+    return res.test.sparkSession.createDataFrame(rows, "model string, best boolean, feature string, importance double")
+
+
 def importance_frame(spark, pairs: list, top: int = 10) -> DataFrame:
     """The ``top`` most important features, descending."""
     df = spark.createDataFrame(pairs, "feature string, importance double")
@@ -185,12 +217,13 @@ def importance_frame(spark, pairs: list, top: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- J5 regressors
 
 REGRESSORS = ("Random Forest", "Gradient Boosting", "Linear Regression", "XGBoost")
+FOREST_DEPTH = 12       # Spark allows 30; deeper forests need a driver heap above the default 1 GB
 
 
-def _regressor(name: str, seed: int):
+def _regressor(name: str, seed: int, forest_depth: int):
     common = dict(featuresCol="features", labelCol="fuel_delta_smooth")
     if name == "Random Forest":
-        return RandomForestRegressor(numTrees=100, maxDepth=12, seed=seed, **common)
+        return RandomForestRegressor(numTrees=100, maxDepth=forest_depth, seed=seed, **common)
     if name == "Gradient Boosting":
         return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed, **common)
     if name == "Linear Regression":
@@ -201,7 +234,7 @@ def _regressor(name: str, seed: int):
 
 
 def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD, models=REGRESSORS,
-                      test_size: float = 0.2, seed: int = 42):
+                      test_size: float = 0.2, seed: int = 42, forest_depth: int = FOREST_DEPTH):
     """Fit each regressor on the hash train split; metrics on the test split.
 
     Returns (metrics DataFrame [position, name, mse, r2], fitted models dict).
@@ -211,7 +244,7 @@ def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD,
     train, test = va.transform(split.filter(~F.col("is_test"))), va.transform(split.filter(F.col("is_test")))
     metrics, fitted = None, {}
     for pos, name in enumerate(models):
-        model = Pipeline(stages=[_regressor(name, seed)]).fit(train)
+        model = Pipeline(stages=[_regressor(name, seed, forest_depth)]).fit(train)
         fitted[name] = model
         pred = model.transform(test).select(F.col("fuel_delta_smooth").alias("y"), "prediction")
         m = MO.regression_metrics(pred).select(F.lit(pos).alias("position"), F.lit(name).alias("name"), "mse", "r2")
@@ -222,3 +255,10 @@ def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD,
 def save_model(model, path: str) -> None:
     """Persist a fitted pipeline/model (Spark ML format) to ``path``."""
     model.write().overwrite().save(path)
+
+
+def save_best_model(metrics: DataFrame, fitted: dict, path: str) -> str:
+    """M22 + S11: save the model with the best balanced score under ``path``; returns its name."""
+    name = MO.best_model_balanced(metrics).first()["name"]
+    save_model(fitted[name], path)
+    return name

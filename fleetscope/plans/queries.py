@@ -653,14 +653,10 @@ def q_model_comparison(spark, sf_dir):
 from . import ml as ML  # noqa: E402
 
 STYLE_MODELS = ("Random Forest", "Logistic Regression")
-_FITTED: dict = {}      # one training run per (session, input, model set) serves several reports
 
 
 def _style_result(spark, sf_dir, models=STYLE_MODELS):
-    key = ("style", id(spark), sf_dir, models)
-    if key not in _FITTED:
-        _FITTED[key] = ML.train_style_models(_features(spark, sf_dir), models=models)
-    return _FITTED[key]
+    return ML.train_style_models(_features(spark, sf_dir), models=models)
 
 
 @register("style_model_scores")
@@ -676,20 +672,21 @@ def q_style_evaluation(spark, sf_dir):
     return MO.classification_metrics(ML.style_predictions(res)).select(F.lit(res.best_name).alias("model"), "*")
 
 
+@register("style_probabilities")
+def q_style_probabilities(spark, sf_dir):
+    """Class probabilities of every test session by the best classifier."""
+    return ML.style_probabilities(_style_result(spark, sf_dir))
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    """M16 + R17: top-10 importances of the best classifier (none for linear models)."""
-    res = _style_result(spark, sf_dir)
-    return ML.importance_frame(spark, ML.feature_importance(res.models[res.best_name], res.selected))
+    """M16 + R17: top-10 importances of every tree model, the chosen model marked."""
+    return ML.style_importances(_style_result(spark, sf_dir))
 
 
 def _fuel_models(spark, sf_dir):
-    key = ("fuel", id(spark), sf_dir)
-    if key not in _FITTED:
-        from ..session import materialize
-        ts = materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True)))
-        _FITTED[key] = ML.train_fuel_models(ts)
-    return _FITTED[key]
+    from ..session import materialize
+    return ML.train_fuel_models(materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True))))
 
 
 @register("fuel_model_metrics")
