@@ -98,12 +98,12 @@ def fuel_preview(smoothed: DataFrame, n: int = 10) -> DataFrame:
 def fuel_scatter_sample(smoothed: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     """Up to ``n`` readings per vehicle in a repeatable pseudo-random order.
 
-    Order key md5(seed|id); the first two hex digits form the chunk, so the
-    per-vehicle rank is a chunked running count (balanced for a huge vehicle).
+    Order key md5(seed|id); the first three hex digits form the chunk (4,096 a
+    vehicle), so the per-vehicle rank is a chunked running count (balanced for a huge vehicle).
     """
     h = stable_hash_key(seed, F.col("id"))
     df = (smoothed.select("ident", "id", "position_speed", "fuel_delta_smooth", "can_engine_rpm")
-                  .withColumn("_h", h).withColumn("_hc", F.conv(F.substring(h, 1, 2), 16, 10).cast("int")))
+                  .withColumn("_h", h).withColumn("_hc", F.conv(F.substring(h, 1, 3), 16, 10).cast("int")))
     df = stage_chunks(df, KEYS, ["_h", "id"], chunk="_hc", checkpoint=False)
     ranked = running_sum(df, KEYS, ["_h", "id"], {"_rank": F.lit(1)}, chunk="_hc")
     return ranked.filter(F.col("_rank") <= n).select(

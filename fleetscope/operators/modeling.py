@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import stable_hash_key
 from .ordered import running_sum, stage_chunks
 
+RANK_DIGITS = 4         # hex digits of the hash that name a rank chunk: 65,536 chunks a stratum
+
 
 def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach a global aggregate (exactly one row: a bounded broadcast)."""
@@ -28,7 +30,7 @@ def hash_split(df: DataFrame, key: str, label: str | None = None, test_size: flo
     class is not ranked by a single task.
     """
     h = stable_hash_key(seed, F.col(key))
-    d = df.withColumn("_h", h).withColumn("_hc", F.conv(F.substring(h, 1, 2), 16, 10).cast("int"))
+    d = df.withColumn("_h", h).withColumn("_hc", F.conv(F.substring(h, 1, RANK_DIGITS), 16, 10).cast("int"))
     if stratify and label is not None:
         counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
         d = _one_row_join(d, counts.agg(F.min("_nc").alias("_minc")))
@@ -39,7 +41,7 @@ def hash_split(df: DataFrame, key: str, label: str | None = None, test_size: flo
     sizes = d.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_ns"))
     d = stage_chunks(d, ["_stratum"], ["_h", key], chunk="_hc", checkpoint=False)
     d = running_sum(d, ["_stratum"], ["_h", key], {"_rank": F.lit(1)}, chunk="_hc")
-    d = d.join(F.broadcast(sizes), "_stratum")          # one row per stratum (label domain)
+    d = d.join(sizes, "_stratum")
     n_test = F.floor(F.lit(test_size) * F.col("_ns") + F.lit(0.5))
     return d.withColumn("is_test", F.col("_rank") <= n_test).drop("_h", "_hc", "_ns")
 
@@ -61,9 +63,11 @@ def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
     F = (SSB / (k - 1)) / (SSW / (n - k)), SSW from the per-class population
     variance (stable), SSB from class means; NULL when undefined (SSW = 0).
     """
-    long = long_format(df, features, label)
-    per_class = long.groupBy("feature", "label").agg(
-        F.count("x").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("ssw"))
+    xs = {f: F.col(f).cast("double") for f in features}
+    wide = df.groupBy(F.col(label).alias("label")).agg(*[
+        F.struct(F.lit(f).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("m"),
+                 (F.var_pop(x) * F.count(x)).alias("ssw")).alias(f"_{i}") for i, (f, x) in enumerate(xs.items())])
+    per_class = wide.select("label", F.explode(F.array(*[f"_{i}" for i in range(len(features))])).alias("_s")).select("label", "_s.*")
     w = Window.partitionBy("feature")
     pc = per_class.withColumn("_N", F.sum("n").over(w)).withColumn("_k", F.count(F.lit(1)).over(w))
     pc = pc.withColumn("_gm", F.sum(F.col("n") * F.col("m")).over(w) / F.col("_N"))

@@ -67,7 +67,7 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     c = MO._one_row_join(counts, tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    return df.join(F.broadcast(c), label)       # one row per class
+    return df.join(c, label)
 
 
 def select_features(train: DataFrame, features: list, label: str, cfg: StyleConfig) -> list:
