@@ -88,3 +88,19 @@ def test_empty_null_ids_and_repeated_rows(spark):
     assert J.keep_one(df).count() == 5          # 2 of 3 shared grams: no link; equal ids stay
     same = spark.createDataFrame([(5, "q w e r t y u"), (3, "Q w e r t y u"), (None, "q w e r t y u")], schema)
     assert sorted(r.doc_id or 0 for r in J.keep_one(same).collect()) == [0, 3]
+
+
+def test_grams_of_odd_texts():
+    """Words as the pattern [^\\x20\\x09-\\x0D]+ gives them: NUL and non-ASCII blanks are letters, only A-Z is folded."""
+    import re
+    texts = ["", " \t\n\x0b\x0c\r ", "a", "A a", "\x00 \x00\x00 \x00a a", "\xa0x É é y", "ab ba aab aba baa b", "x " * 50,
+             " lead", "trail ", "B" * 5000 + " " + "b" * 5001, "one two three four five", "ONE two\tthree\x1cfour five six"]
+    grams, seen = J.Grams(), {}
+    for t in texts:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        want = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        got = grams(t.encode())
+        assert len(got) == len(want) and list(got) == sorted(set(got.tolist())), t
+        assert seen.setdefault(frozenset(want), tuple(got.tolist())) == tuple(got.tolist())
+    assert len(set(seen.values())) == len(seen)
