@@ -1,34 +1,46 @@
 """Map matching: nearest road for every GPS point (N1-N4) as grid equi-joins.
 
 The studied job asks a spatial index for the nearest road once per reading.
-Spark has no k-NN join, so the search is a sequence of equi-joins on grid
-cells with growing cell size ``c_L = cell * factor**L``:
-
-* every road segment is cut into pieces no longer than ``c_L`` and listed in
-  each cell its pieces touch (at most 4 cells per piece);
-* every not yet matched point looks at the 3 x 3 block of cells around it;
-  the block contains the disc of radius ``c_L`` around the point, so when the
-  best candidate is nearer than ``c_L`` no segment outside the block can beat
-  it, and the point is final. Other points go to the next, coarser level;
-* the coarsest level covers the whole EPSG:3857 plane, so every point ends
-  with its exact nearest road (or none if there is no road at all).
-
-No distance cap, no sampling, no cross join: each level is a hash join on
-``(cell_x, cell_y)``; a crowded city cell is split by AQE's skew handling.
-Ties go to the lowest ``osm_id``. Distances are EPSG:3857 metres, the metric
-the original ranking used.
+Spark has no k-NN join, so the search is a few equi-joins on grid cells:
+
+* every road segment is cut into pieces no longer than a cell and listed once
+  in each cell that its pieces touch;
+* near levels (two cell sizes): every open point looks at the 3 x 3 block of
+  cells around it. The block holds the disc of radius ``cell`` around the
+  point, so a road nearer than ``cell`` is the nearest of all and the point is
+  done. The second level reads only the cells that its open points look at;
+* far points (a position fix far from any road, such as (0, 0)) go down a
+  pyramid of *occupied* cells: the farthest corner of one occupied cell bounds
+  the distance from above, cells that start beyond the lowest bound are dropped
+  at every level, and only the cells that are left meet their segments.
+
+Results are exact, with no distance cap, no sampling and no cross join. A
+point's minimum distance comes first (one double per point, combined before
+its exchange); a second join of the cells within that distance takes the lowest
+``osm_id`` at exactly that distance; the road's attributes are looked up last.
+Cells with more than ``BLOCK_SEGMENTS`` segments are split into blocks by a
+hash of the segment, and their points look at every block, so a crowded city
+cell is spread over many tasks; partitions with many points are left to AQE's
+skew join. Distances are EPSG:3857 metres, the metric the original ranking used.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import speed_limit, web_mercator_x, web_mercator_y
+from ..session import materialize
 
-WORLD_M = 2 * math.pi * 6378137.0     # width of the EPSG:3857 plane
+POINT = ["lat", "lon", "px", "py"]
+CELL = ["cx", "cy"]
+BLOCK_SEGMENTS = 256            # segments of one cell that are searched together
+NEAR_LEVELS = 2                 # cell sizes searched by 3 x 3 blocks before the pyramid
+DENSITY_CELL_M = 10_000.0       # side of the squares that measure the area the roads cover
+BROADCAST_ROWS = 500_000        # a counted side of two longs (some 16 MB) is broadcast up to here
+SLACK_M = 1e-3                  # covers the rounding of cell borders (coordinates are below 1e8 m)
 
 
 def road_speed_limits(roads: DataFrame) -> DataFrame:
@@ -43,26 +55,25 @@ def road_segments(roads: DataFrame) -> DataFrame:
     pairs = F.when(n == 1, F.array(F.struct(F.col("way")[0].alias("a"), F.col("way")[0].alias("b")))).otherwise(
         F.transform(F.sequence(F.lit(0), n - 2),
                     lambda i: F.struct(F.col("way")[i].alias("a"), F.col("way")[i + 1].alias("b"))))
-    seg = road_speed_limits(roads).select("osm_id", "highway", "limite_velocita", F.explode(pairs).alias("s"))
-    return seg.select("osm_id", "highway", "limite_velocita",
-                      F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"),
+    seg = roads.filter(n > 0).select("osm_id", F.explode(pairs).alias("s"))
+    return seg.select("osm_id", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"),
                       F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
 def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
-    """Every (cell_x, cell_y) a segment touches, via pieces no longer than ``cell``."""
+    """Every (cx, cy) a segment touches, once per segment, via pieces no longer than ``cell``."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    pieces = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / cell)).cast("int")
-    s = segments.withColumn("_k", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("_np", pieces)
-    t0, t1 = F.col("_k") / F.col("_np"), (F.col("_k") + 1) / F.col("_np")
-    x0, x1 = F.col("ax") + t0 * dx, F.col("ax") + t1 * dx
-    y0, y1 = F.col("ay") + t0 * dy, F.col("ay") + t1 * dy
-    s = s.select("*",
-                 F.floor(F.least(x0, x1) / cell).alias("_cx0"), F.floor(F.greatest(x0, x1) / cell).alias("_cx1"),
-                 F.floor(F.least(y0, y1) / cell).alias("_cy0"), F.floor(F.greatest(y0, y1) / cell).alias("_cy1"))
-    s = (s.withColumn("cx", F.explode(F.sequence("_cx0", "_cx1")))
-          .withColumn("cy", F.explode(F.sequence("_cy0", "_cy1"))))
-    return s.select("cx", "cy", "osm_id", "highway", "limite_velocita", "ax", "ay", "bx", "by").distinct()
+    s = segments.withColumn("_np", F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / cell)).cast("int"))
+
+    def piece_cells(k):
+        x0, x1 = F.col("ax") + k / F.col("_np") * dx, F.col("ax") + (k + 1) / F.col("_np") * dx
+        y0, y1 = F.col("ay") + k / F.col("_np") * dy, F.col("ay") + (k + 1) / F.col("_np") * dy
+        xs = F.sequence(F.floor(F.least(x0, x1) / cell), F.floor(F.greatest(x0, x1) / cell))
+        ys = F.sequence(F.floor(F.least(y0, y1) / cell), F.floor(F.greatest(y0, y1) / cell))
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_np") - 1), piece_cells)))
+    return s.withColumn("_c", F.explode(cells)).select("_c.cx", "_c.cy", "osm_id", "ax", "ay", "bx", "by")
 
 
 def point_segment_distance(px, py) -> F.Column:
@@ -77,78 +88,152 @@ def point_segment_distance(px, py) -> F.Column:
 
 
 def project_points(points: DataFrame) -> DataFrame:
-    """Distinct WGS84 coordinates with their EPSG:3857 position."""
+    """Distinct WGS84 coordinates with their EPSG:3857 position; those without a finite position are left out."""
     pts = points.select(F.col("position_latitude").alias("lat"), F.col("position_longitude").alias("lon")).distinct()
-    return pts.withColumn("px", web_mercator_x(F.col("lon"))).withColumn("py", web_mercator_y(F.col("lat")))
-
-
-def _match_level(points: DataFrame, segments: DataFrame, cell: float, final: bool) -> DataFrame:
-    offsets = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    p = (points.withColumn("_ox", F.explode(offsets)).withColumn("_oy", F.explode(offsets))
-               .withColumn("cx", F.floor(F.col("px") / cell) + F.col("_ox"))
-               .withColumn("cy", F.floor(F.col("py") / cell) + F.col("_oy")))
-    cand = p.join(segment_cells(segments, cell), ["cx", "cy"], "left")
-    dist = point_segment_distance(F.col("px"), F.col("py"))
-    best = F.min(F.when(F.col("osm_id").isNotNull(), F.struct(
-        dist.alias("dist"), F.col("osm_id").alias("osm_id"), F.col("highway").alias("highway"),
-        F.col("limite_velocita").alias("limite_velocita"))))
-    out = cand.groupBy("lat", "lon", "px", "py").agg(best.alias("best"))
-    done = F.lit(True) if final else (F.col("best").isNotNull() & (F.col("best.dist") < cell))
-    return out.withColumn("_done", done)
+    pts = pts.withColumn("px", web_mercator_x(F.col("lon"))).withColumn("py", web_mercator_y(F.col("lat")))
+    return pts.filter((F.abs("px") < float("inf")) & (F.abs("py") < float("inf")))
 
 
 def density_cell(segments: DataFrame, floor_m: float = 50.0, default: float = 1000.0) -> float:
-    """Level-0 cell size = mean spacing of the segments, sqrt(bbox area / count).
+    """First cell size = mean spacing of the segments, sqrt(covered area / count).
 
-    One aggregate over the segments (a single row to the driver). Dense road
-    networks get small cells (few candidates per point), sparse ones large
-    cells (few points left for coarser levels). Results never depend on it.
+    The area is that of the 10 km squares that hold segments, so one road far
+    away from the others does not inflate the cells. One aggregate, one row to
+    the driver. Results never depend on it.
     """
-    r = segments.agg(F.count(F.lit(1)).alias("n"),
-                     F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"),
-                     F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")).first()
-    if not r or not r["n"]:
+    square = F.struct(F.floor(F.col("ax") / DENSITY_CELL_M).alias("x"), F.floor(F.col("ay") / DENSITY_CELL_M).alias("y"))
+    r = segments.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(square)).alias("squares")).first()
+    if not r["n"]:
         return default
-    area = max((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 1.0)
-    return max(floor_m, math.sqrt(area / r["n"]))
+    return max(floor_m, DENSITY_CELL_M * math.sqrt(r["squares"] / r["n"]))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint when its counted ``rows`` are within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _cell_gap(width: float):
+    """Distance from (px, py) to the square (cx, cy) of side ``width`` (0 inside)."""
+    x0, y0 = F.col("cx") * F.lit(width), F.col("cy") * F.lit(width)
+    gx = F.greatest(F.lit(0.0), x0 - F.col("px"), F.col("px") - (x0 + width))
+    gy = F.greatest(F.lit(0.0), y0 - F.col("py"), F.col("py") - (y0 + width))
+    return F.sqrt(gx * gx + gy * gy)
+
 
+def _around(points: DataFrame, cell: float) -> DataFrame:
+    """The 3 x 3 block of cells around every point, one row per cell."""
+    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    return (points.withColumn("_ox", F.explode(steps)).withColumn("_oy", F.explode(steps))
+                  .withColumn("cx", F.floor(F.col("px") / cell) + F.col("_ox"))
+                  .withColumn("cy", F.floor(F.col("py") / cell) + F.col("_oy")).drop("_ox", "_oy"))
 
-def nearest_roads(points: DataFrame, roads: DataFrame, cell: float | None = None, factor: int = 4,
-                  checkpoint: bool = True, num_partitions: int | None = None) -> DataFrame:
+
+class _Cells:
+    """The segments by cell, with crowded cells split into hash blocks."""
+
+    def __init__(self, cells: DataFrame):
+        crowded = (cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_SEGMENTS)
+                        .select(*CELL, F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("_blocks")))
+        crowded = materialize(crowded)
+        n = crowded.count()
+        self.keys = [*CELL, "_block"] if n else CELL
+        self.crowded = _small(crowded, n) if n else None
+        if n:
+            block = F.pmod(F.xxhash64("osm_id", "ax", "ay", "bx", "by"), F.coalesce("_blocks", F.lit(1))).cast("int")
+            cells = cells.join(self.crowded, CELL, "left").withColumn("_block", block).drop("_blocks")
+        self.rows = cells
+
+    def _spread(self, looks: DataFrame) -> DataFrame:
+        if self.crowded is None:
+            return looks
+        last = F.coalesce("_blocks", F.lit(1)) - 1
+        return (looks.join(self.crowded, CELL, "left")
+                     .withColumn("_block", F.explode(F.sequence(F.lit(0), last))).drop("_blocks"))
+
+    def min_distance(self, looks: DataFrame) -> DataFrame:
+        """Per point of ``looks`` (POINT, CELL): distance of the nearest segment in its cells, null without one."""
+        d = F.when(F.col("osm_id").isNotNull(), point_segment_distance(F.col("px"), F.col("py")))
+        return self._spread(looks).join(self.rows, self.keys, "left").groupBy(*POINT).agg(F.min(d).alias("dist"))
+
+    def lowest_road(self, looks: DataFrame) -> DataFrame:
+        """Per point of ``looks`` (POINT, dist, CELL): the lowest ``osm_id`` at exactly ``dist``."""
+        at = self._spread(looks).join(self.rows, self.keys).filter(
+            point_segment_distance(F.col("px"), F.col("py")) == F.col("dist"))
+        return at.groupBy("lat", "lon", "dist").agg(F.min("osm_id").alias("osm_id"))
+
+
+def _far_looks(points: DataFrame, cells: DataFrame, cell: float, factor: int) -> DataFrame | None:
+    """For far points: the cells (POINT, CELL) that can hold their nearest segment; None without any segment.
+
+    A cell listed for a piece lies within one cell of that piece, so the
+    farthest corner of the square widened by ``cell`` bounds the distance.
+    """
+    occupied = materialize(cells.select(*CELL).distinct())
+    top = occupied.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy")))).first()[0]
+    if top is None:
+        return None
+    levels = 0
+    while factor ** levels <= top:
+        levels += 1
+    roots = F.array(*[F.struct(F.lit(x).cast("long").alias("cx"), F.lit(y).cast("long").alias("cy"))
+                      for x in (-1, 0) for y in (-1, 0)])      # at this level all cells lie in these four
+    looks = points.select(*POINT, F.explode(roots).alias("_c")).select(*POINT, "_c.cx", "_c.cy")
+    for level in range(levels - 1, -1, -1):
+        step, width = factor ** level, cell * factor ** level
+        children = (occupied.select(F.floor(F.col("cx") / step).alias("cx"), F.floor(F.col("cy") / step).alias("cy"))
+                            .distinct())
+        parent = [F.floor(F.col(c) / factor).alias(f"_p{c}") for c in CELL]
+        looks = (looks.withColumnsRenamed({c: f"_p{c}" for c in CELL})
+                      .join(children.select(*CELL, *parent), [f"_p{c}" for c in CELL]).select(*POINT, *CELL))
+        x0, y0 = F.col("cx") * F.lit(width) - cell, F.col("cy") * F.lit(width) - cell
+        wide = width + 2 * cell
+        fx = F.greatest(F.abs(F.col("px") - x0), F.abs(F.col("px") - (x0 + wide)))
+        fy = F.greatest(F.abs(F.col("py") - y0), F.abs(F.col("py") - (y0 + wide)))
+        bound = F.min(F.sqrt(fx * fx + fy * fy)).over(Window.partitionBy("lat", "lon"))
+        looks = (looks.withColumn("_bound", bound).filter(_cell_gap(width) <= F.col("_bound") + SLACK_M).drop("_bound"))
+    return looks
+
+
+def nearest_roads(points: DataFrame, roads: DataFrame, cell: float | None = None, factor: int = 4) -> DataFrame:
     """N1 per distinct coordinate: ``lat, lon, osm_id, highway, limite_velocita, distance_m``.
 
-    Levels run until no point is left (an emptiness check per level); each
-    level's result is checkpointed so later levels never recompute earlier ones.
+    Coordinates that are null or not finite, and all coordinates when there is
+    no road, have no row. Ties go to the lowest ``osm_id``; several rows of one
+    ``osm_id`` count as one road with the least of their attributes.
     """
-    from ..session import materialize
-    spark = points.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              spark.sparkContext.defaultParallelism)
-    # Distinct coordinates are few bytes each, but every one probes 9 cells and
-    # meets several segments: spread them over an explicit number of hash
-    # partitions (adaptive coalescing would fold a small input into one task
-    # and the 50x join expansion with it). The per-point minimum then needs no
-    # further exchange.
-    pts = project_points(points).repartition(n, "lat", "lon")
     segs = road_segments(roads)
     cell = cell or density_cell(segs)
-    levels = max(1, math.ceil(math.log(WORLD_M / cell, factor)) + 1)
-    resolved = []
-    for level in range(levels):
+    left, found = project_points(points), []
+    for level in range(NEAR_LEVELS):
         c = cell * factor ** level
-        final = level == levels - 1
-        m = _match_level(pts, segs, c, final)
-        if checkpoint:
-            m = materialize(m, keep_partitioning=True)
-        resolved.append(m.filter("_done"))
-        pts = m.filter(~F.col("_done")).select("lat", "lon", "px", "py")
-        if checkpoint and pts.isEmpty():
+        cells = segment_cells(segs, c)
+        if level:                   # few points are left: only the cells they look at
+            wanted = materialize(_around(left, c).select(*CELL).distinct())
+            cells = cells.join(_small(wanted, wanted.count()), CELL, "left_semi")
+        grid = _Cells(cells)
+        nearest = materialize(grid.min_distance(_around(left, c)))
+        done = nearest.filter(F.col("dist") < c - SLACK_M)
+        found.append(grid.lowest_road(_around(done, c).filter(_cell_gap(c) <= F.col("dist") + SLACK_M)))
+        left = nearest.filter(F.col("dist").isNull() | (F.col("dist") >= c - SLACK_M)).select(*POINT)
+        if left.isEmpty():
             break
-    out = resolved[0]
-    for r in resolved[1:]:
-        out = out.unionByName(r)
-    return out.select("lat", "lon", F.col("best.osm_id").alias("osm_id"), F.col("best.highway").alias("highway"),
-                      F.col("best.limite_velocita").alias("limite_velocita"), F.col("best.dist").alias("distance_m"))
+    else:
+        cells = segment_cells(segs, c)
+        looks = _far_looks(left, cells, c, factor)
+        if looks is not None:
+            looks = materialize(looks)
+            wanted = looks.select(*CELL).distinct()
+            grid = _Cells(cells.join(_small(wanted, wanted.count()), CELL, "left_semi"))
+            nearest = materialize(grid.min_distance(looks))
+            found.append(grid.lowest_road(looks.join(nearest, POINT).filter(_cell_gap(c) <= F.col("dist") + SLACK_M)))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    attributes = road_speed_limits(roads).groupBy("osm_id").agg(
+        F.min(F.struct("highway", "limite_velocita")).alias("a"))
+    return out.join(attributes, "osm_id").select("lat", "lon", "osm_id", "a.highway", "a.limite_velocita",
+                                                 F.col("dist").alias("distance_m"))
 
 
 def match_points(points: DataFrame, matches: DataFrame) -> DataFrame:

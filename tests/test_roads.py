@@ -51,3 +51,39 @@ def test_no_road_gives_unknown(spark):
     pdf = spark.createDataFrame([(1, 41.0, 12.0)], "id long, position_latitude double, position_longitude double")
     out = match_points(pdf, nearest_roads(pdf, rdf)).collect()
     assert (out[0]["limite_velocita"], out[0]["tipo_strada"]) == (-1, "unknown")
+
+
+def test_far_points_and_crowded_cell(spark):
+    """Fixes far from every road, one stray road, a cell with thousands of segments, shared vertices and repeated rows."""
+    rnd = random.Random(5)
+    x0, y0 = merc(41.9, 12.5)
+    roads = []
+    for oid in range(500):                  # within 300 m: about 1,500 segments in a few cells
+        way = [(x0 + rnd.uniform(-150, 150), y0 + rnd.uniform(-150, 150)) for _ in range(4)]
+        roads.append((oid, "primary", {}, [{"x": a, "y": b} for a, b in way]))
+    roads.append((900, "motorway", {}, roads[7][3]))                        # same line as road 7: the lower id wins
+    roads.append(roads[3])
+    sx, sy = merc(-33.9, 151.2)
+    roads.append((901, "secondary", {}, [{"x": sx, "y": sy}, {"x": sx + 2000, "y": sy}]))
+    pts = [(0, 0.0, 0.0), (1, 0.0, 0.0), (2, 41.9, 12.5), (3, -33.9, 151.2), (4, 60.0, -150.0), (5, 42.4, 13.1), (6, -80.0, 179.9)]
+    pts += [(10 + i, 41.9 + rnd.uniform(-0.01, 0.01), 12.5 + rnd.uniform(-0.01, 0.01)) for i in range(60)]
+    pts += [(100, None, 12.0), (101, float("nan"), 12.0)]
+    rdf = spark.createDataFrame(roads, ROAD_SCHEMA)
+    pdf = spark.createDataFrame(pts, "id long, position_latitude double, position_longitude double")
+    got = {r["id"]: r for r in match_points(pdf, nearest_roads(pdf, rdf)).collect()}
+    assert len(got) == len(pts)
+    assert got[100]["osm_id"] is None and got[101]["osm_id"] is None
+    for pid, lat, lon in pts[:-2]:
+        px, py = merc(lat, lon)
+        best = min((seg_dist(px, py, *w[i].values(), *w[i + 1].values()), oid) for oid, _, _, w in roads for i in range(len(w) - 1))
+        assert got[pid]["osm_id"] == best[1], (pid, got[pid], best)
+        assert abs(got[pid]["distance_m"] - best[0]) < 1e-5 * max(1.0, best[0])
+
+
+def test_distances_are_combined_by_hash(spark):
+    """The candidates' minimum needs no sort by point."""
+    from fleetscope.operators import roads as RD
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0)], "osm_id long, ax double, ay double, bx double, by double")
+    pts = spark.createDataFrame([(1.0, 1.0, 2.0, 3.0)], "lat double, lon double, px double, py double")
+    plan = RD._Cells(RD.segment_cells(segs, 10.0)).min_distance(RD._around(pts, 10.0))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
