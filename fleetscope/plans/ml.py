@@ -114,6 +114,14 @@ def _classifier(name: str, cfg: StyleConfig, n_train: int):
     raise ValueError(f"unknown model {name}")
 
 
+def style_matrix(sessions: DataFrame, features=SESSION_FEATURES) -> DataFrame:
+    """M1: labelled sessions with ``session_key`` and the available features, nulls as 0."""
+    feats = [f for f in features if f in sessions.columns]
+    return (sessions.filter(F.col("stile_guida").isNotNull())
+                    .withColumn("session_key", F.concat_ws("_", "ident", F.col("session_id").cast("string")))
+                    .fillna(0.0, subset=feats))
+
+
 def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient Boosting", "Logistic Regression"),
                        cfg: StyleConfig | None = None, features=SESSION_FEATURES) -> StyleResult:
     """Matrix, encoding, stratified split, preprocessing fitted on the
@@ -121,11 +129,8 @@ def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient B
     training rows."""
     cfg = cfg or StyleConfig()
     feats = [f for f in features if f in sessions.columns]
-    data = (sessions.filter(F.col("stile_guida").isNotNull())
-                    .withColumn("session_key", F.concat_ws("_", "ident", F.col("session_id").cast("string")))
-                    .fillna(0.0, subset=feats))
-    split = materialize(MO.fold_column(MO.hash_split(data, "session_key", "stile_guida", cfg.test_size, cfg.seed),
-                                       cfg.cv_folds))
+    split = materialize(MO.fold_column(MO.hash_split(style_matrix(sessions, features), "session_key", "stile_guida",
+                                                     cfg.test_size, cfg.seed), cfg.cv_folds))
     indexer = StringIndexer(inputCol="stile_guida", outputCol="label", stringOrderType="alphabetAsc").fit(split)
     split = balanced_weights(indexer.transform(split))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))

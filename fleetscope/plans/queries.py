@@ -650,6 +650,7 @@ def q_model_comparison(spark, sf_dir):
 
 # ------------------------------------------------------------------ fitted models (rows-only checks)
 
+from ..session import materialize  # noqa: E402
 from . import ml as ML  # noqa: E402
 
 STYLE_MODELS = ("Random Forest", "Logistic Regression")
@@ -659,6 +660,25 @@ def _style_result(spark, sf_dir, models=STYLE_MODELS):
     return ML.train_style_models(_features(spark, sf_dir), models=models)
 
 
+@register("style_matrix", sql=S.with_ctes(*FEATURE_SQL, select=f"""
+SELECT ident || '_' || CAST(session_id AS VARCHAR) AS session_key, stile_guida,
+  {', '.join(f'coalesce(CAST({f} AS DOUBLE), 0.0) AS {f}' for f in SESSION_FEATURES)}
+FROM session_features WHERE stile_guida IS NOT NULL"""), doubles=list(SESSION_FEATURES))
+def q_style_matrix(spark, sf_dir):
+    """M1: the matrix that the classifiers are trained on, before it becomes vectors."""
+    return ML.style_matrix(_features(spark, sf_dir)).select(
+        "session_key", "stile_guida", *[F.col(f).cast("double").alias(f) for f in SESSION_FEATURES])
+
+
+@register("rfe_features")
+def q_rfe_features(spark, sf_dir):
+    """M9: the features that recursive elimination keeps, in model order."""
+    data = ML.StringIndexer(inputCol="stile_guida", outputCol="label", stringOrderType="alphabetAsc")
+    matrix = materialize(ML.style_matrix(_features(spark, sf_dir)))
+    kept = ML.select_features(data.fit(matrix).transform(matrix), list(SESSION_FEATURES), "label", ML.StyleConfig(selection="rfe"))
+    return spark.createDataFrame(list(enumerate(kept)), "position int, feature string")
+
+
 @register("style_model_scores")
 def q_style_model_scores(spark, sf_dir):
     """M10-M14 + R16: CV and test weighted F1 per classifier."""

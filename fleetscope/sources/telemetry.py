@@ -46,6 +46,8 @@ ROAD_SCHEMA = T.StructType([
         T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
 ])
 
+EVENT_CHUNK = 65_536     # event ids whose running sums one task forms per user
+
 # Column sets of the two scans.
 SCORING_COLUMNS = [
     "id", "timestamp", "ident", "battery_voltage", "can_engine_rpm", "can_pedal_brake_status",
@@ -71,13 +73,18 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
         "event_id", "user_id", "event_type", "value",
         "try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
         "CASE WHEN event_id * 53 % 61 = 0 THEN 2700 WHEN event_id * 53 % 23 = 0 THEN 700 "
-        "WHEN event_id * 53 % 5 = 0 THEN 4 ELSE 20 + event_id * 7919 % 60 END AS gap_s")
-    # The per-user running sums are part of the fixture derivation, not of the
-    # analytics: a real deployment reads the stored telemetry table instead.
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    g = e.select("*", F.sum("gap_s").over(w).alias("t_s"),
-                 F.sum(F.expr("CASE WHEN event_type = 'error' THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END"))
-                  .over(w).alias("fuel_c"))
+        "WHEN event_id * 53 % 5 = 0 THEN 4 ELSE 20 + event_id * 7919 % 60 END AS gap_s",
+        "CASE WHEN event_type = 'error' THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END AS fuel_step",
+        f"event_id DIV {EVENT_CHUNK} AS _chunk")
+    # Running sums per user in chunks of event ids: no task holds all events of a user.
+    w = Window.partitionBy("user_id", "_chunk").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("user_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (e.groupBy("user_id", "_chunk").agg(F.sum("gap_s").alias("t"), F.sum("fuel_step").alias("f"))
+              .select("user_id", "_chunk", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"),
+                      F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0")))
+    g = (e.withColumns({"t_s": F.sum("gap_s").over(w), "fuel_c": F.sum("fuel_step").over(w)})
+          .join(carry, ["user_id", "_chunk"], "left")          # events without a user form no series of their own
+          .withColumns({"t_s": F.col("t_s") + F.coalesce("t0", F.lit(0)), "fuel_c": F.col("fuel_c") + F.coalesce("f0", F.lit(0))}))
     mileage = "CAST(100000 + user_id * 1000 + t_s / 100.0D AS DOUBLE)"
     return g.selectExpr(
         "event_id AS id",

@@ -29,3 +29,35 @@ def test_reports_read_more_than_the_limit(spark):
     t = make_telemetry(spark, rows)
     assert fuel_pipeline(t, dashboard=True).count() == 10_199
     assert fuel_pipeline(t, dashboard=True, limit=10_000).count() == 9_999
+
+
+def test_telemetry_running_sums_do_not_depend_on_chunks(spark, monkeypatch):
+    from conftest import SF0001
+    from fleetscope.sources import telemetry as TS
+    events = TS.read_table(spark, SF0001, "events")
+    whole = sorted(tuple(r) for r in TS.telemetry_from_events(events).select("id", "timestamp", "can_fuel_consumed").collect())
+    monkeypatch.setattr(TS, "EVENT_CHUNK", 37)
+    split = sorted(tuple(r) for r in TS.telemetry_from_events(events).select("id", "timestamp", "can_fuel_consumed").collect())
+    assert whole == split and len(whole) == events.count()
+
+
+def test_gate_bounds(spark):
+    """Every edge of the quality gate, with the two mileage columns differing."""
+    from conftest import make_telemetry
+    from fleetscope.sources.telemetry import quality_gate
+    inside = [dict(can_engine_rpm=1), dict(can_engine_rpm=8000), dict(position_latitude=-90.0), dict(position_latitude=90.0),
+              dict(position_longitude=-180.0), dict(position_longitude=180.0), dict(position_altitude=-500),
+              dict(position_altitude=10000), dict(position_direction=1), dict(position_direction=359),
+              dict(position_satellites=5), dict(can_vehicle_mileage=1999999.9), dict(vehicle_mileage=2000000.0)]
+    outside = [dict(can_engine_rpm=0), dict(can_engine_rpm=8001), dict(position_latitude=-90.1), dict(position_latitude=90.1),
+               dict(position_longitude=-180.1), dict(position_longitude=180.1), dict(position_altitude=-501),
+               dict(position_altitude=10001), dict(position_direction=0), dict(position_direction=360),
+               dict(position_satellites=4), dict(can_vehicle_mileage=2000000.0), dict(position_speed=0.0), dict(din_1=False),
+               dict(engine_ignition_status=False), dict(movement_status=False), dict(can_engine_rpm=None)]
+    rows = [dict(id=i, ident="V", t=i, **r) for i, r in enumerate(inside + outside)]
+    t = make_telemetry(spark, rows)
+    got = {r["id"] for r in quality_gate(t).collect()}
+    assert got == set(range(len(inside)))
+    other = {r["id"] for r in quality_gate(t, mileage_col="vehicle_mileage").collect()}
+    swapped = len(inside) - 1, len(inside) + 11             # the rows whose mileage columns differ in verdict
+    assert other == (got - {swapped[0]}) | {swapped[1]}
