@@ -6,15 +6,16 @@ fail the value check are dropped without another try at their text. The
 patterns are written with possessive repeats and start guards so that long
 runs of letters or digits cost linear time; they match the same spans.
 
-*Disclosed terms*. Every different base value is a protected entity ``c``. Terms
-(runs of at least three letters, lower-cased) near its occurrences (within
-``reach`` characters on the same text, cut words left out) are compared with the
-term's count over the whole corpus: PMI(c;t) = log2(n_ct N / (n_c n_t)) against
-IC(c) = log2(N / n_c), where N counts all terms of the corpus. With
-``min_support`` joint occurrences, PMI >= ``alpha`` IC discloses the entity: such
-terms near it become spans of kind ``term`` and are generalised to ``[TERM]``; at
-PMI >= IC (the term occurs nowhere else) they are removed. Joint counts are
-sums over (entity, term) rows with partial aggregation, never pairs of a group.
+*Disclosed terms*. Every different base value is a protected entity ``c``, however often it occurs. Its context is
+every text that holds it: all terms (runs of at least three letters, lower-cased) of these texts are compared with the
+terms' counts over the whole corpus: PMI(c;t) = log2(n_ct N / (n_c n_t)) against IC(c) = log2(N / n_c), where n_ct counts
+the term in the texts with the entity and N all terms of the corpus. PMI >= ``alpha`` IC discloses the entity: such
+terms outside base spans become spans of kind ``term`` and are generalised to ``[TERM]``; at PMI >= IC (the term occurs in no
+text without the entity) they are removed. There is no least count. An entity with n_c >= N has no information to disclose.
+
+Entities with the same set of texts have the same n_ct, so only the one with the largest IC (the fewest occurrences) of each set
+is compared: a long list of values in one text counts as one. An entity and a term meet by text, and only if the term's largest count
+in a text, times the entity's texts, could reach the bound: a limit on n_ct that leaves out nothing.
 
 Null texts count as empty (no spans); null ids and repeated rows keep a row
 each (rows are told apart by id and text, equal rows get equal spans); ties of
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -77,69 +78,94 @@ def base_spans(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(found)}))")
 
 
-def _nearby(reach: int) -> Column:
-    """Terms within ``reach`` characters of each base span: array<struct<entity, term, start, end>>."""
-    def side(ctx, offset, cut_first, cut_last):
-        return (f"transform(filter({matches(ctx, TERM)}, m -> not (m.start = 0 and {cut_first}) and "
-                f"not (m.end = length({ctx}) and {cut_last})), m -> struct("
-                f"xxhash64(b.kind, lower(b.value)) as entity, lower(m.value) as term, "
-                f"int({offset} + m.start) as start, int({offset} + m.end) as end))")
-    left_at = f"greatest(b.start - {reach}, 0)"
-    left = side(f"substring(text, {left_at} + 1, b.start - {left_at})", left_at, f"{left_at} > 0", "false")
-    right = side(f"substring(text, b.end + 1, {reach})", "b.end", "false", f"b.end + {reach} < length(text)")
-    return F.expr(f"""array_distinct(filter(flatten(transform(base, b -> concat({left}, {right}))),
-      t -> not exists(base, b -> t.start < b.end and b.start < t.end)))""")
+def _text_key(id_col: str = "doc_id") -> Column:
+    return F.xxhash64(F.col(id_col).isNull(), id_col, "text_hash")
 
 
-def find_base(docs: DataFrame, id_col="doc_id", text_col="text", reach: int = 64) -> DataFrame:
-    """(id, text_hash, base, nearby): base spans and the terms near them, one row per row of ``docs``."""
+def find_base(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, text_hash, base): base spans, one row per row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-            .withColumn("base", base_spans("text"))
-            .select("doc_id", F.xxhash64("text").alias("text_hash"), "base",
-                    F.when(F.size("base") > 0, _nearby(reach)).alias("nearby")))
+            .select("doc_id", F.xxhash64("text").alias("text_hash"), base_spans("text").alias("base")))
+
+
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
 def term_counts(docs: DataFrame, text_col="text") -> DataFrame:
     """(term, n_t) over all texts."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    return (docs.select(F.explode(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("term"))
+    return (docs.select(F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
 
 
-def disclosures(found: DataFrame, counts: DataFrame, min_support: int = 3, alpha: float = 0.95) -> DataFrame:
-    """(entity, term, ratio): terms whose PMI with the entity reaches ``alpha`` times its information content."""
-    n = counts.agg(F.sum("n_t")).first()[0] or 1              # one number
-    entities = (found.select(F.explode("base").alias("b"))
-                .groupBy(F.xxhash64("b.kind", F.lower("b.value")).alias("entity")).agg(F.count(F.lit(1)).alias("n_c")))
-    joint = (found.select(F.explode("nearby").alias("t")).groupBy("t.entity", "t.term")
-             .agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_support))
-    pmi = F.log2(F.col("n_ct") * F.lit(float(n)) / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.lit(float(n)) / F.col("n_c"))
-    return (joint.join(entities, "entity").join(counts, "term")
-            .select("entity", "term", (pmi / ic).alias("ratio")).where(F.col("ratio") >= alpha))
-
-
-def find_spans(docs: DataFrame, id_col="doc_id", text_col="text", reach: int = 64, min_support: int = 3,
-               alpha: float = 0.95) -> DataFrame:
+def protected(found: DataFrame) -> DataFrame:
+    """(key, entity, n_c, n_texts): of every set of texts that entities share, the rarest entity, one row per text."""
+    held = (found.where("size(base) > 0").select(_text_key().alias("key"), F.explode("base").alias("b"))
+            .groupBy("key", F.xxhash64("b.kind", F.lower("b.value")).alias("entity")).agg(F.count(F.lit(1)).alias("n")))
+    rarest = (held.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("n_texts"),
+                                         F.bit_xor(F.xxhash64("key")).alias("set_1"),
+                                         F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("set_2"))
+              .groupBy("n_texts", "set_1", "set_2").agg(F.min(F.struct("n_c", "entity")).alias("x"))
+              .select("x.entity", "x.n_c", "n_texts"))
+    return held.select("key", "entity").join(rarest, "entity").select("key", "entity", "n_c", "n_texts")
+
+
+def disclosures(entities: DataFrame, inside: DataFrame, counts: DataFrame, alpha: float = 0.95) -> DataFrame:
+    """(key, term, ratio): terms of a text whose PMI with one of its entities reaches ``alpha`` times the entity's
+    information content; the largest ratio. ``entities`` as of ``protected``, ``inside``: (key, term, n) of their texts."""
+    n = float(counts.agg(F.sum("n_t")).first()[0] or 1)              # one number
+    entities = entities.where(F.col("n_c") < n).withColumn("least", (1 - 1e-9) * F.pow(F.col("n_c") / F.lit(n), F.lit(1 - alpha)))
+    most = inside.groupBy("term").agg(F.sum("n").alias("n_all"), F.max("n").alias("n_max"))
+    able = (most.join(counts, "term").where(F.col("n_all") >= F.col("n_t") * (1 - 1e-9) * F.pow(F.lit(1 / n), F.lit(1 - alpha)))
+            .select("term", "n_t", "n_max"))
+    terms = inside.join(able, "term")
+    pairs = stage(terms.join(entities, "key").where(F.col("n_max") * F.col("n_texts") >= F.col("n_t") * F.col("least"))
+                  .select("key", "entity", "term", "n", "n_t", "n_c"), "pii-pairs")
+    # PMI / IC, written so that n_ct = n_t gives exactly 1
+    ratio = 1 + F.log2(F.col("n_ct") / F.col("n_t")) / F.log2(F.lit(n) / F.col("n_c"))
+    told = (pairs.groupBy("entity", "term", "n_t", "n_c").agg(F.sum("n").alias("n_ct"))
+            .select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= alpha))
+    return pairs.join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
+
+
+def _term_spans(text: str, told: str, removed: str) -> Column:
+    """array<struct<start, kind_no, end, kind, action>> of the terms of ``text`` that are in ``told``."""
+    t = TERM.replace("\\", "\\\\")
+    return F.expr(f"""aggregate(
+      zip_with(split({text}, '{t}', -1), regexp_extract_all({text}, '{t}', 0), (g, m) -> struct(g, m, lower(m) as low)),
+      struct(0 as pos, cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,action:string>>) as found),
+      (s, x) -> if(x.m is null, s, struct(s.pos + length(x.g) + length(x.m) as pos,
+        if(array_contains({told}, x.low), concat(s.found, array(struct(s.pos + length(x.g) as start, {len(KINDS)} as kind_no,
+          s.pos + length(x.g) + length(x.m) as end, 'term' as kind,
+          if(array_contains({removed}, x.low), 'remove', 'generalise') as action))), s.found) as found)), s -> s.found)""")
+
+
+def find_spans(docs: DataFrame, id_col="doc_id", text_col="text", alpha: float = 0.95) -> DataFrame:
     """(doc_id, text_hash, spans): base and disclosed spans, array<struct<start, kind_no, end, kind, action>>."""
-    found = stage(find_base(docs, id_col, text_col, reach), "pii-base")
+    found = stage(find_base(docs, id_col, text_col), "pii-base")
     counts = stage(term_counts(docs, text_col), "pii-terms")
-    told = stage(disclosures(found, counts, min_support, alpha), "pii-disclosed")
-    near = found.where("size(nearby) > 0").select("doc_id", "text_hash", F.explode("nearby").alias("t"))
-    terms = (near.select("doc_id", "text_hash", "t.*").join(told, ["entity", "term"])
-             .groupBy("doc_id", "text_hash", "start", "end").agg(F.max("ratio").alias("ratio"))
-             .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(
-                 "start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit("term").alias("kind"),
-                 F.when(F.col("ratio") >= 1, "remove").otherwise("generalise").alias("action"))).alias("terms")))
-    f, t = found.alias("f"), terms.alias("t")
-    both = f.join(t, F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_hash") == F.col("t.text_hash")), "left")
+    entities = stage(protected(found), "pii-entities")
+    keys = small(stage(entities.select("key").distinct(), "pii-keys"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = (docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+            .withColumn("key", _text_key()))
+    inside = stage(rows.join(keys, "key").select("key", F.explode(_terms(F.col("text"))).alias("term"))
+                   .groupBy("key", "term").agg(F.count(F.lit(1)).alias("n")), "pii-inside")
+    told = (disclosures(entities, inside, counts, alpha).groupBy("key").agg(
+        F.sort_array(F.collect_list("term")).alias("told"),
+        F.sort_array(F.collect_list(F.when(F.col("ratio") >= 1, F.col("term")))).alias("removed")))
+    terms = stage(rows.select("key", "text").dropDuplicates(["key"]).join(small(stage(told, "pii-disclosed")), "key")
+                  .select("key", _term_spans("text", "told", "removed").alias("terms")), "pii-found")
+    f, t = found.withColumn("key", _text_key()).alias("f"), terms.alias("t")
+    both = f.join(t, F.col("f.key") == F.col("t.key"), "left")
     base = F.transform("f.base", lambda b: F.struct(b["start"].alias("start"), b["kind_no"].alias("kind_no"),
                                                     b["end"].alias("end"), b["kind"].alias("kind"),
                                                     F.lit("mask").alias("action")))
     none = F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int,kind:string,action:string>>)")
-    return both.select("f.doc_id", "f.text_hash",
-                       F.array_sort(F.concat(base, F.coalesce("t.terms", none))).alias("spans"))
+    free = F.filter(F.coalesce("t.terms", none), lambda x: ~F.exists(
+        "f.base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
+    return both.select("f.doc_id", "f.text_hash", F.array_sort(F.concat(base, free)).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:

@@ -73,3 +73,16 @@ def test_whole_table(spark):
         want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute(d.text))
         assert got[d.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(got[d.doc_id].spans.split(","))
+
+
+def test_an_entity_that_occurs_once_discloses_unique_terms(spark):
+    filler = "people met at noon and went home after lunch "
+    far = "Zorblax wrote this. " + filler * 20 + "Mail to Joe.Smith@corp.example or zorblax."      # over 64 characters apart
+    texts = [far, "call +49 30 1234567 about quuxbar today"] + [filler + "call about today this wrote mail or"] * 40 + ["quuxbar " + filler] * 9
+    found = {r.doc_id: r for r in pii.digest(pii.find_spans(rows(spark, texts))).collect()}
+    at, end = far.index("Joe."), len(far) - 1
+    assert found[0].spans == f"term:0:7,email:{at}:{at + 22},term:{end - 7}:{end}"
+    assert found[1].spans == "phone:5:19"                    # quuxbar occurs mostly elsewhere
+    assert all(found[i].spans == "" for i in range(2, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows(spark, texts)).collect()}
+    assert clean[0].startswith(" wrote this. ") and clean[0].endswith("Mail to [EMAIL] or .")
