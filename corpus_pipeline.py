@@ -30,7 +30,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.remove(docs, _table(spark, sf_dir, "benchmark"))
+    return decontamination.remove(docs, _table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

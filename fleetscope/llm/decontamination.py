@@ -10,7 +10,8 @@ are joined and the Hamming distance is checked. The pairs are verified by the we
 more than three deviations above it.
 
 Words are runs of characters other than space, tab, LF, VT, FF and CR, A-Z lower-cased. Items with fewer than five
-words hold no shingle and match nothing. Null and empty texts match nothing; null ids are kept in the result and, in ``remove``, their
+words hold no shingle: with ``short_items`` they match the first window of exactly their words (hashes, then the words themselves are
+compared; similarity 1, distance 0), without it nothing. Null and empty texts match nothing; null ids are kept in the result and, in ``remove``, their
 contaminated rows go as well; repeated rows give one result row; ties of similarity go to the earliest window; an empty table
 or benchmark gives no rows; extra columns are kept by ``remove``, helper columns have reserved names.
 """
@@ -61,8 +62,45 @@ def _blocks(radius: int) -> Column:
 
 
 def find(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
-         radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+         radius: int = RADIUS, similarity: float = SIMILARITY, short_items: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, start, n_words, similarity, distance): the best window per document and item."""
+    found = _find_long(docs, bench, id_col, text_col, item_col, item_text_col, radius, similarity)
+    if not short_items:
+        return found
+    # ids of items may repeat with other texts: the best window of an id, as among long items
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d"), "n_words")).alias("m")
+    return (found.unionByName(find_short(docs, bench, id_col, text_col, item_col, item_text_col))
+            .groupBy("doc_id", "text_hash", "item_id").agg(best)
+            .select("doc_id", "text_hash", "item_id", (-F.col("m.s")).alias("start"), "m.n_words", "m.similarity",
+                    (-F.col("m.d")).alias("distance")))
+
+
+def find_short(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id",
+               item_text_col="text") -> DataFrame:
+    """The columns of ``find`` for the items of one to ``WORDS - 1`` words: the first place of all their words."""
+    items = stage(bench.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
+                  .where(F.size("words").between(1, WORDS - 1)).distinct()
+                  .select("item_id", "words", F.size("words").alias("n_words"), F.xxhash64("words").alias("run")), "leak-short")
+    sizes = [r[0] for r in items.select("n_words").distinct().collect()]          # at most WORDS - 1 numbers
+    w = F.col("words")
+
+    def run_at(n):
+        return lambda i: F.struct(F.lit(n).alias("n_words"), i.alias("start"), F.xxhash64(F.slice(w, i + 1, F.lit(n))).alias("run"))
+
+    runs = F.concat(F.array().cast("array<struct<n_words:int,start:int,run:bigint>>"), *[
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), run_at(n)) for n in sorted(sizes)])
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
+    if not sizes:
+        d = d.limit(0)
+    hits = (d.select("doc_id", "text_hash", F.col("words").alias("text_words"), F.explode(runs).alias("x"))
+            .select("doc_id", "text_hash", "x.*", F.slice("text_words", F.col("x.start") + 1, F.col("x.n_words")).alias("found"))
+            .join(small(items, GRAMS), ["n_words", "run"]).where(F.col("found") == F.col("words")))
+    return hits.groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.struct("start", "n_words")).alias("m")).select(
+        "doc_id", "text_hash", "item_id", F.col("m.start").alias("start"), F.col("m.n_words").alias("n_words"),
+        F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"))
+
+
+def _find_long(docs: DataFrame, bench: DataFrame, id_col, text_col, item_col, item_text_col, radius, similarity) -> DataFrame:
     items = bench.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     item_grams = stage(shingles(items.withColumn("item_hash", F.xxhash64("text")), ["item_id", "item_hash"], "text"), "leak-items")
     n_items = item_grams.select("item_id", "item_hash").distinct().count()

@@ -27,7 +27,7 @@ def op3_embedding_dedup(spark, sf_dir):
 
 
 def op4_decontamination(spark, sf_dir):
-    found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short_items=True)
     return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"), "distance")
 
 

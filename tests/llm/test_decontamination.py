@@ -79,3 +79,15 @@ def test_whole_table(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in QUERIES["op4_decontamination"](spark, sf).collect()}
     assert got == brute(docs, items) and len(got) >= 20
+
+
+def test_short_items(spark):
+    long = " ".join(f"a{i}" for i in range(20))
+    items = {1: "two  Words", 2: "one", 3: "four words of item", 4: long, 5: None, 6: "", 7: "words two"}
+    docs = {1: "see Two\nwords and two words", 2: "x four words of item y " + long, 3: "two other words of item", 4: "", 5: None, 6: "ones"}
+    d = spark.createDataFrame(list(docs.items()) + [(None, "One")], "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.start, r.n_words, r.similarity, r.distance) for r in D.find(d, b, short_items=True).collect())
+    assert got == [(0, 2, 0, 1, 1.0, 0), (1, 1, 1, 2, 1.0, 0), (2, 3, 1, 4, 1.0, 0), (2, 4, 6, 20, 1.0, 0)]
+    assert {r.doc_id for r in D.remove(d, b, short_items=True).collect()} == {3, 4, 5, 6}
+    assert D.find(d, b.where("item_id = 4"), short_items=True).count() == 1 and D.find(d, b.limit(0), short_items=True).count() == 0
