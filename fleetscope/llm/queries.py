@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, ngram_join, piece_sampling, pii, repeated_passages, toxicity, url_filter, warc
+from . import (byte_bpe, decontamination, embedding_dedup, fill_middle, hard_negatives, line_dedup, ngram_join, piece_sampling, pii, repeated_passages,
+               toxicity, url_filter, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +57,19 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_piece_sampling, op3_embedding_dedup, op4_decontamination, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc)}
-ORACLE = {"op1_line_dedup": line_dedup.oracle_sql(), "op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql()}
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.mined(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_piece_sampling, op3_embedding_dedup, op4_decontamination, op5_toxicity, op6_ngram_join, op7_url_filter, op8_pii, op9_repeated_passages, op10_warc,
+                                     op11_fill_middle, op12_hard_negatives, op13_byte_bpe)}
+ORACLE = {"op1_line_dedup": line_dedup.oracle_sql(), "op7_url_filter": url_filter.oracle_sql(), "op10_warc": warc.oracle_sql(),
+          "op11_fill_middle": fill_middle.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql()}
