@@ -1,10 +1,10 @@
 """J4 / J5 model training with distributed ``pyspark.ml``.
 
 Data preparation (matrix, label encoding, hash splits, fold column, metrics,
-model choice) uses the SQL-checkable operators of ``operators.modeling``; the
-fitting itself is Spark ML: trees, boosting, linear models and
-``CrossValidator`` are distributed estimators, never a single-machine library
-behind a UDF.
+model choice) uses the SQL-checkable operators of ``operators.modeling``. Forests,
+linear models and ``CrossValidator`` are Spark ML's; the boosted models (one
+softmax model over all classes, leaf-wise and second-order regressors) are
+grown by ``operators.boosting`` from distributed feature histograms.
 """
 
 from __future__ import annotations
@@ -12,18 +12,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (Imputer, IndexToString, RobustScaler, StringIndexer, UnivariateFeatureSelector,
                                 VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import FUEL_FEATURES_DASHBOARD, SESSION_FEATURES
+from ..operators import boosting as BO
 from ..operators import modeling as MO
 from ..session import materialize
 
@@ -101,10 +101,6 @@ def _classifier(name: str, cfg: StyleConfig, n_train: int):
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=cfg.rf_trees, maxDepth=cfg.rf_depth, minInstancesPerNode=cfg.rf_min_leaf,
                                       weightCol="weight", seed=cfg.seed, **common)
-    if name == "Gradient Boosting":     # Spark's GBT is binary: one-vs-rest over the classes
-        gbt = GBTClassifier(maxIter=cfg.gb_rounds, maxDepth=cfg.gb_depth, stepSize=cfg.gb_rate,
-                            subsamplingRate=cfg.gb_subsample, seed=cfg.seed)
-        return OneVsRest(classifier=gbt, **common)
     if name == "Logistic Regression":
         return LogisticRegression(family="multinomial", regParam=1.0 / (cfg.lr_c * n_train), elasticNetParam=0.0,
                                   maxIter=cfg.lr_iter, tol=cfg.lr_tol, weightCol="weight", **common)
@@ -145,6 +141,13 @@ def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient B
     evaluator = MulticlassClassificationEvaluator(metricName="f1", labelCol="label", predictionCol="prediction")
     cv_scores, fitted = {}, {}
     for name in models:
+        if name == "Gradient Boosting":     # the folds' models grow beside the final one
+            boost = BO.BoostConfig(objective="softmax", rounds=cfg.gb_rounds, rate=cfg.gb_rate, max_depth=cfg.gb_depth,
+                                   subsample=cfg.gb_subsample, seed=cfg.seed)
+            b = BO.fit(train_p, [f"_i_{f}" for f in selected], "label", boost, "session_key", "fold", cfg.cv_folds, len(indexer.labels))
+            cv_scores[name] = sum(map(BO.weighted_f1, b.held_out)) / max(len(b.held_out), 1)
+            fitted[name] = b.model
+            continue
         est = _classifier(name, cfg, n_train)
         cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
                             numFolds=cfg.cv_folds, foldCol="fold", seed=cfg.seed,
@@ -166,9 +169,8 @@ def style_predictions(res: StyleResult, name: str | None = None) -> DataFrame:
 def style_probabilities(res: StyleResult, name: str | None = None) -> DataFrame:
     """One row per test session and class (``session_key, y, prediction, cls, probability``); a session's rows sum to 1.
 
-    Forests and logistic regression give their own probabilities. One-vs-rest
-    models give one margin per class: its logistic value (of twice the margin
-    for boosting, whose loss is defined on it) divided by the sum over the classes.
+    Forests, boosting and logistic regression give their own probabilities. One-vs-rest
+    models give one margin per class: its logistic value divided by the sum over the classes.
     """
     name = name or res.best_name
     model = res.models[name]
@@ -176,8 +178,7 @@ def style_probabilities(res: StyleResult, name: str | None = None) -> DataFrame:
     if "probability" in pred.columns:
         p = vector_to_array("probability")
     else:
-        scale = 2.0 if name == "Gradient Boosting" else 1.0
-        one = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-scale * m)))
+        one = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-m)))
         total = F.aggregate(one, F.lit(0.0), lambda a, x: a + x)
         p = F.transform(one, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(one)))
     label = F.array(*[F.lit(int(x)) for x in res.labels])
@@ -197,13 +198,17 @@ def style_model_scores(res: StyleResult) -> DataFrame:
 
 
 def feature_importance(model, names: list) -> list:
-    """Importances of a tree model (OvR: mean of the binary models), else none."""
-    if hasattr(model, "featureImportances"):
-        return list(zip(names, model.featureImportances.toArray().tolist()))
-    if hasattr(model, "models") and all(hasattr(m, "featureImportances") for m in model.models):
-        arrs = [m.featureImportances.toArray() for m in model.models]
-        return list(zip(names, (sum(arrs) / len(arrs)).tolist()))
-    return []
+    """Importances of a tree model (shares of all splits' gains), else none."""
+    model = fitted_estimator(model)
+    if not hasattr(model, "featureImportances"):
+        return []
+    shares = model.featureImportances
+    return list(zip(names, shares.tolist() if hasattr(shares, "tolist") else shares.toArray().tolist()))
+
+
+def fitted_estimator(model):
+    """The estimator of a one-stage pipeline, or the model itself."""
+    return model.stages[-1] if isinstance(model, PipelineModel) else model
 
 
 def style_importances(res: StyleResult, top: int = 10) -> DataFrame:
@@ -225,16 +230,21 @@ REGRESSORS = ("Random Forest", "Gradient Boosting", "Linear Regression", "XGBoos
 FOREST_DEPTH = 12       # Spark allows 30; deeper forests need a driver heap above the default 1 GB
 
 
+def _boosting(name: str, seed: int) -> BO.BoostConfig | None:
+    """Leaf-wise histogram boosting; M20: second-order depth-wise boosting. The studied settings are the defaults of their classes."""
+    if name == "Gradient Boosting":
+        return BO.BoostConfig(rounds=100, rate=0.1, max_leaves=31, min_leaf=20, stop_after=10, seed=seed)
+    if name == "XGBoost":               # the settings of that library's regressor; the library itself is not used
+        return BO.BoostConfig(rounds=100, rate=0.3, max_depth=6, l2=1.0, min_hessian=1.0, second_order=True, seed=seed)
+    return None
+
+
 def _regressor(name: str, seed: int, forest_depth: int):
     common = dict(featuresCol="features", labelCol="fuel_delta_smooth")
     if name == "Random Forest":
         return RandomForestRegressor(numTrees=100, maxDepth=forest_depth, seed=seed, **common)
-    if name == "Gradient Boosting":
-        return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed, **common)
     if name == "Linear Regression":
         return LinearRegression(regParam=0.0, **common)
-    if name == "XGBoost":               # second boosting profile (the library itself is not used)
-        return GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed, **common)
     raise ValueError(name)
 
 
@@ -249,7 +259,11 @@ def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD,
     train, test = va.transform(split.filter(~F.col("is_test"))), va.transform(split.filter(F.col("is_test")))
     metrics, fitted = None, {}
     for pos, name in enumerate(models):
-        model = Pipeline(stages=[_regressor(name, seed, forest_depth)]).fit(train)
+        boost = _boosting(name, seed)
+        if boost:
+            model = BO.fit(train, list(features), "fuel_delta_smooth", boost, "id").model
+        else:
+            model = Pipeline(stages=[_regressor(name, seed, forest_depth)]).fit(train)
         fitted[name] = model
         pred = model.transform(test).select(F.col("fuel_delta_smooth").alias("y"), "prediction")
         m = MO.regression_metrics(pred).select(F.lit(pos).alias("position"), F.lit(name).alias("name"), "mse", "r2")
@@ -258,8 +272,11 @@ def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD,
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted pipeline/model (Spark ML format) to ``path``."""
-    model.write().overwrite().save(path)
+    """Persist a fitted model to ``path`` (Spark ML format; boosted trees as a table)."""
+    if isinstance(model, BO.BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def save_best_model(metrics: DataFrame, fitted: dict, path: str) -> str:

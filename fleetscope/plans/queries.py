@@ -653,7 +653,7 @@ def q_model_comparison(spark, sf_dir):
 from ..session import materialize  # noqa: E402
 from . import ml as ML  # noqa: E402
 
-STYLE_MODELS = ("Random Forest", "Logistic Regression")
+STYLE_MODELS = ("Random Forest", "Gradient Boosting", "Logistic Regression")
 
 
 def _style_result(spark, sf_dir, models=STYLE_MODELS):
@@ -725,7 +725,6 @@ def q_fuel_best_model(spark, sf_dir):
 def q_fuel_feature_importance(spark, sf_dir):
     """R17 for the fuel dashboard: importances of the best tree regressor by R^2."""
     metrics, fitted = _fuel_models(spark, sf_dir)
-    trees = [r["name"] for r in metrics.orderBy(F.desc("r2"), "position").collect()   # 4 rows
-             if hasattr(fitted[r["name"]].stages[-1], "featureImportances")]
-    return ML.importance_frame(spark, ML.feature_importance(fitted[trees[0]].stages[-1],
-                                                            list(FUEL_FEATURES_DASHBOARD)))
+    ranked = [ML.feature_importance(fitted[r["name"]], list(FUEL_FEATURES_DASHBOARD))
+              for r in metrics.orderBy(F.desc("r2"), "position").collect()]               # 4 rows
+    return ML.importance_frame(spark, next((x for x in ranked if x), []))
