@@ -14,8 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (Imputer, IndexToString, RobustScaler, StringIndexer, UnivariateFeatureSelector,
-                                VectorAssembler, VectorSlicer)
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -24,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import FUEL_FEATURES_DASHBOARD, SESSION_FEATURES
 from ..operators import boosting as BO
+from ..operators import knn_information as KI
 from ..operators import modeling as MO
+from ..operators.preparation import Preparation, fit_preparation
 from ..session import materialize
 
 
@@ -43,7 +44,8 @@ class StyleConfig:
     lr_tol: float = 1e-4            # the studied configuration sets none: the library default of the original
     svm_c: float = 1.0
     k_features: int = 15
-    selection: str = "mutual_info"  # "mutual_info" | "anova" | "rfe"
+    selection: str = "mutual_info"  # "mutual_info" (nearest neighbours) | "mutual_info_binned" | "anova" | "rfe"
+    neighbours: int = 3
     cv_folds: int = 5
     cv_parallelism: int = 5
     test_size: float = 0.2
@@ -55,7 +57,7 @@ class StyleResult:
     cv_scores: dict
     models: dict
     best_name: str
-    prep: PipelineModel
+    prep: Preparation
     selected: list
     train: DataFrame
     test: DataFrame
@@ -78,8 +80,11 @@ def select_features(train: DataFrame, features: list, label: str, cfg: StyleConf
         col = "f_score"
     elif cfg.selection == "rfe":
         return _rfe(train, features, label, k, cfg)
-    else:
+    elif cfg.selection == "mutual_info_binned":
         scores, col = MO.mutual_info(train, features, label), "mutual_info"
+    else:
+        keyed = train if "session_key" in train.columns else with_session_key(train)
+        scores, col = KI.mutual_info_knn(keyed, features, label, "session_key", cfg.neighbours, cfg.seed), "mutual_info"
     top = scores.orderBy(F.desc(col), F.asc("feature")).limit(k).collect()   # k rows
     chosen = {r["feature"] for r in top}
     return [f for f in features if f in chosen]
@@ -110,12 +115,14 @@ def _classifier(name: str, cfg: StyleConfig, n_train: int):
     raise ValueError(f"unknown model {name}")
 
 
+def with_session_key(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumn("session_key", F.concat_ws("_", "ident", F.col("session_id").cast("string")))
+
+
 def style_matrix(sessions: DataFrame, features=SESSION_FEATURES) -> DataFrame:
     """M1: labelled sessions with ``session_key`` and the available features, nulls as 0."""
     feats = [f for f in features if f in sessions.columns]
-    return (sessions.filter(F.col("stile_guida").isNotNull())
-                    .withColumn("session_key", F.concat_ws("_", "ident", F.col("session_id").cast("string")))
-                    .fillna(0.0, subset=feats))
+    return with_session_key(sessions.filter(F.col("stile_guida").isNotNull())).fillna(0.0, subset=feats)
 
 
 def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient Boosting", "Logistic Regression"),
@@ -131,12 +138,8 @@ def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient B
     split = balanced_weights(indexer.transform(split))
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     selected = select_features(train, feats, "label", cfg)
-    prep = Pipeline(stages=[
-        Imputer(inputCols=selected, outputCols=[f"_i_{f}" for f in selected], strategy="median"),
-        VectorAssembler(inputCols=[f"_i_{f}" for f in selected], outputCol="_raw"),
-        RobustScaler(inputCol="_raw", outputCol="features", withCentering=True, withScaling=True),
-    ]).fit(train)
-    train_p, test_p = materialize(prep.transform(train)), prep.transform(test)
+    prep = fit_preparation(train, selected)
+    train_p, test_p = materialize(prep.transform(train, selected)), prep.transform(test, selected)
     n_train = train_p.count()
     evaluator = MulticlassClassificationEvaluator(metricName="f1", labelCol="label", predictionCol="prediction")
     cv_scores, fitted = {}, {}

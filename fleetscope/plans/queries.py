@@ -523,6 +523,12 @@ def q_random_split(spark, sf_dir):
     return _fuel_split(spark, sf_dir).select("id", "is_test")
 
 
+from ..operators import knn_information as KI  # noqa: E402
+from ..operators import preparation as PR  # noqa: E402
+from ..session import materialize  # noqa: E402
+from . import ml as ML  # noqa: E402
+
+
 @register("anova_f", sql=S.with_ctes(*FEATURE_SQL, """
 long AS (UNPIVOT session_features ON {feats} INTO NAME feature VALUE x),
 pc AS (SELECT feature, stile_guida AS label, count(x) AS n, avg(x) AS m, var_pop(x) * count(x) AS ssw FROM long GROUP BY feature, stile_guida),
@@ -552,6 +558,38 @@ def q_mutual_info(spark, sf_dir):
     return MO.mutual_info(_features(spark, sf_dir), list(SESSION_FEATURES), "stile_guida")
 
 
+@register("mutual_info_knn", sql=S.with_ctes(*FEATURE_SQL, S.knn_information_ctes(SESSION_FEATURES), select="""
+SELECT feature, greatest(0.0, psi_n + avg(psi_k) - avg(psi_c) - avg(psi_m)) AS mutual_info FROM terms GROUP BY feature, psi_n"""),
+          doubles=["mutual_info"])
+def q_mutual_info_knn(spark, sf_dir):
+    """M8: the nearest-neighbour estimator, the default selection rule of the classifiers."""
+    sessions = materialize(ML.with_session_key(_features(spark, sf_dir)))
+    return KI.mutual_info_knn(sessions, list(SESSION_FEATURES), "stile_guida", "session_key")
+
+
+@register("imputed_medians", sql=S.with_ctes(*FEATURE_SQL, S.quantile_ctes(SESSION_FEATURES), select="""
+SELECT feature, median, missing FROM medians"""), doubles=["median"])
+def q_imputed_medians(spark, sf_dir):
+    """M5: the value that stands in for a missing one, and how many are missing."""
+    sessions = materialize(_features(spark, sf_dir))
+    feats = list(SESSION_FEATURES)
+    gaps = sessions.agg(*[F.count(F.lit(1)).alias("n")], *[F.count(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f) for f in feats])
+    gaps = gaps.selectExpr(f"stack({len(feats)}, " + ", ".join(f"'{f}', n - `{f}`" for f in feats) + ") AS (feature, missing)")
+    return PR.feature_quantiles(sessions, feats, {"median": 0.5}).join(gaps, "feature")
+
+
+@register("scaled_features", sql=S.with_ctes(*FEATURE_SQL, S.quantile_ctes(SESSION_FEATURES), select="""
+SELECT f.ident || '_' || CAST(f.session_id AS VARCHAR) AS session_key, i.feature, (i.x - i.centre) / i.scale AS scaled
+FROM session_features f JOIN imputed i ON f.ident = i.ident AND f.session_id = i.session_id"""), doubles=["scaled"])
+def q_scaled_features(spark, sf_dir):
+    """M6: every session's imputed features, centred on the median and divided by the interquartile range."""
+    feats = list(SESSION_FEATURES)
+    sessions = materialize(ML.with_session_key(_features(spark, sf_dir)))
+    prep = PR.fit_preparation(sessions, feats)
+    wide = sessions.select("session_key", *[prep.scaled(f).alias(f) for f in feats])
+    return wide.selectExpr("session_key", f"stack({len(feats)}, " + ", ".join(f"'{f}', `{f}`" for f in feats) + ") AS (feature, scaled)")
+
+
 _CM_SELECT, _CM_PAIRS = S.classification_metrics_sql("cm_pred")
 
 
@@ -650,9 +688,6 @@ def q_model_comparison(spark, sf_dir):
 
 # ------------------------------------------------------------------ fitted models (rows-only checks)
 
-from ..session import materialize  # noqa: E402
-from . import ml as ML  # noqa: E402
-
 STYLE_MODELS = ("Random Forest", "Gradient Boosting", "Logistic Regression")
 
 

@@ -360,3 +360,34 @@ FROM (
       FROM (SELECT y AS cls, sum(c) AS support, sum(CASE WHEN y = p THEN c ELSE 0 END) AS tp FROM cm_pairs GROUP BY y) bt
       FULL OUTER JOIN (SELECT p AS cls, sum(c) AS npred FROM cm_pairs GROUP BY p) bp ON bt.cls = bp.cls)))""", \
         f"cm_pairs AS (SELECT y, prediction AS p, count(*) AS c FROM {pred} GROUP BY y, prediction)"
+
+
+def knn_information_ctes(features) -> str:
+    """M8 by all pairs: (feature, psi terms) of every row; digamma of an integer from its harmonic sum."""
+    def psi(n):
+        return f"(coalesce(list_sum(list_transform(range(1, CAST({n} AS BIGINT)), lambda i: 1.0 / i)), 0.0) - 0.5772156649015329)"
+    return f"""
+kn_long AS (SELECT ident || '_' || CAST(session_id AS VARCHAR) AS key, stile_guida AS label, feature, x
+  FROM (UNPIVOT session_features ON {', '.join(features)} INTO NAME feature VALUE x) WHERE x IS NOT NULL AND stile_guida IS NOT NULL),
+kn_top AS (SELECT *, max(abs(x)) OVER (PARTITION BY feature) AS top, count(*) OVER (PARTITION BY feature, label) AS n_c FROM kn_long),
+kn AS (SELECT key, label, feature, n_c,
+    (CASE WHEN top > 0 THEN CAST(floor(x / top * 1125899906842624.0) AS BIGINT) ELSE 0 END)
+    + ('0x' || substr(md5('42|' || feature || '|' || key), 1, 4))::BIGINT - 32768 AS v
+  FROM kn_top WHERE n_c > 1),
+kn_r AS (SELECT a.feature, a.key, a.label, any_value(a.v) AS v, any_value(a.n_c) AS n_c, least(3, any_value(a.n_c) - 1) AS k,
+    list_sort(list(abs(a.v - b.v)))[CAST(least(3, any_value(a.n_c) - 1) AS INT)] AS r
+  FROM kn a JOIN kn b ON a.feature = b.feature AND a.label = b.label AND a.key <> b.key GROUP BY a.feature, a.key, a.label),
+kn_m AS (SELECT a.feature, a.key, a.label, any_value(a.n_c) AS n_c, any_value(a.k) AS k, count(*) AS m
+  FROM kn_r a JOIN kn b ON a.feature = b.feature AND abs(a.v - b.v) <= greatest(a.r - 1, 0) GROUP BY a.feature, a.key, a.label),
+terms AS (SELECT feature, {psi('count(*) OVER (PARTITION BY feature)')} AS psi_n, {psi('k')} AS psi_k, {psi('n_c')} AS psi_c, {psi('m')} AS psi_m
+  FROM kn_m)"""
+
+
+def quantile_ctes(features) -> str:
+    """M5 / M6: medians of the given values; centre and interquartile range of the imputed ones."""
+    return f"""
+q_long AS (SELECT ident, session_id, feature, x FROM session_features UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(features)}))),
+medians AS (SELECT feature, quantile_cont(CAST(x AS DOUBLE), 0.5) AS median, count(*) - count(x) AS missing FROM q_long GROUP BY feature HAVING count(x) > 0),
+q_filled AS (SELECT l.ident, l.session_id, l.feature, coalesce(CAST(x AS DOUBLE), median, 0.0) AS x FROM q_long l LEFT JOIN medians USING (feature)),
+q_range AS (SELECT feature, quantile_cont(x, 0.5) AS centre, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM q_filled GROUP BY feature),
+imputed AS (SELECT ident, session_id, feature, x, centre, CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END AS scale FROM q_filled JOIN q_range USING (feature))"""
