@@ -9,7 +9,7 @@ grown by ``operators.boosting`` from distributed feature histograms.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -27,6 +27,7 @@ from ..operators import knn_information as KI
 from ..operators import modeling as MO
 from ..operators.preparation import Preparation, fit_preparation
 from ..session import materialize
+from ..sources.model_store import Fit
 
 
 @dataclass
@@ -161,6 +162,19 @@ def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient B
     return StyleResult(cv_scores, fitted, best, prep, selected, train_p, test_p, list(indexer.labels))
 
 
+def pack_style(res: StyleResult) -> Fit:
+    """A result as one stored fit (models, preparation, scores, selection, both matrices)."""
+    values = {"cv_scores": res.cv_scores, "best": res.best_name, "prep": asdict(res.prep), "selected": res.selected, "labels": res.labels,
+              "order": list(res.models)}
+    return Fit({"train": res.train, "test": res.test}, res.models, values)
+
+
+def unpack_style(fit: Fit) -> StyleResult:
+    v = fit.values
+    return StyleResult(v["cv_scores"], {n: fit.models[n] for n in v["order"]}, v["best"], Preparation(**v["prep"]), v["selected"],
+                       fit.frames["train"], fit.frames["test"], v["labels"])
+
+
 def style_predictions(res: StyleResult, name: str | None = None) -> DataFrame:
     """Test predictions decoded back to the original labels (``y``, ``prediction``)."""
     pred = res.models[name or res.best_name].transform(res.test)

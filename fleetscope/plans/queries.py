@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from ..functions.constants import BEHAVIOURS
 from ..sources.telemetry import load_telemetry
+from ..sources.versioned import VersionedTable, scratch_table
 from . import sql as S
 from .driving_style import scoring_stages
 from .registry import register
@@ -291,9 +294,11 @@ def q_vehicle_session_stats(spark, sf_dir):
 @register("update_driving_style", sql=S.with_ctes(*J2, select="""
 SELECT t.id, t.ident, d.stile_guida FROM telemetry t LEFT JOIN driving_style d ON t.ident = d.ident"""))
 def q_update_driving_style(spark, sf_dir):
-    from .driving_style import label_telemetry
+    """The labels are written to a table version and read back from it."""
     t = load_telemetry(spark, sf_dir)
-    return label_telemetry(t, _stages(spark, sf_dir).styles).select("id", "ident", "stile_guida")
+    table = VersionedTable.create(t, scratch_table(spark, "telemetry"), "ident")
+    styles = _stages(spark, sf_dir).styles.select("ident", "stile_guida")
+    return table.update(styles, "ident", ["stile_guida"]).read().select("id", "ident", "stile_guida")
 
 
 @register("fleet_report", sql=S.with_ctes(*J2, select="""
@@ -435,10 +440,10 @@ SELECT t.id, CASE WHEN m.id IS NOT NULL THEN m.limite_velocita ELSE t.limite_vel
   CASE WHEN m.id IS NOT NULL THEN m.tipo_strada ELSE t.tipo_strada END AS tipo_strada
 FROM telemetry t LEFT JOIN matched m ON t.id = m.id"""))
 def q_update_road_columns(spark, sf_dir):
-    t = load_telemetry(spark, sf_dir)
+    """The road columns are written to a table version and read back from it."""
+    table = VersionedTable.create(load_telemetry(spark, sf_dir), scratch_table(spark, "telemetry"), "ident")
     m = _matches(spark, sf_dir).select("id", "limite_velocita", "tipo_strada")
-    return TS.update_by_key(t, m, "id", ["limite_velocita", "tipo_strada"]).select(
-        "id", "limite_velocita", "tipo_strada")
+    return table.update(m, "id", ["limite_velocita", "tipo_strada"]).read().select("id", "limite_velocita", "tipo_strada")
 
 
 @register("resolve_speed_limit", sql=S.with_ctes(S.ROADS, select=f"""
@@ -526,6 +531,7 @@ def q_random_split(spark, sf_dir):
 from ..operators import knn_information as KI  # noqa: E402
 from ..operators import preparation as PR  # noqa: E402
 from ..session import materialize  # noqa: E402
+from ..sources.model_store import Fit, ModelStore  # noqa: E402
 from . import ml as ML  # noqa: E402
 
 
@@ -692,7 +698,11 @@ STYLE_MODELS = ("Random Forest", "Gradient Boosting", "Logistic Regression")
 
 
 def _style_result(spark, sf_dir, models=STYLE_MODELS):
-    return ML.train_style_models(_features(spark, sf_dir), models=models)
+    """Fitted once per input, settings and code; the queries below share it."""
+    cfg = ML.StyleConfig()
+    fit = ModelStore(spark).get_or_fit("style", [f"{sf_dir}/events.parquet"], [list(models), asdict(cfg)], lambda: ML.pack_style(
+        ML.train_style_models(_features(spark, sf_dir), models=models, cfg=cfg)))
+    return ML.unpack_style(fit)
 
 
 @register("style_matrix", sql=S.with_ctes(*FEATURE_SQL, select=f"""
@@ -708,9 +718,13 @@ def q_style_matrix(spark, sf_dir):
 @register("rfe_features")
 def q_rfe_features(spark, sf_dir):
     """M9: the features that recursive elimination keeps, in model order."""
-    data = ML.StringIndexer(inputCol="stile_guida", outputCol="label", stringOrderType="alphabetAsc")
-    matrix = materialize(ML.style_matrix(_features(spark, sf_dir)))
-    kept = ML.select_features(data.fit(matrix).transform(matrix), list(SESSION_FEATURES), "label", ML.StyleConfig(selection="rfe"))
+    cfg = ML.StyleConfig(selection="rfe")
+
+    def fit():
+        data = ML.StringIndexer(inputCol="stile_guida", outputCol="label", stringOrderType="alphabetAsc")
+        matrix = materialize(ML.style_matrix(_features(spark, sf_dir)))
+        return Fit(values={"kept": ML.select_features(data.fit(matrix).transform(matrix), list(SESSION_FEATURES), "label", cfg)})
+    kept = ModelStore(spark).get_or_fit("rfe", [f"{sf_dir}/events.parquet"], asdict(cfg), fit).values["kept"]
     return spark.createDataFrame(list(enumerate(kept)), "position int, feature string")
 
 
@@ -740,8 +754,11 @@ def q_feature_importance(spark, sf_dir):
 
 
 def _fuel_models(spark, sf_dir):
-    from ..session import materialize
-    return ML.train_fuel_models(materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True))))
+    def fit():
+        metrics, fitted = ML.train_fuel_models(materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True))))
+        return Fit({"metrics": metrics}, fitted)
+    stored = ModelStore(spark).get_or_fit("fuel", [f"{sf_dir}/events.parquet"], [ML.FOREST_DEPTH, *ML.REGRESSORS], fit)
+    return stored.frames["metrics"], stored.models
 
 
 @register("fuel_model_metrics")

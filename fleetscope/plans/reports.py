@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SESSION_FEATURES
 from ..operators.quantiles import exact_quantiles
+from ..sources.versioned import VersionedTable
 
 
 def fleet_report(valid: DataFrame, styles: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -97,3 +98,19 @@ def session_label(sessions: DataFrame) -> DataFrame:
 
 
 FEATURES = SESSION_FEATURES
+
+
+def publish(reports: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, int]:
+    """Every report as the next version of its own table under ``root`` (``parquet``, ``csv`` or ``json``); returns the versions.
+
+    A report is replaced as a whole; readers of the former version keep it.
+    """
+    versions = {}
+    for name, df in reports.items():
+        place = f"{root.rstrip('/')}/{name}"
+        try:
+            table = VersionedTable.open(df.sparkSession, place).replace(df)
+        except LookupError:
+            table = VersionedTable.create(df, place, df.columns[0], buckets=1, fmt=fmt)
+        versions[name] = table.version
+    return versions
