@@ -50,7 +50,8 @@ def op8_pii(spark, sf_dir):
 
 
 def op9_repeated_passages(spark, sf_dir):
-    return repeated_passages.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+    rows = repeated_passages.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+    return rows.withColumn("has_repeat", F.col("n_removed") > 0)
 
 
 def op10_warc(spark, sf_dir):

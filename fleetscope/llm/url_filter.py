@@ -12,9 +12,11 @@
    Sibling branches whose blocked shares do not differ from the pooled share of
    their labelled siblings (z test) are merged: they share the pooled counts.
    A url takes the deepest node on its path that is *judged*, i.e. holds
-   ``min_support`` labelled urls that make up ``min_coverage`` of it; the node is
-   rejected if its smoothed purity (blocked + a/2) / (labelled + a) reaches
-   ``purity``. Urls without a judged node are allowed.
+   ``min_support`` labelled urls; the node is rejected if its smoothed purity
+   (blocked + s * prior) / (labelled + s) reaches ``purity``. The prior is the
+   host's blocked share, itself smoothed towards the share of all labelled urls; its
+   weight s = smoothing * urls / labelled grows with the urls that nobody
+   labelled, so thin evidence leans on the host. Urls without a judged node are allowed.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
 path: then up to ``?``, ``#`` or the end. Null urls and urls without ``://`` have an
@@ -37,7 +39,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
          ("allow", "org", "/fr/"))
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-TREE = dict(max_depth=4, max_children=64, min_support=3, min_coverage=0.5, z=1.96, smoothing=2.0, purity=0.8)
+TREE = dict(max_depth=4, max_children=64, min_support=3, z=1.96, smoothing=2.0, purity=0.8)
 
 
 def host_of(url: Column) -> Column:
@@ -104,11 +106,14 @@ def template_verdicts(urls: DataFrame, **tree) -> DataFrame:
     pooled = nodes.where("merged").groupBy("host", "depth", "parent").agg(
         *[F.sum(c).alias("p_" + c) for c in ("n", "labelled", "blocked")])
     stat = {c: F.when(F.col("merged"), F.col("p_" + c)).otherwise(F.col(c)) for c in ("n", "labelled", "blocked")}
-    a = p["smoothing"]
-    judged = nodes.join(pooled, ["host", "depth", "parent"], "left").where(
-        (stat["labelled"] >= p["min_support"]) & (stat["labelled"] >= F.lit(p["min_coverage"]) * stat["n"])
-    ).select("host", "depth", "node", ((stat["blocked"] + a / 2) / (stat["labelled"] + a) >= p["purity"])
-             .alias("rejected"))
+    a, one = F.lit(p["smoothing"]), F.lit(0).alias("one")
+    total = nodes.where("depth = 0").agg(F.try_divide(F.sum("blocked"), F.sum("labelled")).alias("corpus"))            # one row
+    hosts = (nodes.where("depth = 0 and labelled > 0").select("host", "labelled", "blocked", one)
+             .join(F.broadcast(total.select("corpus", one)), "one")
+             .select("host", ((F.col("blocked") + a * F.col("corpus")) / (F.col("labelled") + a)).alias("prior")))
+    weight = F.try_divide(a * stat["n"], stat["labelled"])
+    judged = nodes.join(pooled, ["host", "depth", "parent"], "left").where(stat["labelled"] >= p["min_support"]).join(hosts, "host").select(
+        "host", "depth", "node", ((stat["blocked"] + weight * F.col("prior")) / (stat["labelled"] + weight) >= p["purity"]).alias("rejected"))
     deepest = path.select("host", "shape", "depth", "node").join(judged, ["host", "depth", "node"])
     return deepest.groupBy("host", "shape").agg(F.max_by("rejected", "depth").alias("rejected"))
 
@@ -168,8 +173,11 @@ m AS (SELECT nodes.*, coalesce(labelled > 0 AND abs(blocked / labelled - share)
 pooled AS (SELECT host, depth, parent, sum(n) pn, sum(labelled) pl, sum(blocked) pb FROM m WHERE merged GROUP BY ALL),
 s AS (SELECT m.host, m.depth, m.node, CASE WHEN merged THEN pn ELSE n END n, CASE WHEN merged THEN pl ELSE labelled END
   labelled, CASE WHEN merged THEN pb ELSE blocked END blocked FROM m LEFT JOIN pooled USING (host, depth, parent)),
-judged AS (SELECT host, depth, node, (blocked + {p['smoothing'] / 2}) / (labelled + {p['smoothing']}) >= {p['purity']}
-  rejected FROM s WHERE labelled >= {p['min_support']} AND labelled >= {p['min_coverage']} * n),
+total AS (SELECT sum(blocked) / sum(labelled) corpus FROM nodes WHERE depth = 0),
+hosts AS (SELECT host, (blocked + {p['smoothing']} * corpus) / (labelled + {p['smoothing']}) prior FROM nodes, total
+  WHERE depth = 0 AND labelled > 0),
+judged AS (SELECT host, depth, node, (blocked + {p['smoothing']} * n / labelled * prior) / (labelled + {p['smoothing']} * n / labelled)
+  >= {p['purity']} rejected FROM s JOIN hosts USING (host) WHERE labelled >= {p['min_support']}),
 deepest AS (SELECT host, shape, arg_max(rejected, depth) rejected FROM path JOIN judged USING (host, depth, node)
   GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN rejected THEN 'block' ELSE 'allow' END) verdict,

@@ -49,6 +49,28 @@ def test_templates_generalise_merge_and_reject(spark):
     assert told["shop.io", "/item/0"] is True and told["shop.io", "/user/new"] is False and ("other.io", "/item/0") not in told
 
 
+def test_rules_reject_unruled_urls_through_the_tree(spark):
+    """Labels from the rules alone: an unruled url of a host whose ruled urls are all blocked is rejected, one of an allowed host is not."""
+    urls = [f"http://bets.example.com/de/{i}.html" for i in range(4)] + [f"http://bets.example.com/en/{i}.html" for i in range(9)]
+    urls += [f"http://good.org/fr/{i}.html" for i in range(4)] + [f"http://good.org/en/{i}.html" for i in range(9)]
+    urls += [f"http://mixed.example.com/de/a/{i}" for i in range(3)] + ["http://lone.example.com/de/1", "http://lone.example.com/en/1", "http://unseen.io/en/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.source) for r in U.judge(df).collect()}
+    told = {u: got[i] for i, u in enumerate(urls)}
+    assert {v for u, v in told.items() if "bets" in u and "/en/" in u} == {("block", "tree")}
+    assert {v for u, v in told.items() if "good" in u and "/en/" in u} == {("allow", "tree")}
+    assert told["http://lone.example.com/en/1"] == told["http://unseen.io/en/1"] == ("allow", "tree")       # too few labels, and none
+
+
+def test_prior_outweighs_thin_evidence(spark):
+    """Three blocked urls among many unlabelled ones do not reject a branch of a host that is mostly allowed."""
+    rows = [("/a/x", "block")] * 3 + [("/a/x", None)] * 60 + [("/b/y", "allow")] * 40
+    df = spark.createDataFrame([("h", s, y) for s, y in rows], "host string, shape string, label string")
+    assert {r["shape"]: r.rejected for r in U.template_verdicts(df).collect()}["/a/x"] is False
+    alone = df.where("label is not null")
+    assert {r["shape"]: r.rejected for r in U.template_verdicts(alone, smoothing=0.1).collect()}["/a/x"] is True
+
+
 def digest(html):
     return base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
