@@ -35,6 +35,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
          ("allow", "org", "/fr/"))
 HOST = r"(?s)^.*?://([^/?#]*)"
@@ -89,14 +91,14 @@ def templates(urls: DataFrame, max_depth: int, max_children: int) -> DataFrame:
 def template_verdicts(urls: DataFrame, **tree) -> DataFrame:
     """(host, shape, rejected) for every generalised path in ``urls`` (host, shape, label)."""
     p = dict(TREE, **tree)
-    t = templates(urls, p["max_depth"], p["max_children"])
+    t = stage(templates(urls, p["max_depth"], p["max_children"]), "url-templates")      # read by two branches below
     path = t.select("host", "shape", "n", "labelled", "blocked", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("tokens")), lambda d: F.struct(
             d.alias("depth"), F.concat_ws("/", F.slice("tokens", F.lit(1), d)).alias("node"),
             F.when(d > 0, F.concat_ws("/", F.slice("tokens", F.lit(1), d - 1))).alias("parent")))).alias("s")
     ).select("host", "shape", "n", "labelled", "blocked", "s.*")
-    nodes = path.groupBy("host", "depth", "node", "parent").agg(
-        *[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    nodes = stage(path.groupBy("host", "depth", "node", "parent").agg(
+        *[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]), "url-nodes")        # read by five
     pool = nodes.where("labelled > 0 and depth > 0").groupBy("host", "depth", "parent").agg(
         (F.sum("blocked") / F.sum("labelled")).alias("share"))
     near = (F.abs(F.col("blocked") / F.col("labelled") - F.col("share"))
