@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import FUEL_FEATURES_DASHBOARD, SESSION_FEATURES
 from ..operators import boosting as BO
+from ..operators import forest as FO
+from ..operators import kernel_svm as KS
 from ..operators import knn_information as KI
 from ..operators import modeling as MO
 from ..operators.preparation import Preparation, fit_preparation
 from ..session import materialize
+from ..sources import model_store as MS
 from ..sources.model_store import Fit
 
 
@@ -110,7 +113,7 @@ def _classifier(name: str, cfg: StyleConfig, n_train: int):
     if name == "Logistic Regression":
         return LogisticRegression(family="multinomial", regParam=1.0 / (cfg.lr_c * n_train), elasticNetParam=0.0,
                                   maxIter=cfg.lr_iter, tol=cfg.lr_tol, weightCol="weight", **common)
-    if name == "SVM":                   # linear kernel only
+    if name == "SVM":                   # the linear machine; training takes the kernel machine of operators.kernel_svm
         svc = LinearSVC(regParam=1.0 / (cfg.svm_c * n_train))
         return OneVsRest(classifier=svc, weightCol="weight", **common)
     raise ValueError(f"unknown model {name}")
@@ -152,6 +155,10 @@ def train_style_models(sessions: DataFrame, models=("Random Forest", "Gradient B
             cv_scores[name] = sum(map(BO.weighted_f1, b.held_out)) / max(len(b.held_out), 1)
             fitted[name] = b.model
             continue
+        if name == "SVM":                   # Gaussian kernel, one machine per pair of classes, calibrated
+            svm, tables = KS.fit(train_p, len(indexer.labels), cfg.cv_folds, KS.SvmConfig(c=cfg.svm_c, seed=cfg.seed))
+            cv_scores[name], fitted[name] = sum(map(BO.weighted_f1, tables)) / max(len(tables), 1), svm
+            continue
         est = _classifier(name, cfg, n_train)
         cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
                             numFolds=cfg.cv_folds, foldCol="fold", seed=cfg.seed,
@@ -217,6 +224,9 @@ def style_model_scores(res: StyleResult) -> DataFrame:
 def feature_importance(model, names: list) -> list:
     """Importances of a tree model (shares of all splits' gains), else none."""
     model = fitted_estimator(model)
+    if isinstance(model, FO.Forest):
+        shares = {r["feature"]: r["importance"] for r in model.importances(SparkSession.active()).collect()}
+        return [(n, shares.get(n, 0.0)) for n in names]
     if not hasattr(model, "featureImportances"):
         return []
     shares = model.featureImportances
@@ -244,7 +254,7 @@ def importance_frame(spark, pairs: list, top: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- J5 regressors
 
 REGRESSORS = ("Random Forest", "Gradient Boosting", "Linear Regression", "XGBoost")
-FOREST_DEPTH = 12       # Spark allows 30; deeper forests need a driver heap above the default 1 GB
+FOREST_DEPTH = None     # None: grown to purity on tables (operators.forest); a number: Spark ML's forest of that depth
 
 
 def _boosting(name: str, seed: int) -> BO.BoostConfig | None:
@@ -266,7 +276,7 @@ def _regressor(name: str, seed: int, forest_depth: int):
 
 
 def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD, models=REGRESSORS,
-                      test_size: float = 0.2, seed: int = 42, forest_depth: int = FOREST_DEPTH):
+                      test_size: float = 0.2, seed: int = 42, forest_depth: int | None = FOREST_DEPTH):
     """Fit each regressor on the hash train split; metrics on the test split.
 
     Returns (metrics DataFrame [position, name, mse, r2], fitted models dict).
@@ -279,21 +289,21 @@ def train_fuel_models(training_set: DataFrame, features=FUEL_FEATURES_DASHBOARD,
         boost = _boosting(name, seed)
         if boost:
             model = BO.fit(train, list(features), "fuel_delta_smooth", boost, "id").model
+        elif name == "Random Forest" and forest_depth is None:
+            model = FO.grow(train, list(features), "fuel_delta_smooth", "id", FO.ForestConfig(trees=100, seed=seed))
         else:
             model = Pipeline(stages=[_regressor(name, seed, forest_depth)]).fit(train)
         fitted[name] = model
-        pred = model.transform(test).select(F.col("fuel_delta_smooth").alias("y"), "prediction")
+        pred = model.transform(test, "id") if isinstance(model, FO.Forest) else model.transform(test)
+        pred = pred.select(F.col("fuel_delta_smooth").alias("y"), "prediction")
         m = MO.regression_metrics(pred).select(F.lit(pos).alias("position"), F.lit(name).alias("name"), "mse", "r2")
         metrics = m if metrics is None else metrics.unionByName(m)
     return metrics, fitted
 
 
 def save_model(model, path: str) -> None:
-    """Persist a fitted model to ``path`` (Spark ML format; boosted trees as a table)."""
-    if isinstance(model, BO.BoostedTrees):
-        model.save(SparkSession.active(), path)
-    else:
-        model.write().overwrite().save(path)
+    """Persist a fitted model to ``path`` (Spark ML format; this package's own models as tables)."""
+    MS.save_model(SparkSession.active(), model, path)
 
 
 def save_best_model(metrics: DataFrame, fitted: dict, path: str) -> str:

@@ -753,11 +753,20 @@ def q_feature_importance(spark, sf_dir):
     return ML.style_importances(_style_result(spark, sf_dir))
 
 
+@register("svm_evaluation")
+def q_svm_evaluation(spark, sf_dir):
+    """M13 + M15: the kernel machine (off by default in the comparison): CV and test F1, log loss of its calibrated probabilities."""
+    res = _style_result(spark, sf_dir, ("SVM",))
+    p = ML.style_probabilities(res)
+    loss = p.where("cls = y").agg(F.avg(-F.log(F.greatest("probability", F.lit(1e-12)))).alias("log_loss"))
+    return MO._one_row_join(ML.style_model_scores(res), loss).select("model", "cv_f1", "test_f1", "log_loss")
+
+
 def _fuel_models(spark, sf_dir):
     def fit():
         metrics, fitted = ML.train_fuel_models(materialize(FU.fuel_training_set(_fuel(spark, sf_dir, dashboard=True))))
         return Fit({"metrics": metrics}, fitted)
-    stored = ModelStore(spark).get_or_fit("fuel", [f"{sf_dir}/events.parquet"], [ML.FOREST_DEPTH, *ML.REGRESSORS], fit)
+    stored = ModelStore(spark).get_or_fit("fuel", [f"{sf_dir}/events.parquet"], [str(ML.FOREST_DEPTH), *ML.REGRESSORS], fit)
     return stored.frames["metrics"], stored.models
 
 

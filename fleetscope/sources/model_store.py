@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.boosting import BoostedTrees
+from ..operators.forest import Forest
+from ..operators.kernel_svm import KernelSvm
 from ..session import checkpoint_dir
 
 MANIFEST = "key string, folder string, saved_at long, body string"
@@ -57,6 +59,33 @@ def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256(f"{row['n']}|{row['size']}|{row['sum']}".encode()).hexdigest()
 
 
+def save_model(spark: SparkSession, model, path: str) -> str:
+    """Write a fitted model to ``path``; returns its kind, which ``load_model`` needs."""
+    if isinstance(model, BoostedTrees):
+        model.save(spark, path)
+        return "trees"
+    if isinstance(model, KernelSvm | Forest):
+        values = model.to_values()
+        if isinstance(model, Forest):           # its nodes go along
+            for level in range(model.levels):
+                model.nodes(spark, level).write.parquet(f"{path}/nodes/{level}")
+            values["path"] = path
+        spark.createDataFrame([(json.dumps(values),)], "value string").coalesce(1).write.text(f"{path}/values")
+        return "forest" if isinstance(model, Forest) else "kernel"
+    (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().overwrite().save(path)
+    return "pipeline" if isinstance(model, PipelineModel) else "stage"
+
+
+def load_model(spark: SparkSession, kind: str, path: str):
+    if kind == "trees":
+        return BoostedTrees.load(spark, path)
+    if kind in ("kernel", "forest"):
+        values = json.loads(spark.read.text(f"{path}/values").first()["value"])
+        return KernelSvm(**values) if kind == "kernel" else Forest.from_values(values)
+    model = PipelineModel.load(path)
+    return model if kind == "pipeline" else model.stages[0]
+
+
 class ModelStore:
     """Fits under ``root``, by default ``models`` in the shared folder of the session (or ``spark.fleetscope.store``)."""
 
@@ -72,12 +101,7 @@ class ModelStore:
         folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
         kinds = {}
         for i, (label, model) in enumerate(fit.models.items()):
-            kinds[label] = [f"model-{i}", "trees" if isinstance(model, BoostedTrees) else "pipeline"]
-            if isinstance(model, BoostedTrees):
-                model.save(self.spark, f"{folder}/model-{i}")
-            else:
-                (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().save(f"{folder}/model-{i}")
-            kinds[label].append(isinstance(model, PipelineModel))
+            kinds[label] = [f"model-{i}", save_model(self.spark, model, f"{folder}/model-{i}")]
         for label, df in fit.frames.items():
             df.write.parquet(f"{folder}/frame-{label}")
         body = json.dumps({"models": kinds, "frames": list(fit.frames), "values": fit.values})
@@ -96,13 +120,8 @@ class ModelStore:
             raise StaleModel(f"{name}: nothing stored for this input, these settings and this code")
         body = json.loads(row["body"])
         fit = Fit(values=body["values"])
-        for label, (place, kind, whole) in body["models"].items():
-            path = f"{row['folder']}/{place}"
-            if kind == "trees":
-                fit.models[label] = BoostedTrees.load(self.spark, path)
-            else:
-                model = PipelineModel.load(path)
-                fit.models[label] = model if whole else model.stages[0]
+        for label, (place, kind) in body["models"].items():
+            fit.models[label] = load_model(self.spark, kind, f"{row['folder']}/{place}")
         fit.frames = {label: self.spark.read.parquet(f"{row['folder']}/frame-{label}") for label in body["frames"]}
         return fit
 
