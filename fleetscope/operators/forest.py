@@ -3,7 +3,8 @@
 The rows of every tree (bootstrap counts from a hash of seed, tree and key) and the node each one is in are a table; so are the nodes. A level is
 one aggregate to histograms per (tree, node, feature, bin), a running sum over the at most 255 bins, the best split per node, and one
 join that moves the rows on. Finished nodes and the rows of the next level are written to the shared folder, so neither the driver
-nor a task holds a tree, depth is limited only by the data, and a lost executor costs at most a level.
+nor a task holds a large tree, depth is limited only by the data, and a lost executor costs at most a level. A node of at most ``ALONE`` rows is
+finished by one task, with the same sums and the same rule, so the levels are about log2(rows / ALONE) and not as many as the tree is deep.
 
 Targets are vectors of integers (fixed point): the centred value of a regressor, or the class as 0/1 entries, for which the gain
 
@@ -19,6 +20,8 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from ..session import checkpoint_dir
 from .boosting import cut_points
 
 FIXED = 2.0**30
+ALONE = 8192                # rows of a node that one task finishes
+NODE = "tree int, node long, f int, bin short, gain double, value array<double>"
 _POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
 
@@ -69,7 +74,7 @@ class Forest:
         return cls(**{**values, "cfg": ForestConfig(**values["cfg"])})
 
     def nodes(self, spark: SparkSession, level: int) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/nodes/{level}")
+        return spark.read.schema(NODE).parquet(f"{self.path}/nodes/level={level}")
 
     def transform(self, df: DataFrame, key: str, out_col: str = "prediction") -> DataFrame:
         """``df`` with the mean over the trees (classifiers: the likeliest class, and ``probability`` as an array); ``key`` tells rows apart."""
@@ -140,11 +145,80 @@ def grow(df: DataFrame, features: list[str], label: str, key: str, cfg: ForestCo
     k, level = max(classes, 1), 0
     rows = _stored(rows, f"{path}/rows/0")
     while not rows.isEmpty():
-        _best(rows, cfg, len(features), k, level).write.parquet(f"{path}/nodes/{level}")
-        split = spark.read.parquet(f"{path}/nodes/{level}").where("f is not null").select("tree", "node", "f", "bin")
+        if not cfg.per_node or cfg.per_node >= len(features):        # drawn features are drawn level by level
+            large = _stored(rows.groupBy("tree", "node").count().where(F.col("count") > ALONE).select("tree", "node"), f"{path}/large/{level}")
+            small = rows.join(large, ["tree", "node"], "left_anti").groupBy("tree", "node")
+            small.applyInPandas(_finisher(cfg, level), f"{NODE}, level int").write.mode("append").partitionBy("level").parquet(f"{path}/nodes")
+            rows = _stored(rows.join(large, ["tree", "node"], "left_semi"), f"{path}/rest/{level}")
+            if rows.isEmpty():
+                break
+        here = _stored(_best(rows, cfg, len(features), k, level), f"{path}/best/{level}")
+        here.write.mode("append").parquet(f"{path}/nodes/level={level}")
+        split = here.where("f is not null").select("tree", "node", "f", "bin")
         level += 1
         rows = _stored(rows.join(split, ["tree", "node"]).select("tree", _child().alias("node"), "w", "t", "x"), f"{path}/rows/{level}")
-    return Forest(path, level, features, cuts, centre, scale, classes, cfg)
+    levels = spark.read.option("basePath", f"{path}/nodes").parquet(f"{path}/nodes").agg(F.max("level").alias("n")).first()["n"] + 1
+    return Forest(path, levels, features, cuts, centre, scale, classes, cfg)
+
+
+def _spark_hash(node: int, side: int) -> int:
+    """``xxhash64(node, side)`` of a long and an int, as the table path names children."""
+    one, two, three, four, five, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 2**64 - 1
+
+    def turned(x, n):
+        return (x << n | x >> (64 - n)) & full
+
+    def mixed(h):
+        h = (h ^ h >> 33) * two & full
+        h = (h ^ h >> 29) * three & full
+        return h ^ h >> 32
+    h = mixed((turned((42 + five + 8 ^ turned((node & full) * two & full, 31) * one & full) & full, 27) * one + four) & full)
+    h = mixed((turned((h + five + 4 & full) ^ side * one & full, 23) * two + three) & full)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _finisher(cfg: ForestConfig, level: int):
+    def finish(key, rows):
+        return _finish(key, rows, cfg, level)
+    return finish
+
+
+def _finish(key, rows, cfg: ForestConfig, level: int) -> pd.DataFrame:
+    """All nodes below (and with) one small node."""
+    x, t, w = np.array(rows["x"].tolist(), np.int64), np.array(rows["t"].tolist(), np.float64), rows["w"].to_numpy(np.float64)
+    features, k = x.shape[1], t.shape[1]
+    flat = x + np.arange(features) * 256
+    out, todo = [], [(np.arange(len(w)), int(key[1]), level)]
+    while todo:
+        at, node, depth = todo.pop()
+        wt, total = w[at, None] * t[at], w[at].sum()
+        g = wt.sum(axis=0)
+        found = None
+        if len(at) >= max(cfg.min_split, 2) and (cfg.max_depth is None or depth < cfg.max_depth) and (t[at] != t[at[0]]).any():
+            cell = flat[at].ravel()
+            size = features * 256
+            n = np.bincount(cell, minlength=size).reshape(features, 256)
+            left_n = n.cumsum(axis=1)
+            left_w = np.bincount(cell, np.repeat(w[at], features), size).reshape(features, 256).cumsum(axis=1)
+            left = here = 0.0
+            right = 0.0
+            for i in range(k):
+                gl = np.bincount(cell, np.repeat(wt[:, i], features), size).reshape(features, 256).cumsum(axis=1)
+                left, right, here = left + gl * gl, right + (g[i] - gl) ** 2, here + g[i] * g[i]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                left, right = left / left_w, right / (total - left_w)
+                gain = left + right - here / total
+            ok = (n > 0) & (left_n >= max(cfg.min_leaf, 1)) & (len(at) - left_n >= max(cfg.min_leaf, 1)) & (gain > 1e-12 * (left + right) + 1e-6)
+            if ok.any():
+                gain = np.where(ok, gain, -np.inf)
+                f, b = divmod(int(gain.argmax()), 256)
+                found = f, b, float(gain[f, b])
+        out.append((int(key[0]), node, *(found or (None, None, None)), (g / total).tolist(), depth))
+        if found:
+            low = x[at, found[0]] <= found[1]
+            todo += [(at[low], _spark_hash(node, 1), depth + 1), (at[~low], _spark_hash(node, 0), depth + 1)]
+    return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=d) for i, (c, d) in enumerate(
+        [("tree", "int32"), ("node", "int64"), ("f", "Int32"), ("bin", "Int16"), ("gain", "Float64"), ("value", object), ("level", "int32")])})
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:

@@ -68,7 +68,7 @@ def save_model(spark: SparkSession, model, path: str) -> str:
         values = model.to_values()
         if isinstance(model, Forest):           # its nodes go along
             for level in range(model.levels):
-                model.nodes(spark, level).write.parquet(f"{path}/nodes/{level}")
+                model.nodes(spark, level).write.parquet(f"{path}/nodes/level={level}")
             values["path"] = path
         spark.createDataFrame([(json.dumps(values),)], "value string").coalesce(1).write.text(f"{path}/values")
         return "forest" if isinstance(model, Forest) else "kernel"

@@ -41,6 +41,22 @@ def test_one_tree_equals_plain_loops(spark):
         assert np.allclose([got[i] for i in range(120)], plain(x, y - y.mean(), cfg) + y.mean(), atol=1e-6)
 
 
+def test_child_names_agree(spark):
+    rows = spark.range(-50, 50).selectExpr("id * 92233720368547758L as node", "xxhash64(id * 92233720368547758L, 1) a", "xxhash64(id * 92233720368547758L, 0) b").collect()
+    assert all((FO._spark_hash(r.node, 1), FO._spark_hash(r.node, 0)) == (r.a, r.b) for r in rows)
+
+
+def test_small_nodes_in_tasks_equal_levels_on_tables(spark, monkeypatch):
+    df, _, _ = table(spark, n=200)
+    got = []
+    for alone in (0, 30, 10_000):
+        monkeypatch.setattr(FO, "ALONE", alone)
+        forest = FO.grow(df, ["a", "b", "c"], "y", "id", FO.ForestConfig(3, min_split=4))
+        nodes = [(level, r.tree, r.node, r.f, r.bin) for level in range(forest.levels) for r in forest.nodes(spark, level).collect()]
+        got.append((sorted(nodes, key=str), sorted(r.prediction for r in forest.transform(df, "id").collect())))
+    assert got[0] == got[1] == got[2]
+
+
 def test_grows_to_purity(spark):
     df, _, y = table(spark)
     forest = FO.grow(df, ["a", "b", "c"], "y", "id", FO.ForestConfig(3, bootstrap=False))
