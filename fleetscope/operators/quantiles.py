@@ -6,11 +6,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = 256
+SMALL_GROUP = 65_536        # values of a key that one aggregation buffer may hold
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float], small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per key: a column per entry of ``probs``, as ``percentile(x, p)`` gives (nulls ignored).
 
+    Keys are counted first. Those of at most ``small_group`` values are one ``percentile`` aggregate, whose buffer is bounded
+    by that count; the others go the way of ``_ranked_quantiles``. Both ways give the same values. ``df`` is read once
+    more than there are ways, so callers pass a stored table.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
+    key = keys or ["__key"]
+    if not keys:
+        rows = rows.withColumn("__key", F.lit(0))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__size"))
+    largest = sizes.agg(F.max("__size")).first()[0] or 0           # one number
+
+    def direct(part: DataFrame) -> DataFrame:
+        return part.dropna(subset=key).groupBy(*key).agg(*[F.percentile("__x", F.lit(p)).alias(name) for name, p in probs.items()]).select(*keys, *probs)
+
+    if largest <= small_group:
+        return direct(rows)
+    if not keys:
+        return _ranked_quantiles(rows.drop("__key"), keys, "__x", probs)
+    known = rows.join(sizes, key)                                   # rows without a key are left out, here and by ranks
+    large = _ranked_quantiles(known.where(F.col("__size") > small_group), keys, "__x", probs)
+    return direct(known.where(F.col("__size") <= small_group)).unionByName(large)
+
+
+def _ranked_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float]) -> DataFrame:
+    """``exact_quantiles`` of keys with any number of values.
+
     A bounded sketch per key (``approx_percentile``) cuts the key's value range into at most ``PIECES`` pieces of about
     equal size. Counts per piece say which pieces hold the wanted ranks; only their values are ranked, each
     piece on its own, so neither a large key nor the whole table is ever in one task.

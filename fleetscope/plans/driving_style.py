@@ -8,6 +8,7 @@ rows. See ``operators.ordered`` for the chunked scans.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,27 @@ class ScoringStages:
     summary: DataFrame       # all sessions (A1)
     valid: DataFrame         # valid sessions (F5)
     counts: DataFrame        # events per vehicle x category x band x type
-    styles: DataFrame        # driving_style result
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """One row per vehicle (P1-P4), read by the cut points, the labels and the reports: stored once, when first asked for."""
+        return materialize(scoring.normalise_scores(scoring.behaviour_scores(scoring.weighted_scores(self.counts))))
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        return scoring.style_cutpoints(self.scores)
+
+    @cached_property
+    def styles(self) -> DataFrame:
+        """The result of ``driving_style``."""
+        labelled = scoring.assign_style(self.scores, self.cuts)
+        stats = sessions.vehicle_session_stats(self.valid)
+        stat_cols = ["num_sessioni", "durata_media", "durata_totale", "distanza_totale"]
+        return (labelled.join(stats, "ident", "left")
+                .fillna(0, subset=stat_cols)
+                .select("ident", *[f"punteggio_{b}" for b in BEHAVIOURS], "tot_record",
+                        *[f"punteggio_{b}_norm" for b in BEHAVIOURS], "punteggio_finale",
+                        "stile_guida", *stat_cols))
 
 
 def scoring_input(telemetry: DataFrame) -> DataFrame:
@@ -58,16 +79,7 @@ def scoring_stages(telemetry: DataFrame | None, chunk_seconds: int = 3600, direc
     valid = sessions.valid_sessions(summary)
     rows = behaviour.behaviour_flags(sessions.enrich_rows(sess, summary), direction_wrap)
     counts = scoring.behaviour_counts(rows)
-    scores = scoring.normalise_scores(scoring.behaviour_scores(scoring.weighted_scores(counts)))
-    labelled = scoring.assign_style(scores, scoring.style_cutpoints(scores))
-    stats = sessions.vehicle_session_stats(valid)
-    stat_cols = ["num_sessioni", "durata_media", "durata_totale", "distanza_totale"]
-    styles = (labelled.join(stats, "ident", "left")
-              .fillna(0, subset=stat_cols)
-              .select("ident", *[f"punteggio_{b}" for b in BEHAVIOURS], "tot_record",
-                      *[f"punteggio_{b}_norm" for b in BEHAVIOURS], "punteggio_finale",
-                      "stile_guida", *stat_cols))
-    return ScoringStages(gated, rows, summary, valid, counts, styles)
+    return ScoringStages(gated, rows, summary, valid, counts)
 
 
 def driving_style(telemetry: DataFrame, **kw) -> DataFrame:

@@ -280,8 +280,7 @@ def q_behaviour_scores(spark, sf_dir):
 
 @register("style_cutpoints", sql=S.with_ctes(*J2, select="SELECT q1, q2 FROM cuts"), doubles=["q1", "q2"])
 def q_style_cutpoints(spark, sf_dir):
-    st = _stages(spark, sf_dir)
-    return SC.style_cutpoints(SC.normalise_scores(SC.behaviour_scores(SC.weighted_scores(st.counts))))
+    return _stages(spark, sf_dir).cuts
 
 
 @register("vehicle_session_stats", sql=S.with_ctes(*J2, select="SELECT * FROM stats"),
@@ -309,8 +308,7 @@ FROM (SELECT count(*) AS sessioni_valide, avg(durata_minuti) AS durata_media, av
           doubles=["durata_media", "distanza_media", "sessioni_per_veicolo", "punteggio_medio", "q1", "q2"])
 def q_fleet_report(spark, sf_dir):
     st = _stages(spark, sf_dir)
-    scores = SC.normalise_scores(SC.behaviour_scores(SC.weighted_scores(st.counts)))
-    return R.fleet_report(st.valid, st.styles, SC.style_cutpoints(scores))
+    return R.fleet_report(st.valid, st.styles, st.cuts)
 
 
 @register("time_band_distribution", sql=S.with_ctes(*J2, select="""

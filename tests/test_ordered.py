@@ -144,6 +144,9 @@ def test_exact_quantiles_equal_percentile(spark):
     for keys in (["k"], []):
         want = {tuple(r[k] for k in keys): [r[c] for c in probs] for r in df.where("x is not null").groupBy(*keys).agg(
             *[F.percentile("x", F.lit(p)).alias(c) for c, p in probs.items()]).collect()}
-        got = {tuple(r[k] for k in keys): [r[c] for c in probs] for r in exact_quantiles(df, keys, "x", probs).collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(a - b) <= 1e-12 * max(1, abs(b)) for k in want for a, b in zip(got[k], want[k]))
+        for small in (0, 600, 65_536):              # all keys by ranks, some, none
+            got = {tuple(r[k] for k in keys): [r[c] for c in probs]
+                   for r in exact_quantiles(df, keys, "x", probs, small_group=small).collect()}
+            assert got.keys() == want.keys()
+            assert all(abs(a - b) <= 1e-12 * max(1, abs(b)) for k in want for a, b in zip(got[k], want[k]))
+        assert exact_quantiles(df.limit(0), keys, "x", probs).count() == 0
