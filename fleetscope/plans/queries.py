@@ -787,3 +787,40 @@ def q_fuel_feature_importance(spark, sf_dir):
     ranked = [ML.feature_importance(fitted[r["name"]], list(FUEL_FEATURES_DASHBOARD))
               for r in metrics.orderBy(F.desc("r2"), "position").collect()]               # 4 rows
     return ML.importance_frame(spark, next((x for x in ranked if x), []))
+
+
+# ------------------------------------------------------------------ streams
+
+def _streamed(spark, sf_dir, make):
+    """All readings as a file stream through ``make``; the rows that its sink holds when the input is used up."""
+    from ..sources.telemetry import TELEMETRY_SCHEMA
+    from ..streaming import stateful
+    place = scratch_table(spark, "stream")
+    load_telemetry(spark, sf_dir).select(*TELEMETRY_SCHEMA.names).write.parquet(f"{place}/in")
+    stream = make(spark.readStream.schema(TELEMETRY_SCHEMA).parquet(f"{place}/in"))
+    stateful.start(stream, f"{place}/out", f"{place}/state", availableNow=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
+STREAM_DELAY = 1800          # seconds of watermark delay
+
+
+@register("stream_session_counts", sql=S.with_ctes(*J2, select=f"""
+SELECT f.ident, f.session_id, m.inizio, m.fine, m.distanza_km, m.num_record, m.durata_minuti, categoria_strada, fascia_oraria, tipo_sessione,
+  count(*) AS n, {", ".join(f"CAST(sum(f_{b}) AS BIGINT) AS n_{b}" for b in BEHAVIOURS)}
+FROM flags f JOIN summary m ON f.ident = m.ident AND f.session_id = m.session_id
+WHERE m.fine <= (SELECT max(timestamp) FROM gated) - INTERVAL {STREAM_DELAY + 600} SECOND
+GROUP BY ALL"""), doubles=["distanza_km", "durata_minuti"])
+def q_stream_session_counts(spark, sf_dir):
+    """J2 on a stream: the sessions that the last watermark has closed."""
+    from ..streaming.stateful import stream_session_counts
+    return _streamed(spark, sf_dir, lambda r: stream_session_counts(r, f"{STREAM_DELAY} seconds"))
+
+
+@register("stream_fuel_series", sql=S.with_ctes(S.TELEMETRY, S.fuel_ctes(), select=f"""
+SELECT ident, id, timestamp, fuel_delta, fuel_delta_smooth FROM fuel_s
+WHERE timestamp <= (SELECT max(timestamp) FROM fuel_in) - INTERVAL {STREAM_DELAY} SECOND"""), doubles=["fuel_delta", "fuel_delta_smooth"])
+def q_stream_fuel_series(spark, sf_dir):
+    """J5 on a stream: the readings that the last watermark has passed."""
+    from ..streaming.stateful import stream_fuel_series
+    return _streamed(spark, sf_dir, lambda r: stream_fuel_series(r, f"{STREAM_DELAY} seconds"))
