@@ -7,10 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import (CATEGORY_WEIGHTS, DEFAULT_SPEEDS, EARTH_RADIUS_M,
-                        HOUR_MULTIPLIERS, ROAD_CATEGORIES, SESSION_MULTIPLIERS,
-                        UNDEFINED_CATEGORY)
-
+from .constants import DEFAULT_SPEEDS, EARTH_RADIUS_M, ROAD_CATEGORIES, UNDEFINED_CATEGORY
 
 
 def col_(c) -> Column:
@@ -83,20 +80,6 @@ def road_category(road_type) -> Column:
                       F.lit(UNDEFINED_CATEGORY))
 
 
-def behaviour_weight(category, behaviour: str) -> Column:
-    return F.try_element_at(
-        literal_map({c: float(w[behaviour]) for c, w in CATEGORY_WEIGHTS.items()}),
-        col_(category))
-
-
-def hour_multiplier(band) -> Column:
-    return F.try_element_at(literal_map(HOUR_MULTIPLIERS), col_(band))
-
-
-def session_multiplier(kind) -> Column:
-    return F.try_element_at(literal_map(SESSION_MULTIPLIERS), col_(kind))
-
-
 def default_speed(highway) -> Column:
     return F.try_element_at(literal_map(DEFAULT_SPEEDS), col_(highway))
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SESSION_FEATURES
 from ..functions.expressions import finite_or, numeric_or_zero, safe_div
-from .ordered import attach_group_info, previous_value, running_sum
-from .sessions import KEYS, ORDER, feature_session_valid
+from .ordered import attach_group_info
+from .sessions import KEYS, feature_session_valid
 
 
 def signal_columns(df: DataFrame) -> DataFrame:
@@ -29,32 +29,6 @@ def signal_columns(df: DataFrame) -> DataFrame:
               .withColumn("_lim", lim).withColumn("_vl", lim > 0))
 
 
-def with_speed_change(df: DataFrame) -> DataFrame:
-    """Change to the previous valid speed of the same session (NULL at its first)."""
-    value = F.when(F.col("_vs"), F.struct(F.col("session_id").alias("s"), F.col("_sp").alias("v")))
-    df = previous_value(df, KEYS, ORDER, value, "_pv", skip_nulls=True)
-    dv = F.when(F.col("_vs") & (F.col("_pv.s") == F.col("session_id")), F.col("_sp") - F.col("_pv.v"))
-    return df.withColumn("_dv", dv).drop("_pv")
-
-
-def with_prefix_alignment(df: DataFrame) -> DataFrame:
-    """Rows that enter speed/limit: the first m valid speeds and the first m
-    positive limits of the session, aligned by row, m = min(#speeds, #limits);
-    only rows in both prefixes survive."""
-    df = running_sum(df, KEYS, ORDER, {"_cs": F.col("_vs").cast("long"), "_cl": F.col("_vl").cast("long")})
-    sess = df.groupBy(*KEYS, "session_id").agg(
-        F.min(F.col("_cs") - F.col("_vs").cast("long")).alias("_bs"),
-        F.min(F.col("_cl") - F.col("_vl").cast("long")).alias("_bl"),
-        F.sum(F.col("_vs").cast("long")).alias("_ns"), F.sum(F.col("_vl").cast("long")).alias("_nl"),
-        F.min("_chunk").alias("_min_chunk"), F.max("_chunk").alias("_max_chunk"))
-    df = attach_group_info(df, sess, KEYS, "session_id", ["_bs", "_bl", "_ns", "_nl"])
-    m = F.least(F.col("_ns"), F.col("_nl"))
-    rs, rl = F.col("_cs") - F.col("_bs"), F.col("_cl") - F.col("_bl")
-    keep = F.col("_vs") & F.col("_vl") & (rs <= m) & (rl <= m)
-    return df.withColumn("_ratio", F.when(keep, F.col("_sp") / F.col("_lim"))).drop(
-        "_cs", "_cl", "_bs", "_bl", "_ns", "_nl")
-
-
 def with_gated_alignment(df: DataFrame) -> DataFrame:
     """W6 + W9 for gated readings (``position_speed > 0`` holds, so every speed is
     valid): the speed change is the difference to the previous reading of the

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (FEATURE_GAP_MINUTES, MIN_SESSION_MINUTES, MIN_SESSION_POINTS,
                                    SCORING_GAP_SECONDS, SPEED_THRESHOLD)
 from ..functions.expressions import epoch_seconds, session_type, time_band
-from .ordered import CHUNK, add_time_chunk, attach_group_info, previous_value, running_sum, stage_chunks
+from .ordered import CHUNK, add_time_chunk, attach_group_info, stage_chunks
 
 KEYS = ["ident"]
 ORDER = ["timestamp", "id"]   # the id tie-break makes equal timestamps deterministic
@@ -21,24 +21,6 @@ def stage_readings(df: DataFrame, chunk_seconds: int = 3600, checkpoint: bool =
     return stage_chunks(df, KEYS, ORDER, checkpoint=checkpoint)
 
 
-def with_previous_reading(df: DataFrame, chunk_seconds: int = 3600,
-                          columns: tuple[str, ...] = ("position_speed", "position_direction")) -> DataFrame:
-    """W1 (+ W4/W5 inputs): seconds since the vehicle's previous reading.
-
-    Adds ``_t`` (epoch seconds), ``_chunk``, ``time_diff`` (NULL on a vehicle's
-    first reading) and ``prev_<col>`` for each of ``columns``.
-    """
-    if CHUNK not in df.columns:
-        df = add_time_chunk(df, "timestamp", chunk_seconds)
-    df = df.withColumn("_t", epoch_seconds("timestamp"))
-    value = F.struct(F.col("_t").alias("t"), *[F.col(c).alias(c) for c in columns])
-    df = previous_value(df, KEYS, ORDER, value, "_prev")
-    out = df.withColumn("time_diff", F.col("_t") - F.col("_prev.t"))
-    for c in columns:
-        out = out.withColumn(f"prev_{c}", F.col("_prev")[c])
-    return out.drop("_prev")
-
-
 def _sessionize(df: DataFrame, is_new, first_is_new: bool, chunk_seconds: int,
                 columns: tuple[str, ...] = ("position_speed", "position_direction")) -> DataFrame:
     """Time gap, previous reading, session number and reading count in ONE chunked pass.
@@ -139,9 +121,7 @@ def enrich_rows(sessionized: DataFrame, summary: DataFrame) -> DataFrame:
     rows = attach_group_info(sessionized, summary, KEYS, "session_id", ["durata_minuti"])
     return rows.withColumns({"ora": F.hour("timestamp"),
                              "fascia_oraria": time_band(F.hour("timestamp")),
-                             "tipo_sessione": F.expr("coalesce(CASE WHEN durata_minuti < 30 THEN 'breve' "
-                                                     "WHEN durata_minuti <= 120 THEN 'normale' ELSE 'lunga' END, "
-                                                     "'normale')")})
+                             "tipo_sessione": F.coalesce(session_type("durata_minuti"), F.lit("normale"))})
 
 
 def feature_session_valid(count_col, duration_col, max_speed_col,
