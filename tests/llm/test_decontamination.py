@@ -91,3 +91,48 @@ def test_short_items(spark):
     assert got == [(0, 2, 0, 1, 1.0, 0), (1, 1, 1, 2, 1.0, 0), (2, 3, 1, 4, 1.0, 0), (2, 4, 6, 20, 1.0, 0)]
     assert {r.doc_id for r in D.remove(d, b, short_items=True).collect()} == {3, 4, 5, 6}
     assert D.find(d, b.where("item_id = 4"), short_items=True).count() == 1 and D.find(d, b.limit(0), short_items=True).count() == 0
+
+
+def all_windows(docs, items):
+    """(doc, item) pairs with any window of the item's length, at every start, at similarity 0.8 or more."""
+    sets = {i: (len(words(t)), grams(words(t))) for i, t in items.items() if len(words(t)) >= 5}
+    df = {}
+    for _, g in sets.values():
+        for x in g:
+            df[x] = df.get(x, 0) + 1
+    weight = lambda x: math.log1p(len(sets) / df.get(x, 1))
+    found = set()
+    for d, t in docs.items():
+        w = words(t)
+        at = [tuple(w[p:p + 5]) for p in range(len(w) - 4)]
+        for i, (n, b) in sets.items():
+            hits = [p for p, x in enumerate(at) if x in b]
+            starts = {s for p in hits for s in range(max(p + 5 - n, 0), min(p, max(len(w) - n, 0)) + 1)}
+            for s in starts:
+                a = set(at[s:max(s + n - 4, s)])
+                if sum(map(weight, a & b)) >= (0.8 - 1e-12) * sum(map(weight, a | b)):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_recall_against_windows_at_every_start(spark):
+    rnd = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    items = {i: " ".join(rnd.choices(vocab, k=rnd.randint(16, 59))) for i in range(40)}
+    docs = {}
+    for d in range(400):
+        w = words(items[rnd.randrange(40)])
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3])):
+            k = rnd.randrange(len(w))
+            w = rnd.choice([w[:k] + w[k + 1:], w[:k] + ["new"] + w[k:], w[:k] + ["other"] + w[k + 1:]])
+        docs[d] = " ".join(rnd.choices(vocab, k=rnd.randint(0, 80)) + w + rnd.choices(vocab, k=rnd.randint(0, 80)))
+    sf = "/root/testdata/sf0.01"
+    whole = ({r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()},
+             {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()})
+    for texts, bench in ((docs, items), whole):
+        d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        b = spark.createDataFrame(list(bench.items()), "item_id long, text string")
+        got, want = {(r.doc_id, r.item_id) for r in D.find(d, b).collect()}, all_windows(texts, bench)
+        print("windows at every start:", len(want), "found:", len(want & got), "more:", len(got - want))
+        assert len(want) >= 20 and len(want & got) >= 0.97 * len(want)
