@@ -3,8 +3,9 @@
 Unit vectors have cosine >= t exactly if their distance is at most eps = sqrt(2 - 2 t). The vectors are turned to the leading
 principal axes (of sums of products over all vectors, a d x d matrix), cut into grid cells of width eps and sorted by label
 and cell, first axis first. Consecutive runs of the order are intervals of at most ``interval`` vectors, each with its bounding box.
-Two intervals meet only if they share a label and neighbouring cells on the first axis (an equi-join) and their boxes are no more
-than eps apart. A pair of intervals is joined recursively: halves whose boxes are too far apart are skipped, small ones are
+Two intervals meet only if they share a label and neighbouring cells (an equi-join) and their boxes are no more than eps apart. The
+cells are those of the first axis; of a label with more than ``few`` intervals those of the first ``JOINED`` axes, so that the intervals of
+one large label spread over many keys. A pair of intervals is joined recursively: halves whose boxes are too far apart are skipped, small ones are
 compared by cosine in double precision.
 
 Copies: equal vectors of a label are one node with a weight, so a large group of copies is one row. Links are counted
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import components, parts, stage
 
 COSINE, AXES, INTERVAL, LEAF = 0.93, 8, 1024, 64
+JOINED, FEW = 3, 64
 
 
 def usable(vectors: DataFrame, id_col, vec_col, label_col) -> DataFrame:
@@ -193,8 +195,27 @@ def _join(dims: int, threshold: float, eps: float, turn, leaf: int):
     return run
 
 
+def _keys(axes: int, eps: float, pad: int) -> list:
+    """Per axis, the cells that an interval's box covers (``pad`` more on both sides); 0 on the axes its label does not use."""
+    # above eps and the tolerance of the box test, so that near boxes have neighbouring cells; wide enough for at most nine cells an axis
+    width = F.lit(max(eps * (1 + 1e-6), 0.25))
+    covered = [F.sequence(F.col("cell_lo") - pad, F.col("cell_hi") + pad)]
+    for i in range(1, axes):
+        low, high = (F.floor(F.element_at(c, i + 1) / width).cast("int") for c in ("lo", "hi"))
+        covered.append(F.when(F.col("crowded"), F.sequence(low - pad, high + pad)).otherwise(F.array(F.lit(0))))
+    return covered
+
+
+def _spread(box: DataFrame, axes: int, eps: float, pad: int) -> DataFrame:
+    """One row of ``box`` per combination of its cells x0, x1, ..."""
+    out = box
+    for i, cells in enumerate(_keys(axes, eps, pad)):
+        out = out.select("*", F.explode(cells).alias(f"x{i}"))
+    return out.select("iv", "label", "lo", "hi", *[f"x{i}" for i in range(axes)])
+
+
 def near_vectors(vectors: DataFrame, id_col="vec_id", vec_col="embedding", label_col="label", cosine: float = COSINE,
-                 axes: int = AXES, interval: int = INTERVAL, leaf: int = LEAF) -> DataFrame:
+                 axes: int = AXES, interval: int = INTERVAL, leaf: int = LEAF, few: int = FEW) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col, label_col).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
@@ -213,11 +234,15 @@ def near_vectors(vectors: DataFrame, id_col="vec_id", vec_col="embedding", label
                    .sortWithinPartitions("label", *order, "node"))
         iv = stage(sorted_.mapInArrow(_intervals(d, interval, turn), "iv string, label string, cell_lo int, cell_hi int, lo array<double>, "
                                       "hi array<double>, nodes binary, weights binary, vectors binary"), f"vec-intervals-{d}")
-        box = iv.select("iv", "label", "cell_lo", "cell_hi", "lo", "hi")
-        left = box.select("iv", "label", "lo", "hi", F.explode(F.sequence("cell_lo", "cell_hi")).alias("cell")).alias("a")
-        right = box.select("iv", "label", "lo", "hi", F.explode(F.sequence(F.col("cell_lo") - 1, F.col("cell_hi") + 1)).alias("cell")).alias("b")
+        held = iv.groupBy("label").agg((F.count(F.lit(1)) > few).alias("crowded"))
+        box = iv.select("iv", "label", "cell_lo", "cell_hi", "lo", "hi").join(held, "label")
+        used = min(JOINED, k)
+        left, right = _spread(box, used, eps, 0).alias("a"), _spread(box, used, eps, 1).alias("b")
+        same = F.col("a.label") == F.col("b.label")
+        for i in range(used):
+            same = same & (F.col(f"a.x{i}") == F.col(f"b.x{i}"))
         gap = F.expr("aggregate(transform(sequence(0, size(a.lo) - 1), i -> greatest(0D, a.lo[i] - b.hi[i], b.lo[i] - a.hi[i])), 0D, (s, x) -> s + x * x)")
-        pairs = (left.join(right, (F.col("a.label") == F.col("b.label")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.iv") <= F.col("b.iv"))
+        pairs = (left.join(right, same & (F.col("a.iv") <= F.col("b.iv"))
                            & (gap <= (eps * (1 + 1e-9) + 1e-12) ** 2))
                  .select(F.col("a.iv").alias("iv_a"), F.col("b.iv").alias("iv_b")).distinct())
         side = lambda s: iv.select(F.col("iv").alias(f"iv_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "weights", "vectors")])

@@ -56,6 +56,10 @@ def test_one_large_group_and_empty(spark):
     base = rnd.normal(size=8)
     check(spark, [(i, np.float32(base + rnd.normal(size=8) * 0.4).tolist(), 5) for i in range(300)], interval=32, leaf=8)
     schema = "vec_id long, embedding array<float>, label int"
+    hot = [(i, np.float32(rnd.normal(size=6)).tolist(), 5 if i % 9 else 6) for i in range(500)]
+    hot += [(1000 + i, np.float32(np.array(v) * 2 + rnd.normal(size=6) * 0.1).tolist(), lab) for i, v, lab in hot[:100]]
+    check(spark, hot, interval=4, leaf=2, few=8)            # one label on keys of three axes, one on keys of the first
+    check(spark, [(i, v[:2], lab) for i, v, lab in hot[:60]], interval=2, leaf=1, few=0)
     assert E.near_vectors(spark.createDataFrame([], schema)).count() == 0
     got = E.near_vectors(spark.createDataFrame([(4, None, 1)], schema)).collect()
     assert [tuple(r) for r in got] == [(4, 0, 4, True)]
