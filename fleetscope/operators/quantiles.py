@@ -54,7 +54,8 @@ def _ranked_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, f
         at = F.lit(p) * (F.col("__n") - 1)
         low.append((name, F.floor(at).cast("long"), at - F.floor(at)))
         high.append(F.ceil(at).cast("long"))
-    counted = (rows.join(edges.select(*key, "__e"), key)
+    cut = edges.select(*key, "__e")
+    counted = (rows.join(cut if keys else F.broadcast(cut), key)           # without keys: one row
                .withColumn("__piece", F.size(F.filter("__e", lambda e: e < F.col("__x"))))
                .groupBy(*key, "__piece", "__x").agg(F.count(F.lit(1)).alias("__c")))
     sizes = counted.groupBy(*key, "__piece").agg(F.sum("__c").alias("__s"))
