@@ -86,10 +86,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(least, "root").select("id", "component_id")
 
 
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else uri
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
