@@ -1,18 +1,23 @@
 """Near-duplicate lines by a blocked deletion neighbourhood (DataFrame functions only).
 
-A line that is not blank is removed if the same line, or a line within one edit (insertion, deletion or substitution of a
-character; only lines of ``min_chars`` characters or more), occurs earlier in the order (id, text hash, line number);
-the earliest stays. Comparisons are with all earlier lines, removed or not.
+A line that is not blank is removed if the same line, or a line within the edit bound (insertions, deletions and substitutions of a
+character), occurs earlier in the order (id, text hash, line number); the earliest stays. Comparisons are with all earlier
+lines, removed or not. The bound grows with the length: ``edits[k - 1]`` is the length of the shorter line from which ``k`` edits are
+allowed (by default one from 5 characters on, two from 30 on); shorter lines must be equal.
 
 1. Equal lines: partial aggregation on two 64-bit hashes.
-2. One edit leaves all but one of ``BLOCKS`` blocks of a line intact. Each line posts, for the length classes in which it is
-   the shorter or the longer line, a key per block: prefix before and suffix after it. Only lines that share a key with a
-   different line go on. The same is repeated with ``FINE`` blocks.
-3. The deletion neighbourhood of the remaining block: the block itself and all its variants with one character deleted, as
-   hashed keys together with prefix and suffix. Substitutions meet at a variant with its position, insertions at the block of
-   the shorter line and a variant of the longer one, so per key only the earliest line of each role is needed: no pairs
-   of a group are made.
-4. The earliest partner of each line is verified with ``levenshtein`` on the lines themselves.
+2. Two lines within ``k`` edits agree outside ``k`` blocks of the shorter line's even partition, with the text between them
+   shifted by the characters gained so far. Each line posts, for every length the shorter line may have, a key of what
+   lies outside each choice of blocks and shifts. Only lines that share a key with a different line go on.
+3. The earliest line of each key is compared with the key's other lines (``levenshtein``, no further than the bound), which settles most
+   of them. A line that is left and shares its key with a third line goes on: every block that was hit is cut into ``FINE``
+   blocks, until blocks have at most ``WIDTH`` characters.
+4. The deletion neighbourhood of the remaining blocks: all variants of the line with ``k`` marked edits, as hashed keys. A
+   mark is a substituted character (gone from both lines), one that only the longer or one that only the shorter line has. Equal
+   keys of the two roles (shorter, other line) mean at most ``k`` edits, so per key only the earliest line of each role is needed:
+   no pairs of a group are made. It is verified with ``levenshtein`` on the lines themselves.
+
+The partner named for a removed line is the earliest of those that its first deciding step met.
 
 Null texts have no lines; blank lines always stay; rows repeated with id and text are treated alike and do not remove each other's
 lines; a null id comes before all others; an empty table gives no rows; extra columns are kept by ``rewrite``, helper
@@ -21,12 +26,16 @@ columns have reserved names.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, groupby, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stage
 
-BLOCKS, FINE, MIN_CHARS = 3, 24, 20
+EDITS = (5, 30)             # least length of the shorter line for one edit, for two edits
+FINE, WIDTH = 8, 6          # blocks that a block is cut into; characters of a block that is cut no more
 KEYS = 2_000_000            # shared keys (a long each) that may be broadcast
 
 
@@ -41,13 +50,17 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_hash", "line_no")
 
 
-def _cut(m: Column, j, blocks: int) -> Column:
-    return F.floor(m * j / F.lit(blocks)).cast("int")
+def _cut(m: Column, j, blocks) -> Column:
+    return F.floor(m * j / blocks).cast("int")
 
 
-def _key(line: Column, m: Column, j: int, blocks: int) -> Column:
-    return F.xxhash64(m, F.lit(j), F.lit(blocks), F.substring(line, F.lit(1), _cut(m, j, blocks)),
-                      F.right(line, m - _cut(m, j + 1, blocks)))
+def _key(line: Column, m: Column, ids: list, holes: list[tuple]) -> Column:
+    """Hash of the line outside ``holes``: (start, end) in the shorter line of length ``m``, and the characters gained there."""
+    at, shift, parts = F.lit(0), F.lit(0), []
+    for start, end, gain in holes:
+        parts.append(F.substring(line, at + shift + 1, F.greatest(start - at, F.lit(0))))
+        at, shift = end, shift + gain
+    return F.xxhash64(m, *ids, *parts, F.right(line, m - at))
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -55,63 +68,132 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
     return stage(rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key"), name)
 
 
-def _coarse(lines: DataFrame) -> DataFrame:
-    n = F.length("line")
-    keys = F.array(*[F.struct(m.cast("int").alias("m"), F.lit(j).alias("block"), _key(F.col("line"), m.cast("int"), j, BLOCKS).alias("key"))
-                     for m in (n, n - 1) for j in range(BLOCKS)])
-    return lines.withColumn("k", F.explode(keys)).select("doc_id", "text_hash", "line_no", "h1", "h2", "k.*")
+def _gains(holes: int, k: int, total: int) -> list[tuple]:
+    """Ways to gain ``total`` characters over the holes by at most ``k`` insertions and deletions."""
+    return [g for g in product(range(-k, k + 1), repeat=holes) if sum(g) == total and sum(map(abs, g)) <= k]
+
+
+def _coarse(lines: DataFrame, edits: tuple) -> DataFrame:
+    """(line position, h1, h2, k, m, t, key): ``t`` are the blocks left out of the key."""
+    line, keys = F.col("line"), []
+    for k, low in enumerate(edits, 1):
+        blocks = max(3, k + 1)
+        for longer, t in product(range(k + 1), combinations(range(blocks), k)):
+            m = F.length(line) - longer
+            runs = [[j for _, j in run] for _, run in groupby(enumerate(t), lambda x: x[1] - x[0])]       # blocks side by side are one hole
+            fits = (m >= low) & (m < edits[k]) if k < len(edits) else m >= low
+            for gains in _gains(len(runs), k, longer):
+                holes = [(_cut(m, run[0], F.lit(blocks)), _cut(m, run[-1] + 1, F.lit(blocks)), F.lit(g)) for run, g in zip(runs, gains)]
+                keys.append(F.struct(F.lit(k).alias("k"), m.alias("m"), F.array(*map(F.lit, t)).alias("t"), F.when(
+                    fits, _key(line, m, [F.lit(k), *map(F.lit, t)], holes)).alias("key")))
+    return (lines.withColumn("x", F.explode(F.array(*keys))).select("doc_id", "text_hash", "line_no", "h1", "h2", "x.*")
+            .where("key is not null"))
+
+
+def _finer(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (h1, h2, first, line, open, m, blocks, c1..ck) with the blocks cut anew, and the key of what lies outside of them."""
+    at = range(1, k + 1)
+    gains = F.array(*[F.struct(*[F.lit(g).alias(f"g{i}") for i, g in zip(at, gain)])
+                      for total in range(k + 1) for gain in product((-1, 0, 1), repeat=k) if sum(gain) == total])
+    rows = rows.withColumn("blocks", F.col("blocks") * FINE).withColumn("x", F.explode(gains)).where(
+        sum(F.col(f"x.g{i}") for i in at) == F.length("line") - F.col("m"))
+    for i in at:
+        rows = rows.withColumn(f"d{i}", F.explode(F.sequence(F.col(f"c{i}") * FINE, F.col(f"c{i}") * FINE + FINE - 1)))
+        if i > 1:           # two edits in one block gain by either order: one of them is posted
+            rows = rows.where((F.col(f"d{i}") > F.col(f"d{i - 1}")) | ((F.col(f"d{i}") == F.col(f"d{i - 1}")) & (
+                (F.col(f"x.g{i - 1}") == 0) | (F.col(f"x.g{i - 1}") == F.col(f"x.g{i}")))))
+    m, blocks = F.col("m"), F.col("blocks")
+    holes = [(_cut(m, F.col(f"d{i}"), blocks), _cut(m, F.col(f"d{i}") + 1, blocks), F.col(f"x.g{i}")) for i in at]
+    return rows.select("h1", "h2", "first", "open", "m", "blocks", *[F.col(f"d{i}").alias(f"c{i}") for i in at],
+                       _key(F.col("line"), m, [F.col(f"d{i}") for i in at], holes).alias("key"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(h1, h2, near): the earliest ``least`` of (h1, h2, least) within ``k`` edits."""
+    others = texts.select(F.col("first").alias("least"), F.col("line").alias("other"))
+    return (pairs.distinct().join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(others, "least")
+            .where(F.levenshtein("line", "other", k) >= 0).groupBy("h1", "h2").agg(F.min("least").alias("near")))
+
 
+def _meet(rows: DataFrame, texts: DataFrame, k: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Lines that the earliest line of one of their keys settles, (h1, h2, near), and the rows that go on: those of keys with a third line."""
+    keys = stage(rows.groupBy("key").agg(F.min("first").alias("least"), F.max(F.when(F.col("open"), F.col("first"))).alias("last"),
+                                         F.count(F.lit(1)).alias("n")).where("n > 1 and last > least"), f"{name}-keys")
+    met = stage(rows.join(small(keys, KEYS // 8), "key").where("open or first < last"), f"{name}-rows")
+    found = stage(_verified(met.where("open and first > least").select("h1", "h2", "least"), texts, k), f"{name}-found")
+    return found, met.where("n > 2").drop("key", "least", "last", "n", "open", "first").distinct()
 
-def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, first): lines that are one edit from an earlier line, with the earliest such line."""
-    long_lines = lines.where(F.length("line") >= min_chars)
-    coarse = _coarse(long_lines)
+
+def _variants(rows: DataFrame, k: int) -> DataFrame:
+    """(h1, h2, first, variant, role): the lines of (h1, h2, first, line, m, blocks, c1..ck) with ``k`` marked edits in their blocks.
+
+    Role 0 is the shorter line, role 1 the other one. A mark has a place in the shorter line, the characters that it takes there
+    and those that the other line gains: substitution (1, 0), insertion (0, 1), deletion (1, -1)."""
+    at = range(1, k + 1)
+    marks = F.array(*[F.struct(F.lit(role).alias("role"), *[F.lit(w).alias(f"w{i}") for i, (w, _) in zip(at, kinds)],
+                               *[F.lit(g).alias(f"g{i}") for i, (_, g) in zip(at, kinds)])
+                      for kinds in product(((1, 0), (0, 1), (1, -1)), repeat=k) if sum(g for _, g in kinds) >= 0 for role in (0, 1)])
+    m, longer = F.col("m"), F.length("line") - F.col("m")
+    gained = sum(F.col(f"x.g{i}") for i in at)
+    rows = rows.withColumn("x", F.explode(marks)).where(F.when(F.col("x.role") == 0, longer == 0).otherwise(gained == longer))
+    for i in at:
+        start, end = _cut(m, F.col(f"c{i}"), F.col("blocks")), _cut(m, F.col(f"c{i}") + 1, F.col("blocks"))
+        rows = rows.withColumn(f"p{i}", F.explode(F.sequence(start, end))).where(F.col(f"p{i}") + F.col(f"x.w{i}") <= end)
+        rows = rows.where(F.col(f"p{i}") >= F.col(f"p{i - 1}") + F.col(f"x.w{i - 1}")) if i > 1 else rows
+    holes = [(F.col(f"p{i}"), F.col(f"p{i}") + F.col(f"x.w{i}"), F.col(f"x.g{i}") * F.col("x.role")) for i in at]
+    ids = [F.col(f"{c}{i}") for i in at for c in ("p", "x.w", "x.g")]
+    return rows.select("h1", "h2", "first", _key(F.col("line"), m, ids, holes).alias("variant"), F.col("x.role").alias("role")).distinct()
+
+
+def _nearest(texts: DataFrame, k: int) -> DataFrame:
+    """(h1, h2, near): the lines of ``texts`` (h1, h2, first, line, hits) that have an earlier line within ``k`` edits."""
+    cells = [f"c{i}" for i in range(1, k + 1)]
+    hits = texts.select("h1", "h2", "first", F.lit(True).alias("open"), F.explode("hits").alias("x")).where(F.col("x.k") == k)
+    settled, hits = _meet(hits.select("h1", "h2", "first", "open", "x.m", "x.t", "x.key"), texts, k, f"line-{k}")
+    for i, c in enumerate(cells):
+        hits = hits.withColumn(c, F.explode("t"))
+        hits = hits.where(F.col(c) >= F.col(cells[i - 1])) if i else hits
+    hits = stage(hits.select("h1", "h2", "m", F.lit(max(3, k + 1)).alias("blocks"), *cells).distinct(), f"line-hits-{k}")
+    done, level = [], 0
+    while not hits.isEmpty():
+        wide = F.col("m") > F.col("blocks") * WIDTH
+        done.append(hits.where(~wide))
+        level += 1
+        lines = texts.join(settled.select("h1", "h2", F.lit(False).alias("no")), ["h1", "h2"], "left").select(
+            "h1", "h2", "first", "line", F.coalesce("no", F.lit(True)).alias("open"))
+        found, hits = _meet(_finer(hits.where(wide).join(lines, ["h1", "h2"]), k), texts, k, f"line-{k}-{level}")
+        settled, hits = stage(settled.unionByName(found), f"line-settled-{k}"), stage(hits, f"line-hits-{k}")
+    if not done:
+        return settled
+    left = reduce(DataFrame.unionByName, done)
+    posts = stage(_variants(left.join(texts.select("h1", "h2", "first", "line"), ["h1", "h2"]), k), f"line-variants-{k}")
+    least = posts.groupBy("variant", (1 - F.col("role")).alias("role")).agg(F.min("first").alias("least"))
+    pairs = (posts.join(settled, ["h1", "h2"], "left_anti").join(least, ["variant", "role"]).where(F.col("least") < F.col("first"))
+             .groupBy("h1", "h2").agg(F.min("least").alias("least")))
+    return settled.unionByName(_verified(pairs, texts, k))
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, edits: tuple = EDITS) -> DataFrame:
+    """(h1, h2, near): lines that are within the edit bound of an earlier line, with such a line."""
+    long_lines = lines.where(F.length("line") >= edits[0])
+    coarse = _coarse(long_lines, edits)
     shared = _shared(coarse, "line-keys")
-    hit = coarse.join(small(shared, KEYS), "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("m", "block")).alias("where"))
-    cand = stage(hit.join(firsts, ["h1", "h2"]).select("h1", "h2", "first", "where"), "line-candidates")
+    hit = coarse.join(small(shared, KEYS), "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("k", "m", "t", "key")).alias("hits"))
+    cand = stage(hit.join(firsts, ["h1", "h2"]).select("h1", "h2", "first", "hits"), "line-candidates")
     at = cand.select(F.col("first.doc_id").alias("c_id"), F.col("first.text_hash").alias("c_hash"),
-                     F.col("first.line_no").alias("c_no"), "h1", "h2", "first", "where")
+                     F.col("first.line_no").alias("c_no"), "h1", "h2", "first", "hits")
     on = long_lines["doc_id"].eqNullSafe(at["c_id"]) & (long_lines["text_hash"] == at["c_hash"]) & (long_lines["line_no"] == at["c_no"])
     texts = stage(long_lines.select("doc_id", "text_hash", "line_no", "line").join(small(at), on)
-                  .select("h1", "h2", "first", "where", "line").dropDuplicates(["h1", "h2"]), "line-texts")
-    fine = FINE // BLOCKS
-    rows = texts.select("h1", "h2", "first", "line", F.explode("where").alias("w")).select(
-        "h1", "h2", "first", "line", F.col("w.m").alias("m"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(fine - 1)), lambda i: F.col("w.block") * fine + i)).alias("j"))
-    m, j = F.col("m"), F.col("j")
-    start = F.floor(m * j / F.lit(FINE)).cast("int")
-    tail = m - F.floor(m * (j + 1) / F.lit(FINE)).cast("int")
-    rows = rows.withColumn("start", start).withColumn("tail", tail).withColumn(
-        "key", F.xxhash64("m", "j", F.substring(F.col("line"), F.lit(1), F.col("start")), F.right("line", F.col("tail"))))
-    kept = rows.join(small(_shared(rows, "line-fine"), KEYS), "key").withColumn(
-        "block", F.substring(F.col("line"), F.col("start") + 1, F.length("line") - F.col("start") - F.col("tail")))
-    shorter = F.length("line") == m
-    # roles: 0 = same length (substitution), 1 = shorter line as it is, 2 = longer line with one character deleted
-    deleted = F.transform(F.sequence(F.lit(1), F.length("block")), lambda i: F.struct(
-        i.alias("i"), F.concat(F.substring(F.col("block"), F.lit(1), i - 1), F.substring(F.col("block"), i + 1, F.length("block"))).alias("v")))
-    none = F.expr("cast(array() as array<struct<i:int,v:string>>)")
-    deleted = F.when(F.length("block") > 0, deleted).otherwise(none)
-    variants = F.when(shorter, F.concat(
-        F.transform(deleted, lambda x: F.struct(F.lit(0).alias("role"), F.xxhash64(F.lit(0), "key", x["i"], x["v"]).alias("variant"))),
-        F.array(F.struct(F.lit(1).alias("role"), F.xxhash64(F.lit(1), "key", "block").alias("variant"))))).otherwise(
-        F.transform(deleted, lambda x: F.struct(F.lit(2).alias("role"), F.xxhash64(F.lit(1), "key", x["v"]).alias("variant"))))
-    posts = stage(kept.select("h1", "h2", "first", F.explode(variants).alias("x")).select("h1", "h2", "first", "x.*").distinct(), "line-variants")
-    least = posts.groupBy("variant", "role").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
-    other = least.select("variant", F.when(F.col("role") == 0, 0).otherwise(3 - F.col("role")).alias("role"), "least")
-    pairs = (posts.join(other, ["variant", "role"]).where(F.col("least") < F.col("first"))
-             .groupBy("h1", "h2").agg(F.min("least").alias("least")))
-    text = texts.select("first", "line")
-    checked = (pairs.join(texts.select("h1", "h2", "line", "first"), ["h1", "h2"])
-               .join(text.select(F.col("first").alias("least"), F.col("line").alias("other")), "least")
-               .where(F.levenshtein("line", "other") <= 1))
-    return checked.select("h1", "h2", F.col("least").alias("near"))
+                  .select("h1", "h2", "first", "hits", "line").dropDuplicates(["h1", "h2"]), "line-texts")
+    near = reduce(DataFrame.unionByName, [_nearest(texts, k) for k in range(1, len(edits) + 1)])
+    return near.groupBy("h1", "h2").agg(F.min("near").alias("near"))
 
 
-def removals(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, id_col="doc_id", text_col="text", edits: tuple = EDITS) -> DataFrame:
     """(doc_id, text_hash, line_no, kind, kept_doc_id, kept_line_no) of every removed line; kind: same or near."""
     lines = lines_of(docs, id_col, text_col)
     firsts = stage(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first")), "line-first")
-    near = stage(near_lines(docs, lines, firsts, min_chars), "line-near")
+    near = stage(near_lines(docs, lines, firsts, edits), "line-near")
     every = lines.select("doc_id", "text_hash", "line_no", "h1", "h2", _order().alias("at"))
     told = firsts.join(near, ["h1", "h2"], "left")
     return (every.join(told, ["h1", "h2"]).where((F.col("at") > F.col("first")) | F.col("near").isNotNull())
@@ -120,9 +202,9 @@ def removals(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int =
                     F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct())
 
 
-def summary(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int = MIN_CHARS) -> DataFrame:
+def summary(docs: DataFrame, id_col="doc_id", text_col="text", edits: tuple = EDITS) -> DataFrame:
     """(doc_id, n_lines, n_same, n_near, removed): one row per row; ``removed``: line numbers, ascending."""
-    gone = removals(docs, id_col, text_col, min_chars).groupBy("doc_id", "text_hash").agg(
+    gone = removals(docs, id_col, text_col, edits).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list("line_no")).alias("removed"), F.count_if(F.col("kind") == "same").alias("n_same"),
         F.count_if(F.col("kind") == "near").alias("n_near"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
@@ -134,9 +216,9 @@ def summary(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int =
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def rewrite(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int = MIN_CHARS) -> DataFrame:
+def rewrite(docs: DataFrame, id_col="doc_id", text_col="text", edits: tuple = EDITS) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text_col`` (and ``n_chars`` counted anew where there is one)."""
-    gone = removals(docs, id_col, text_col, min_chars).groupBy(
+    gone = removals(docs, id_col, text_col, edits).groupBy(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list("line_no").alias("__gone"))
     on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
     parts = F.split(text_col, "\n")
@@ -147,21 +229,29 @@ def rewrite(docs: DataFrame, id_col="doc_id", text_col="text", min_chars: int =
     return out.select(*docs.columns)
 
 
-def oracle_sql(min_chars: int = MIN_CHARS) -> str:
-    """DuckDB SQL of ``summary`` over documents with different ids (all pairs of lines of about equal length)."""
+def oracle_sql(edits: tuple = EDITS) -> str:
+    """DuckDB SQL of ``summary`` over documents with different ids (all pairs of lines of about equal length).
+
+    Lines within k edits share one of k + 1 parts of the shorter line. What is left after the common start must agree after one of the three
+    edits; ``spent`` counts them."""
+    most = len(edits)
+    allowed = "CASE " + " ".join(f"WHEN n >= {low} THEN {k}" for k, low in reversed(list(enumerate(edits, 1)))) + " ELSE 0 END"
+    cut = [f"({i} * n // {most + 1})" for i in range(most + 2)]
+    shares = " OR ".join(f"contains(t, substr(s, {x} + 1, {y} - {x}))" for x, y in zip(cut, cut[1:]))
     return f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no
   FROM documents WHERE text IS NOT NULL),
 f AS (SELECT line, length(line) n, min(doc_id * 1000000 + line_no) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
-near AS (SELECT a.line FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first AND a.line <> b.line
-    AND a.n >= {min_chars} AND b.n >= {min_chars}
-  WHERE (left(a.line, a.n // 2) = left(b.line, a.n // 2) OR right(a.line, a.n - a.n // 2 - 1) = right(b.line, a.n - a.n // 2 - 1))
-    AND EXISTS (SELECT 1 FROM range(0, greatest(a.n, b.n)::BIGINT) t(i)
-      WHERE left(a.line, i) = left(b.line, i)
-        AND CASE WHEN a.n = b.n THEN substr(a.line, i + 2) = substr(b.line, i + 2)
-                 WHEN a.n < b.n THEN substr(a.line, i + 1) = substr(b.line, i + 2)
-                 ELSE substr(a.line, i + 2) = substr(b.line, i + 1) END)
-  GROUP BY a.line),
+p AS (SELECT a.line s, b.line t, a.n, CASE WHEN a.first > b.first THEN a.line ELSE b.line END AS later
+  FROM f a JOIN f b ON b.n BETWEEN a.n AND a.n + {most} AND (a.n < b.n OR a.first < b.first) AND a.n >= {edits[0]}),
+c AS (SELECT later, s, t, {allowed} AS k FROM p
+  WHERE {shares}),
+e AS (SELECT DISTINCT later, s, t, k, 0 AS spent FROM c WHERE length(t) - length(s) <= k
+  UNION
+  SELECT later, substr(s, same + x.ds) AS s, substr(t, same + x.dt) AS t, k, spent + 1
+  FROM (SELECT *, 1 + (SELECT coalesce(max(i), 0) FROM range(0, least(length(s), length(t)) + 1) r(i) WHERE left(s, i::BIGINT) = left(t, i::BIGINT)) AS same
+        FROM e WHERE spent < k AND s <> t), (VALUES (1, 1), (1, 0), (0, 1)) x(ds, dt)),
+near AS (SELECT DISTINCT later AS line FROM e WHERE s = t),
 r AS (SELECT l.doc_id, l.line_no, near.line IS NOT NULL near FROM l JOIN f USING (line) LEFT JOIN near USING (line)
   WHERE near.line IS NOT NULL OR l.doc_id * 1000000 + l.line_no > f.first),
 g AS (SELECT doc_id, count(*) FILTER (NOT near) n_same, count(*) FILTER (near) n_near, list(line_no::INT ORDER BY line_no) removed

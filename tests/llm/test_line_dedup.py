@@ -1,64 +1,101 @@
 """Line dedup against a brute-force comparison of all pairs of lines."""
 import random
 
+import duckdb
+import pandas
+import pytest
+
 from fleetscope.llm import line_dedup as L
 
 
-def near(a, b):
-    """Within one edit."""
-    if abs(len(a) - len(b)) > 1:
+def within(a, b, k):
+    """Within k edits, by the plain recurrence."""
+    if abs(len(a) - len(b)) > k:
         return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    if len(a) == len(b):
-        return a[k + 1:] == b[k + 1:]
-    a, b = sorted((a, b), key=len)
-    return a[k:] == b[k + 1:]
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    a, b = a[n:], b[n:]
+    if a == b or k == 0:
+        return a == b
+    return within(a[1:], b[1:], k - 1) or within(a[1:], b, k - 1) or within(a, b[1:], k - 1)
+
+
+def near(a, b, edits):
+    return within(a, b, sum(min(len(a), len(b)) >= low for low in edits))
 
 
-def brute(texts, min_chars=L.MIN_CHARS):
+def brute(texts, edits=L.EDITS):
+    """Removed lines of every text; lines within k edits share one of k + 1 parts of the shorter line, so only such pairs are compared."""
     first, order, out = {}, [], {}
     for i in sorted(texts):
         for k, line in enumerate((texts[i] or "").split("\n") if texts[i] is not None else []):
             if line.strip(" ") and line not in first:
                 first[line] = (i, k)
                 order.append(line)
-    long = [x for x in order if len(x) >= min_chars]
-    close = {a for n, a in enumerate(long) if any(near(a, b) for b in long[:n])}
+    lengths, close = {}, set()
+    for line in order:
+        lengths.setdefault(len(line), []).append(line)
+    rank = {line: n for n, line in enumerate(order)}
+    for a in order:
+        n, most = len(a), len(edits)
+        pieces = [a[j * n // (most + 1):(j + 1) * n // (most + 1)] for j in range(most + 1)]
+        for b in (b for longer in range(most + 1) for b in lengths.get(n + longer, [])):
+            if a != b and any(x in b for x in pieces) and near(a, b, edits):
+                close.add(max(a, b, key=rank.get))
     for i, t in texts.items():
         out[i] = [k for k, line in enumerate(t.split("\n") if t is not None else []) if line.strip(" ") and (first[line] != (i, k) or line in close)]
     return out
 
 
-def check(spark, texts):
+def check(spark, texts, edits=L.EDITS, texts_too=True):
     df = spark.createDataFrame([(i, t, 5, "x") for i, t in texts.items()], "doc_id long, text string, n_chars int, line string")
-    got = {r.doc_id: r.removed for r in L.summary(df).collect()}
-    want = brute(texts)
+    got = {r.doc_id: r.removed for r in L.summary(df, edits=edits).collect()}
+    want = brute(texts, edits)
     assert got == want, [(i, got.get(i), want[i], texts[i]) for i in want if got.get(i) != want[i]][:3]
-    new = {r.doc_id: r.text for r in L.rewrite(df).collect()}
+    if not texts_too:
+        return
+    new = {r.doc_id: r.text for r in L.rewrite(df, edits=edits).collect()}
     for i, t in texts.items():
         kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(want[i]))
         assert new[i] == kept
 
 
-def test_edits_chains_and_edges(spark):
-    rnd = random.Random(2)
-    letters = "abcde é"
-    texts = {0: None, 1: "", 2: "\n \n\n", 3: "short\nshort\nshorx", 4: "z" * 3000 + "\n" + "z" * 3001 + "\n" + "z" * 3003}
-    seeds = ["".join(rnd.choices(letters, k=rnd.choice([19, 20, 21, 25, 40, 90, 300]))) for _ in range(40)]
+def edited(rnd, letters, lengths):
+    texts = {0: None, 1: "", 2: "\n \n\n", 3: "short\nshort\nshorx\nab\nac\nabcd\nabce", 4: "z" * 3000 + "\n" + "z" * 3001 + "\n" + "z" * 3004}
+    seeds = ["".join(rnd.choices(letters, k=rnd.choice(lengths))) for _ in range(40)]
     for i in range(5, 90):
         lines = []
         for _ in range(rnd.randint(1, 6)):
             s = rnd.choice(seeds)
-            for _ in range(rnd.choice([0, 1, 1, 2])):
+            for _ in range(rnd.choice([0, 1, 2, 2, 3, 4])):
                 k = rnd.randrange(len(s) + 1)
                 s = rnd.choice([s[:k] + s[k + 1:], s[:k] + rnd.choice(letters) + s[k:], s[:k] + rnd.choice(letters) + s[k + 1:]])
             lines.append(s)
             if rnd.random() < 0.2:
                 seeds.append(s)
         texts[i] = "\n".join(lines)
-    check(spark, texts)
+    return texts
+
+
+@pytest.mark.parametrize("edits", [L.EDITS, (20,), (1, 12), (2, 6, 19)])
+def test_edits_chains_and_edges(spark, edits):
+    check(spark, edited(random.Random(2), "abcde é", [3, 5, 8, 19, 20, 21, 29, 31, 40, 90, 300] if len(edits) < 3 else [3, 7, 18, 20, 25]), edits, texts_too=edits == (20,))
+
+
+def test_sql_counts_characters(spark):
+    texts = edited(random.Random(5), "aé中 𝄞", [4, 6, 28, 30, 33, 60])
+    con = duckdb.connect()
+    con.register("documents", pandas.DataFrame({"doc_id": list(texts), "text": list(texts.values())}))
+    got = {r[0]: list(r[4]) for r in con.sql(L.oracle_sql()).fetchall()}
+    assert got == brute(texts)
+
+
+def test_many_lines_around_one_line(spark):
+    """Lines that are all within four edits of each other, by one and two edits from a line that comes last."""
+    base = "the very same sentence stands in every copy of it"
+    texts = {i: base[:i % 40] + "#" + base[i % 40 + 1:] if i < 40 else base[:i % 39] + "+*" + base[i % 39 + 2:] for i in range(79)}
+    check(spark, {**texts, 1000: base}, texts_too=False)
 
 
 def test_null_ids_repeated_rows_empty_table(spark):
