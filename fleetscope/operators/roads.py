@@ -109,8 +109,13 @@ def density_cell(segments: DataFrame, floor_m: float = 50.0, default: float = 10
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint when its counted ``rows`` are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint when its counted ``rows`` are within the bound, else to be shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else _large(df)
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """``df`` to be shuffled for its join: the planner's estimate does not see what ``explode`` adds, and would broadcast all cells of a small file."""
+    return df.hint("merge")
 
 
 def _cell_gap(width: float):
@@ -154,11 +159,11 @@ class _Cells:
     def min_distance(self, looks: DataFrame) -> DataFrame:
         """Per point of ``looks`` (POINT, CELL): distance of the nearest segment in its cells, null without one."""
         d = F.when(F.col("osm_id").isNotNull(), point_segment_distance(F.col("px"), F.col("py")))
-        return self._spread(looks).join(self.rows, self.keys, "left").groupBy(*POINT).agg(F.min(d).alias("dist"))
+        return self._spread(looks).join(_large(self.rows), self.keys, "left").groupBy(*POINT).agg(F.min(d).alias("dist"))
 
     def lowest_road(self, looks: DataFrame) -> DataFrame:
         """Per point of ``looks`` (POINT, dist, CELL): the lowest ``osm_id`` at exactly ``dist``."""
-        at = self._spread(looks).join(self.rows, self.keys).filter(
+        at = self._spread(looks).join(_large(self.rows), self.keys).filter(
             point_segment_distance(F.col("px"), F.col("py")) == F.col("dist"))
         return at.groupBy("lat", "lon", "dist").agg(F.min("osm_id").alias("osm_id"))
 
@@ -173,6 +178,7 @@ def _far_looks(points: DataFrame, cells: DataFrame, cell: float, factor: int) ->
     top = occupied.agg(F.max(F.greatest(F.abs("cx"), F.abs("cy")))).first()[0]
     if top is None:
         return None
+    n = occupied.count()
     levels = 0
     while factor ** levels <= top:
         levels += 1
@@ -185,7 +191,7 @@ def _far_looks(points: DataFrame, cells: DataFrame, cell: float, factor: int) ->
                             .distinct())
         parent = [F.floor(F.col(c) / factor).alias(f"_p{c}") for c in CELL]
         looks = (looks.withColumnsRenamed({c: f"_p{c}" for c in CELL})
-                      .join(children.select(*CELL, *parent), [f"_p{c}" for c in CELL]).select(*POINT, *CELL))
+                      .join(_small(children.select(*CELL, *parent), n), [f"_p{c}" for c in CELL]).select(*POINT, *CELL))
         x0, y0 = F.col("cx") * F.lit(width) - cell, F.col("cy") * F.lit(width) - cell
         wide = width + 2 * cell
         fx = F.greatest(F.abs(F.col("px") - x0), F.abs(F.col("px") - (x0 + wide)))
@@ -232,7 +238,7 @@ def nearest_roads(points: DataFrame, roads: DataFrame, cell: float | None = None
         out = out.unionByName(f)
     attributes = road_speed_limits(roads).groupBy("osm_id").agg(
         F.min(F.struct("highway", "limite_velocita")).alias("a"))
-    return out.join(attributes, "osm_id").select("lat", "lon", "osm_id", "a.highway", "a.limite_velocita",
+    return out.join(_large(attributes), "osm_id").select("lat", "lon", "osm_id", "a.highway", "a.limite_velocita",
                                                  F.col("dist").alias("distance_m"))
 
 
@@ -240,6 +246,6 @@ def match_points(points: DataFrame, matches: DataFrame) -> DataFrame:
     """Back to readings: ``id, limite_velocita, tipo_strada, osm_id, distance_m``;
     (-1, 'unknown') when no road exists."""
     p = points.select("id", F.col("position_latitude").alias("lat"), F.col("position_longitude").alias("lon"))
-    j = p.join(matches, ["lat", "lon"], "left")
+    j = p.join(_large(matches), ["lat", "lon"], "left")
     return j.select("id", F.coalesce("limite_velocita", F.lit(-1)).cast("int").alias("limite_velocita"),
                     F.coalesce("highway", F.lit("unknown")).alias("tipo_strada"), "osm_id", "distance_m")

@@ -87,3 +87,17 @@ def test_distances_are_combined_by_hash(spark):
     pts = spark.createDataFrame([(1.0, 1.0, 2.0, 3.0)], "lat double, lon double, px double, py double")
     plan = RD._Cells(RD.segment_cells(segs, 10.0)).min_distance(RD._around(pts, 10.0))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_cells_are_never_broadcast(spark, tmp_path):
+    """The planner sees the size of the road file, not that of the cells that its segments are listed in."""
+    from fleetscope.operators.roads import _around, _Cells, project_points, road_segments, segment_cells
+    rdf = spark.createDataFrame([(1, "primary", {}, [{"x": 0.0, "y": 0.0}, {"x": 90_000.0, "y": 10.0}])], ROAD_SCHEMA)
+    rdf.write.parquet(f"{tmp_path}/roads")
+    rdf = spark.read.parquet(f"{tmp_path}/roads")
+    pdf = spark.createDataFrame([(1, 0.1, 0.1)], "id long, position_latitude double, position_longitude double")
+    looks = _around(project_points(pdf), 100.0)
+    grid = _Cells(segment_cells(road_segments(rdf), 100.0))
+    for df in (grid.min_distance(looks), grid.lowest_road(looks.withColumn("dist", F.lit(1.0)))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
