@@ -54,13 +54,22 @@ def _cut(m: Column, j, blocks) -> Column:
     return F.floor(m * j / blocks).cast("int")
 
 
-def _key(line: Column, m: Column, ids: list, holes: list[tuple]) -> Column:
-    """Hash of the line outside ``holes``: (start, end) in the shorter line of length ``m``, and the characters gained there."""
-    at, shift, parts = F.lit(0), F.lit(0), []
-    for start, end, gain in holes:
-        parts.append(F.substring(line, at + shift + 1, F.greatest(start - at, F.lit(0))))
-        at, shift = end, shift + gain
-    return F.xxhash64(m, *ids, *parts, F.right(line, m - at))
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` with what every key of a line needs: ``len`` in characters, and its bytes ``raw`` if these are its characters."""
+    return rows.withColumn("len", F.length("line")).withColumn("raw", F.when(F.octet_length("line") == F.col("len"), F.col("line").cast("binary")))
+
+
+def _key(m: Column, ids: list, holes: list[tuple]) -> Column:
+    """Hash of the line outside ``holes``: (start, end) in the shorter line of length ``m``, and the characters gained there.
+
+    Bytes are cut without a walk over the line's characters; they have the same hash."""
+    def cut(line):
+        at, shift, parts = F.lit(0), F.lit(0), []
+        for start, end, gain in holes:
+            parts.append(F.substring(line, at + shift + 1, F.greatest(start - at, F.lit(0))))
+            at, shift = end, shift + gain
+        return F.xxhash64(m, *ids, *parts, F.substring(line, at + shift + 1, F.greatest(m - at, F.lit(0))))
+    return F.when(F.col("raw").isNotNull(), cut(F.col("raw"))).otherwise(cut(F.col("line")))
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -75,19 +84,23 @@ def _gains(holes: int, k: int, total: int) -> list[tuple]:
 
 def _coarse(lines: DataFrame, edits: tuple) -> DataFrame:
     """(line position, h1, h2, k, m, t, key): ``t`` are the blocks left out of the key."""
-    line, keys = F.col("line"), []
+    cuts = []
     for k, low in enumerate(edits, 1):
         blocks = max(3, k + 1)
         for longer, t in product(range(k + 1), combinations(range(blocks), k)):
-            m = F.length(line) - longer
             runs = [[j for _, j in run] for _, run in groupby(enumerate(t), lambda x: x[1] - x[0])]       # blocks side by side are one hole
-            fits = (m >= low) & (m < edits[k]) if k < len(edits) else m >= low
             for gains in _gains(len(runs), k, longer):
-                holes = [(_cut(m, run[0], F.lit(blocks)), _cut(m, run[-1] + 1, F.lit(blocks)), F.lit(g)) for run, g in zip(runs, gains)]
-                keys.append(F.struct(F.lit(k).alias("k"), m.alias("m"), F.array(*map(F.lit, t)).alias("t"), F.when(
-                    fits, _key(line, m, [F.lit(k), *map(F.lit, t)], holes)).alias("key")))
-    return (lines.withColumn("x", F.explode(F.array(*keys))).select("doc_id", "text_hash", "line_no", "h1", "h2", "x.*")
-            .where("key is not null"))
+                holes = [(run[0], run[-1] + 1, g) for run, g in zip(runs, gains)]
+                holes += [(holes[-1][1], holes[-1][1], 0)] * (len(edits) - len(holes))                    # empty ones after the last
+                cuts.append(F.struct(*[F.lit(v).alias(name) for name, v in (("k", k), ("low", low), ("blocks", blocks), ("longer", longer))],
+                                     F.array(*map(F.lit, t)).alias("t"),
+                                     *[F.lit(v).alias(f"{name}{i}") for i, hole in enumerate(holes) for name, v in zip("seg", hole)]))
+    high = F.when(F.col("x.k") < len(edits), F.element_at(F.array(*map(F.lit, edits)), F.least(F.col("x.k") + 1, F.lit(len(edits)))))
+    rows = _measured(lines).withColumn("x", F.explode(F.array(*cuts))).withColumn("m", F.col("len") - F.col("x.longer"))
+    rows = rows.where((F.col("m") >= F.col("x.low")) & (high.isNull() | (F.col("m") < high)))
+    m, blocks = F.col("m"), F.col("x.blocks")
+    holes = [(_cut(m, F.col(f"x.s{i}"), blocks), _cut(m, F.col(f"x.e{i}"), blocks), F.col(f"x.g{i}")) for i in range(len(edits))]
+    return rows.select("doc_id", "text_hash", "line_no", "h1", "h2", "x.k", "m", "x.t", _key(m, ["x.k", "x.t"], holes).alias("key"))
 
 
 def _finer(rows: DataFrame, k: int) -> DataFrame:
@@ -95,8 +108,8 @@ def _finer(rows: DataFrame, k: int) -> DataFrame:
     at = range(1, k + 1)
     gains = F.array(*[F.struct(*[F.lit(g).alias(f"g{i}") for i, g in zip(at, gain)])
                       for total in range(k + 1) for gain in product((-1, 0, 1), repeat=k) if sum(gain) == total])
-    rows = rows.withColumn("blocks", F.col("blocks") * FINE).withColumn("x", F.explode(gains)).where(
-        sum(F.col(f"x.g{i}") for i in at) == F.length("line") - F.col("m"))
+    rows = _measured(rows).withColumn("blocks", F.col("blocks") * FINE).withColumn("x", F.explode(gains)).where(
+        sum(F.col(f"x.g{i}") for i in at) == F.col("len") - F.col("m"))
     for i in at:
         rows = rows.withColumn(f"d{i}", F.explode(F.sequence(F.col(f"c{i}") * FINE, F.col(f"c{i}") * FINE + FINE - 1)))
         if i > 1:           # two edits in one block gain by either order: one of them is posted
@@ -105,7 +118,7 @@ def _finer(rows: DataFrame, k: int) -> DataFrame:
     m, blocks = F.col("m"), F.col("blocks")
     holes = [(_cut(m, F.col(f"d{i}"), blocks), _cut(m, F.col(f"d{i}") + 1, blocks), F.col(f"x.g{i}")) for i in at]
     return rows.select("h1", "h2", "first", "open", "m", "blocks", *[F.col(f"d{i}").alias(f"c{i}") for i in at],
-                       _key(F.col("line"), m, [F.col(f"d{i}") for i in at], holes).alias("key"))
+                       _key(m, [F.col(f"d{i}") for i in at], holes).alias("key"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -124,8 +137,14 @@ def _meet(rows: DataFrame, texts: DataFrame, k: int, name: str) -> tuple[DataFra
     return found, met.where("n > 2").drop("key", "least", "last", "n", "open", "first").distinct()
 
 
+def _marked(texts: DataFrame, settled: DataFrame) -> DataFrame:
+    """(h1, h2, first, line, open): the lines, ``open`` unless settled."""
+    return texts.join(settled.select("h1", "h2", F.lit(False).alias("no")), ["h1", "h2"], "left").select(
+        "h1", "h2", "first", "line", F.coalesce("no", F.lit(True)).alias("open"))
+
+
 def _variants(rows: DataFrame, k: int) -> DataFrame:
-    """(h1, h2, first, variant, role): the lines of (h1, h2, first, line, m, blocks, c1..ck) with ``k`` marked edits in their blocks.
+    """(h1, h2, first, open, variant, role): the lines of (h1, h2, first, open, line, m, blocks, c1..ck) with ``k`` marked edits in their blocks.
 
     Role 0 is the shorter line, role 1 the other one. A mark has a place in the shorter line, the characters that it takes there
     and those that the other line gains: substitution (1, 0), insertion (0, 1), deletion (1, -1)."""
@@ -133,16 +152,16 @@ def _variants(rows: DataFrame, k: int) -> DataFrame:
     marks = F.array(*[F.struct(F.lit(role).alias("role"), *[F.lit(w).alias(f"w{i}") for i, (w, _) in zip(at, kinds)],
                                *[F.lit(g).alias(f"g{i}") for i, (_, g) in zip(at, kinds)])
                       for kinds in product(((1, 0), (0, 1), (1, -1)), repeat=k) if sum(g for _, g in kinds) >= 0 for role in (0, 1)])
-    m, longer = F.col("m"), F.length("line") - F.col("m")
+    m, longer = F.col("m"), F.col("len") - F.col("m")
     gained = sum(F.col(f"x.g{i}") for i in at)
-    rows = rows.withColumn("x", F.explode(marks)).where(F.when(F.col("x.role") == 0, longer == 0).otherwise(gained == longer))
+    rows = _measured(rows).withColumn("x", F.explode(marks)).where(F.when(F.col("x.role") == 0, longer == 0).otherwise(gained == longer))
     for i in at:
         start, end = _cut(m, F.col(f"c{i}"), F.col("blocks")), _cut(m, F.col(f"c{i}") + 1, F.col("blocks"))
         rows = rows.withColumn(f"p{i}", F.explode(F.sequence(start, end))).where(F.col(f"p{i}") + F.col(f"x.w{i}") <= end)
         rows = rows.where(F.col(f"p{i}") >= F.col(f"p{i - 1}") + F.col(f"x.w{i - 1}")) if i > 1 else rows
     holes = [(F.col(f"p{i}"), F.col(f"p{i}") + F.col(f"x.w{i}"), F.col(f"x.g{i}") * F.col("x.role")) for i in at]
     ids = [F.col(f"{c}{i}") for i in at for c in ("p", "x.w", "x.g")]
-    return rows.select("h1", "h2", "first", _key(F.col("line"), m, ids, holes).alias("variant"), F.col("x.role").alias("role")).distinct()
+    return rows.select("h1", "h2", "first", "open", _key(m, ids, holes).alias("variant"), F.col("x.role").alias("role"))
 
 
 def _nearest(texts: DataFrame, k: int) -> DataFrame:
@@ -159,17 +178,19 @@ def _nearest(texts: DataFrame, k: int) -> DataFrame:
         wide = F.col("m") > F.col("blocks") * WIDTH
         done.append(hits.where(~wide))
         level += 1
-        lines = texts.join(settled.select("h1", "h2", F.lit(False).alias("no")), ["h1", "h2"], "left").select(
-            "h1", "h2", "first", "line", F.coalesce("no", F.lit(True)).alias("open"))
-        found, hits = _meet(_finer(hits.where(wide).join(lines, ["h1", "h2"]), k), texts, k, f"line-{k}-{level}")
+        found, hits = _meet(_finer(hits.where(wide).join(_marked(texts, settled), ["h1", "h2"]), k), texts, k, f"line-{k}-{level}")
         settled, hits = stage(settled.unionByName(found), f"line-settled-{k}"), stage(hits, f"line-hits-{k}")
     if not done:
         return settled
     left = reduce(DataFrame.unionByName, done)
-    posts = stage(_variants(left.join(texts.select("h1", "h2", "first", "line"), ["h1", "h2"]), k), f"line-variants-{k}")
-    least = posts.groupBy("variant", (1 - F.col("role")).alias("role")).agg(F.min("first").alias("least"))
-    pairs = (posts.join(settled, ["h1", "h2"], "left_anti").join(least, ["variant", "role"]).where(F.col("least") < F.col("first"))
-             .groupBy("h1", "h2").agg(F.min("least").alias("least")))
+    posts = _variants(left.join(_marked(texts, settled), ["h1", "h2"]), k)
+    firsts = [F.min(F.when(F.col("role") == r, F.col("first"))).alias(f"least{r}") for r in (0, 1)]
+    lasts = [F.max(F.when(F.col("open") & (F.col("role") == r), F.col("first"))).alias(f"last{r}") for r in (0, 1)]
+    least = stage(posts.groupBy("variant").agg(*firsts, *lasts).where("least0 < last1 or least1 < last0")
+                  .select("variant", "least0", "least1"), f"line-variants-{k}")
+    pairs = (posts.where("open").join(small(least, KEYS // 8), "variant")
+             .withColumn("least", F.when(F.col("role") == 0, F.col("least1")).otherwise(F.col("least0")))
+             .where(F.col("least") < F.col("first")).groupBy("h1", "h2").agg(F.min("least").alias("least")))
     return settled.unionByName(_verified(pairs, texts, k))
 
 

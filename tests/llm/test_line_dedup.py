@@ -106,3 +106,19 @@ def test_null_ids_repeated_rows_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_same, r.n_near, r.removed) for r in L.summary(df).collect())
     assert got == [(0, 0, 0, []), (7, 0, 1, [0]), (7, 0, 1, [0]), (8, 0, 1, [0])]
     assert sorted(r.text for r in L.rewrite(df).collect()) == ["", "", "", line + "!"]
+
+
+def test_marked_variants_are_not_shuffled_and_keys_of_bytes_fit(spark, tmp_path):
+    """Settled lines carry a mark into their variants; keys cut from bytes equal those cut from characters."""
+    from pyspark.sql import functions as F
+
+    from fleetscope.llm import line_dedup as L
+    text = "a line of thirty and more characters"
+    spark.createDataFrame([(1, 2, 3, True, text, len(text), 6, 1, 2)], "h1 long, h2 long, first long, open boolean, line string, m int, blocks int, "
+                          "c1 int, c2 int").write.parquet(f"{tmp_path}/rows")
+    out = L._variants(spark.read.parquet(f"{tmp_path}/rows"), 2)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("open").count() == out.count() > 0
+    rows = L._measured(spark.createDataFrame([(text,)], "line string"))
+    key = L._key(F.lit(len(text)), [], [(F.lit(3), F.lit(7), F.lit(0))])
+    assert rows.select(key).first()[0] == rows.withColumn("raw", F.lit(None).cast("binary")).select(key).first()[0]
