@@ -34,7 +34,7 @@ from ..session import checkpoint_dir
 BINS = 256                  # bin 0: null; 1..255 by the cut points
 BLOCK_ROWS = 32_768         # sums of 2^32-scaled gradients over a block stay exact in a double
 PART_ROWS = 16_384          # least rows of a partition of blocks
-ALONE = 8                   # blocks (full ones) of a table whose runs are grown by one task each
+ALONE = 16                  # full blocks of a table whose runs are grown by one task each, as one block (sums stay exact up to 64)
 CHECKPOINT_ROUNDS = 10
 FIXED = 2.0**32
 BLOCK = "keys binary, y binary, fold binary, bins binary"
@@ -391,8 +391,10 @@ def fit(df: DataFrame, features: list[str], label: str, cfg: BoostConfig, key: s
     if parts == 1:
         def run_alone(run, rows):
             one = _Task(cfg, classes, runs, folds, len(features), scale, validate, run)
-            blocks = [{**block(r), "margin": np.tile(bases[run], (len(r["keys"]) // 8, 1))} for r in rows]
-            return [(run, *_alone(blocks, one, 0 if fixed else cfg.rounds))]
+            blocks = [block(r) for r in rows]
+            whole = {c: np.concatenate([b[c] for b in blocks]) for c in ("keys", "y", "fold", "draw", "bins")}
+            whole.update(margin=np.tile(bases[run], (len(whole["y"]), 1)), memo={})
+            return [(run, *_alone(whole, one, 0 if fixed else cfg.rounds))]
         done = (packed.rdd.flatMap(lambda row: [(run, row) for run in range(runs)]).partitionBy(runs, int)
                 .mapPartitionsWithIndex(lambda run, rows: run_alone(run, [row for _, row in rows])).collect())
         models = [BoostedTrees(cfg, features, cuts, bases[run], trees) for run, trees, _ in done]
@@ -459,22 +461,18 @@ class _EarlyStop:
         return self.since >= self.after
 
 
-def _alone(blocks, task, rounds):
-    """All rounds of one run on the blocks of a small table: (trees by round, counts of the held-out rows)."""
+def _alone(block, task, rounds):
+    """All rounds of one run on the rows of a small table: (trees by round, counts of the held-out rows)."""
     run, grown, early = task.runs[0], [], _EarlyStop(task.cfg)
     for round_no in range(rounds):
         def find(arrays, frontier, offset, round_no=round_no):
-            found = _sums(blocks, task, arrays, frontier, offset, round_no)
+            found = _sums([block], task, arrays, frontier, offset, round_no)
             return [best_splits(*found, task)] if found else []
         grown.append(_grow(find, task))
-        blocks = [_moved_block(b, [t.arrays() for t in grown[-1]]) for b in blocks]
-        if task.validate and run == task.folds:
-            losses = [_loss(b, task) for b in blocks]
-            if early.now((sum(x for x, _ in losses), sum(n for _, n in losses))):
-                break
-    classes = task.classes if task.cfg.objective == "softmax" else 0
-    table = sum((_confusion(b, task, run, 0) for b in blocks), np.zeros((classes, classes), np.int64)) if classes else None
-    return grown, table
+        block = _moved_block(block, [t.arrays() for t in grown[-1]])
+        if task.validate and run == task.folds and early.now(_loss(block, task)):
+            break
+    return grown, _confusion(block, task, run, 0) if task.cfg.objective == "softmax" else None
 
 
 def _moved_block(b, trees):

@@ -21,7 +21,7 @@ import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from ..session import checkpoint_dir
 from .boosting import cut_points
 
 FIXED = 2.0**30
-ALONE = 8192                # rows of a node that one task finishes
+ALONE = 1 << 18             # rows of a node that one task finishes
 NODE = "tree int, node long, f int, bin short, gain double, value array<double>"
 _POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
 
@@ -79,8 +79,8 @@ class Forest:
     def transform(self, df: DataFrame, key: str, out_col: str = "prediction") -> DataFrame:
         """``df`` with the mean over the trees (classifiers: the likeliest class, and ``probability`` as an array); ``key`` tells rows apart."""
         spark, done = df.sparkSession, f"{checkpoint_dir(df.sparkSession).rstrip('/')}/forest-out-{uuid.uuid4().hex}"
-        at = df.select(F.col(key).alias("__key"), _bins(self.features, self.cuts).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(self.cfg.trees - 1))).alias("tree"),
-                       F.lit(0).cast("long").alias("node"))
+        at = df.select(F.col(key).alias("__key"), _bins(self.features, self.cuts).alias("x"))       # once per row, not per tree
+        at = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.cfg.trees - 1))).alias("tree"), F.lit(0).cast("long").alias("node"))
         for level in range(self.levels):
             at = at.join(self.nodes(spark, level), ["tree", "node"])
             at.write.parquet(f"{done}/{level}")
@@ -148,7 +148,7 @@ def grow(df: DataFrame, features: list[str], label: str, key: str, cfg: ForestCo
         if not cfg.per_node or cfg.per_node >= len(features):        # drawn features are drawn level by level
             large = _stored(rows.groupBy("tree", "node").count().where(F.col("count") > ALONE).select("tree", "node"), f"{path}/large/{level}")
             small = rows.join(large, ["tree", "node"], "left_anti").groupBy("tree", "node")
-            small.applyInPandas(_finisher(cfg, level), f"{NODE}, level int").write.mode("append").partitionBy("level").parquet(f"{path}/nodes")
+            small.applyInArrow(_finisher(cfg, level), f"{NODE}, level int").write.mode("append").partitionBy("level").parquet(f"{path}/nodes")
             rows = _stored(rows.join(large, ["tree", "node"], "left_semi"), f"{path}/rest/{level}")
             if rows.isEmpty():
                 break
@@ -177,48 +177,107 @@ def _spark_hash(node: int, side: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
+def _children(nodes: np.ndarray, side: int) -> np.ndarray:
+    """``_spark_hash`` of an array of nodes."""
+    one, two, three, four, five = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, n):
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        return h ^ (h >> np.uint64(32))
+    with np.errstate(over="ignore"):
+        h = mixed(turned((np.uint64(42) + five + np.uint64(8)) ^ (turned(nodes.astype(np.uint64) * two, 31) * one), 27) * one + four)
+        h = mixed(turned((h + five + np.uint64(4)) ^ (np.uint64(side) * one), 23) * two + three)
+    return h.astype(np.int64)
+
+
 def _finisher(cfg: ForestConfig, level: int):
     def finish(key, rows):
-        return _finish(key, rows, cfg, level)
+        n = rows.num_rows
+        x, t = (np.asarray(rows[c].combine_chunks().flatten()).reshape(n, -1).astype(np.int64) for c in ("x", "t"))
+        return _finish(int(key[0].as_py()), int(key[1].as_py()), x, t, rows["w"].to_numpy(), cfg, level)
     return finish
 
 
-def _finish(key, rows, cfg: ForestConfig, level: int) -> pd.DataFrame:
-    """All nodes below (and with) one small node."""
-    x, t, w = np.array(rows["x"].tolist(), np.int64), np.array(rows["t"].tolist(), np.float64), rows["w"].to_numpy(np.float64)
-    features, k = x.shape[1], t.shape[1]
-    flat = x + np.arange(features) * 256
-    out, todo = [], [(np.arange(len(w)), int(key[1]), level)]
-    while todo:
-        at, node, depth = todo.pop()
-        wt, total = w[at, None] * t[at], w[at].sum()
-        g = wt.sum(axis=0)
-        found = None
-        if len(at) >= max(cfg.min_split, 2) and (cfg.max_depth is None or depth < cfg.max_depth) and (t[at] != t[at[0]]).any():
-            cell = flat[at].ravel()
-            size = features * 256
-            n = np.bincount(cell, minlength=size).reshape(features, 256)
-            left_n = n.cumsum(axis=1)
-            left_w = np.bincount(cell, np.repeat(w[at], features), size).reshape(features, 256).cumsum(axis=1)
-            left = here = 0.0
-            right = 0.0
-            for i in range(k):
-                gl = np.bincount(cell, np.repeat(wt[:, i], features), size).reshape(features, 256).cumsum(axis=1)
-                left, right, here = left + gl * gl, right + (g[i] - gl) ** 2, here + g[i] * g[i]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                left, right = left / left_w, right / (total - left_w)
-                gain = left + right - here / total
-            ok = (n > 0) & (left_n >= max(cfg.min_leaf, 1)) & (len(at) - left_n >= max(cfg.min_leaf, 1)) & (gain > 1e-12 * (left + right) + 1e-6)
-            if ok.any():
-                gain = np.where(ok, gain, -np.inf)
-                f, b = divmod(int(gain.argmax()), 256)
-                found = f, b, float(gain[f, b])
-        out.append((int(key[0]), node, *(found or (None, None, None)), (g / total).tolist(), depth))
-        if found:
-            low = x[at, found[0]] <= found[1]
-            todo += [(at[low], _spark_hash(node, 1), depth + 1), (at[~low], _spark_hash(node, 0), depth + 1)]
-    return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=d) for i, (c, d) in enumerate(
-        [("tree", "int32"), ("node", "int64"), ("f", "Int32"), ("bin", "Int16"), ("gain", "Float64"), ("value", object), ("level", "int32")])})
+def _best_of(x, t, w, rank, cfg: ForestConfig):
+    """(found, feature, bin, gain) per node; ``rank`` is the node of a row, ascending from 0."""
+    n, features, k = *x.shape, t.shape[1]
+    bits = max(n.bit_length(), 1)
+    cells = ((((rank[:, None] * features + np.arange(features)) * 256 + x) << bits) | np.arange(n)[:, None]).ravel()
+    cells.sort()
+    at = cells & ((1 << bits) - 1)
+    cells >>= bits
+    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    count = np.diff(np.append(first, len(cells)))
+    cells = cells[first]
+    begin = np.flatnonzero(np.append(True, cells[1:] // 256 != cells[:-1] // 256))      # of the (node, feature)
+    width = np.diff(np.append(begin, len(cells)))
+    node = cells // (256 * features)
+    ends = np.searchsorted(rank, np.arange(rank[-1] + 1))
+
+    def sums(values, per_row):
+        """Running sum over the bins of a cell's node and feature, and the node's sum."""
+        run = np.cumsum(values)
+        return run - np.repeat((run - values)[begin], width), np.add.reduceat(per_row, ends)[node]
+    left_n, n_all = sums(count, np.ones(n, np.int64))
+    left_w, w_all = sums(np.add.reduceat(w[at], first), w)
+    left = here = 0.0
+    right = 0.0
+    for i in range(k):
+        wt = w * t[:, i]
+        gl, g = (v.astype(np.float64) for v in sums(np.add.reduceat(wt[at], first), wt))
+        left, right, here = left + gl * gl, right + (g - gl) ** 2, here + g * g
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left, right = left / left_w, right / (w_all - left_w)
+        gain = left + right - here / w_all
+        ok = (left_n >= max(cfg.min_leaf, 1)) & (n_all - left_n >= max(cfg.min_leaf, 1)) & (gain > 1e-12 * (left + right) + 1e-6)
+    nodes = int(rank[-1]) + 1
+    best = np.full(nodes, -np.inf)
+    np.maximum.at(best, node[ok], gain[ok])
+    top = np.flatnonzero(ok & (gain == best[node]))
+    top = top[np.append(True, node[top][1:] != node[top][:-1])] if len(top) else top    # the first feature and bin
+    f, b, found = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64), np.zeros(nodes, bool)
+    f[node[top]], b[node[top]], found[node[top]] = cells[top] // 256 % features, cells[top] % 256, True
+    return found, f, b, np.where(found, best, 0.0)
+
+
+def _finish(tree: int, node: int, x, t, w, cfg: ForestConfig, level: int) -> pa.Table:
+    """All nodes below (and with) one small node, all nodes of a level at a time."""
+    if (w == np.rint(w)).all():             # exact sums
+        w = w.astype(np.int64)
+    names, rank, out = np.array([node], np.int64), np.zeros(len(w), np.int64), []
+    while len(names):
+        begin = np.searchsorted(rank, np.arange(len(names)))            # rows lie in the order of their nodes
+        total = np.add.reduceat(w, begin)
+        value = np.add.reduceat(w[:, None] * t, begin, axis=0) / total[:, None]
+        mixed = (np.minimum.reduceat(t, begin, axis=0) != np.maximum.reduceat(t, begin, axis=0)).any(axis=1)
+        mixed &= np.diff(np.append(begin, len(w))) >= max(cfg.min_split, 2)
+        if cfg.max_depth is not None and level >= cfg.max_depth:
+            mixed[:] = False
+        found, f, b, gain = (np.zeros(len(names), kind) for kind in (bool, np.int64, np.int64, float))
+        if mixed.any():
+            rows = np.flatnonzero(mixed[rank])
+            x, t, w, rank = x[rows], t[rows], w[rows], (np.cumsum(mixed) - 1)[rank[rows]]
+            found[mixed], f[mixed], b[mixed], gain[mixed] = here = _best_of(x, t, w, rank, cfg)
+        out.append(pa.table({
+            "tree": pa.array(np.full(len(names), tree, np.int32)), "node": pa.array(names), "f": pa.array(f.astype(np.int32), mask=~found),
+            "bin": pa.array(b.astype(np.int16), mask=~found), "gain": pa.array(gain, mask=~found),
+            "value": pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * value.shape[1]), pa.array(value.ravel())),
+            "level": pa.array(np.full(len(names), level, np.int32))}))
+        if not found.any():
+            break
+        rows = np.flatnonzero(here[0][rank])
+        x, t, w, rank = x[rows], t[rows], w[rows], rank[rows]
+        high = x[np.arange(len(rows)), here[1][rank]] > here[2][rank]
+        to = 2 * (np.cumsum(here[0]) - 1)[rank] + high
+        order = np.argsort(to, kind="stable")
+        x, t, w, rank = x[order], t[order], w[order], to[order]
+        names = np.column_stack([_children(names[found], 1), _children(names[found], 0)]).ravel()
+        level += 1
+    return pa.concat_tables(out)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
