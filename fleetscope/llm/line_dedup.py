@@ -11,7 +11,8 @@ allowed (by default one from 5 characters on, two from 30 on); shorter lines mus
    lies outside each choice of blocks and shifts. Only lines that share a key with a different line go on.
 3. The earliest line of each key is compared with the key's other lines (``levenshtein``, no further than the bound), which settles most
    of them. A line that is left and shares its key with a third line goes on: every block that was hit is cut into ``FINE``
-   blocks, until blocks have at most ``WIDTH`` characters.
+   blocks, until blocks have at most ``WIDTH`` characters. Of lines with one key, only those go on whose blocks are not all alike:
+   lines that differ in one block of several share the key of that block alone as well.
 4. The deletion neighbourhood of the remaining blocks: all variants of the line with ``k`` marked edits, as hashed keys. A
    mark is a substituted character (gone from both lines), one that only the longer or one that only the shorter line has. Equal
    keys of the two roles (shorter, other line) mean at most ``k`` edits, so per key only the earliest line of each role is needed:
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import small, stage
 
 EDITS = (5, 30)             # least length of the shorter line for one edit, for two edits
-FINE, WIDTH = 8, 6          # blocks that a block is cut into; characters of a block that is cut no more
+FINE, WIDTH = (2, 4), 2     # blocks that a block is cut into, the first time and later; characters of a block that is cut no more
 KEYS = 2_000_000            # shared keys (a long each) that may be broadcast
 
 
@@ -51,7 +52,7 @@ def _order() -> Column:
 
 
 def _cut(m: Column, j, blocks) -> Column:
-    return F.floor(m * j / blocks).cast("int")
+    return F.floor(m.cast("long") * j / blocks).cast("int")
 
 
 def _measured(rows: DataFrame) -> DataFrame:
@@ -78,8 +79,9 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _gains(holes: int, k: int, total: int) -> list[tuple]:
-    """Ways to gain ``total`` characters over the holes by at most ``k`` insertions and deletions."""
-    return [g for g in product(range(-k, k + 1), repeat=holes) if sum(g) == total and sum(map(abs, g)) <= k]
+    """Ways to gain ``total`` characters over the holes by at most ``k`` edits, at least one in each hole (another choice of blocks
+    has the edits without an empty hole)."""
+    return [g for g in product(range(-k, k + 1), repeat=holes) if sum(g) == total and sum(max(1, abs(x)) for x in g) <= k]
 
 
 def _coarse(lines: DataFrame, edits: tuple) -> DataFrame:
@@ -103,22 +105,29 @@ def _coarse(lines: DataFrame, edits: tuple) -> DataFrame:
     return rows.select("doc_id", "text_hash", "line_no", "h1", "h2", "x.k", "m", "x.t", _key(m, ["x.k", "x.t"], holes).alias("key"))
 
 
-def _finer(rows: DataFrame, k: int) -> DataFrame:
-    """Rows (h1, h2, first, line, open, m, blocks, c1..ck) with the blocks cut anew, and the key of what lies outside of them."""
+def _finer(rows: DataFrame, k: int, fine: int) -> DataFrame:
+    """Rows (h1, h2, first, line, open, m, blocks, c1..ck) with the blocks cut anew, the key of what lies outside of them, and what lies in each (w1..wk)."""
     at = range(1, k + 1)
-    gains = F.array(*[F.struct(*[F.lit(g).alias(f"g{i}") for i, g in zip(at, gain)])
-                      for total in range(k + 1) for gain in product((-1, 0, 1), repeat=k) if sum(gain) == total])
-    rows = _measured(rows).withColumn("blocks", F.col("blocks") * FINE).withColumn("x", F.explode(gains)).where(
-        sum(F.col(f"x.g{i}") for i in at) == F.col("len") - F.col("m"))
+    gains = [F.array(*[F.struct(*[F.lit(g).alias(f"g{i}") for i, g in zip(at, gain)]) for gain in product((-1, 0, 1), repeat=k) if sum(gain) == total])
+             for total in range(k + 1)]
+    rows = _measured(rows).withColumn("blocks", F.col("blocks") * fine).withColumn("x", F.explode(F.element_at(
+        F.array(*gains), F.col("len") - F.col("m") + 1)))
     for i in at:
-        rows = rows.withColumn(f"d{i}", F.explode(F.sequence(F.col(f"c{i}") * FINE, F.col(f"c{i}") * FINE + FINE - 1)))
+        rows = rows.withColumn(f"d{i}", F.explode(F.sequence(F.col(f"c{i}") * fine, F.col(f"c{i}") * fine + fine - 1)))
         if i > 1:           # two edits in one block gain by either order: one of them is posted
             rows = rows.where((F.col(f"d{i}") > F.col(f"d{i - 1}")) | ((F.col(f"d{i}") == F.col(f"d{i - 1}")) & (
                 (F.col(f"x.g{i - 1}") == 0) | (F.col(f"x.g{i - 1}") == F.col(f"x.g{i}")))))
     m, blocks = F.col("m"), F.col("blocks")
     holes = [(_cut(m, F.col(f"d{i}"), blocks), _cut(m, F.col(f"d{i}") + 1, blocks), F.col(f"x.g{i}")) for i in at]
+    inside, shift = [], F.lit(0)
+    for i, (start, end, gain) in zip(at, holes):
+        alone = reduce(Column.__and__, [F.col(f"d{i}") != F.col(f"d{j}") for j in at if j != i], F.lit(True))
+        part = [F.substring(line, start + shift + 1, F.greatest(end - start + gain, F.lit(0))) for line in (F.col("raw"), F.col("line"))]
+        part = F.when(F.col("raw").isNotNull(), F.xxhash64(part[0])).otherwise(F.xxhash64(part[1]))
+        inside.append(F.when(alone, part).otherwise(F.col("h1")).alias(f"w{i}"))
+        shift = shift + gain
     return rows.select("h1", "h2", "first", "open", "m", "blocks", *[F.col(f"d{i}").alias(f"c{i}") for i in at],
-                       _key(m, [F.col(f"d{i}") for i in at], holes).alias("key"))
+                       _key(m, [F.col(f"d{i}") for i in at], holes).alias("key"), *inside)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -130,9 +139,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def _meet(rows: DataFrame, texts: DataFrame, k: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Lines that the earliest line of one of their keys settles, (h1, h2, near), and the rows that go on: those of keys with a third line."""
-    keys = stage(rows.groupBy("key").agg(F.min("first").alias("least"), F.max(F.when(F.col("open"), F.col("first"))).alias("last"),
-                                         F.count(F.lit(1)).alias("n")).where("n > 1 and last > least"), f"{name}-keys")
-    met = stage(rows.join(small(keys, KEYS // 8), "key").where("open or first < last"), f"{name}-rows")
+    inside = [c for c in rows.columns if c[0] == "w"]           # an edit in each block changes each of them
+    keys = rows.groupBy("key").agg(F.min("first").alias("least"), F.max(F.when(F.col("open"), F.col("first"))).alias("last"),
+                                   F.count(F.lit(1)).alias("n"), *[f(c).alias(f.__name__ + c) for c in inside for f in (F.min, F.max)])
+    keys = keys.where(" and ".join(["n > 1", "last > least", *[f"min{c} < max{c}" for c in inside]]))
+    keys = stage(keys.select("key", "least", "last", "n"), f"{name}-keys")
+    met = stage(rows.drop(*inside).join(small(keys, KEYS // 8), "key").where("open or first < last"), f"{name}-rows")
     found = stage(_verified(met.where("open and first > least").select("h1", "h2", "least"), texts, k), f"{name}-found")
     return found, met.where("n > 2").drop("key", "least", "last", "n", "open", "first").distinct()
 
@@ -178,7 +190,7 @@ def _nearest(texts: DataFrame, k: int) -> DataFrame:
         wide = F.col("m") > F.col("blocks") * WIDTH
         done.append(hits.where(~wide))
         level += 1
-        found, hits = _meet(_finer(hits.where(wide).join(_marked(texts, settled), ["h1", "h2"]), k), texts, k, f"line-{k}-{level}")
+        found, hits = _meet(_finer(hits.where(wide).join(_marked(texts, settled), ["h1", "h2"]), k, FINE[level > 1]), texts, k, f"line-{k}-{level}")
         settled, hits = stage(settled.unionByName(found), f"line-settled-{k}"), stage(hits, f"line-hits-{k}")
     if not done:
         return settled
@@ -200,14 +212,16 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame, edits: tupl
     coarse = _coarse(long_lines, edits)
     shared = _shared(coarse, "line-keys")
     hit = coarse.join(small(shared, KEYS), "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("k", "m", "t", "key")).alias("hits"))
-    cand = stage(hit.join(firsts, ["h1", "h2"]).select("h1", "h2", "first", "hits"), "line-candidates")
-    at = cand.select(F.col("first.doc_id").alias("c_id"), F.col("first.text_hash").alias("c_hash"),
-                     F.col("first.line_no").alias("c_no"), "h1", "h2", "first", "hits")
+    cand = stage(hit.join(firsts, ["h1", "h2"]).select("h1", "h2", F.col("first").alias("place"), "hits"), "line-candidates")
+    cand = stage(cand.orderBy("place").withColumn("first", F.monotonically_increasing_id()), "line-numbered")   # a long in the order of the lines
+    at = cand.select(F.col("place.doc_id").alias("c_id"), F.col("place.text_hash").alias("c_hash"),
+                     F.col("place.line_no").alias("c_no"), "h1", "h2", "first", "hits")
     on = long_lines["doc_id"].eqNullSafe(at["c_id"]) & (long_lines["text_hash"] == at["c_hash"]) & (long_lines["line_no"] == at["c_no"])
     texts = stage(long_lines.select("doc_id", "text_hash", "line_no", "line").join(small(at), on)
                   .select("h1", "h2", "first", "hits", "line").dropDuplicates(["h1", "h2"]), "line-texts")
     near = reduce(DataFrame.unionByName, [_nearest(texts, k) for k in range(1, len(edits) + 1)])
-    return near.groupBy("h1", "h2").agg(F.min("near").alias("near"))
+    near = near.groupBy("h1", "h2").agg(F.min("near").alias("number"))
+    return near.join(cand.select(F.col("first").alias("number"), F.col("place").alias("near")), "number").select("h1", "h2", "near")
 
 
 def removals(docs: DataFrame, id_col="doc_id", text_col="text", edits: tuple = EDITS) -> DataFrame:

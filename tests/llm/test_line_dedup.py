@@ -122,3 +122,19 @@ def test_marked_variants_are_not_shuffled_and_keys_of_bytes_fit(spark, tmp_path)
     rows = L._measured(spark.createDataFrame([(text,)], "line string"))
     key = L._key(F.lit(len(text)), [], [(F.lit(3), F.lit(7), F.lit(0))])
     assert rows.select(key).first()[0] == rows.withColumn("raw", F.lit(None).cast("binary")).select(key).first()[0]
+
+
+def test_lines_with_one_other_word_do_not_reach_the_variants(spark, monkeypatch):
+    """Lines that differ in one word share keys of two blocks, but are no further cut than to blocks that show the difference."""
+    rnd, posts, variants = random.Random(7), [], L._variants
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=8))
+    base = [word() for _ in range(20)]
+    texts = {i: " ".join(base[:i % 4 * 5] + [word()] + base[i % 4 * 5 + 1:]) for i in range(60)}
+
+    def counted(rows, k):
+        out = variants(rows, k)
+        posts.append(out.count())
+        return out
+    monkeypatch.setattr(L, "_variants", counted)
+    check(spark, texts, texts_too=False)
+    assert sum(posts) <= 10 * len(texts), posts
