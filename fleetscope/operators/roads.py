@@ -5,39 +5,47 @@ Spark has no k-NN join, so the search is a few equi-joins on grid cells:
 
 * every road segment is cut into pieces no longer than a cell and listed once
   in each cell that its pieces touch;
-* near levels (two cell sizes): every open point looks at the 3 x 3 block of
-  cells around it. The block holds the disc of radius ``cell`` around the
-  point, so a road nearer than ``cell`` is the nearest of all and the point is
-  done. The second level reads only the cells that its open points look at;
+* tiles (cells that hold a thousand segments or so): a point meets the segments
+  of its own tile, all points of a tile together in arrays (``segment_search``).
+  When its distance ends inside the tile it is done, which most points are;
+* a point nearer than a tile's side to a road, but not to the border of its
+  tile, looks at the tiles of the 3 x 3 block that start within its distance;
 * far points (a position fix far from any road, such as (0, 0)) go down a
   pyramid of *occupied* cells: the farthest corner of one occupied cell bounds
   the distance from above, cells that start beyond the lowest bound are dropped
-  at every level, and only the cells that are left meet their segments.
-
-Results are exact, with no distance cap, no sampling and no cross join. A
-point's minimum distance comes first (one double per point, combined before
-its exchange); a second join of the cells within that distance takes the lowest
-``osm_id`` at exactly that distance; the road's attributes are looked up last.
-Cells with more than ``BLOCK_SEGMENTS`` segments are split into blocks by a
-hash of the segment, and their points look at every block, so a crowded city
-cell is spread over many tasks; partitions with many points are left to AQE's
-skew join. Distances are EPSG:3857 metres, the metric the original ranking used.
+  at every level, and only the cells that are left meet their segments. The
+  tiles come first; only the segments of the tiles left are listed in cells.
+
+Results are exact, with no distance cap, no sampling and no cross join. Ties
+go to the lowest ``osm_id`` at exactly the least distance; the road's attributes
+are looked up last. For far points the minimum distance comes first (one double
+per point, combined before its exchange) and a second join takes the ``osm_id``.
+Cells with more than ``BLOCK_SEGMENTS`` segments (tiles: ``TILE_SEGMENTS``) are
+split into blocks by a hash of the segment, and their points look at every
+block; the points of a tile with more than ``TILE_POINTS`` are split too. So a
+crowded city tile is spread over many tasks of bounded memory. Distances are
+EPSG:3857 metres, the metric the original ranking used.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import speed_limit, web_mercator_x, web_mercator_y
-from ..session import materialize
+from ..session import materialize, stored
+from .segment_search import NO_ROAD, nearest_segment
 
 POINT = ["lat", "lon", "px", "py"]
 CELL = ["cx", "cy"]
 BLOCK_SEGMENTS = 256            # segments of one cell that are searched together
-NEAR_LEVELS = 2                 # cell sizes searched by 3 x 3 blocks before the pyramid
+TILE_CELLS = 32                 # a tile's side in cells
+TILE_SEGMENTS = 8_192           # segments and points of one tile that are searched together
+TILE_POINTS = 65_536
 DENSITY_CELL_M = 10_000.0       # side of the squares that measure the area the roads cover
 BROADCAST_ROWS = 500_000        # a counted side of two longs (some 16 MB) is broadcast up to here
 SLACK_M = 1e-3                  # covers the rounding of cell borders (coordinates are below 1e8 m)
@@ -89,11 +97,14 @@ def point_segment_distance(px, py) -> F.Column:
 
 def project_points(points: DataFrame) -> DataFrame:
     """Distinct WGS84 coordinates with their EPSG:3857 position; those without a finite position are left out."""
-    pts = points.select(F.col("position_latitude").alias("lat"), F.col("position_longitude").alias("lon")).distinct()
-    pts = pts.withColumn("px", web_mercator_x(F.col("lon"))).withColumn("py", web_mercator_y(F.col("lat")))
+    pts = _project(points.select(F.col("position_latitude").alias("lat"), F.col("position_longitude").alias("lon")).distinct())
     return pts.filter((F.abs("px") < float("inf")) & (F.abs("py") < float("inf")))
 
 
+def _project(pts: DataFrame) -> DataFrame:
+    return pts.withColumn("px", web_mercator_x(F.col("lon"))).withColumn("py", web_mercator_y(F.col("lat")))
+
+
 def density_cell(segments: DataFrame, floor_m: float = 50.0, default: float = 1000.0) -> float:
     """First cell size = mean spacing of the segments, sqrt(covered area / count).
 
@@ -126,6 +137,11 @@ def _cell_gap(width: float):
     return F.sqrt(gx * gx + gy * gy)
 
 
+def _own(points: DataFrame, cell: float) -> DataFrame:
+    """Every point with the cell it lies in."""
+    return points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
+
+
 def _around(points: DataFrame, cell: float) -> DataFrame:
     """The 3 x 3 block of cells around every point, one row per cell."""
     steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
@@ -134,14 +150,31 @@ def _around(points: DataFrame, cell: float) -> DataFrame:
                   .withColumn("cy", F.floor(F.col("py") / cell) + F.col("_oy")).drop("_ox", "_oy"))
 
 
+def _crowded(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+    """Cells with over ``most`` rows, with the number of pieces they are split into (``name``), and how many such cells there are."""
+    crowded = (rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+                   .select(*CELL, F.ceil(F.col("n") / most).cast("int").alias(name)))
+    crowded = materialize(crowded)
+    return crowded, crowded.count()
+
+
+def _search_cell(points: pa.Table, segments: pa.Table) -> pa.Table:
+    lat, lon, px, py = (points.column(c) for c in POINT)
+    arrays = [c.to_numpy() for c in (px, py, *(segments.column(c) for c in ("osm_id", "ax", "ay", "bx", "by")))]
+    dist, road = nearest_segment(*arrays)
+    return pa.table({"lat": lat, "lon": lon, "dist": dist, "osm_id": pa.array(road, pa.int64(), mask=road == NO_ROAD)})
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The least distance of every point and the lowest ``osm_id`` at it."""
+    return found.groupBy("lat", "lon").agg(F.min(F.struct("dist", "osm_id")).alias("_n")).select("lat", "lon", "_n.dist", "_n.osm_id")
+
+
 class _Cells:
     """The segments by cell, with crowded cells split into hash blocks."""
 
-    def __init__(self, cells: DataFrame):
-        crowded = (cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_SEGMENTS)
-                        .select(*CELL, F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("_blocks")))
-        crowded = materialize(crowded)
-        n = crowded.count()
+    def __init__(self, cells: DataFrame, most: int = BLOCK_SEGMENTS):
+        crowded, n = _crowded(cells, most, "_blocks")
         self.keys = [*CELL, "_block"] if n else CELL
         self.crowded = _small(crowded, n) if n else None
         if n:
@@ -156,6 +189,20 @@ class _Cells:
         return (looks.join(self.crowded, CELL, "left")
                      .withColumn("_block", F.explode(F.sequence(F.lit(0), last))).drop("_blocks"))
 
+    def nearest(self, looks: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+        """Per row of ``looks`` (POINT, CELL) and block of the cell: ``lat, lon, dist, osm_id`` of the nearest segment (inf, null without one).
+
+        ``counted``: rows with the cells of the points, at least as many as in ``looks``, if they are cheaper to count.
+        """
+        left, right, keys = self._spread(looks), self.rows, self.keys
+        busy, n = _crowded(looks if counted is None else counted, TILE_POINTS, "_parts")
+        if n:
+            busy, parts = _small(busy, n), F.coalesce("_parts", F.lit(1))
+            left = left.join(busy, CELL, "left").withColumn("_part", F.pmod(F.xxhash64("lat", "lon"), parts).cast("int")).drop("_parts")
+            right = right.join(busy, CELL, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+            keys = [*keys, "_part"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search_cell, "lat double, lon double, dist double, osm_id long")
+
     def min_distance(self, looks: DataFrame) -> DataFrame:
         """Per point of ``looks`` (POINT, CELL): distance of the nearest segment in its cells, null without one."""
         d = F.when(F.col("osm_id").isNotNull(), point_segment_distance(F.col("px"), F.col("py")))
@@ -208,31 +255,36 @@ def nearest_roads(points: DataFrame, roads: DataFrame, cell: float | None = None
     no road, have no row. Ties go to the lowest ``osm_id``; several rows of one
     ``osm_id`` count as one road with the least of their attributes.
     """
-    segs = road_segments(roads)
+    segs = road_segments(roads.filter(F.col("osm_id").isNotNull()))
     cell = cell or density_cell(segs)
-    left, found = project_points(points), []
-    for level in range(NEAR_LEVELS):
-        c = cell * factor ** level
-        cells = segment_cells(segs, c)
-        if level:                   # few points are left: only the cells they look at
-            wanted = materialize(_around(left, c).select(*CELL).distinct())
-            cells = cells.join(_small(wanted, wanted.count()), CELL, "left_semi")
-        grid = _Cells(cells)
-        nearest = materialize(grid.min_distance(_around(left, c)))
-        done = nearest.filter(F.col("dist") < c - SLACK_M)
-        found.append(grid.lowest_road(_around(done, c).filter(_cell_gap(c) <= F.col("dist") + SLACK_M)))
-        left = nearest.filter(F.col("dist").isNull() | (F.col("dist") >= c - SLACK_M)).select(*POINT)
-        if left.isEmpty():
-            break
-    else:
-        cells = segment_cells(segs, c)
-        looks = _far_looks(left, cells, c, factor)
-        if looks is not None:
-            looks = materialize(looks)
-            wanted = looks.select(*CELL).distinct()
-            grid = _Cells(cells.join(_small(wanted, wanted.count()), CELL, "left_semi"))
-            nearest = materialize(grid.min_distance(looks))
-            found.append(grid.lowest_road(looks.join(nearest, POINT).filter(_cell_gap(c) <= F.col("dist") + SLACK_M)))
+    tile = cell * TILE_CELLS
+    segs = segs.repartition("osm_id", "ax", "ay", "bx", "by")          # a small file of roads is one task otherwise
+    tiles = stored(segment_cells(segs, tile), "road-tiles")
+    grid = _Cells(tiles, TILE_SEGMENTS)
+    readings = points.select(F.col("position_latitude").alias("lat"), F.col("position_longitude").alias("lon"))
+    own = grid.nearest(_own(project_points(points), tile), counted=_own(_project(readings), tile))
+    own = _own(_project(stored(_best(own) if grid.crowded is not None else own, "road-own-tile")), tile)
+    x, y = F.col("px") - F.col("cx") * F.lit(tile), F.col("py") - F.col("cy") * F.lit(tile)
+    inside = F.col("dist") < F.least(x, y, tile - x, tile - y) - SLACK_M
+    result = ["lat", "lon", "dist", "osm_id"]
+    found = [own.filter(inside).select(*result)]
+    left = materialize(own.filter(~inside))
+    near, far = (left.filter(c) for c in (F.col("dist") < tile - SLACK_M, F.col("dist") >= tile - SLACK_M))
+    if not near.isEmpty():
+        others = _around(near.withColumnsRenamed({c: f"_own_{c}" for c in CELL}), tile).filter(
+            ((F.col("cx") != F.col("_own_cx")) | (F.col("cy") != F.col("_own_cy"))) & (_cell_gap(tile) <= F.col("dist") + SLACK_M))
+        found.append(stored(_best(grid.nearest(others.select(*POINT, *CELL)).unionByName(near.select(*result))), "road-next-tiles"))
+    looks = None if far.isEmpty() else _far_looks(far, tiles, tile, factor)
+    if looks is not None:
+        c = cell * factor
+        wanted = materialize(looks.select(*CELL).distinct())
+        segs = tiles.join(_small(wanted, wanted.count()), CELL, "left_semi").drop(*CELL).distinct()
+        cells = stored(segment_cells(segs, c), "road-far-cells")
+        looks = materialize(_far_looks(far, cells, c, factor))
+        wanted = looks.select(*CELL).distinct()
+        grid = _Cells(cells.join(_small(wanted, wanted.count()), CELL, "left_semi"))
+        nearest = materialize(grid.min_distance(looks))
+        found.append(grid.lowest_road(looks.join(nearest, POINT).filter(_cell_gap(c) <= F.col("dist") + SLACK_M)).select(*result))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

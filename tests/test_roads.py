@@ -101,3 +101,54 @@ def test_cells_are_never_broadcast(spark, tmp_path):
     for df in (grid.min_distance(looks), grid.lowest_road(looks.withColumn("dist", F.lit(1.0)))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_segments_of_a_tile_in_arrays():
+    """Every point's nearest segment in one tile: crowds, points far from all segments, ties, segments without length or position."""
+    import numpy as np
+
+    from fleetscope.operators.segment_search import NO_ROAD, nearest_segment
+    for seed, (n, m, side, length, away) in enumerate([(900, 300, 1000, 800, 0), (2000, 200, 3000, 20, 0), (700, 200, 50, 5, 4000), (800, 150, 500, 0, 0),
+                                                       (300, 400, 2000, 90_000, 0)]):
+        rnd = np.random.default_rng(seed)
+        px, py = rnd.uniform(0, side, n) + 1e6, rnd.uniform(0, side, n) + 5e6
+        ax, ay = rnd.uniform(0, side, m) + 1e6 + away, rnd.uniform(0, side, m) + 5e6
+        bx, by = ax + rnd.uniform(-length, length, m), ay + rnd.uniform(-length, length, m)
+        ax, ay, bx, by = (np.concatenate([v, v[: m // 2]]) for v in (ax, ay, bx, by))            # half of the roads twice
+        osm_id = rnd.permutation(len(ax)).astype(np.int64)
+        ax[5], by[7] = np.nan, np.inf
+        got, road = nearest_segment(px, py, osm_id, ax, ay, bx, by)
+        for i in range(0, n, 7):
+            best = min((seg_dist(*map(float, (px[i], py[i], ax[j], ay[j], bx[j], by[j]))), osm_id[j]) for j in range(len(ax)) if j not in (5, 7))
+            assert (got[i], road[i]) == best, (seed, i)
+    got, road = nearest_segment(px, py, osm_id[:0], ax[:0], ay[:0], bx[:0], by[:0])
+    assert np.isinf(got).all() and (road == NO_ROAD).all()
+
+
+def test_long_roads_are_listed_a_few_times(spark, monkeypatch):
+    """Roads much longer than they are apart; tiles split by segments and by points; points near and beyond a tile's border."""
+    from fleetscope.operators import roads as RD
+    rnd = random.Random(11)
+    x0, y0 = merc(41.9, 12.5)
+    roads = []
+    for oid in range(1500):
+        x, y = x0 + rnd.uniform(0, 8000), y0 + rnd.uniform(0, 8000)
+        way = [(x, y), (x + rnd.uniform(-3000, 3000), y + rnd.uniform(-3000, 3000)), (x + rnd.uniform(-3000, 3000), y + rnd.uniform(-3000, 3000))]
+        roads.append((oid, "primary", {}, [{"x": a, "y": b} for a, b in way]))
+    roads += [(5000 + r[0], "secondary", {}, r[3]) for r in roads[:50]]           # the same lines under higher ids
+    roads.append((None, "primary", {}, [{"x": x0 + 4000, "y": y0 + 4000}, {"x": x0 + 4100, "y": y0 + 4100}]))
+    pts = [(i, 41.9 + rnd.uniform(-0.02, 0.08), 12.5 + rnd.uniform(-0.02, 0.1)) for i in range(400)]
+    rdf = spark.createDataFrame(roads, ROAD_SCHEMA)
+    pdf = spark.createDataFrame(pts, "id long, position_latitude double, position_longitude double")
+    listed, cells_of = [], RD.segment_cells
+    monkeypatch.setattr(RD, "segment_cells", lambda segs, cell: listed.append(cells_of(segs, cell).count()) or cells_of(segs, cell))
+    monkeypatch.setattr(RD, "TILE_SEGMENTS", 100)
+    monkeypatch.setattr(RD, "TILE_POINTS", 30)
+    got = {r["id"]: r for r in match_points(pdf, nearest_roads(pdf, rdf)).collect()}
+    segments = [(*w[i].values(), *w[i + 1].values(), oid) for oid, _, _, w in roads if oid is not None for i in range(len(w) - 1)]
+    assert max(listed) <= 10 * len(segments), (listed, len(segments))
+    for pid, lat, lon in pts:
+        px, py = merc(lat, lon)
+        best = min((seg_dist(px, py, *s[:4]), s[4]) for s in segments)
+        assert got[pid]["osm_id"] == best[1], (pid, got[pid], best)
+        assert abs(got[pid]["distance_m"] - best[0]) < 1e-6
