@@ -1,7 +1,7 @@
 """Nearest segment of every point among the points and segments of one tile, exact, in arrays.
 
-The points are searched on a grid of their own. Its first cells are as wide as the points are apart, so that listing the segments and
-meeting them cost about the same. A point meets the segments of its cell, then those of the neighbour cells that start within its distance.
+The points are searched on a grid of their own. Its first cells are twice as wide as the points are apart, so that listing the segments
+and meeting them cost about the same. A point meets the segments of its cell, then those of the neighbour cells that start within its distance.
 It is done when its distance is below the cell's side; the others go on with cells four times as wide, the last with all segments.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PAIRS = 1 << 16                 # point-segment pairs measured at once
+PAIRS = 1 << 15                 # point-segment pairs measured at once
 PIECES = 1 << 20                # pieces of segments listed in one grid, about
 FACTOR = 4                      # how much wider the next cells are
 SLACK_M = 1e-3                  # covers the rounding of cell borders
@@ -109,7 +109,7 @@ class _Search:
         if not n or not len(left):
             return self.dist, self.road
         w, h = max(1.0, np.ptp(self.px)), max(1.0, np.ptp(self.py))
-        cell = max(1.0, np.sqrt(w * h / len(left)), np.minimum(self.length, np.hypot(w, h)).sum() / PIECES)
+        cell = max(1.0, 2 * np.sqrt(w * h / len(left)), np.minimum(self.length, np.hypot(w, h)).sum() / PIECES)
         while len(left) * n > PAIRS and cell < max(w, h):
             left = self.on_grid(left, cell)
             cell *= FACTOR

@@ -152,3 +152,29 @@ def test_long_roads_are_listed_a_few_times(spark, monkeypatch):
         best = min((seg_dist(px, py, *s[:4]), s[4]) for s in segments)
         assert got[pid]["osm_id"] == best[1], (pid, got[pid], best)
         assert abs(got[pid]["distance_m"] - best[0]) < 1e-6
+
+
+def test_written_road_columns_of_dense_roads(spark, tmp_path, monkeypatch):
+    """update_road_columns where roads are several cells long: the rows of its SQL, and a segment is listed once or twice."""
+    import __spark_entry__ as E
+    import duckdb
+
+    from fleetscope.operators import roads as RD
+    from oracle_check import compare
+    kinds = F.array(*[F.lit(x) for x in ("view", "click", "error", "purchase")])
+    (spark.range(300).select(F.when(F.col("id") != 5, F.col("id") * 17).alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                             F.when(F.col("id") % 50 != 3, F.col("id") % 9).alias("user_id"), kinds[(F.col("id") % 4).cast("int")].alias("event_type"),
+                             (F.col("id") * 1.25).alias("value"), F.format_string('{"k": %d}', F.col("id") % 90).alias("props"))
+     .write.parquet(f"{tmp_path}/events.parquet"))
+    (spark.range(1500).select((F.col("id") * 13).alias("p_partkey"), F.when(F.col("id") % 11 != 2, (F.col("id") % 50).cast("int")).alias("p_size"))
+     .write.parquet(f"{tmp_path}/part.parquet"))
+    listed, cells_of = [], RD.segment_cells
+    monkeypatch.setattr(RD, "segment_cells", lambda segs, cell: listed.append(cells_of(segs, cell).count() / max(1, segs.count())) or cells_of(segs, cell))
+    monkeypatch.setattr(RD, "density_cell", lambda segs: 200.0)
+    con = duckdb.connect()
+    for name in ("events", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    name = "update_road_columns"
+    msg = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], str(tmp_path))
+    assert ": ok (300 rows" in msg, msg
+    assert listed[0] <= 3, listed
